@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sqltext import quote
+
 NUMERIC = "numeric"
 BOOLEAN = "boolean"
 TEMPORAL = "temporal"
@@ -47,6 +49,11 @@ class AuditColumn:
     def value(self) -> Column:
         return column(self.name)
 
+    @property
+    def sql(self) -> str:
+        """The column in SQL text."""
+        return quote(self.name)
+
 
 def type_class(data_type: T.DataType) -> str:
     """Class of a type; the rules of every operator branch on it."""
@@ -62,10 +69,6 @@ def type_class(data_type: T.DataType) -> str:
     return OTHER
 
 
-def quote(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def column(name: str) -> Column:
     """Column by its exact name, also when the name holds dots or back-ticks."""
     return F.col(quote(name))

@@ -1,9 +1,8 @@
-"""Text patterns as native expressions: numbers in text, e-mail addresses and readable dates."""
+"""Text patterns as SQL conditions: numbers in text, e-mail addresses and readable dates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sqltext import pattern, text
 
 # The formats a text must have to count as a number, an address or a date.
 NUMBER_CHARACTERS = r"\A[\s0-9+\-._eEinfatyINFATY]+\z"
@@ -19,25 +18,28 @@ EMAIL_NAME_PART = "email"
 DATE_NAME_PART = "date"
 
 
-def reads_as_number(text: Column) -> Column:
+def reads_as_number(value: str) -> str:
     """Whether a text casts to double; null for null.
 
     The character test comes first: it stops at the first foreign character, so long prose never
     reaches the separator removal.
     """
-    return text.rlike(NUMBER_CHARACTERS) & F.regexp_replace(text, DIGIT_SEPARATOR, "").rlike(NUMBER)
+    digits = f"regexp_replace({value}, {pattern(DIGIT_SEPARATOR)}, '')"
+    return f"({value} RLIKE {pattern(NUMBER_CHARACTERS)} AND {digits} RLIKE {pattern(NUMBER)})"
 
 
-def is_email(text: Column) -> Column:
-    return text.rlike(EMAIL)
+def is_email(value: str) -> str:
+    return f"({value} RLIKE {pattern(EMAIL)})"
 
 
-def reads_as_date(text: Column) -> Column:
+def reads_as_date(value: str) -> str:
     """Whether a text casts to a date or a timestamp; null for null."""
-    year = F.regexp_extract(text, DATE, 1)
-    padded_year = F.lpad(year, F.greatest(F.lit(4), F.length(year)), F.lit("0"))
-    month = F.lpad(F.regexp_extract(text, DATE, 3), 2, "0")
-    day = F.lpad(F.regexp_extract(text, DATE, 4), 2, "0")
-    calendar_day = F.concat_ws("-", padded_year, month, day).try_cast("date")
-    word = F.lower(F.trim(text)).isin(*DATE_WORDS)
-    return (text.rlike(DATE) & calendar_day.isNotNull()) | word
+    year, month, day = (f"regexp_extract({value}, {pattern(DATE)}, {group})" for group in (1, 3, 4))
+    calendar_day = (
+        f"concat_ws('-', lpad({year}, greatest(4, length({year})), '0'), lpad({month}, 2, '0'), lpad({day}, 2, '0'))"
+    )
+    words = ", ".join(text(word) for word in DATE_WORDS)
+    return (
+        f"(({value} RLIKE {pattern(DATE)} AND try_cast({calendar_day} AS DATE) IS NOT NULL) "
+        f"OR lower(trim({value})) IN ({words}))"
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import audited_columns
+from ..functions.sqltext import array, struct, text
 from .profile import PATTERNS, column_facts
 from .rows import normalise_nulls
 
@@ -25,26 +26,19 @@ ISSUE_TEXTS = {
 
 def anomalies_of(facts: DataFrame) -> DataFrame:
     """Anomalies told by the per-column facts: (position, column, kind, issue, affected_rows)."""
-    filled = F.col("total_rows") - F.col("missing_count")
+    filled = "(total_rows - missing_count)"
     checks = [
-        (NULL_COLUMN, (F.col("total_rows") > 0) & (filled == 0), F.col("total_rows")),
-        (ZERO_COLUMN, (filled > 0) & (F.col("zero_count") == filled), filled),
-        (MIXED_NUMERIC, (F.col("number_texts") > 0) & (F.col("number_texts") < filled), F.col("number_texts")),
-        (MALFORMED_EMAIL, F.col("bad_emails") > 0, F.col("bad_emails")),
-        (UNREADABLE_DATE, F.col("bad_dates") > 0, F.col("bad_dates")),
+        (NULL_COLUMN, f"total_rows > 0 AND {filled} = 0", "total_rows"),
+        (ZERO_COLUMN, f"{filled} > 0 AND zero_count = {filled}", filled),
+        (MIXED_NUMERIC, f"number_texts > 0 AND number_texts < {filled}", "number_texts"),
+        (MALFORMED_EMAIL, "bad_emails > 0", "bad_emails"),
+        (UNREADABLE_DATE, "bad_dates > 0", "bad_dates"),
     ]
     found = [
-        F.when(
-            holds,
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.lit(ISSUE_TEXTS.get(kind)).cast("string").alias("issue"),
-                rows.alias("affected_rows"),
-            ),
-        )
+        f"CASE WHEN {holds} THEN {struct({'kind': text(kind), 'issue': text(ISSUE_TEXTS.get(kind)), 'affected_rows': rows})} END"
         for kind, holds, rows in checks
     ]
-    return facts.select("position", "column", F.inline(F.array_compact(F.array(*found))))
+    return facts.selectExpr("position", "column", f"inline(array_compact({array(found)}))")
 
 
 def anomalies(df: DataFrame, row_id: str | None = None) -> DataFrame:

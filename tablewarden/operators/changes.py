@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import AuditColumn, audited_columns, batches, column, union_all
-from .profile import COLUMNS_PER_PASS
+from ..functions.columns import AuditColumn, audited_columns
+from ..functions.sqltext import array, quote, struct, text
 from .rows import normalise_nulls
 
 _SCHEMA = (
@@ -15,35 +15,45 @@ _SCHEMA = (
 )
 
 
-def _row(c: AuditColumn, before: Column | None, after: Column | None, rows_dropped: Column) -> Column:
+def _row(c: AuditColumn, before: str | None, after: str | None, rows_dropped: str) -> str:
     """Counts of null to value, value to other value and value to null."""
-    if before is None or after is None:
-        filled = modified = nullified = F.lit(0).cast("bigint")
-    else:
-        filled = F.count_if(before.isNull() & after.isNotNull())
-        modified = F.count_if(before.isNotNull() & after.isNotNull() & (before != after))
-        nullified = F.count_if(before.isNotNull() & after.isNull())
-    return F.struct(
-        F.lit(c.position).alias("position"),
-        F.lit(c.name).alias("column"),
-        filled.alias("filled"),
-        modified.alias("modified"),
-        nullified.alias("nullified"),
-        (filled + modified + nullified).alias("mutations"),
-        rows_dropped.cast("bigint").alias("rows_dropped"),
+    filled = modified = nullified = "0L"
+    if before is not None and after is not None:
+        filled = f"count_if({before} IS NULL AND {after} IS NOT NULL)"
+        modified = f"count_if({before} != {after})"
+        nullified = f"count_if({before} IS NOT NULL AND {after} IS NULL)"
+    return struct(
+        {
+            "position": str(c.position),
+            "column": text(c.name),
+            "filled": filled,
+            "modified": modified,
+            "nullified": nullified,
+            "mutations": f"{filled} + {modified} + {nullified}",
+            "rows_dropped": f"CAST(greatest(0, {rows_dropped}) AS BIGINT)",
+        }
     )
 
 
+def _log(df: DataFrame, rows: list[str]) -> DataFrame:
+    """One aggregate for all columns: what lies under it, a join or a grouping, must not run twice."""
+    if not rows:
+        return df.sparkSession.createDataFrame([], _SCHEMA)
+    return df.agg(F.expr(array(rows)).alias("log")).selectExpr("inline(log)")
+
+
 def changes_within(
-    kept: DataFrame, columns: list[AuditColumn], repaired: dict[str, Column], original_rows: DataFrame
+    kept: DataFrame, columns: list[AuditColumn], repaired: dict[str, str], original: DataFrame | None
 ) -> DataFrame:
-    """Change log of a projection over the kept rows: one aggregate, no join."""
-    dropped = F.greatest(F.lit(0), original_rows.scalar() - F.count(F.lit(1)))
-    parts = []
-    for group in batches(columns, COLUMNS_PER_PASS):
-        rows = [_row(c, c.value, repaired.get(c.name), dropped) for c in group]
-        parts.append(kept.agg(F.array(*rows).alias("log")).select(F.inline("log")))
-    return union_all(parts) if parts else kept.sparkSession.createDataFrame([], _SCHEMA)
+    """Change log of a projection over the kept rows: one aggregate, no join.
+
+    ``original`` is the table before duplicates went; None if no row was dropped.
+    """
+    rows = [_row(c, c.sql if c.name in repaired else None, repaired.get(c.name), "count(1)") for c in columns]
+    dropped = F.lit(0).cast("bigint")
+    if original is not None:
+        dropped = original.agg(F.count(F.lit(1))).scalar() - F.col("rows_dropped")
+    return _log(kept, rows).withColumn("rows_dropped", dropped)
 
 
 def change_log(original: DataFrame, cleaned: DataFrame, row_id: str) -> DataFrame:
@@ -54,23 +64,15 @@ def change_log(original: DataFrame, cleaned: DataFrame, row_id: str) -> DataFram
     """
     original, cleaned = normalise_nulls(original), normalise_nulls(cleaned)
     columns = audited_columns(original, row_id)
-    common = [c for c in columns if c.name in cleaned.columns]
-    before = original.select(column(row_id).alias("id"), *[c.value.alias(f"before_{c.position}") for c in common])
-    after = cleaned.select(column(row_id).alias("id"), *[c.value.alias(f"after_{c.position}") for c in common])
-    before, after = before.withColumn("in_before", F.lit(True)), after.withColumn("in_after", F.lit(True))
-    joined = before.join(after, "id", "full")
-    both = F.col("in_before").isNotNull() & F.col("in_after").isNotNull()
-    dropped = F.greatest(F.lit(0), F.count("in_before") - F.count("in_after"))
-    parts = []
-    for group in batches(columns, COLUMNS_PER_PASS):
-        rows = []
-        for c in group:
-            if c in common:
-                # Rows on one side only are no changes of values: both sides turn null.
-                old = F.when(both, F.col(f"before_{c.position}"))
-                new = F.when(both, F.col(f"after_{c.position}"))
-                rows.append(_row(c, old, new, dropped))
-            else:
-                rows.append(_row(c, None, None, dropped))
-        parts.append(joined.agg(F.array(*rows).alias("log")).select(F.inline("log")))
-    return union_all(parts) if parts else original.sparkSession.createDataFrame([], _SCHEMA)
+    common = {c.name for c in columns if c.name in cleaned.columns}
+    shared = [c for c in columns if c.name in common]
+    before = original.selectExpr(f"{quote(row_id)} AS id", "true AS in_before", *[f"{c.sql} AS before_{c.position}" for c in shared])
+    after = cleaned.selectExpr(f"{quote(row_id)} AS id", "true AS in_after", *[f"{c.sql} AS after_{c.position}" for c in shared])
+    rows = []
+    for c in columns:
+        old = new = None
+        if c.name in common:
+            # Rows on one side only are no changes of values: both sides turn null.
+            old, new = (f"CASE WHEN in_before AND in_after THEN {side}_{c.position} END" for side in ("before", "after"))
+        rows.append(_row(c, old, new, "count(in_before) - count(in_after)"))
+    return _log(before.join(after, "id", "full"), rows)

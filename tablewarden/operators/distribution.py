@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import AuditColumn, batches, numeric_columns, union_all
 from ..functions.local import local_rows
+from ..functions.sqltext import double, lookup, quote, text
 from ..settings import DEFAULTS, Settings
 from .outliers import selected_columns
 from .profile import COLUMNS_PER_PASS, numeric_ranges
@@ -24,8 +25,9 @@ _SCHEMA = "column string, bin int, bin_start double, bin_end double, count bigin
 _BAND_SCHEMA = "column string, bin int, band string, count bigint"
 
 
-def _finite(value: Column) -> Column:
-    return F.when((value > float("-inf")) & (value < float("inf")), value)
+def _finite(c: AuditColumn) -> str:
+    value = f"CAST({c.sql} AS DOUBLE)"
+    return f"CASE WHEN {value} > double('-Infinity') AND {value} < double('Infinity') THEN {value} END"
 
 
 def _edges(low: float, high: float, bins: int) -> tuple[float, int]:
@@ -34,70 +36,68 @@ def _edges(low: float, high: float, bins: int) -> tuple[float, int]:
     return (width, bins) if math.isfinite(width) and width > 0 else (0.0, 1)
 
 
-def _bin(value: Column, low: float, width: float, bins: int) -> Column:
-    if width == 0.0:
-        return F.when(value.isNotNull(), F.lit(0))
-    return F.least(F.greatest(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1)).cast("int")
+def _cell(name: str, low: float, high: float, bins: int, fences: Fences | None) -> str:
+    """Bin and band of a value as one number, so that a batch unpivots to a single column."""
+    value = quote(name)
+    width, n = _edges(low, high, bins)
+    place = f"least(greatest(floor(({value} - {double(low)}) / {double(width)}), 0), {n - 1})" if width else "0"
+    band = "1"
+    if fences is not None and fences.usable:
+        band = f"CASE WHEN {value} < {double(fences.lower)} THEN 0 WHEN {value} > {double(fences.upper)} THEN 2 ELSE 1 END"
+    # greatest and least skip nulls, so a missing value is kept out explicitly.
+    return f"CASE WHEN {value} IS NOT NULL THEN CAST({place} * 3 + {band} AS INT) END"
 
 
 def _binned(
-    df: DataFrame, chosen: list[AuditColumn], ranges: dict, bins: int, fences: dict[str, Fences] | None
-) -> list[DataFrame]:
-    """(slot, bin, band) counts, in batches of columns; a task sends a few small rows per column."""
+    finite: DataFrame, chosen: list[AuditColumn], ranges: dict, bins: int, fences: dict[str, Fences] | None
+) -> DataFrame:
+    """(column, bin, band, low, width, count); a task sends a few small rows per column."""
     parts = []
     for group in batches(chosen, COLUMNS_PER_PASS):
-        cells = []
-        for c in group:
-            _, low, high = ranges[c.name]
-            width, n = _edges(low, high, bins)
-            value = _finite(c.value.cast("double"))
-            place = _bin(value, low, width, n)
-            band = F.lit(0)
-            if fences is not None and fences[c.name].usable:
-                band = F.when(value < fences[c.name].lower, -1).when(value > fences[c.name].upper, 1).otherwise(0)
-            # Bin and band as one number, so a batch unpivots to a single column.
-            cells.append((place * 3 + band + 1).cast("int").alias(str(c.position)))
+        limits = [ranges[c.name][1:] for c in group]
+        cells = [
+            f"{_cell(c.name, *ranges[c.name][1:], bins, fences and fences[c.name])} AS `{i}`"
+            for i, c in enumerate(group)
+        ]
+        slot = "CAST(slot AS INT)"
         parts.append(
-            df.select(*cells)
-            .unpivot([], [str(c.position) for c in group], "slot", "cell")
-            .where(F.col("cell").isNotNull())
-            .withColumn("slot", F.col("slot").cast("int"))
+            finite.selectExpr(*cells)
+            .unpivot([], [str(i) for i in range(len(group))], "slot", "cell")
+            .where("cell IS NOT NULL")
             .groupBy("slot", "cell")
-            .agg(F.count(F.lit(1)).alias("count"))
+            .agg(F.expr("count(1) AS count"))
+            .selectExpr(
+                f"{lookup([text(c.name) for c in group], slot)} AS column",
+                "CAST(floor(cell / 3) AS INT) AS bin",
+                f"{lookup([text(b) for b in (LOWER, INLIER, UPPER)], 'cell % 3')} AS band",
+                f"{lookup([double(low) for low, _ in limits], slot)} AS low",
+                f"{lookup([double(_edges(*limit, bins)[0]) for limit in limits], slot)} AS width",
+                "count",
+            )
         )
-    return parts
+    return union_all(parts)
 
 
 def _prepared(
     df: DataFrame, row_id: str | None, columns: Sequence[str] | None
 ) -> tuple[DataFrame, list[AuditColumn], dict]:
+    """Finite values of the numeric columns as doubles, the columns that have any, and their ranges."""
     df = normalise_nulls(df)
     numeric = numeric_columns(selected_columns(df, row_id, columns))
-    finite = df.select(*[_finite(c.value.cast("double")).alias(c.name) for c in numeric]) if numeric else df
+    finite = df.selectExpr(*[f"{_finite(c)} AS {c.sql}" for c in numeric]) if numeric else df
     ranges = numeric_ranges(finite, numeric)
-    return df, [c for c in numeric if ranges[c.name][0] > 0], ranges
+    return finite, [c for c in numeric if ranges[c.name][0] > 0], ranges
 
 
 def histogram(
     df: DataFrame, row_id: str | None = None, columns: Sequence[str] | None = None, bins: int = BINS
 ) -> DataFrame:
     """Equal-width histogram per numeric column, non-empty bins only; columns without values are left out."""
-    df, chosen, ranges = _prepared(df, row_id, columns)
+    finite, chosen, ranges = _prepared(df, row_id, columns)
     if not chosen:
         return local_rows(df, [], _SCHEMA)
-    edges = {c.position: (c.name, ranges[c.name][1], *_edges(ranges[c.name][1], ranges[c.name][2], bins)) for c in chosen}
-    names = F.create_map(*[x for p, e in edges.items() for x in (F.lit(p), F.lit(e[0]))])
-    lows = F.create_map(*[x for p, e in edges.items() for x in (F.lit(p), F.lit(e[1]))])
-    widths = F.create_map(*[x for p, e in edges.items() for x in (F.lit(p), F.lit(e[2]))])
-    slot = F.col("slot")
-    low, width = F.element_at(lows, slot), F.element_at(widths, slot)
-    place = F.floor(F.col("cell") / 3).cast("int")
-    return union_all(_binned(df, chosen, ranges, bins, None)).select(
-        F.element_at(names, slot).alias("column"),
-        place.alias("bin"),
-        (low + place * width).alias("bin_start"),
-        (low + (place + 1) * width).alias("bin_end"),
-        "count",
+    return _binned(finite, chosen, ranges, bins, None).selectExpr(
+        "column", "bin", "low + bin * width AS bin_start", "low + (bin + 1) * width AS bin_end", "count"
     )
 
 
@@ -110,18 +110,12 @@ def histogram_bands(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Histogram counts split into values under, inside and over the fences."""
-    df, chosen, ranges = _prepared(df, row_id, columns)
+    finite, chosen, ranges = _prepared(df, row_id, columns)
     if not chosen:
         return local_rows(df, [], _BAND_SCHEMA)
-    fences = fences_by_column(df, chosen, settings.iqr_multiplier if multiplier is None else multiplier)
-    names = F.create_map(*[x for c in chosen for x in (F.lit(c.position), F.lit(c.name))])
-    band = F.element_at(F.array(F.lit(LOWER), F.lit(INLIER), F.lit(UPPER)), (F.col("cell") % 3 + 1).cast("int"))
-    return union_all(_binned(df, chosen, ranges, bins, fences)).select(
-        F.element_at(names, F.col("slot")).alias("column"),
-        F.floor(F.col("cell") / 3).cast("int").alias("bin"),
-        band.alias("band"),
-        "count",
-    )
+    # Fences count every value, infinite ones too, like everywhere else.
+    fences = fences_by_column(normalise_nulls(df), chosen, settings.iqr_multiplier if multiplier is None else multiplier)
+    return _binned(finite, chosen, ranges, bins, fences).select("column", "bin", "band", "count")
 
 
 def outlier_bands(
@@ -132,8 +126,8 @@ def outlier_bands(
     settings: Settings = DEFAULTS,
 ) -> DataFrame:
     """Value ranges beyond the fences, one row per band that holds values."""
-    df, chosen, ranges = _prepared(df, row_id, columns)
-    fences = fences_by_column(df, chosen, settings.iqr_multiplier if multiplier is None else multiplier)
+    _, chosen, ranges = _prepared(df, row_id, columns)
+    fences = fences_by_column(normalise_nulls(df), chosen, settings.iqr_multiplier if multiplier is None else multiplier)
     rows = []
     for c in chosen:
         (_, low, high), f = ranges[c.name], fences[c.name]

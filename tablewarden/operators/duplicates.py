@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import AuditError
 from ..functions.columns import AuditColumn, audited_columns, column
-from .frequency import compact_key
+from ..functions.ids import new_id_name
+from ..functions.sqltext import quote
+from .frequency import compact_key, is_text
 from .rows import normalise_nulls
 
 # Labels of flagged rows.
@@ -32,21 +34,21 @@ def key_columns(df: DataFrame, row_id: str | None, subset: Sequence[str] | None)
     return [c for c in available if c.name in subset]
 
 
-def comparable(c: AuditColumn) -> Column:
+def comparable(c: AuditColumn) -> str:
     """The column in a form that groups equal values; nulls equal nulls."""
-    if isinstance(c.data_type, (T.StringType, T.CharType, T.VarcharType)):
-        return compact_key(c.value)
+    if is_text(c.data_type):
+        return compact_key(c.sql)
     if isinstance(c.data_type, T.BinaryType):
-        return F.when(c.value.isNotNull(), F.sha2(c.value, 256))
+        return f"CASE WHEN {c.sql} IS NOT NULL THEN sha2({c.sql}, 256) END"
     if isinstance(c.data_type, T.MapType):
-        return F.array_sort(F.map_entries(c.value))
+        return f"array_sort(map_entries({c.sql}))"
     if isinstance(c.data_type, T.VariantType):
-        return F.to_json(c.value)
-    return c.value
+        return f"to_json({c.sql})"
+    return c.sql
 
 
-def _keys(columns: list[AuditColumn]) -> list[Column]:
-    return [comparable(c).alias(f"key_{c.position}") for c in columns]
+def _keys(columns: list[AuditColumn]) -> list[str]:
+    return [f"{comparable(c)} AS key_{c.position}" for c in columns]
 
 
 def duplicate_count(df: DataFrame, row_id: str | None = None, subset: Sequence[str] | None = None) -> DataFrame:
@@ -54,14 +56,14 @@ def duplicate_count(df: DataFrame, row_id: str | None = None, subset: Sequence[s
     df = normalise_nulls(df)
     columns = key_columns(df, row_id, subset)
     if not columns:
-        return df.sparkSession.range(0, 1, 1, 1).select(F.lit(0).cast("bigint").alias("duplicate_count"))
-    groups = df.select(*_keys(columns)).groupBy(*[f"key_{c.position}" for c in columns]).count()
+        return df.sparkSession.sql("SELECT 0L AS duplicate_count")
+    groups = df.selectExpr(*_keys(columns)).groupBy(*[f"key_{c.position}" for c in columns]).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_count"))
 
 
 def first_ids(df: DataFrame, columns: list[AuditColumn], row_id: str) -> DataFrame:
     """The smallest row id of each group of equal rows, one column of the row id's name."""
-    keyed = df.select(*_keys(columns), column(row_id).alias("id"))
+    keyed = df.selectExpr(*_keys(columns), f"{quote(row_id)} AS id")
     firsts = keyed.groupBy(*[f"key_{c.position}" for c in columns]).agg(F.min("id").alias("id"))
     return firsts.select(F.col("id").alias(row_id))
 
@@ -89,9 +91,10 @@ def duplicate_flags(df: DataFrame, row_id: str, subset: Sequence[str] | None = N
     columns = key_columns(df, row_id, subset)
     if not columns:
         return df.withColumn("is_duplicate", F.lit(NORMAL))
-    firsts = first_ids(df, columns, row_id).withColumn("first_of_group", F.lit(True))
-    label = F.when(F.col("first_of_group").isNull(), DUPLICATE).otherwise(NORMAL).alias("is_duplicate")
-    return df.join(firsts, row_id, "left").select(*[column(c) for c in df.columns], label)
+    mark = new_id_name(df.columns)
+    firsts = first_ids(df, columns, row_id).withColumn(mark, F.lit(True))
+    label = f"CASE WHEN {mark} IS NULL THEN '{DUPLICATE}' ELSE '{NORMAL}' END AS is_duplicate"
+    return df.join(firsts, row_id, "left").selectExpr(*[quote(c) for c in df.columns], label)
 
 
 def drop_duplicates(df: DataFrame, row_id: str | None = None, subset: Sequence[str] | None = None) -> DataFrame:
@@ -108,6 +111,6 @@ def drop_duplicates(df: DataFrame, row_id: str | None = None, subset: Sequence[s
         if row_id is None:
             return df.dropDuplicates()
         kept = df.groupBy(*[c.value for c in columns]).agg(F.min(column(row_id)).alias(row_id))
-        return kept.select(*[column(c) for c in df.columns])
+        return kept.selectExpr(*[quote(c) for c in df.columns])
     row_id = _require_row_id(df, row_id)
-    return df.join(first_ids(df, columns, row_id), row_id, "left_semi").select(*[column(c) for c in df.columns])
+    return df.join(first_ids(df, columns, row_id), row_id, "left_semi").selectExpr(*[quote(c) for c in df.columns])

@@ -6,14 +6,13 @@ executors. A value that fills a third of a table reaches the shuffle as one row
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import OTHER, AuditColumn, audited_columns, batches, union_all
+from ..functions.sqltext import array, quote, struct, text
 from .rows import normalise_nulls
 
 TOP = 5
@@ -24,77 +23,79 @@ COLUMNS_PER_PASS = 40
 SHORT_BYTES = 64
 _DIGEST_PREFIX = "sha256:"
 
-_EMPTY_COUNTS = "position int, column string, unique_count bigint"
-_EMPTY_TOP = "position int, column string, rank int, value string, count bigint"
-
 
-def compact_key(value: Column) -> Column:
+def compact_key(value: str) -> str:
     """A text that is equal exactly when the values are: short ones as they are, long ones as digest."""
-    return F.when(F.octet_length(value) <= SHORT_BYTES, value.cast("string")).when(
-        value.isNotNull(), F.concat(F.lit(_DIGEST_PREFIX), F.sha2(value, 256))
+    return (
+        f"CASE WHEN octet_length({value}) <= {SHORT_BYTES} THEN CAST({value} AS STRING) "
+        f"WHEN {value} IS NOT NULL THEN concat('{_DIGEST_PREFIX}', sha2({value}, 256)) END"
     )
 
 
-def _is_text(data_type: T.DataType) -> bool:
+def is_text(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.CharType, T.VarcharType))
 
 
-def _whole(c: AuditColumn) -> Column | None:
-    """Values that fit a bigint without loss."""
-    if isinstance(c.data_type, (T.IntegralType, T.BooleanType)):
-        return c.value.cast("bigint")
-    if isinstance(c.data_type, T.DateType):
-        return F.unix_date(c.value).cast("bigint")
-    if isinstance(c.data_type, T.TimestampType):
+def _key(c: AuditColumn) -> tuple[str, str] | None:
+    """Storage kind and key of a column; map columns have none."""
+    kind = c.data_type
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "whole", f"CAST({c.sql} AS BIGINT)"
+    if isinstance(kind, T.DateType):
+        return "whole", f"CAST(unix_date({c.sql}) AS BIGINT)"
+    if isinstance(kind, T.TimestampType):
         # Two instants around a daylight saving change print alike, microseconds never do.
-        return F.unix_micros(c.value)
-    return None
-
-
-def _real(c: AuditColumn) -> Column | None:
-    return c.value.cast("double") if isinstance(c.data_type, (T.FloatType, T.DoubleType)) else None
-
-
-def _text(c: AuditColumn) -> Column | None:
-    if isinstance(c.data_type, T.MapType):
+        return "whole", f"unix_micros({c.sql})"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "real", f"CAST({c.sql} AS DOUBLE)"
+    if isinstance(kind, T.MapType):
         return None
-    if _is_text(c.data_type):
-        return compact_key(c.value)
+    if is_text(kind):
+        return "text", compact_key(c.sql)
+    if isinstance(kind, T.BinaryType):
+        return "text", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2({c.sql}, 256) END"
     if c.type_class == OTHER:
-        if isinstance(c.data_type, T.BinaryType):
-            return F.when(c.value.isNotNull(), F.sha2(c.value, 256))
-        return F.when(c.value.isNotNull(), F.sha2(F.to_json(F.struct(c.value.alias("v"))), 256))
-    return c.value.cast("string")
+        return "text", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2(to_json(named_struct('v', {c.sql})), 256) END"
+    return "text", f"CAST({c.sql} AS STRING)"
 
 
-def _split(columns: list[AuditColumn]) -> list[list[tuple[AuditColumn, Column]]]:
+def _printed(c: AuditColumn) -> str:
+    """Text of a frequency key in the type of its column."""
+    if isinstance(c.data_type, T.BooleanType):
+        return "CAST(CAST(key AS BOOLEAN) AS STRING)"
+    if isinstance(c.data_type, T.DateType):
+        return "CAST(date_from_unix_date(CAST(key AS INT)) AS STRING)"
+    if isinstance(c.data_type, T.TimestampType):
+        return "CAST(timestamp_micros(key) AS STRING)"
+    if isinstance(c.data_type, T.FloatType):
+        return "CAST(CAST(key AS FLOAT) AS STRING)"
+    return "CAST(key AS STRING)"
+
+
+def _split(columns: list[AuditColumn]) -> list[list[tuple[AuditColumn, str]]]:
     """Columns by storage kind, in batches: each batch shares one key type and one pruned scan."""
-    kinds: list[list[tuple[AuditColumn, Column]]] = [[], [], []]
+    kinds: dict[str, list[tuple[AuditColumn, str]]] = {}
     for c in columns:
-        for slot, make in enumerate((_whole, _real, _text)):
-            key = make(c)
-            if key is not None:
-                kinds[slot].append((c, key))
-                break
-    return [list(group) for kind in kinds for group in batches(kind, COLUMNS_PER_PASS)]
+        found = _key(c)
+        if found is not None:
+            kinds.setdefault(found[0], []).append((c, found[1]))
+    return [list(group) for kind in kinds.values() for group in batches(kind, COLUMNS_PER_PASS)]
 
 
-def _frequencies(df: DataFrame, group: list[tuple[AuditColumn, Column]]) -> DataFrame:
-    """(position, key, count) over the non-null values of a batch of columns."""
-    keyed = df.select(*[key.alias(str(c.position)) for c, key in group])
-    values = keyed.unpivot([], list(keyed.columns), "position", "key")
+def _unpivoted(df: DataFrame, values: dict[int, str], name: str) -> DataFrame:
+    """(position, value) of the non-null values of expressions of one type."""
+    wide = df.selectExpr(*[f"{value} AS {quote(str(position))}" for position, value in values.items()])
     return (
-        values.where(F.col("key").isNotNull())
-        .withColumn("position", F.col("position").cast("int"))
-        .groupBy("position", "key")
-        .agg(F.count(F.lit(1)).alias("count"))
+        wide.unpivot([], list(wide.columns), "position", name)
+        .where(f"{name} IS NOT NULL")
+        .withColumn("position", F.expr("CAST(position AS INT)"))
     )
 
 
-def _names(columns: list[AuditColumn]) -> Column:
-    """Column name by position, from a literal as long as the schema."""
-    entries = [entry for c in columns for entry in (F.lit(c.position), F.lit(c.name))]
-    return F.element_at(F.create_map(*entries), F.col("position"))
+def _frequencies(df: DataFrame, group: list[tuple[AuditColumn, str]]) -> DataFrame:
+    """(position, key, count) over the non-null values of a batch of columns."""
+    values = _unpivoted(df, {c.position: key for c, key in group}, "key")
+    return values.groupBy("position", "key").agg(F.count(F.lit(1)).alias("count"))
 
 
 def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -102,70 +103,46 @@ def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
     df = normalise_nulls(df)
     columns = audited_columns(df, row_id)
     if not columns:
-        return df.sparkSession.createDataFrame([], _EMPTY_COUNTS)
-    counted = [
-        _frequencies(df, group).groupBy("position").agg(F.count(F.lit(1)).alias("unique_count"))
-        for group in _split(columns)
+        return df.sparkSession.createDataFrame([], "position int, column string, unique_count bigint")
+    names = ", ".join(f"{c.position}, {text(c.name)}" for c in columns)
+    listed = [
+        struct({"position": str(c.position), "n": f"CAST({'0' if _key(c) else 'NULL'} AS BIGINT)"}) for c in columns
     ]
-    listed = df.sparkSession.range(0, 1, 1, 1).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c.position).alias("position"),
-                        F.lit(c.name).alias("column"),
-                        F.lit(None if isinstance(c.data_type, T.MapType) else 0).cast("bigint").alias("fallback"),
-                    )
-                    for c in columns
-                ]
-            )
-        )
-    )
-    if not counted:
-        return listed.select("position", "column", F.col("fallback").alias("unique_count"))
-    # One row per column on both sides.
-    return listed.join(F.broadcast(union_all(counted)), "position", "left").select(
-        "position", "column", F.coalesce("unique_count", "fallback").alias("unique_count")
+    # One row with zero per column, so that columns without values are counted too.
+    parts = [df.sparkSession.sql(f"SELECT inline({array(listed)})")]
+    parts += [
+        _frequencies(df, group).select("position", F.lit(1).cast("bigint").alias("n")) for group in _split(columns)
+    ]
+    return (
+        union_all(parts)
+        .groupBy("position")
+        .agg(F.sum("n").alias("unique_count"))
+        .selectExpr("position", f"element_at(map({names}), position) AS column", "unique_count")
     )
 
 
-def _printed(c: AuditColumn) -> Callable[[Column], Column]:
-    """Text of a frequency key in the type of its column."""
-    if isinstance(c.data_type, T.BooleanType):
-        return lambda key: key.cast("boolean").cast("string")
-    if isinstance(c.data_type, T.DateType):
-        return lambda key: F.date_from_unix_date(key.cast("int")).cast("string")
-    if isinstance(c.data_type, T.TimestampType):
-        return lambda key: F.timestamp_micros(key).cast("string")
-    if isinstance(c.data_type, T.FloatType):
-        return lambda key: key.cast("float").cast("string")
-    return lambda key: key.cast("string")
-
-
 def top_values(df: DataFrame, row_id: str | None = None, n: int = TOP) -> DataFrame:
     """The n most frequent non-null values per column; equal counts order by value.
 
     Long texts are ranked by digest; their text is fetched afterwards for the few winners only.
     """
     df = normalise_nulls(df)
-    columns = audited_columns(df, row_id)
-    reported = [c for c in columns if c.type_class != OTHER]
+    columns = [c for c in audited_columns(df, row_id) if c.type_class != OTHER]
     best = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("key"))
     parts = []
-    for group in _split(reported):
+    for group in _split(columns):
         # The rank filter runs before the shuffle too, so a task sends at most n rows per column.
-        winners = (
-            _frequencies(df, group).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+        winners = _frequencies(df, group).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+        names = " ".join(f"WHEN {c.position} THEN {text(c.name)}" for c, _ in group)
+        prints = " ".join(f"WHEN {c.position} THEN {_printed(c)}" for c, _ in group)
+        winners = winners.selectExpr(
+            "position", f"CASE position {names} END AS column", "rank", "key", f"CASE position {prints} END AS value", "count"
         )
-        text = F.coalesce(
-            *[F.when(F.col("position") == c.position, _printed(c)(F.col("key"))) for c, _ in group]
-        )
-        winners = winners.select("position", "rank", "key", text.alias("value"), "count")
-        texts = [c for c, _ in group if _is_text(c.data_type)]
+        texts = [c for c, _ in group if is_text(c.data_type)]
         parts.append(_with_long_texts(df, texts, winners) if texts else winners.drop("key"))
     if not parts:
-        return df.sparkSession.createDataFrame([], _EMPTY_TOP)
-    return union_all(parts).select("position", _names(columns).alias("column"), "rank", "value", "count")
+        return df.sparkSession.createDataFrame([], "position int, column string, rank int, value string, count bigint")
+    return union_all(parts)
 
 
 def _with_long_texts(df: DataFrame, texts: list[AuditColumn], winners: DataFrame) -> DataFrame:
@@ -175,18 +152,14 @@ def _with_long_texts(df: DataFrame, texts: list[AuditColumn], winners: DataFrame
     adaptive plan sees the empty side first and never reads the table again.
     """
     wanted = winners.where(F.octet_length("key") > SHORT_BYTES).select("position", "key")
-    keyed = df.select(*[F.when(F.octet_length(c.value) > SHORT_BYTES, c.value).alias(str(c.position)) for c in texts])
+    long = {c.position: f"CASE WHEN octet_length({c.sql}) > {SHORT_BYTES} THEN {c.sql} END" for c in texts}
     found = (
-        keyed.unpivot([], list(keyed.columns), "position", "text")
-        .where(F.col("text").isNotNull())
-        .select(F.col("position").cast("int").alias("position"), compact_key(F.col("text")).alias("key"), "text")
+        _unpivoted(df, long, "long_text")
+        .selectExpr("position", f"{compact_key('long_text')} AS key", "long_text")
         .join(F.broadcast(wanted), ["position", "key"], "left_semi")
         .groupBy("position", "key")
-        .agg(F.first("text").alias("text"))
+        .agg(F.first("long_text").alias("long_text"))
     )
-    return winners.join(F.broadcast(found), ["position", "key"], "left").select(
-        "position", "rank", F.coalesce("text", "value").alias("value"), "count"
+    return winners.join(F.broadcast(found), ["position", "key"], "left").selectExpr(
+        "position", "column", "rank", "coalesce(long_text, value) AS value", "count"
     )
-
-
-

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import audited_columns, column
+from ..functions.columns import audited_columns
+from ..functions.sqltext import quote
 from .rows import normalise_nulls
 
 
 def missing_matrix(df: DataFrame, row_id: str) -> DataFrame:
     """0/1 per row and column, 1 for a missing value; a projection without shuffle."""
     df = normalise_nulls(df)
-    flags = [c.value.isNull().cast("int").alias(c.name) for c in audited_columns(df, row_id)]
-    return df.select(column(row_id), *flags)
+    flags = [f"CAST({c.sql} IS NULL AS INT) AS {c.sql}" for c in audited_columns(df, row_id)]
+    return df.selectExpr(quote(row_id), *flags)
 
 
 def missing_blocks(df: DataFrame, row_id: str, block_rows: int = 1000) -> DataFrame:
@@ -22,6 +23,6 @@ def missing_blocks(df: DataFrame, row_id: str, block_rows: int = 1000) -> DataFr
     The row id must be a number. Use it where the table is too long to look at row by row.
     """
     df = normalise_nulls(df)
-    block = F.floor(column(row_id) / F.lit(block_rows)).cast("bigint").alias("row_block")
-    sums = [F.count_if(c.value.isNull()).alias(c.name) for c in audited_columns(df, row_id)]
-    return df.groupBy(block).agg(F.count(F.lit(1)).alias("block_rows"), *sums)
+    block = F.expr(f"CAST(floor({quote(row_id)} / {int(block_rows)}) AS BIGINT) AS row_block")
+    sums = [F.expr(f"count_if({c.sql} IS NULL) AS {c.sql}") for c in audited_columns(df, row_id)]
+    return df.groupBy(block).agg(F.expr("count(1) AS block_rows"), *sums)

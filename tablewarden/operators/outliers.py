@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UnknownColumnError
-from ..functions.columns import AuditColumn, audited_columns, batches, column, union_all
+from ..functions.columns import AuditColumn, audited_columns, batches, union_all
+from ..functions.sqltext import array, double, quote, struct, text
 from ..settings import DEFAULTS, Settings
 from .profile import COLUMNS_PER_PASS
 from .quantiles import Fences, fences_by_column
@@ -17,9 +18,9 @@ from .rows import normalise_nulls
 _COUNT_SCHEMA = "position int, column string, outlier_count bigint, lower_fence double, upper_fence double"
 
 
-def outside(value: Column, fences: Fences) -> Column:
+def outside(value: str, fences: Fences) -> str:
     """Whether a value lies outside usable fences; null for null."""
-    return (value < F.lit(fences.lower)) | (value > F.lit(fences.upper))
+    return f"({value} < {double(fences.lower)} OR {value} > {double(fences.upper)})"
 
 
 def selected_columns(
@@ -44,17 +45,16 @@ def count_outside(df: DataFrame, columns: list[AuditColumn], fences: dict[str, F
         rows = []
         for c in group:
             f = fences[c.name]
-            n = F.count_if(outside(c.value.cast("double"), f)) if f.usable else F.lit(0)
-            rows.append(
-                F.struct(
-                    F.lit(c.position).alias("position"),
-                    F.lit(c.name).alias("column"),
-                    n.cast("bigint").alias("outlier_count"),
-                    F.lit(f.lower).alias("lower_fence"),
-                    F.lit(f.upper).alias("upper_fence"),
-                )
-            )
-        parts.append(df.agg(F.array(*rows).alias("found")).select(F.inline("found")))
+            n = f"count_if({outside(f'CAST({c.sql} AS DOUBLE)', f)})" if f.usable else "0"
+            row = {
+                "position": str(c.position),
+                "column": text(c.name),
+                "outlier_count": f"CAST({n} AS BIGINT)",
+                "lower_fence": double(f.lower),
+                "upper_fence": double(f.upper),
+            }
+            rows.append(struct(row))
+        parts.append(df.agg(F.expr(array(rows)).alias("found")).selectExpr("inline(found)"))
     return union_all(parts)
 
 
@@ -86,10 +86,9 @@ def outlier_rows(
     flags = []
     for c in chosen:
         if fences[c.name].usable:
-            value = c.value.cast("double")
-            found = F.struct(F.lit(c.name).alias("column"), value.alias("value"))
-            flags.append(F.when(outside(value, fences[c.name]), found))
+            value = f"CAST({c.sql} AS DOUBLE)"
+            found = struct({"column": text(c.name), "value": value})
+            flags.append(f"CASE WHEN {outside(value, fences[c.name])} THEN {found} END")
     if not flags:
-        none = F.struct(F.lit("").alias("column"), F.lit(0.0).alias("value"))
-        return df.select(column(row_id), F.inline(F.array(none))).where(F.lit(False))
-    return df.select(column(row_id), F.inline(F.array_compact(F.array(*flags))))
+        return df.selectExpr(quote(row_id), "'' AS column", "0.0D AS value").where("false")
+    return df.selectExpr(quote(row_id), f"inline(array_compact({array(flags)}))")

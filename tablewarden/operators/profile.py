@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,11 +13,10 @@ from ..functions.columns import (
     AuditColumn,
     audited_columns,
     batches,
-    column,
     numeric_columns,
     union_all,
 )
-from ..functions.numbers import no_nan, percent
+from ..functions.numbers import percent
 from ..functions.patterns import (
     DATE_NAME_PART,
     EMAIL_NAME_PART,
@@ -25,32 +24,31 @@ from ..functions.patterns import (
     reads_as_date,
     reads_as_number,
 )
+from ..functions.sqltext import array, struct, text
 from .frequency import distinct_counts, top_values
 from .rows import normalise_nulls
 
 # Columns per aggregate; wider tables are read in several pruned scans to keep generated code compiled.
 COLUMNS_PER_PASS = 40
 
-FACTS = T.StructType(
-    [
-        T.StructField("position", T.IntegerType()),
-        T.StructField("column", T.StringType()),
-        T.StructField("dtype", T.StringType()),
-        T.StructField("type_class", T.StringType()),
-        T.StructField("total_rows", T.LongType()),
-        T.StructField("missing_count", T.LongType()),
-        T.StructField("min_number", T.DoubleType()),
-        T.StructField("max_number", T.DoubleType()),
-        T.StructField("mean_value", T.DoubleType()),
-        T.StructField("std_value", T.DoubleType()),
-        T.StructField("zero_count", T.LongType()),
-        T.StructField("min_text", T.StringType()),
-        T.StructField("max_text", T.StringType()),
-        T.StructField("number_texts", T.LongType()),
-        T.StructField("bad_emails", T.LongType()),
-        T.StructField("bad_dates", T.LongType()),
-    ]
-)
+FACTS = {
+    "position": "INT",
+    "column": "STRING",
+    "dtype": "STRING",
+    "type_class": "STRING",
+    "total_rows": "BIGINT",
+    "missing_count": "BIGINT",
+    "min_number": "DOUBLE",
+    "max_number": "DOUBLE",
+    "mean_value": "DOUBLE",
+    "std_value": "DOUBLE",
+    "zero_count": "BIGINT",
+    "min_text": "STRING",
+    "max_text": "STRING",
+    "number_texts": "BIGINT",
+    "bad_emails": "BIGINT",
+    "bad_dates": "BIGINT",
+}
 
 # Groups of figures; an operator asks only for the ones it reports.
 RANGES = "ranges"
@@ -60,38 +58,37 @@ ALL_FIGURES = frozenset({RANGES, MOMENTS, PATTERNS})
 
 
 def _orderable(data_type: T.DataType) -> bool:
-    return not isinstance(data_type, (T.CalendarIntervalType, T.MapType, T.VariantType))
+    return not isinstance(data_type, T.CalendarIntervalType)
 
 
-def _figures(c: AuditColumn, wanted: frozenset[str]) -> dict[str, Column]:
-    value, name = c.value, c.name.lower()
+def _figures(c: AuditColumn, wanted: frozenset[str]) -> dict[str, str]:
+    value, real, name = c.sql, f"CAST({c.sql} AS DOUBLE)", c.name.lower()
     found = {
-        "position": F.lit(c.position),
-        "column": F.lit(c.name),
-        "dtype": F.lit(c.dtype),
-        "type_class": F.lit(c.type_class),
-        "total_rows": F.count(F.lit(1)),
-        "missing_count": F.count_if(value.isNull()),
+        "position": str(c.position),
+        "column": text(c.name),
+        "dtype": text(c.dtype),
+        "type_class": text(c.type_class),
+        "total_rows": "count(1)",
+        "missing_count": f"count_if({value} IS NULL)",
     }
     if c.type_class == NUMERIC:
-        real = value.cast("double")
         if RANGES in wanted:
-            found["min_number"] = F.min(value).cast("double")
-            found["max_number"] = F.max(value).cast("double")
+            found["min_number"] = f"min({value})"
+            found["max_number"] = f"max({value})"
         if MOMENTS in wanted:
-            found["mean_value"] = no_nan(F.avg(real))
-            found["std_value"] = no_nan(F.stddev_samp(real))
+            found["mean_value"] = f"nullif(avg({real}), CAST('NaN' AS DOUBLE))"
+            found["std_value"] = f"nullif(stddev_samp({real}), CAST('NaN' AS DOUBLE))"
         if PATTERNS in wanted:
-            found["zero_count"] = F.count_if(value == 0)
+            found["zero_count"] = f"count_if({value} = 0)"
     elif c.type_class != OTHER and RANGES in wanted and _orderable(c.data_type):
-        found["min_text"] = F.min(value).cast("string")
-        found["max_text"] = F.max(value).cast("string")
+        found["min_text"] = f"min({value})"
+        found["max_text"] = f"max({value})"
     if c.type_class == STRING and PATTERNS in wanted:
-        found["number_texts"] = F.count_if(reads_as_number(value))
+        found["number_texts"] = f"count_if({reads_as_number(value)})"
         if EMAIL_NAME_PART in name:
-            found["bad_emails"] = F.count_if(~is_email(value))
+            found["bad_emails"] = f"count_if(NOT {is_email(value)})"
         if DATE_NAME_PART in name:
-            found["bad_dates"] = F.count_if(~reads_as_date(value))
+            found["bad_dates"] = f"count_if(NOT {reads_as_date(value)})"
     return found
 
 
@@ -102,17 +99,12 @@ def column_facts(df: DataFrame, columns: list[AuditColumn], wanted: frozenset[st
     ``df`` must have its nulls normalised.
     """
     if not columns:
-        return df.sparkSession.createDataFrame([], FACTS)
+        return df.sparkSession.createDataFrame([], ", ".join(f"{n} {t}" for n, t in FACTS.items()))
     parts = []
     for group in batches(columns, COLUMNS_PER_PASS):
-        rows = []
-        for c in group:
-            found = _figures(c, wanted)
-            rows.append(
-                F.struct(*[found.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in FACTS.fields])
-            )
-        aggregate = df.agg(F.array(*rows).alias("figures"))
-        parts.append(aggregate.select(F.inline("figures")))
+        found = [_figures(c, wanted) for c in group]
+        rows = [struct({n: f"CAST({f.get(n, 'NULL')} AS {t})" for n, t in FACTS.items()}) for f in found]
+        parts.append(df.agg(F.expr(array(rows)).alias("figures")).selectExpr("inline(figures)"))
     return union_all(parts)
 
 
@@ -125,7 +117,7 @@ def null_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
         "column",
         "total_rows",
         "missing_count",
-        percent(F.col("missing_count"), F.col("total_rows")).alias("missing_percentage"),
+        F.expr(MISSING_PERCENTAGE),
     )
 
 
@@ -135,8 +127,7 @@ def profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
     Numeric columns report ``min_number``/``max_number``, all others ``min_text``/``max_text``.
     """
     df = normalise_nulls(df)
-    columns = audited_columns(df, row_id)
-    facts = column_facts(df, columns, frozenset({RANGES, MOMENTS}))
+    facts = column_facts(df, audited_columns(df, row_id), frozenset({RANGES, MOMENTS}))
     distinct = distinct_counts(df, row_id).select("position", "unique_count")
     top = top_value_lists(df, row_id)
     # All sides hold at most one row per column of the table.
@@ -150,7 +141,7 @@ def profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
             "type_class",
             "total_rows",
             "missing_count",
-            percent(F.col("missing_count"), F.col("total_rows")).alias("missing_percentage"),
+            F.expr(MISSING_PERCENTAGE),
             "unique_count",
             "min_number",
             "max_number",
@@ -158,18 +149,22 @@ def profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
             "max_text",
             "mean_value",
             "std_value",
-            F.coalesce("top_values", F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
+            F.coalesce("top_values", F.expr(NO_VALUES)).alias("top_values"),
         )
     )
 
 
+MISSING_PERCENTAGE = f"{percent('missing_count', 'total_rows')} AS missing_percentage"
+NO_VALUES = "CAST(array() AS ARRAY<STRUCT<value: STRING, count: BIGINT>>)"
+
+
 def top_value_lists(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """The most frequent values of each column as one array per column (at most five entries)."""
-    ranked = F.array_sort(F.collect_list(F.struct("rank", "value", "count")))
+    ranked = "array_sort(collect_list(struct(rank, value, count)))"
     return (
         top_values(df, row_id)
         .groupBy("position")
-        .agg(F.transform(ranked, lambda e: F.struct(e["value"].alias("value"), e["count"].alias("count"))).alias("top_values"))
+        .agg(F.expr(f"transform({ranked}, e -> struct(e.value AS value, e.count AS count))").alias("top_values"))
     )
 
 
@@ -177,6 +172,3 @@ def numeric_ranges(df: DataFrame, columns: list[AuditColumn]) -> dict[str, tuple
     """Value count, smallest and largest value of each numeric column (one row per column is collected)."""
     rows = column_facts(df, numeric_columns(columns), frozenset({RANGES})).collect()
     return {r["column"]: (r["total_rows"] - r["missing_count"], r["min_number"], r["max_number"]) for r in rows}
-
-
-

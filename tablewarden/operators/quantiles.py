@@ -15,12 +15,12 @@ import sys
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.columns import AuditColumn, audited_columns, batches, column, numeric_columns
+from ..functions.columns import AuditColumn, audited_columns, batches, numeric_columns
 from ..functions.local import local_rows
+from ..functions.sqltext import array, double, lookup, quote
 from ..settings import DEFAULTS, Settings
 from .profile import numeric_ranges
 from .rows import normalise_nulls
@@ -61,18 +61,15 @@ def _magnitude(value: float) -> float:
     return math.copysign(math.log1p(abs(value)), value)
 
 
-def _bucket(value: Column, low: Column, scale: Column, logarithmic: bool) -> Column:
+def _bucket(low: str, scale: str, logarithmic: bool) -> str:
     """Bucket of a value: any monotone function serves, its shape only decides how fast brackets shrink.
 
     Infinite values get the buckets -1 and BUCKETS of their own.
     """
-    if logarithmic:
-        placed = (F.signum(value) * F.log1p(F.abs(value)) - low) * scale
-    else:
-        placed = (value * 0.5 - low) * scale
-    inner = F.least(F.greatest(F.floor(placed), F.lit(0)), F.lit(BUCKETS - 1)).cast("int")
+    place = "signum(value) * log1p(abs(value))" if logarithmic else "value * 0.5D"
     return (
-        F.when(value == float("inf"), F.lit(BUCKETS)).when(value == float("-inf"), F.lit(-1)).otherwise(inner)
+        f"CASE WHEN value = double('Infinity') THEN {BUCKETS} WHEN value = double('-Infinity') THEN -1 "
+        f"ELSE CAST(least(greatest(floor(({place} - {low}) * {scale}), 0), {BUCKETS - 1}) AS INT) END"
     )
 
 
@@ -90,36 +87,39 @@ def _pass(df: DataFrame, searches: list[_Search], cut: bool, logarithmic: bool =
     slots = {bracket: i for i, bracket in enumerate(brackets)}
     inside = []
     for i, (name, low, high) in enumerate(brackets):
-        value = column(name).cast("double")
-        inside.append(F.when(value.between(F.lit(low), F.lit(high)), value).alias(str(i)))
-    slot = F.col("slot") + 1
+        value = f"CAST({quote(name)} AS DOUBLE)"
+        inside.append(f"CASE WHEN {value} BETWEEN {double(low)} AND {double(high)} THEN {value} END AS `{i}`")
     values = (
-        df.select(*inside)
+        df.selectExpr(*inside)
         .unpivot([], [str(i) for i in range(len(brackets))], "slot", "value")
-        .where(F.col("value").isNotNull())
-        .withColumn("slot", F.col("slot").cast("int"))
+        .where("value IS NOT NULL")
     )
     if cut:
         scaled = [_scaling(low, high, logarithmic) for _, low, high in brackets]
-        low = F.element_at(F.array(*[F.lit(a) for a, _ in scaled]), slot)
-        scale = F.element_at(F.array(*[F.lit(b) for _, b in scaled]), slot)
-        values = values.withColumn("bucket", _bucket(F.col("value"), low, scale, logarithmic))
-        counted = values.groupBy("slot", "bucket").agg(
-            F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high")
+        low = lookup([double(a) for a, _ in scaled], "slot")
+        scale = lookup([double(b) for _, b in scaled], "slot")
+        counted = (
+            values.selectExpr("CAST(slot AS INT) AS slot", "value")
+            .selectExpr("slot", "value", f"{_bucket(low, scale, logarithmic)} AS bucket")
+            .groupBy("slot", "bucket")
+            .agg(F.expr("count(1) AS rows"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
         )
         order = "bucket"
     else:
-        counted = values.groupBy("slot", F.col("value").alias("low")).agg(F.count(F.lit(1)).alias("rows"))
+        counted = (
+            values.selectExpr("CAST(slot AS INT) AS slot", "value AS low")
+            .groupBy("slot", "low")
+            .agg(F.expr("count(1) AS rows"))
+            .withColumn("high", F.col("low"))
+        )
         order = "low"
-    # A window holds the buckets of one bracket, or the values of a bracket of few rows.
-    upto = Window.partitionBy("slot").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = [sorted({s.rank - s.below for s in searches if s.bracket == b}) for b in brackets]
-    wanted = F.element_at(F.array(*[F.array(*[F.lit(r).cast("bigint") for r in rs]) for rs in ranks]), slot)
-    start, end = F.col("end") - F.col("rows"), F.col("end")
+    wanted = lookup([array([f"{r}L" for r in rs]) for rs in ranks], "slot")
+    # A window holds the buckets of one bracket, or the values of a bracket of few rows.
     hits = (
-        counted.withColumn("end", F.sum("rows").over(upto))
-        .where(F.exists(wanted, lambda r: (r >= start) & (r < end)))
-        .select("slot", "low", F.col("high") if cut else F.col("low").alias("high"), "rows", start.alias("start"))
+        counted.selectExpr("*", f"sum(rows) OVER (PARTITION BY slot ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS end")
+        .selectExpr("slot", "low", "high", "rows", "end - rows AS start", "end")
+        .where(f"exists({wanted}, r -> r >= start AND r < end)")
         .collect()
     )
     narrowed = []
@@ -193,10 +193,7 @@ class Fences:
     q75: float | None = None
     lower: float = 0.0
     upper: float = 0.0
-
-    @property
-    def usable(self) -> bool:
-        return self.q25 is not None and math.isfinite(self.lower) and math.isfinite(self.upper)
+    usable: bool = False  # whether values are compared with the fences at all
 
 
 def fences_by_column(
@@ -214,8 +211,9 @@ def fences_by_column(
             continue
         q25, q75 = quartiles[c.name]
         reach = multiplier * (q75 - q25)
-        found = Fences(q25, q75, q25 - reach, q75 + reach)
-        fences[c.name] = found if found.usable else Fences(q25, q75)
+        lower, upper = q25 - reach, q75 + reach
+        finite = math.isfinite(lower) and math.isfinite(upper)
+        fences[c.name] = Fences(q25, q75, lower, upper, True) if finite else Fences(q25, q75)
     return fences
 
 

@@ -7,11 +7,11 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from decimal import ROUND_CEILING, ROUND_FLOOR, Context, Decimal
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..functions.columns import BOOLEAN, NUMERIC, STRING, TEMPORAL, AuditColumn, audited_columns, column
+from ..functions.columns import BOOLEAN, NUMERIC, STRING, TEMPORAL, AuditColumn, audited_columns
+from ..functions.sqltext import array, double, quote, struct, text
 from ..sources.scratch import checkpointed
 from .changes import changes_within
 from .duplicates import drop_duplicates
@@ -38,44 +38,43 @@ class Fix:
     upper_fence: float | None = None
 
 
-def _suggestion(holds: Column, order: int, target: Column, action: str, count: str, text: tuple[str, str], impact: str) -> Column:
+def _suggestion(holds: str, order: int, target: str, action: str, count: str, around: tuple[str, str], impact: str) -> str:
     fill, cap = action == FILL_MISSING, action == CAP_OUTLIERS
-    details = F.struct(
-        (F.col("dtype") if fill else F.lit(None).cast("string")).alias("dtype"),
-        (F.col("lower_fence") if cap else F.lit(None).cast("double")).alias("lower_fence"),
-        (F.col("upper_fence") if cap else F.lit(None).cast("double")).alias("upper_fence"),
-    )
-    return F.when(
-        holds,
-        F.struct(
-            F.lit(order).alias("action_order"),
-            target.alias("column"),
-            F.lit(action).alias("action_type"),
-            F.concat(F.lit(text[0]), F.col(count).cast("string"), F.lit(text[1])).alias("description"),
-            F.lit(impact).alias("estimated_impact"),
-            details.alias("details"),
+    fields = {
+        "action_order": str(order),
+        "column": target,
+        "action_type": text(action),
+        "description": f"concat({text(around[0])}, {count}, {text(around[1])})",
+        "estimated_impact": text(impact),
+        "details": struct(
+            {
+                "dtype": "dtype" if fill else text(None),
+                "lower_fence": "lower_fence" if cap else double(None),
+                "upper_fence": "upper_fence" if cap else double(None),
+            }
         ),
-    )
+    }
+    return f"CASE WHEN {holds} THEN {struct(fields)} END"
 
 
 def suggest_fixes(enriched: DataFrame) -> DataFrame:
     """Fixes for the findings of an enriched profile: duplicates first, then the columns in order."""
-    found = F.array(
+    found = [
         _suggestion(
-            (F.col("position") == 0) & (F.col("dataset_duplicate_count") > 0),
-            0, F.lit(ALL_COLUMNS), DROP_DUPLICATES, "dataset_duplicate_count", DROP_TEXT, HIGH,
+            "position = 0 AND dataset_duplicate_count > 0",
+            0, text(ALL_COLUMNS), DROP_DUPLICATES, "dataset_duplicate_count", DROP_TEXT, HIGH,
         ),
         _suggestion(
-            (F.col("missing_count") > 0) & (F.col("type_class") != TEMPORAL),
-            1, F.col("column"), FILL_MISSING, "missing_count", FILL_TEXT, MEDIUM,
+            f"missing_count > 0 AND type_class != {text(TEMPORAL)}",
+            1, "column", FILL_MISSING, "missing_count", FILL_TEXT, MEDIUM,
         ),
         _suggestion(
-            F.col("outlier_count") > 0,
-            2, F.col("column"), CAP_OUTLIERS, "outlier_count", CAP_TEXT, MEDIUM,
+            "outlier_count > 0",
+            2, "column", CAP_OUTLIERS, "outlier_count", CAP_TEXT, MEDIUM,
         ),
-    )
+    ]
     return (
-        enriched.select("position", F.inline(F.array_compact(found)))
+        enriched.selectExpr("position", f"inline(array_compact({array(found)}))")
         .orderBy("position", "action_order")
         .select("position", "action_order", "column", "action_type", "description", "estimated_impact", "details")
     )
@@ -108,41 +107,35 @@ def _first_per_column(fixes: list[Fix], action: str) -> dict[str, Fix]:
     return chosen
 
 
-def _filled(c: AuditColumn, median: float | None) -> Column:
+def _filled(c: AuditColumn, median: float | None) -> str:
     """The column with its nulls filled by the rule of its type class."""
     if c.type_class == NUMERIC:
-        if isinstance(c.data_type, T.FloatType):
-            return F.coalesce(c.value, F.lit(0.0 if median is None else median).cast("float"))
-        return F.coalesce(c.value.cast("double"), F.lit(0.0 if median is None else float(median)))
+        kind = "FLOAT" if isinstance(c.data_type, T.FloatType) else "DOUBLE"
+        return f"coalesce(CAST({c.sql} AS {kind}), CAST({double(median or 0.0)} AS {kind}))"
     if c.type_class == BOOLEAN:
-        return F.coalesce(c.value, F.lit(False))
+        return f"coalesce({c.sql}, false)"
     if c.type_class == STRING:
-        return F.coalesce(c.value.cast("string"), F.lit(UNKNOWN))
+        return f"coalesce({c.sql}, {text(UNKNOWN)})"
     # Temporal columns are never imputed, nor are nested ones.
-    return c.value
+    return c.sql
 
 
-def _clamped(c: AuditColumn, value: Column, filled: bool, fix: Fix) -> Column:
+def _clamped(c: AuditColumn, value: str, filled: bool, fix: Fix) -> str:
     """The value moved inside the fences. Nulls stay null.
 
     Whole and decimal columns keep their type: the fences move inward to the next value of the type.
     """
-    low, high = fix.lower_fence, fix.upper_fence
-    if isinstance(c.data_type, T.IntegralType) and not filled:
-        lower, upper = F.lit(math.ceil(low)).cast("double"), F.lit(math.floor(high)).cast("double")
-        return (
-            F.when(value < lower, lower.cast(c.data_type)).when(value > upper, upper.cast(c.data_type)).otherwise(value)
-        )
-    if isinstance(c.data_type, T.DecimalType) and not filled:
-        exact, unit = Context(prec=400), Decimal(1).scaleb(-c.data_type.scale)
+    lower, upper = double(fix.lower_fence), double(fix.upper_fence)
+    if isinstance(c.data_type, (T.IntegralType, T.DecimalType)) and not filled:
+        exact, unit = Context(prec=400), Decimal(1).scaleb(-getattr(c.data_type, "scale", 0))
+        # A fence outside the range of the type is null here and moves nothing.
         lower, upper = (
-            F.lit(str(Decimal(fence).quantize(unit, rounding=side, context=exact))).try_cast(c.data_type)
-            for fence, side in ((low, ROUND_CEILING), (high, ROUND_FLOOR))
+            f"try_cast('{Decimal(fence).quantize(unit, rounding=side, context=exact):f}' AS {c.dtype})"
+            for fence, side in ((fix.lower_fence, ROUND_CEILING), (fix.upper_fence, ROUND_FLOOR))
         )
-        # A fence outside the range of the type is null here and moves nothing.
-        return F.when(value < lower, lower).when(value > upper, upper).otherwise(value)
-    value = value.cast("double")
-    return F.when(value < low, F.lit(low)).when(value > high, F.lit(high)).otherwise(value)
+    else:
+        value = f"CAST({value} AS DOUBLE)"
+    return f"CASE WHEN {value} < {lower} THEN {lower} WHEN {value} > {upper} THEN {upper} ELSE {value} END"
 
 
 def _clampable(c: AuditColumn, fix: Fix | None) -> bool:
@@ -161,7 +154,11 @@ class _Plan:
     """Rows kept, and what each column becomes; columns that stay as they are have no entry."""
 
     kept: DataFrame
-    repaired: dict[str, Column]
+    repaired: dict[str, str]
+
+    def cleaned(self) -> DataFrame:
+        names = [(name, quote(name)) for name in self.kept.columns]
+        return self.kept.selectExpr(*[f"{self.repaired.get(name, sql)} AS {sql}" for name, sql in names])
 
 
 def _plan(df: DataFrame, fixes: list[Fix], row_id: str | None, subset: list[str] | None) -> _Plan:
@@ -178,9 +175,9 @@ def _plan(df: DataFrame, fixes: list[Fix], row_id: str | None, subset: list[str]
         # few columns it needs are written once instead of removing the duplicates in every pass.
         values = kept.select(*[c.value for c in averaged])
         medians = medians_by_column(checkpointed(values) if drop else values, averaged)
-    repaired: dict[str, Column] = {}
+    repaired: dict[str, str] = {}
     for c in columns:
-        value = c.value
+        value = c.sql
         if c.name in fills:
             value = _filled(c, medians.get(c.name))
         if _clampable(c, caps.get(c.name)):
@@ -200,10 +197,7 @@ def apply_fixes(
 
     The first fix per column and action wins. Duplicates are whole rows unless a subset is given.
     """
-    plan = _plan(df, _as_fixes(fixes), row_id, subset)
-    return plan.kept.select(
-        *[plan.repaired[name].alias(name) if name in plan.repaired else column(name) for name in plan.kept.columns]
-    )
+    return _plan(df, _as_fixes(fixes), row_id, subset).cleaned()
 
 
 def apply_fixes_with_log(
@@ -213,10 +207,8 @@ def apply_fixes_with_log(
     subset: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The repaired table and its change log, counted from the same projection without a join."""
-    plan = _plan(df, _as_fixes(fixes), row_id, subset)
-    cleaned = plan.kept.select(
-        *[plan.repaired[name].alias(name) if name in plan.repaired else column(name) for name in plan.kept.columns]
-    )
-    original_rows = df.agg(F.count(F.lit(1)).alias("n"))
-    log = changes_within(plan.kept, audited_columns(plan.kept, row_id), plan.repaired, original_rows)
-    return cleaned, log
+    listed = _as_fixes(fixes)
+    plan = _plan(df, listed, row_id, subset)
+    dropped = any(f.action_type == DROP_DUPLICATES for f in listed)
+    log = changes_within(plan.kept, audited_columns(plan.kept, row_id), plan.repaired, df if dropped else None)
+    return plan.cleaned(), log

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numbers import two_decimal_text, two_decimals
+from ..functions.sqltext import array, double, struct, text
 from ..settings import DEFAULTS, Settings
 from .scoring import (
+    DUPLICATE_PENALTY,
+    DUPLICATE_PERCENT,
+    IS_NUMERIC,
     column_scores,
     dataset_score,
-    duplicate_penalty,
-    duplicate_percent,
-    is_numeric,
+    first_match,
     other_weights,
     share_percent,
     with_grade,
@@ -34,98 +35,87 @@ CLEAN_BADGE = "✅ Clean"
 REQUIRES_FIX, CLEAN = "Requires Fix", "Clean"
 
 
-def _issue(holds: Column, order: int, column: Column, metric: str, severity: Column, impact: Column, text: Column) -> Column:
-    return F.when(
-        holds,
-        F.struct(
-            F.lit(order).alias("metric_order"),
-            column.alias("column"),
-            F.lit(metric).alias("metric"),
-            severity.alias("severity"),
-            two_decimals(impact).alias("score_impact"),
-            text.alias("description"),
-        ),
-    )
+def _issue(holds: str, order: int, column: str, metric: str, severity: str, impact: str, description: str) -> str:
+    fields = {
+        "metric_order": str(order),
+        "column": column,
+        "metric": text(metric),
+        "severity": severity,
+        "score_impact": two_decimals(impact),
+        "description": description,
+    }
+    return f"CASE WHEN {holds} THEN {struct(fields)} END"
 
 
-def _high_over(percent: Column, limit: float) -> Column:
-    return F.when(percent > limit, "High").otherwise("Medium")
+def _severity(percent: str, high: float, critical: float | None = None) -> str:
+    cases = [] if critical is None else [(f"{percent} > {double(critical)}", text("Critical"))]
+    return first_match([*cases, (f"{percent} > {double(high)}", text("High"))], text("Medium"))
 
 
 def issues(enriched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Quality issues, worst first. ``score_impact`` is the weighted percentage, not the loss of score."""
     w = settings.weights
     other_completeness, _, other_consistency = other_weights(settings)
-    duplicates, missing = duplicate_percent(), F.col("missing_percentage")
     mismatches, outliers = share_percent("mismatch_count"), share_percent("outlier_count")
-    name = F.col("column")
-    found = F.array(
+
+    def weight(numeric: float, other: float) -> str:
+        return f"CASE WHEN {IS_NUMERIC} THEN {double(numeric)} ELSE {double(other)} END"
+
+    figures = enriched.selectExpr(
+        "*", f"{DUPLICATE_PERCENT} AS duplicates", f"{mismatches} AS mismatches", f"{outliers} AS outliers"
+    )
+    found = [
         _issue(
-            (F.col("position") == 0) & (F.col("dataset_duplicate_count") > 0),
+            "position = 0 AND dataset_duplicate_count > 0",
             0,
-            F.lit("Dataset"),
+            text("Dataset"),
             "Duplicates",
-            _high_over(duplicates, DUPLICATE_HIGH),
-            duplicate_penalty(),
-            F.concat(
-                F.lit("Dataset contains "),
-                F.col("dataset_duplicate_count").cast("string"),
-                F.lit(" duplicate rows ("),
-                two_decimal_text(duplicates),
-                F.lit("% of total)."),
-            ),
+            _severity("duplicates", DUPLICATE_HIGH),
+            DUPLICATE_PENALTY,
+            f"concat('Dataset contains ', dataset_duplicate_count, ' duplicate rows (', {two_decimal_text('duplicates')}, '% of total).')",
         ),
         _issue(
-            missing > 0,
+            "missing_percentage > 0",
             1,
-            name,
+            "column",
             "Completeness",
-            F.when(missing > MISSING_CRITICAL, "Critical").otherwise(_high_over(missing, MISSING_HIGH)),
-            missing * F.when(is_numeric(), w.completeness).otherwise(other_completeness),
-            F.concat(F.lit("Column contains "), two_decimal_text(missing), F.lit("% missing values.")),
+            _severity("missing_percentage", MISSING_HIGH, MISSING_CRITICAL),
+            f"missing_percentage * {weight(w.completeness, other_completeness)}",
+            f"concat('Column contains ', {two_decimal_text('missing_percentage')}, '% missing values.')",
         ),
         _issue(
-            F.col("mismatch_count") > 0,
+            "mismatch_count > 0",
             2,
-            name,
+            "column",
             "Type Consistency",
-            _high_over(mismatches, MISMATCH_HIGH),
-            mismatches * F.when(is_numeric(), w.consistency).otherwise(other_consistency),
-            F.concat(
-                F.lit("Detected "),
-                F.col("mismatch_count").cast("string"),
-                F.lit(" structural type anomalies in column values."),
-            ),
+            _severity("mismatches", MISMATCH_HIGH),
+            f"mismatches * {weight(w.consistency, other_consistency)}",
+            "concat('Detected ', mismatch_count, ' structural type anomalies in column values.')",
         ),
         _issue(
-            (F.col("outlier_count") > 0) & is_numeric(),
+            f"outlier_count > 0 AND {IS_NUMERIC}",
             3,
-            name,
+            "column",
             "Outlier Rate",
-            _high_over(outliers, OUTLIER_HIGH),
-            outliers * F.lit(w.outlier),
-            F.concat(
-                F.lit("Detected "),
-                F.col("outlier_count").cast("string"),
-                F.lit(" statistical anomalies outside IQR thresholds."),
-            ),
+            _severity("outliers", OUTLIER_HIGH),
+            f"outliers * {double(w.outlier)}",
+            "concat('Detected ', outlier_count, ' statistical anomalies outside IQR thresholds.')",
         ),
-    )
-    listed = enriched.select("position", F.inline(F.array_compact(found)))
-    severity_order = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    ]
+    severities = array([text(s) for s in SEVERITIES])
+    colours = ", ".join(text(x) for pair in SEVERITY_COLOURS.items() for x in pair)
     # The dataset issue comes before the issues of any column. At most four rows per column are ranked.
-    order = [severity_order, F.desc("score_impact"), F.col("metric_order") != 0, F.col("position"), F.col("metric_order")]
-    colours = F.create_map(*[F.lit(x) for pair in SEVERITY_COLOURS.items() for x in pair])
+    order = f"array_position({severities}, severity), score_impact DESC, metric_order != 0, position, metric_order"
     return (
-        listed.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-        .select(
-            "rank",
+        figures.selectExpr("position", f"inline(array_compact({array(found)}))")
+        .selectExpr(
+            f"row_number() OVER (ORDER BY {order}) AS rank",
             "column",
             "metric",
             "severity",
             "score_impact",
             "description",
-            F.element_at(colours, F.col("severity")).alias("severity_color"),
+            f"element_at(map({colours}), severity) AS severity_color",
         )
         .orderBy("rank")
     )
@@ -165,24 +155,23 @@ def overview(enriched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def column_table(enriched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Columns from the lowest score up, with counts and status badges."""
-    badges = F.concat_ws(
-        ", ",
-        F.when(F.col("missing_count") > 0, MISSING_BADGE),
-        F.when(F.col("outlier_count") > 0, OUTLIER_BADGE),
-        F.when(F.col("mismatch_count") > 0, MISMATCH_BADGE),
+    badges = (
+        f"concat_ws(', ', CASE WHEN missing_count > 0 THEN {text(MISSING_BADGE)} END, "
+        f"CASE WHEN outlier_count > 0 THEN {text(OUTLIER_BADGE)} END, "
+        f"CASE WHEN mismatch_count > 0 THEN {text(MISMATCH_BADGE)} END)"
     )
     scores = column_scores(enriched, settings).select("position", "score")
     # Both sides hold one row per column of the table.
     return (
         enriched.join(F.broadcast(scores), "position")
-        .select(
+        .selectExpr(
             "position",
             "column",
-            F.col("dtype").alias("type"),
+            "dtype AS type",
             "score",
-            F.col("missing_count").alias("missing"),
-            F.col("outlier_count").alias("outliers"),
-            F.when(badges == "", CLEAN_BADGE).otherwise(badges).alias("status"),
+            "missing_count AS missing",
+            "outlier_count AS outliers",
+            f"coalesce(nullif({badges}, ''), {text(CLEAN_BADGE)}) AS status",
         )
         .orderBy("score", "position")
     )

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..errors import AuditError, UnknownColumnError
 from ..functions.columns import column
 from ..functions.ids import new_id_name
-from ..functions.numbers import no_nan
+from ..functions.sqltext import quote
 from ..sources.scratch import checkpointed
 
 # monotonically_increasing_id keeps the position inside a partition in its low 33 bits.
@@ -25,13 +25,14 @@ def normalise_nulls(df: DataFrame) -> DataFrame:
         raise AuditError(f"expected a Spark DataFrame, got {type(df).__name__}")
     changed = {}
     for f in df.schema.fields:
+        name = quote(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            changed[f.name] = no_nan(column(f.name)).alias(f.name)
+            changed[f.name] = f"CASE WHEN NOT isnan({name}) THEN {name} END AS {name}"
         elif isinstance(f.dataType, T.NullType):
-            changed[f.name] = column(f.name).cast("string").alias(f.name)
+            changed[f.name] = f"CAST({name} AS STRING) AS {name}"
     if not changed:
         return df
-    return df.select(*[changed.get(name, column(name)) for name in df.columns])
+    return df.selectExpr(*[changed.get(name, quote(name)) for name in df.columns])
 
 
 def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:

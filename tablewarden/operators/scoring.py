@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import NUMERIC
 from ..functions.numbers import whole_score
+from ..functions.sqltext import double, text
 from ..settings import DEFAULTS, Settings
 
 # Uniqueness scores by the share of distinct values.
@@ -32,17 +35,16 @@ SCORE_BANDS = ((90, "#2ECC71"), (70, "#3498DB"), (50, "#F1C40F"), (30, "#E67E22"
 LOWEST_BAND = "#E74C3C"
 
 
-def is_numeric() -> Column:
-    return F.col("type_class") == NUMERIC
+IS_NUMERIC = f"type_class = '{NUMERIC}'"
 
 
-def rows_or_one() -> Column:
-    """Rows of the table as double; an empty table counts as one row, so shares stay defined."""
-    return F.greatest(F.col("total_rows"), F.lit(1)).cast("double")
+def share_percent(count: str) -> str:
+    """Percentage of the rows; an empty table counts as one row, so shares stay defined."""
+    return f"(CAST({count} AS DOUBLE) / CAST(greatest(total_rows, 1) AS DOUBLE) * 100.0D)"
 
 
-def share_percent(count: str) -> Column:
-    return F.col(count).cast("double") / rows_or_one() * F.lit(100.0)
+DUPLICATE_PERCENT = share_percent("dataset_duplicate_count")
+DUPLICATE_PENALTY = f"least({double(LARGEST_PENALTY)}, {DUPLICATE_PERCENT} * {double(DUPLICATE_FACTOR)})"
 
 
 def other_weights(settings: Settings) -> tuple[float, float, float]:
@@ -52,64 +54,51 @@ def other_weights(settings: Settings) -> tuple[float, float, float]:
     return w.completeness / total, w.uniqueness / total, w.consistency / total
 
 
-def first_match(cases: list[tuple[Column, object]], otherwise: object) -> Column:
-    chain = F
-    for condition, result in cases:
-        chain = chain.when(condition, F.lit(result))
-    return chain.otherwise(F.lit(otherwise)) if cases else F.lit(otherwise)
+def first_match(cases: Iterable[tuple[str, str]], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {condition} THEN {result}" for condition, result in cases) + f" ELSE {otherwise} END"
+
+
+def _weighted(weights: Iterable[float]) -> str:
+    # The order of the sum matters: raw scores can sit exactly on a half.
+    factors = ("completeness", "uniqueness", "consistency", "outlier")
+    return " + ".join(f"{double(weight)} * {factor}" for weight, factor in zip(weights, factors, strict=False))
 
 
 def column_scores(enriched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Factor scores, weighted raw score and whole score per column."""
     w = settings.weights
-    share = F.coalesce(F.col("unique_count"), F.lit(0)).cast("double") / rows_or_one()
-    uniqueness = F.when(
-        is_numeric(),
-        first_match([(share < limit, score) for limit, score in NUMERIC_UNIQUENESS], NUMERIC_UNIQUENESS_ELSE),
-    ).otherwise(first_match([(share > limit, score) for limit, score in OTHER_UNIQUENESS], OTHER_UNIQUENESS_ELSE))
-
-    def kept(lost: Column) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(100.0) - lost)
-
-    factors = enriched.select(
+    numeric = first_match(
+        [(f"share < {double(limit)}", double(score)) for limit, score in NUMERIC_UNIQUENESS], double(NUMERIC_UNIQUENESS_ELSE)
+    )
+    other = first_match(
+        [(f"share > {double(limit)}", double(score)) for limit, score in OTHER_UNIQUENESS], double(OTHER_UNIQUENESS_ELSE)
+    )
+    shares = enriched.selectExpr(
+        "*", "CAST(coalesce(unique_count, 0) AS DOUBLE) / CAST(greatest(total_rows, 1) AS DOUBLE) AS share"
+    )
+    factors = shares.selectExpr(
         "position",
         "column",
         "type_class",
-        kept(share_percent("missing_count")).alias("completeness"),
-        uniqueness.alias("uniqueness"),
-        kept(share_percent("mismatch_count") * F.lit(MISMATCH_FACTOR)).alias("consistency"),
-        F.when(is_numeric(), kept(share_percent("outlier_count") * F.lit(OUTLIER_FACTOR))).alias("outlier"),
-    )
-    # The order of the sums matters: raw scores can sit exactly on a half.
-    four = (
-        F.lit(w.completeness) * F.col("completeness")
-        + F.lit(w.uniqueness) * F.col("uniqueness")
-        + F.lit(w.consistency) * F.col("consistency")
-        + F.lit(w.outlier) * F.col("outlier")
+        f"greatest(0.0D, 100.0D - {share_percent('missing_count')}) AS completeness",
+        f"CASE WHEN {IS_NUMERIC} THEN {numeric} ELSE {other} END AS uniqueness",
+        f"greatest(0.0D, 100.0D - {share_percent('mismatch_count')} * {double(MISMATCH_FACTOR)}) AS consistency",
+        f"CASE WHEN {IS_NUMERIC} THEN greatest(0.0D, 100.0D - {share_percent('outlier_count')} * {double(OUTLIER_FACTOR)}) END AS outlier",
     )
-    wc, wu, wx = other_weights(settings)
-    three = (
-        F.lit(wc) * F.col("completeness") + F.lit(wu) * F.col("uniqueness") + F.lit(wx) * F.col("consistency")
-    )
-    scored = factors.withColumn("raw_score", F.when(is_numeric(), four).otherwise(three))
-    return scored.withColumn("score", whole_score(F.col("raw_score"))).drop("type_class")
-
-
-def duplicate_percent() -> Column:
-    return share_percent("dataset_duplicate_count")
-
-
-def duplicate_penalty() -> Column:
-    return F.least(F.lit(LARGEST_PENALTY), duplicate_percent() * F.lit(DUPLICATE_FACTOR))
+    four = _weighted((w.completeness, w.uniqueness, w.consistency, w.outlier))
+    raw = f"CASE WHEN {IS_NUMERIC} THEN {four} ELSE {_weighted(other_weights(settings))} END AS raw_score"
+    columns = ("position", "column", "completeness", "uniqueness", "consistency", "outlier")
+    return factors.selectExpr(*columns, raw).selectExpr("*", f"{whole_score('raw_score')} AS score")
 
 
 def dataset_score(enriched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """One row: mean of the column scores less the duplicate penalty; 0 for a table without columns."""
     mean = column_scores(enriched, settings).agg(F.avg("score").alias("mean_score"))
-    penalty = enriched.agg(F.max(duplicate_penalty()).alias("duplicate_penalty"))
-    final = F.greatest(F.lit(0.0), F.col("mean_score") - F.col("duplicate_penalty"))
-    return mean.withColumn("duplicate_penalty", penalty.scalar()).select(
-        "mean_score", "duplicate_penalty", F.coalesce(whole_score(final), F.lit(0)).alias("score")
+    penalty = enriched.agg(F.expr(f"max({DUPLICATE_PENALTY})"))
+    return mean.withColumn("duplicate_penalty", penalty.scalar()).selectExpr(
+        "mean_score",
+        "duplicate_penalty",
+        f"coalesce({whole_score('greatest(0.0D, mean_score - duplicate_penalty)')}, 0) AS score",
     )
 
 
@@ -117,16 +106,16 @@ def with_grade(scores: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Scores with their grade and its colour."""
     g = settings.grades
     limits = {"Excellent": g.excellent, "Good": g.good, "Fair": g.fair, "Poor": g.poor}
-    grade = first_match([(F.col("score") >= limit, name) for name, limit in limits.items()], "Critical")
-    colours = F.create_map(*[F.lit(x) for pair in GRADE_COLOURS.items() for x in pair])
-    return scores.withColumn("grade", grade).withColumn("color_hex", F.element_at(colours, F.col("grade")))
+    grade = first_match([(f"score >= {limit}", text(name)) for name, limit in limits.items()], text("Critical"))
+    colours = ", ".join(text(x) for pair in GRADE_COLOURS.items() for x in pair)
+    return scores.selectExpr("*", f"{grade} AS grade").selectExpr("*", f"element_at(map({colours}), grade) AS color_hex")
 
 
 def score_bands(enriched: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Column scores from low to high with the colour of their band."""
-    colour = first_match([(F.col("score") >= limit, c) for limit, c in SCORE_BANDS], LOWEST_BAND)
+    colour = first_match([(f"score >= {limit}", text(c)) for limit, c in SCORE_BANDS], text(LOWEST_BAND))
     return (
         column_scores(enriched, settings)
-        .select("position", "column", "score", colour.alias("color_hex"))
+        .selectExpr("position", "column", "score", f"{colour} AS color_hex")
         .orderBy("score", "position")
     )

@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import audited_columns
 from ..functions.local import materialised
-from ..functions.numbers import percent
 from ..operators.anomalies import anomalies_of, mismatch_counts
 from ..operators.duplicates import duplicate_count, duplicate_rows
 from ..operators.frequency import distinct_counts
 from ..operators.outliers import count_outside, outlier_rows
-from ..operators.profile import column_facts, top_value_lists
+from ..operators.profile import MISSING_PERCENTAGE, NO_VALUES, column_facts, top_value_lists
 from ..operators.quantiles import fences_by_column
 from ..operators.remedies import suggest_fixes
 from ..operators.reports import column_table, dataset_summary, issues, overview
@@ -52,15 +51,15 @@ def _findings(
     for part in parts:
         # Each part holds at most one row per column of the table.
         hub = hub.join(F.broadcast(part), "position", "left")
-    top = F.array().cast("array<struct<value:string,count:bigint>>")
-    hub = hub.select(
+    top_values = f"coalesce(top_values, {NO_VALUES})" if with_top_values else NO_VALUES
+    hub = hub.selectExpr(
         "position",
         "column",
         "dtype",
         "type_class",
         "total_rows",
         "missing_count",
-        percent(F.col("missing_count"), F.col("total_rows")).alias("missing_percentage"),
+        MISSING_PERCENTAGE,
         "unique_count",
         "min_number",
         "max_number",
@@ -68,13 +67,12 @@ def _findings(
         "max_text",
         "mean_value",
         "std_value",
-        (F.coalesce("top_values", top) if with_top_values else top).alias("top_values"),
+        f"{top_values} AS top_values",
         "outlier_count",
         "lower_fence",
         "upper_fence",
-        F.least(F.coalesce("mismatches", F.lit(0)), F.col("total_rows")).alias("mismatch_count"),
-        duplicate_count(df, row_id, settings.subset).scalar().alias("dataset_duplicate_count"),
-    )
+        "least(coalesce(mismatches, 0), total_rows) AS mismatch_count",
+    ).withColumn("dataset_duplicate_count", duplicate_count(df, row_id, settings.subset).scalar())
     return materialised(hub), found
 
 
