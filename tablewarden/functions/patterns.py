@@ -5,6 +5,7 @@ from __future__ import annotations
 from .sqltext import pattern, text
 
 # The formats a text must have to count as a number, an address or a date.
+NUMBER_STARTS = "\t\n\v\f\r +-.0123456789IiNn"
 NUMBER_CHARACTERS = r"\A[\s0-9+\-._eEinfatyINFATY]+\z"
 DIGIT_SEPARATOR = r"(?<=\d)_(?=\d)"
 NUMBER = r"\A\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*\z"
@@ -21,11 +22,15 @@ DATE_NAME_PART = "date"
 def reads_as_number(value: str) -> str:
     """Whether a text casts to double; null for null.
 
-    The character test comes first: it stops at the first foreign character, so long prose never
-    reaches the separator removal.
+    The first character decides for most texts without a regular expression, and the character test
+    stops at the first foreign character, so long prose never reaches the separator removal.
     """
+    starts = ", ".join(str(ord(character)) for character in NUMBER_STARTS)
     digits = f"regexp_replace({value}, {pattern(DIGIT_SEPARATOR)}, '')"
-    return f"({value} RLIKE {pattern(NUMBER_CHARACTERS)} AND {digits} RLIKE {pattern(NUMBER)})"
+    return (
+        f"(ascii({value}) IN ({starts}) AND {value} RLIKE {pattern(NUMBER_CHARACTERS)} "
+        f"AND {digits} RLIKE {pattern(NUMBER)})"
+    )
 
 
 def is_email(value: str) -> str:

@@ -23,6 +23,9 @@ COLUMNS_PER_PASS = 40
 SHORT_BYTES = 64
 _DIGEST_PREFIX = "sha256:"
 
+_RANKED = "STRUCT<rank: INT, value: STRING, count: BIGINT>"
+_VALUE_LIST = "ARRAY<STRUCT<value: STRING, count: BIGINT>>"
+
 
 def compact_key(value: str) -> str:
     """A text that is equal exactly when the values are: short ones as they are, long ones as digest."""
@@ -37,43 +40,36 @@ def is_text(data_type: T.DataType) -> bool:
 
 
 def _key(c: AuditColumn) -> tuple[str, str] | None:
-    """Storage kind and key of a column; map columns have none."""
+    """Kind and value of the frequency key of a column; map columns have none."""
     kind = c.data_type
-    if isinstance(kind, (T.IntegralType, T.BooleanType)):
-        return "whole", f"CAST({c.sql} AS BIGINT)"
-    if isinstance(kind, T.DateType):
-        return "whole", f"CAST(unix_date({c.sql}) AS BIGINT)"
-    if isinstance(kind, T.TimestampType):
-        # Two instants around a daylight saving change print alike, microseconds never do.
-        return "whole", f"unix_micros({c.sql})"
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return "real", f"CAST({c.sql} AS DOUBLE)"
     if isinstance(kind, T.MapType):
         return None
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return "bigint", f"CAST({c.sql} AS BIGINT)"
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return "double", f"CAST({c.sql} AS DOUBLE)"
     if is_text(kind):
-        return "text", compact_key(c.sql)
+        return "string", compact_key(c.sql)
     if isinstance(kind, T.BinaryType):
-        return "text", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2({c.sql}, 256) END"
+        return "digest", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2({c.sql}, 256) END"
     if c.type_class == OTHER:
-        return "text", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2(to_json(named_struct('v', {c.sql})), 256) END"
-    return "text", f"CAST({c.sql} AS STRING)"
+        return "digest", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2(to_json(named_struct('v', {c.sql})), 256) END"
+    # Dates, timestamps, intervals and decimals group as they are: two instants around a daylight
+    # saving change print alike, and printing every value would cost more than counting it.
+    return c.dtype, c.sql
 
 
 def _printed(c: AuditColumn) -> str:
     """Text of a frequency key in the type of its column."""
     if isinstance(c.data_type, T.BooleanType):
         return "CAST(CAST(key AS BOOLEAN) AS STRING)"
-    if isinstance(c.data_type, T.DateType):
-        return "CAST(date_from_unix_date(CAST(key AS INT)) AS STRING)"
-    if isinstance(c.data_type, T.TimestampType):
-        return "CAST(timestamp_micros(key) AS STRING)"
     if isinstance(c.data_type, T.FloatType):
         return "CAST(CAST(key AS FLOAT) AS STRING)"
     return "CAST(key AS STRING)"
 
 
 def _split(columns: list[AuditColumn]) -> list[list[tuple[AuditColumn, str]]]:
-    """Columns by storage kind, in batches: each batch shares one key type and one pruned scan."""
+    """Columns by key type, in batches: each batch is one narrow relation over one pruned scan."""
     kinds: dict[str, list[tuple[AuditColumn, str]]] = {}
     for c in columns:
         found = _key(c)
@@ -88,7 +84,9 @@ def _unpivoted(df: DataFrame, values: dict[int, str], name: str) -> DataFrame:
     return (
         wide.unpivot([], list(wide.columns), "position", name)
         .where(f"{name} IS NOT NULL")
-        .withColumn("position", F.expr("CAST(position AS INT)"))
+        # The default never applies; it tells the optimizer that positions are not null. Otherwise it
+        # adds null checks to some uses of a relation, and their shuffle would not be shared.
+        .withColumn("position", F.expr("coalesce(CAST(position AS INT), -1)"))
     )
 
 
@@ -98,6 +96,31 @@ def _frequencies(df: DataFrame, group: list[tuple[AuditColumn, str]]) -> DataFra
     return values.groupBy("position", "key").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _keys_counted(df: DataFrame, columns: list[AuditColumn], counted: list[DataFrame]) -> DataFrame:
+    """(position, n) with n = 1 per distinct value, and one row with 0 per column (null for map columns)."""
+    zeros = [
+        struct({"position": str(c.position), "n": f"CAST({'0' if _key(c) else 'NULL'} AS BIGINT)"}) for c in columns
+    ]
+    # The count is read, though only its sign matters: the same frequencies then serve both the
+    # distinct counts and the top values from one shuffle.
+    keys = [f.selectExpr("position", "CAST(count > 0 AS BIGINT) AS n") for f in counted]
+    return union_all([df.sparkSession.sql(f"SELECT inline({array(zeros)})"), *keys])
+
+
+def _top(df: DataFrame, group: list[tuple[AuditColumn, str]], counted: DataFrame, n: int) -> DataFrame:
+    """(position, column, rank, value, count) of the n most frequent values per column."""
+    best = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("key"))
+    # The rank filter runs before the shuffle too, so a task sends at most n rows per column.
+    winners = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    names = " ".join(f"WHEN {c.position} THEN {text(c.name)}" for c, _ in group)
+    prints = " ".join(f"WHEN {c.position} THEN {_printed(c)}" for c, _ in group)
+    winners = winners.selectExpr(
+        "position", f"CASE position {names} END AS column", "rank", "key", f"CASE position {prints} END AS value", "count"
+    )
+    texts = [c for c, _ in group if is_text(c.data_type)]
+    return _with_long_texts(df, texts, winners) if texts else winners.drop("key")
+
+
 def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Exact number of distinct non-null values per column; map columns report null."""
     df = normalise_nulls(df)
@@ -105,16 +128,8 @@ def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
     if not columns:
         return df.sparkSession.createDataFrame([], "position int, column string, unique_count bigint")
     names = ", ".join(f"{c.position}, {text(c.name)}" for c in columns)
-    listed = [
-        struct({"position": str(c.position), "n": f"CAST({'0' if _key(c) else 'NULL'} AS BIGINT)"}) for c in columns
-    ]
-    # One row with zero per column, so that columns without values are counted too.
-    parts = [df.sparkSession.sql(f"SELECT inline({array(listed)})")]
-    parts += [
-        _frequencies(df, group).select("position", F.lit(1).cast("bigint").alias("n")) for group in _split(columns)
-    ]
     return (
-        union_all(parts)
+        _keys_counted(df, columns, [_frequencies(df, group) for group in _split(columns)])
         .groupBy("position")
         .agg(F.sum("n").alias("unique_count"))
         .selectExpr("position", f"element_at(map({names}), position) AS column", "unique_count")
@@ -128,23 +143,35 @@ def top_values(df: DataFrame, row_id: str | None = None, n: int = TOP) -> DataFr
     """
     df = normalise_nulls(df)
     columns = [c for c in audited_columns(df, row_id) if c.type_class != OTHER]
-    best = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("key"))
-    parts = []
-    for group in _split(columns):
-        # The rank filter runs before the shuffle too, so a task sends at most n rows per column.
-        winners = _frequencies(df, group).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
-        names = " ".join(f"WHEN {c.position} THEN {text(c.name)}" for c, _ in group)
-        prints = " ".join(f"WHEN {c.position} THEN {_printed(c)}" for c, _ in group)
-        winners = winners.selectExpr(
-            "position", f"CASE position {names} END AS column", "rank", "key", f"CASE position {prints} END AS value", "count"
-        )
-        texts = [c for c, _ in group if is_text(c.data_type)]
-        parts.append(_with_long_texts(df, texts, winners) if texts else winners.drop("key"))
+    parts = [_top(df, group, _frequencies(df, group), n) for group in _split(columns)]
     if not parts:
         return df.sparkSession.createDataFrame([], "position int, column string, rank int, value string, count bigint")
     return union_all(parts)
 
 
+def value_summary(df: DataFrame, row_id: str | None = None) -> DataFrame:
+    """Distinct count and the five most frequent values per column, from the same shuffled frequencies."""
+    df = normalise_nulls(df)
+    columns = audited_columns(df, row_id)
+    if not columns:
+        return df.sparkSession.createDataFrame([], f"position int, unique_count bigint, top_values {_VALUE_LIST}")
+    groups = _split(columns)
+    counted = [_frequencies(df, group) for group in groups]
+    entry = "named_struct('rank', rank, 'value', value, 'count', count)"
+    parts = [_keys_counted(df, columns, counted).selectExpr("position", "n", f"CAST(NULL AS {_RANKED}) AS entry")]
+    for group, frequencies in zip(groups, counted, strict=True):
+        if group[0][0].type_class != OTHER:
+            top = _top(df, group, frequencies, TOP)
+            parts.append(top.selectExpr("position", "0L AS n", f"{entry} AS entry"))
+    # Only the few top entries are collected: the rows of distinct values carry none.
+    entries = "transform(array_sort(collect_list(entry)), e -> named_struct('value', e.value, 'count', e.count))"
+    return (
+        union_all(parts)
+        .groupBy("position")
+        .agg(F.sum("n").alias("unique_count"), F.expr(f"CAST({entries} AS {_VALUE_LIST})").alias("top_values"))
+    )
+
+
 def _with_long_texts(df: DataFrame, texts: list[AuditColumn], winners: DataFrame) -> DataFrame:
     """Winners with digests replaced by the texts they stand for.
 

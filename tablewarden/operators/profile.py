@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +27,13 @@ from ..functions.patterns import (
     reads_as_number,
 )
 from ..functions.sqltext import array, struct, text
-from .frequency import distinct_counts, top_values
+from .frequency import value_summary
 from .rows import normalise_nulls
 
-# Columns per aggregate; wider tables are read in several pruned scans to keep generated code compiled.
+# Columns per aggregate. Spark compiles an aggregate of at most a hundred fields, and a column takes up
+# to nine; wider tables are read in several scans of a few columns each.
 COLUMNS_PER_PASS = 40
+COLUMNS_PER_FULL_PASS = 10
 
 FACTS = {
     "position": "INT",
@@ -92,16 +96,30 @@ def _figures(c: AuditColumn, wanted: frozenset[str]) -> dict[str, str]:
     return found
 
 
+def _passes(columns: list[AuditColumn], wanted: frozenset[str]) -> Iterator[Sequence[AuditColumn]]:
+    """Columns that share an aggregate.
+
+    A text minimum turns the whole aggregate it is part of from hash-based to sort-based, so texts
+    keep apart from the fixed-width columns.
+    """
+    if not wanted:
+        yield from batches(columns, COLUMNS_PER_PASS)
+        return
+    texts = [c for c in columns if c.type_class in (STRING, OTHER)]
+    yield from batches([c for c in columns if c not in texts], COLUMNS_PER_FULL_PASS)
+    yield from batches(texts, COLUMNS_PER_FULL_PASS)
+
+
 def column_facts(df: DataFrame, columns: list[AuditColumn], wanted: frozenset[str] = ALL_FIGURES) -> DataFrame:
-    """One row of plain figures per column, from one global aggregate per batch of columns.
+    """One row of plain figures per column, from global aggregates over disjoint columns.
 
-    The aggregate keeps one small buffer per task and holds no distinct, so no row is expanded.
+    An aggregate keeps one small buffer per task and holds no distinct, so no row is expanded.
     ``df`` must have its nulls normalised.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], ", ".join(f"{n} {t}" for n, t in FACTS.items()))
     parts = []
-    for group in batches(columns, COLUMNS_PER_PASS):
+    for group in _passes(columns, wanted):
         found = [_figures(c, wanted) for c in group]
         rows = [struct({n: f"CAST({f.get(n, 'NULL')} AS {t})" for n, t in FACTS.items()}) for f in found]
         parts.append(df.agg(F.expr(array(rows)).alias("figures")).selectExpr("inline(figures)"))
@@ -128,44 +146,27 @@ def profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """
     df = normalise_nulls(df)
     facts = column_facts(df, audited_columns(df, row_id), frozenset({RANGES, MOMENTS}))
-    distinct = distinct_counts(df, row_id).select("position", "unique_count")
-    top = top_value_lists(df, row_id)
-    # All sides hold at most one row per column of the table.
-    return (
-        facts.join(F.broadcast(distinct), "position", "left")
-        .join(F.broadcast(top), "position", "left")
-        .select(
-            "position",
-            "column",
-            "dtype",
-            "type_class",
-            "total_rows",
-            "missing_count",
-            F.expr(MISSING_PERCENTAGE),
-            "unique_count",
-            "min_number",
-            "max_number",
-            "min_text",
-            "max_text",
-            "mean_value",
-            "std_value",
-            F.coalesce("top_values", F.expr(NO_VALUES)).alias("top_values"),
-        )
+    # Both sides hold one row per column of the table.
+    return facts.join(F.broadcast(value_summary(df, row_id)), "position").selectExpr(
+        "position",
+        "column",
+        "dtype",
+        "type_class",
+        "total_rows",
+        "missing_count",
+        MISSING_PERCENTAGE,
+        "unique_count",
+        "min_number",
+        "max_number",
+        "min_text",
+        "max_text",
+        "mean_value",
+        "std_value",
+        "top_values",
     )
 
 
 MISSING_PERCENTAGE = f"{percent('missing_count', 'total_rows')} AS missing_percentage"
-NO_VALUES = "CAST(array() AS ARRAY<STRUCT<value: STRING, count: BIGINT>>)"
-
-
-def top_value_lists(df: DataFrame, row_id: str | None = None) -> DataFrame:
-    """The most frequent values of each column as one array per column (at most five entries)."""
-    ranked = "array_sort(collect_list(struct(rank, value, count)))"
-    return (
-        top_values(df, row_id)
-        .groupBy("position")
-        .agg(F.expr(f"transform({ranked}, e -> struct(e.value AS value, e.count AS count))").alias("top_values"))
-    )
 
 
 def numeric_ranges(df: DataFrame, columns: list[AuditColumn]) -> dict[str, tuple[int, float | None, float | None]]:

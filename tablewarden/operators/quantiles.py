@@ -18,6 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import AuditError
 from ..functions.columns import AuditColumn, audited_columns, batches, numeric_columns
 from ..functions.local import local_rows
 from ..functions.sqltext import array, double, lookup, quote
@@ -25,7 +26,7 @@ from ..settings import DEFAULTS, Settings
 from .profile import numeric_ranges
 from .rows import normalise_nulls
 
-# Buckets per pass. A trillion rows shrink to a few thousand per bracket in three or four passes.
+# Buckets per pass: a trillion rows shrink to a few thousand per bracket in about three passes.
 BUCKETS = 4096
 # A bracket of at most this many rows is ranked by its values.
 FINISH_ROWS = 100_000
@@ -34,6 +35,14 @@ BRACKETS_PER_PASS = 80
 
 _LARGEST = sys.float_info.max
 
+# Shapes of a cut: monotone functions of the value, cut into even steps. MAGNITUDE suits most data at
+# once; EXPONENT separates any range of magnitudes, however wide; EVEN finishes narrow brackets.
+# Each of the first two is used at most once in a row, and an even cut takes twelve of the 53 bits of
+# a double, so the number of passes is bounded for any data.
+MAGNITUDE, EXPONENT, EVEN = "magnitude", "exponent", "even"
+# -ln of the smallest positive double, rounded up: no value of another sign than zero maps to zero.
+_TINY = 745.0
+
 
 @dataclass(frozen=True)
 class _Search:
@@ -45,8 +54,8 @@ class _Search:
     high: float
     rows: int  # rows inside the bracket
     below: int = 0  # rows under the bracket
-    logarithmic: bool = True  # the first cut follows magnitudes, later ones are even
-    stuck: bool = False  # the last cut did not narrow the bracket
+    shape: str = MAGNITUDE  # of the next cut
+    stuck: bool = False  # an even cut did not narrow the bracket
 
     @property
     def bracket(self) -> tuple[str, float, float]:
@@ -57,32 +66,44 @@ class _Search:
         return self.low == self.high
 
 
-def _magnitude(value: float) -> float:
-    return math.copysign(math.log1p(abs(value)), value)
+def _place(value: float, shape: str) -> float:
+    """The shape function on the driver, for the ends of a bracket."""
+    if shape == MAGNITUDE:
+        return math.copysign(math.log1p(abs(value)), value)
+    if shape == EXPONENT:
+        return math.copysign(math.log(abs(value)) + _TINY, value) if value else 0.0
+    return value * 0.5
+
+
+_PLACES = {
+    MAGNITUDE: "signum(value) * log1p(abs(value))",
+    EXPONENT: f"CASE WHEN value = 0 THEN 0.0D ELSE signum(value) * (ln(abs(value)) + {double(_TINY)}) END",
+    EVEN: "value * 0.5D",
+}
 
 
-def _bucket(low: str, scale: str, logarithmic: bool) -> str:
-    """Bucket of a value: any monotone function serves, its shape only decides how fast brackets shrink.
+def _next_shape(shape: str, low: float, high: float) -> str:
+    same_magnitude = 0 < low and high <= 4 * low or high < 0 and low >= 4 * high
+    return EVEN if same_magnitude or shape == EXPONENT else EXPONENT
 
-    Infinite values get the buckets -1 and BUCKETS of their own.
-    """
-    place = "signum(value) * log1p(abs(value))" if logarithmic else "value * 0.5D"
+
+def _bucket(low: str, scale: str, shape: str) -> str:
+    """Bucket of a value. Infinite values get the buckets -1 and BUCKETS of their own."""
     return (
         f"CASE WHEN value = double('Infinity') THEN {BUCKETS} WHEN value = double('-Infinity') THEN -1 "
-        f"ELSE CAST(least(greatest(floor(({place} - {low}) * {scale}), 0), {BUCKETS - 1}) AS INT) END"
+        f"ELSE CAST(least(greatest(floor(({_PLACES[shape]} - {low}) * {scale}), 0), {BUCKETS - 1}) AS INT) END"
     )
 
 
-def _scaling(low: float, high: float, logarithmic: bool) -> tuple[float, float]:
+def _scaling(low: float, high: float, shape: str) -> tuple[float, float]:
     """Offset and factor that map the bracket to the buckets."""
-    low, high = max(low, -_LARGEST), min(high, _LARGEST)
-    start, end = (_magnitude(low), _magnitude(high)) if logarithmic else (low * 0.5, high * 0.5)
+    start, end = _place(max(low, -_LARGEST), shape), _place(min(high, _LARGEST), shape)
     scale = BUCKETS / (end - start) if end > start else 0.0
     return start, scale if math.isfinite(scale) else 0.0
 
 
-def _pass(df: DataFrame, searches: list[_Search], cut: bool, logarithmic: bool = False) -> list[_Search]:
-    """One job over all brackets: cut them into buckets, or count their single values."""
+def _pass(df: DataFrame, searches: list[_Search], shape: str | None) -> list[_Search]:
+    """One job over all brackets: cut them into buckets by a shape, or count their single values."""
     brackets = sorted({s.bracket for s in searches})
     slots = {bracket: i for i, bracket in enumerate(brackets)}
     inside = []
@@ -94,13 +115,13 @@ def _pass(df: DataFrame, searches: list[_Search], cut: bool, logarithmic: bool =
         .unpivot([], [str(i) for i in range(len(brackets))], "slot", "value")
         .where("value IS NOT NULL")
     )
-    if cut:
-        scaled = [_scaling(low, high, logarithmic) for _, low, high in brackets]
+    if shape is not None:
+        scaled = [_scaling(low, high, shape) for _, low, high in brackets]
         low = lookup([double(a) for a, _ in scaled], "slot")
         scale = lookup([double(b) for _, b in scaled], "slot")
         counted = (
             values.selectExpr("CAST(slot AS INT) AS slot", "value")
-            .selectExpr("slot", "value", f"{_bucket(low, scale, logarithmic)} AS bucket")
+            .selectExpr("slot", "value", f"{_bucket(low, scale, shape)} AS bucket")
             .groupBy("slot", "bucket")
             .agg(F.expr("count(1) AS rows"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
         )
@@ -125,7 +146,11 @@ def _pass(df: DataFrame, searches: list[_Search], cut: bool, logarithmic: bool =
     narrowed = []
     for s in searches:
         offset = s.rank - s.below
-        hit = next(h for h in hits if h["slot"] == slots[s.bracket] and h["start"] <= offset < h["start"] + h["rows"])
+        hit = next(
+            (h for h in hits if h["slot"] == slots[s.bracket] and h["start"] <= offset < h["start"] + h["rows"]), None
+        )
+        if hit is None:
+            raise AuditError("the table changed between two reads; write or checkpoint it before the audit")
         narrowed.append(
             replace(
                 s,
@@ -133,8 +158,8 @@ def _pass(df: DataFrame, searches: list[_Search], cut: bool, logarithmic: bool =
                 high=hit["high"],
                 rows=hit["rows"],
                 below=s.below + hit["start"],
-                logarithmic=False,
-                stuck=not s.logarithmic and (hit["low"], hit["high"]) == (s.low, s.high),
+                shape=_next_shape(s.shape, hit["low"], hit["high"]),
+                stuck=shape == EVEN and (hit["low"], hit["high"]) == (s.low, s.high),
             )
         )
     return narrowed
@@ -143,21 +168,22 @@ def _pass(df: DataFrame, searches: list[_Search], cut: bool, logarithmic: bool =
 def _select(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], float]:
     """Value at each wanted rank."""
     done = [s for s in searches if s.found]
-    active = [s for s in searches if not s.found]
-    while active:
-        # A bracket that no longer narrows spans a handful of neighbouring doubles.
-        small = [s for s in active if s.rows <= FINISH_ROWS or s.stuck]
-        first = [s for s in active if s not in small and s.logarithmic]
-        later = [s for s in active if s not in small and not s.logarithmic]
-        moved: list[_Search] = []
-        for group in batches(small, BRACKETS_PER_PASS):
-            moved += _pass(df, list(group), cut=False)
-        for group in batches(first, BRACKETS_PER_PASS):
-            moved += _pass(df, list(group), cut=True, logarithmic=True)
-        for group in batches(later, BRACKETS_PER_PASS):
-            moved += _pass(df, list(group), cut=True)
-        done += [s for s in moved if s.found]
-        active = [s for s in moved if not s.found]
+    open_ = [s for s in searches if not s.found]
+
+    def ready(s: _Search) -> bool:
+        # A bracket that an even cut does not narrow spans a handful of neighbouring doubles.
+        return s.rows <= FINISH_ROWS or s.stuck
+
+    while large := [s for s in open_ if not ready(s)]:
+        open_ = [s for s in open_ if ready(s)]
+        for shape in (MAGNITUDE, EXPONENT, EVEN):
+            for group in batches([s for s in large if s.shape == shape], BRACKETS_PER_PASS):
+                moved = _pass(df, list(group), shape)
+                done += [s for s in moved if s.found]
+                open_ += [s for s in moved if not s.found]
+    # All brackets that are left share the last pass.
+    for group in batches(open_, BRACKETS_PER_PASS):
+        done += _pass(df, list(group), None)
     return {(s.column, s.rank): s.low for s in done}
 
 

@@ -17,9 +17,9 @@ from ..functions.columns import audited_columns
 from ..functions.local import materialised
 from ..operators.anomalies import anomalies_of, mismatch_counts
 from ..operators.duplicates import duplicate_count, duplicate_rows
-from ..operators.frequency import distinct_counts
+from ..operators.frequency import distinct_counts, value_summary
 from ..operators.outliers import count_outside, outlier_rows
-from ..operators.profile import MISSING_PERCENTAGE, NO_VALUES, column_facts, top_value_lists
+from ..operators.profile import MISSING_PERCENTAGE, column_facts
 from ..operators.quantiles import fences_by_column
 from ..operators.remedies import suggest_fixes
 from ..operators.reports import column_table, dataset_summary, issues, overview
@@ -40,18 +40,12 @@ def _findings(
     }
     fences = fences_by_column(df, columns, settings.iqr_multiplier, ranges)
     found = anomalies_of(facts)
-    parts = [
-        distinct_counts(df, row_id).select("position", "unique_count"),
-        count_outside(df, columns, fences).drop("column"),
-        mismatch_counts(found),
-    ]
-    if with_top_values:
-        parts.append(top_value_lists(df, row_id))
+    values = value_summary(df, row_id) if with_top_values else distinct_counts(df, row_id).drop("column")
+    parts = [values, count_outside(df, columns, fences).drop("column"), mismatch_counts(found)]
     hub = facts
     for part in parts:
         # Each part holds at most one row per column of the table.
         hub = hub.join(F.broadcast(part), "position", "left")
-    top_values = f"coalesce(top_values, {NO_VALUES})" if with_top_values else NO_VALUES
     hub = hub.selectExpr(
         "position",
         "column",
@@ -67,7 +61,7 @@ def _findings(
         "max_text",
         "mean_value",
         "std_value",
-        f"{top_values} AS top_values",
+        *(["top_values"] if with_top_values else []),
         "outlier_count",
         "lower_fence",
         "upper_fence",
