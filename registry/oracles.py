@@ -6,10 +6,12 @@ from .views import (
     CONVERSATIONS,
     CUSTOMERS,
     DOCUMENTS,
+    EMBEDDINGS,
     EVENTS,
     LABELS,
     LINEITEM,
     ORDERS,
+    ORPHANED_ORDERS,
     PAGES,
     PART,
     Audited,
@@ -550,6 +552,8 @@ def oracle_sql() -> dict[str, str]:
         "distinct_counts_events": distinct_counts(EVENTS),
         "distinct_counts_lineitem": distinct_counts(LINEITEM),
         "distinct_counts_documents": distinct_counts(DOCUMENTS),
+        "distinct_counts_embeddings": distinct_counts(EMBEDDINGS),
+        "profile_empty": profile_numeric(ORPHANED_ORDERS),
         "profile_numeric": profile_numeric(LINEITEM),
         "profile_numeric_messy": profile_numeric(CUSTOMERS),
         "profile_strings": profile_texts(CUSTOMERS),
@@ -585,6 +589,8 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_rows": duplicate_rows(EVENTS),
         "duplicate_rows_subset": duplicate_rows(CUSTOMERS, ["segment", "nation_key"]),
         "duplicate_rows_documents": duplicate_rows(DOCUMENTS, ["text"]),
+        "duplicate_rows_embeddings": duplicate_rows(EMBEDDINGS, ["embedding"]),
+        "dup_subset_invalid": duplicate_rows(DOCUMENTS, ["text", "lang"]),
         "duplicate_rows_pages": duplicate_rows(PAGES, ["html"]),
         "duplicate_flag": duplicate_flags(CUSTOMERS, ["cust_id", "balance"]),
         "drop_duplicates": drop_duplicates(EVENTS, ["row_id", "user_id", "value", "amount_text"]),

@@ -15,10 +15,12 @@ from .views import (
     CONVERSATIONS,
     CUSTOMERS,
     DOCUMENTS,
+    EMBEDDINGS,
     EVENTS,
     LABELS,
     LINEITEM,
     ORDERS,
+    ORPHANED_ORDERS,
     PAGES,
     PART,
     Audited,
@@ -152,6 +154,8 @@ def queries() -> dict[str, Query]:
         "distinct_counts_events": over(EVENTS, tw.distinct_counts),
         "distinct_counts_lineitem": over(LINEITEM, tw.distinct_counts),
         "distinct_counts_documents": over(DOCUMENTS, tw.distinct_counts),
+        "distinct_counts_embeddings": over(EMBEDDINGS, tw.distinct_counts),
+        "profile_empty": over(ORPHANED_ORDERS, numeric_profile),
         "profile_numeric": over(LINEITEM, numeric_profile),
         "profile_numeric_messy": over(CUSTOMERS, numeric_profile),
         "profile_strings": over(CUSTOMERS, text_profile),
@@ -193,6 +197,11 @@ def queries() -> dict[str, Query]:
         "duplicate_rows": over(EVENTS, tw.duplicate_rows),
         "duplicate_rows_subset": over(CUSTOMERS, lambda df, rid: tw.duplicate_rows(df, rid, ["segment", "nation_key"])),
         "duplicate_rows_documents": over(DOCUMENTS, lambda df, rid: tw.duplicate_rows(df, rid, ["text"])),
+        "duplicate_rows_embeddings": over(EMBEDDINGS, lambda df, rid: tw.duplicate_rows(df, rid, ["embedding"])),
+        # Names that are no columns of the table are left out of the subset.
+        "dup_subset_invalid": over(
+            DOCUMENTS, lambda df, rid: tw.duplicate_rows(df, rid, ["text", "no_such_column", "lang"])
+        ),
         "duplicate_rows_pages": over(PAGES, lambda df, rid: tw.duplicate_rows(df, rid, ["html"])),
         "duplicate_flag": over(
             CUSTOMERS,

@@ -226,3 +226,18 @@ CONVERSATIONS = Audited(
     ),
     ("conversations",),
 )
+
+EMBEDDINGS = Audited(
+    "SELECT * FROM {embeddings}",
+    "vec_id",
+    (("embedding", "array<float>", "other"), ("label", "int", "numeric")),
+    ("embeddings",),
+)
+
+# Orders without a customer: there are none, but both tables are read in full to find that out.
+ORPHANED_ORDERS = Audited(
+    "SELECT o.* FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey)",
+    "o_orderkey",
+    ORDERS.columns,
+    ("orders", "customer"),
+)

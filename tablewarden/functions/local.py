@@ -15,11 +15,3 @@ def local_rows(df: DataFrame, rows: list[tuple], schema: str | T.StructType) ->
     records = [dict(zip(schema.names, row, strict=True)) for row in rows]
     table = pa.Table.from_pylist(records, schema=to_arrow_schema(schema))
     return df.sparkSession.createDataFrame(table, schema=schema)
-
-
-def materialised(per_column: DataFrame) -> DataFrame:
-    """Run a per-column result once and keep its few rows as a local table.
-
-    Only for results whose row number is bounded by the columns of a schema.
-    """
-    return per_column.sparkSession.createDataFrame(per_column.toArrow(), schema=per_column.schema)

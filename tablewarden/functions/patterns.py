@@ -14,6 +14,7 @@ DATE = (
     r"\A\s*-?(\d{1,6})([-/ \\])(\d{1,2})\2(\d{1,2})"
     r"(\s*|[ T]([01]?\d|2[0-3]):[0-5]?\d(:[0-5]?\d(\.\d*)?)?( ?(Z|UTC|[+-]\d{2}(:?\d{2})?))?\s*)\z"
 )
+YEAR_PADDING = r"\A0+(?=\d{4,}-)"
 DATE_WORDS = ("epoch", "inf", "infinity", "-inf", "-infinity")
 EMAIL_NAME_PART = "email"
 DATE_NAME_PART = "date"
@@ -39,10 +40,9 @@ def is_email(value: str) -> str:
 
 def reads_as_date(value: str) -> str:
     """Whether a text casts to a date or a timestamp; null for null."""
-    year, month, day = (f"regexp_extract({value}, {pattern(DATE)}, {group})" for group in (1, 3, 4))
-    calendar_day = (
-        f"concat_ws('-', lpad({year}, greatest(4, length({year})), '0'), lpad({month}, 2, '0'), lpad({day}, 2, '0'))"
-    )
+    # Year, month and day with separators Spark reads; the year gets at least four digits.
+    padded = f"regexp_replace({value}, {pattern(DATE)}, '000$1-$3-$4')"
+    calendar_day = f"regexp_replace({padded}, {pattern(YEAR_PADDING)}, '')"
     words = ", ".join(text(word) for word in DATE_WORDS)
     return (
         f"(({value} RLIKE {pattern(DATE)} AND try_cast({calendar_day} AS DATE) IS NOT NULL) "

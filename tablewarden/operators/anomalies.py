@@ -24,6 +24,13 @@ ISSUE_TEXTS = {
 }
 
 
+# Rows that fail a pattern check; a row that fails two checks counts twice, up to the rows of the table.
+MISMATCH_COUNT = (
+    "least(CASE WHEN number_texts < total_rows - missing_count THEN number_texts ELSE 0 END "
+    "+ coalesce(bad_emails, 0) + coalesce(bad_dates, 0), total_rows)"
+)
+
+
 def anomalies_of(facts: DataFrame) -> DataFrame:
     """Anomalies told by the per-column facts: (position, column, kind, issue, affected_rows)."""
     filled = "(total_rows - missing_count)"
@@ -45,12 +52,3 @@ def anomalies(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """All pattern anomalies of a table, from one aggregate over one scan."""
     df = normalise_nulls(df)
     return anomalies_of(column_facts(df, audited_columns(df, row_id), frozenset({PATTERNS})))
-
-
-def mismatch_counts(found: DataFrame) -> DataFrame:
-    """Rows with type mismatches per column; a row that fails two checks counts twice."""
-    return (
-        found.where(F.col("kind").isin(*ISSUE_TEXTS))
-        .groupBy("position")
-        .agg(F.sum("affected_rows").alias("mismatches"))
-    )

@@ -25,6 +25,7 @@ _DIGEST_PREFIX = "sha256:"
 
 _RANKED = "STRUCT<rank: INT, value: STRING, count: BIGINT>"
 _VALUE_LIST = "ARRAY<STRUCT<value: STRING, count: BIGINT>>"
+NO_VALUES = f"CAST(array() AS {_VALUE_LIST})"
 
 
 def compact_key(value: str) -> str:
@@ -185,8 +186,10 @@ def _with_long_texts(df: DataFrame, texts: list[AuditColumn], winners: DataFrame
         .selectExpr("position", f"{compact_key('long_text')} AS key", "long_text")
         .join(F.broadcast(wanted), ["position", "key"], "left_semi")
         .groupBy("position", "key")
-        .agg(F.first("long_text").alias("long_text"))
+        # All texts of a digest are equal, so the set holds one; unlike first() on texts it needs no sort.
+        .agg(F.expr("element_at(collect_set(long_text), 1) AS long_text"))
     )
-    return winners.join(F.broadcast(found), ["position", "key"], "left").selectExpr(
+    # Few rows, but of texts of any length: Spark picks the join by their real size.
+    return winners.join(found, ["position", "key"], "left").selectExpr(
         "position", "column", "rank", "coalesce(long_text, value) AS value", "count"
     )

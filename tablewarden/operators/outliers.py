@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import UnknownColumnError
 from ..functions.columns import AuditColumn, audited_columns, batches, union_all
@@ -15,6 +16,11 @@ from .profile import COLUMNS_PER_PASS
 from .quantiles import Fences, fences_by_column
 from .rows import normalise_nulls
 
+OUTLIER_FIELDS = [
+    T.StructField("outlier_count", T.LongType()),
+    T.StructField("lower_fence", T.DoubleType()),
+    T.StructField("upper_fence", T.DoubleType()),
+]
 _COUNT_SCHEMA = "position int, column string, outlier_count bigint, lower_fence double, upper_fence double"
 
 

@@ -146,8 +146,8 @@ def profile(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """
     df = normalise_nulls(df)
     facts = column_facts(df, audited_columns(df, row_id), frozenset({RANGES, MOMENTS}))
-    # Both sides hold one row per column of the table.
-    return facts.join(F.broadcast(value_summary(df, row_id)), "position").selectExpr(
+    # Both sides hold one row per column, but texts of any length: no broadcast hint.
+    return facts.join(value_summary(df, row_id), "position").selectExpr(
         "position",
         "column",
         "dtype",

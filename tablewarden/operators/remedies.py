@@ -14,7 +14,7 @@ from ..functions.columns import BOOLEAN, NUMERIC, STRING, TEMPORAL, AuditColumn,
 from ..functions.sqltext import array, double, quote, struct, text
 from ..sources.scratch import checkpointed
 from .changes import changes_within
-from .duplicates import drop_duplicates
+from .duplicates import drop_duplicates, kept_values
 from .quantiles import medians_by_column
 from .rows import normalise_nulls
 
@@ -173,8 +173,8 @@ def _plan(df: DataFrame, fixes: list[Fix], row_id: str | None, subset: list[str]
     if averaged:
         # Medians belong to the kept rows. Their selection reads the rows several times, so only the
         # few columns it needs are written once instead of removing the duplicates in every pass.
-        values = kept.select(*[c.value for c in averaged])
-        medians = medians_by_column(checkpointed(values) if drop else values, averaged)
+        values = checkpointed(kept_values(df, averaged, row_id, subset)) if drop else df
+        medians = medians_by_column(values, averaged)
     repaired: dict[str, str] = {}
     for c in columns:
         value = c.sql

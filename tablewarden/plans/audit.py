@@ -1,8 +1,8 @@
 """Audit of a table: from the table to findings, scores, issues and suggested fixes.
 
-The table is read by a constant number of jobs: one wide aggregate, a few narrowing passes over the
-numeric columns, and one query whose independent stages (value frequencies, outlier counts, duplicate
-groups) run side by side. What follows works on one row per column.
+The table is read by a constant number of queries: one whose independent stages (plain figures, value
+frequencies, duplicate groups) run side by side, a few narrowing passes over the numeric columns for
+the fences, and the outlier counts. What follows works on one row per column.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import audited_columns
-from ..functions.local import materialised
-from ..operators.anomalies import anomalies_of, mismatch_counts
+from ..functions.local import local_rows
+from ..operators.anomalies import MISMATCH_COUNT, anomalies_of
 from ..operators.duplicates import duplicate_count, duplicate_rows
-from ..operators.frequency import distinct_counts, value_summary
-from ..operators.outliers import count_outside, outlier_rows
+from ..operators.frequency import NO_VALUES, distinct_counts, value_summary
+from ..operators.outliers import OUTLIER_FIELDS, count_outside, outlier_rows
 from ..operators.profile import MISSING_PERCENTAGE, column_facts
 from ..operators.quantiles import fences_by_column
 from ..operators.remedies import suggest_fixes
@@ -28,46 +29,56 @@ from ..operators.scoring import column_scores, dataset_score, score_bands, with_
 from ..settings import DEFAULTS, Settings
 
 
-def _findings(
-    df: DataFrame, row_id: str | None, settings: Settings, with_top_values: bool
-) -> tuple[DataFrame, DataFrame]:
-    """Enriched profile and anomalies, both as small local tables."""
+# Columns of the enriched profile.
+ENRICHED = (
+    "position",
+    "column",
+    "dtype",
+    "type_class",
+    "total_rows",
+    "missing_count",
+    "missing_percentage",
+    "unique_count",
+    "min_number",
+    "max_number",
+    "min_text",
+    "max_text",
+    "mean_value",
+    "std_value",
+    "top_values",
+    "outlier_count",
+    "lower_fence",
+    "upper_fence",
+    "mismatch_count",
+    "dataset_duplicate_count",
+)
+
+
+def _findings(df: DataFrame, row_id: str | None, settings: Settings, with_top_values: bool) -> DataFrame:
+    """Everything the audit knows, one row per column, as a local table in column order."""
     df = normalise_nulls(df)
     columns = audited_columns(df, row_id)
-    facts = materialised(column_facts(df, columns))
-    ranges = {
-        r["column"]: (r["total_rows"] - r["missing_count"], r["min_number"], r["max_number"]) for r in facts.collect()
-    }
+    if with_top_values:
+        # One row per column, but texts of any length: no broadcast hint.
+        found = column_facts(df, columns).join(value_summary(df, row_id), "position")
+    else:
+        distinct = distinct_counts(df, row_id).selectExpr("position", "unique_count", f"{NO_VALUES} AS top_values")
+        found = column_facts(df, columns).join(F.broadcast(distinct), "position")
+    # The one count is repeated per column, so that its stages run beside all others.
+    positions = f"explode(sequence(0, {max(0, len(columns) - 1)})) AS position"
+    duplicates = duplicate_count(df, row_id, settings.subset).selectExpr(
+        positions, "duplicate_count AS dataset_duplicate_count"
+    )
+    found = found.join(F.broadcast(duplicates), "position").selectExpr(
+        "*", MISSING_PERCENTAGE, f"CAST(coalesce({MISMATCH_COUNT}, 0) AS BIGINT) AS mismatch_count"
+    )
+    known = sorted(found.toArrow().to_pylist(), key=lambda r: r["position"])
+    ranges = {r["column"]: (r["total_rows"] - r["missing_count"], r["min_number"], r["max_number"]) for r in known}
     fences = fences_by_column(df, columns, settings.iqr_multiplier, ranges)
-    found = anomalies_of(facts)
-    values = value_summary(df, row_id) if with_top_values else distinct_counts(df, row_id).drop("column")
-    parts = [values, count_outside(df, columns, fences).drop("column"), mismatch_counts(found)]
-    hub = facts
-    for part in parts:
-        # Each part holds at most one row per column of the table.
-        hub = hub.join(F.broadcast(part), "position", "left")
-    hub = hub.selectExpr(
-        "position",
-        "column",
-        "dtype",
-        "type_class",
-        "total_rows",
-        "missing_count",
-        MISSING_PERCENTAGE,
-        "unique_count",
-        "min_number",
-        "max_number",
-        "min_text",
-        "max_text",
-        "mean_value",
-        "std_value",
-        *(["top_values"] if with_top_values else []),
-        "outlier_count",
-        "lower_fence",
-        "upper_fence",
-        "least(coalesce(mismatches, 0), total_rows) AS mismatch_count",
-    ).withColumn("dataset_duplicate_count", duplicate_count(df, row_id, settings.subset).scalar())
-    return materialised(hub), found
+    outliers = {r["position"]: r.asDict() for r in count_outside(df, columns, fences).collect()}
+    schema = T.StructType(found.schema.fields + OUTLIER_FIELDS)
+    rows = [tuple({**r, **outliers[r["position"]]}[name] for name in schema.names) for r in known]
+    return local_rows(df, rows, schema)
 
 
 def enriched_profile(
@@ -77,7 +88,7 @@ def enriched_profile(
     with_top_values: bool = True,
 ) -> DataFrame:
     """One row per column with everything the audit knows about it; scores and fixes read this."""
-    return _findings(df, row_id, settings, with_top_values)[0].orderBy("position")
+    return _findings(df, row_id, settings, with_top_values).select(*ENRICHED)
 
 
 @dataclass(frozen=True)
@@ -133,5 +144,5 @@ class Audit:
 
 def audit(df: DataFrame, row_id: str | None = None, settings: Settings = DEFAULTS) -> Audit:
     """Audit a table. Persist a table that is costly to compute first: an audit reads it several times."""
-    profile, anomalies = _findings(df, row_id, settings, with_top_values=True)
-    return Audit(df, row_id, settings, profile.orderBy("position"), anomalies)
+    found = _findings(df, row_id, settings, with_top_values=True)
+    return Audit(df, row_id, settings, found.select(*ENRICHED), anomalies_of(found))
