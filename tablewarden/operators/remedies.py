@@ -57,8 +57,8 @@ def _suggestion(holds: str, order: int, target: str, action: str, count: str, ar
     return f"CASE WHEN {holds} THEN {struct(fields)} END"
 
 
-def suggest_fixes(enriched: DataFrame) -> DataFrame:
-    """Fixes for the findings of an enriched profile: duplicates first, then the columns in order."""
+def suggestions_of(enriched: DataFrame) -> DataFrame:
+    """Fixes for the findings of an enriched profile, in any order."""
     found = [
         _suggestion(
             "position = 0 AND dataset_duplicate_count > 0",
@@ -73,17 +73,18 @@ def suggest_fixes(enriched: DataFrame) -> DataFrame:
             2, "column", CAP_OUTLIERS, "outlier_count", CAP_TEXT, MEDIUM,
         ),
     ]
-    return (
-        enriched.selectExpr("position", f"inline(array_compact({array(found)}))")
-        .orderBy("position", "action_order")
-        .select("position", "action_order", "column", "action_type", "description", "estimated_impact", "details")
-    )
+    return enriched.selectExpr("position", f"inline(array_compact({array(found)}))")
+
+
+def suggest_fixes(enriched: DataFrame) -> DataFrame:
+    """Fixes for the findings of an enriched profile: duplicates first, then the columns in order."""
+    return suggestions_of(enriched).orderBy("position", "action_order")
 
 
 def _as_fixes(fixes: DataFrame | Iterable[Fix | Mapping]) -> list[Fix]:
     """Fixes as plain parameters; a suggestion frame holds at most two rows per column and one more."""
     if isinstance(fixes, DataFrame):
-        rows = fixes.orderBy("position", "action_order").collect()
+        rows = sorted(fixes.collect(), key=lambda r: (r["position"], r["action_order"]))
         return [
             Fix(r["column"], r["action_type"], r["details"]["lower_fence"], r["details"]["upper_fence"]) for r in rows
         ]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators.remedies import apply_fixes_with_log, suggest_fixes
+from ..operators.remedies import apply_fixes_with_log, suggest_fixes, suggestions_of
 from ..settings import DEFAULTS, Settings
 from .audit import enriched_profile
 
@@ -23,6 +23,5 @@ class Repair:
 def repair(df: DataFrame, row_id: str | None = None, settings: Settings = DEFAULTS) -> Repair:
     """Apply every suggested fix."""
     enriched = enriched_profile(df, row_id, settings, with_top_values=False)
-    suggestions = suggest_fixes(enriched)
-    cleaned, log = apply_fixes_with_log(df, suggestions, row_id)
-    return Repair(cleaned, log, suggestions)
+    cleaned, log = apply_fixes_with_log(df, suggestions_of(enriched), row_id)
+    return Repair(cleaned, log, suggest_fixes(enriched))

@@ -9,6 +9,8 @@ from ..functions.ids import drop_generated_ids
 
 # Quoting and encoding of exchanged CSV files.
 _CSV_FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# Stands for a field without characters while reading, so that only "" in quotes is an empty text.
+_ABSENT = "\x00absent\x00"
 
 
 def read_csv(
@@ -23,7 +25,7 @@ def read_csv(
     Inference reads the files once more, so pass ``schema`` for large inputs. ``multi_line`` allows
     line breaks inside quotes and makes each file one task.
     """
-    reader = spark.read.options(**_CSV_FORMAT).option("multiLine", multi_line)
+    reader = spark.read.options(**_CSV_FORMAT).option("multiLine", multi_line).option("nullValue", _ABSENT)
     if schema is not None:
         # A value that does not fit the given type must not turn into a silent null.
         return reader.schema(schema).option("mode", "FAILFAST").csv(path)
