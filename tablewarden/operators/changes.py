@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import AuditColumn, audited_columns
 from ..functions.sqltext import array, quote, struct, text
+from .duplicates import comparable
 from .rows import normalise_nulls
 
 _SCHEMA = (
@@ -66,13 +69,19 @@ def change_log(original: DataFrame, cleaned: DataFrame, row_id: str) -> DataFram
     columns = audited_columns(original, row_id)
     common = {c.name for c in columns if c.name in cleaned.columns}
     shared = [c for c in columns if c.name in common]
-    before = original.selectExpr(f"{quote(row_id)} AS id", "true AS in_before", *[f"{c.sql} AS before_{c.position}" for c in shared])
-    after = cleaned.selectExpr(f"{quote(row_id)} AS id", "true AS in_after", *[f"{c.sql} AS after_{c.position}" for c in shared])
+    types = {f.name: f.dataType for f in cleaned.schema.fields}
+
+    def side(df: DataFrame, label: str, typed: list[AuditColumn]) -> DataFrame:
+        values = [f"{comparable(c)} AS {label}_{c.position}" for c in typed]
+        return df.selectExpr(f"{quote(row_id)} AS id", f"true AS in_{label}", *values)
+
+    before = side(original, "before", shared)
+    after = side(cleaned, "after", [replace(c, data_type=types[c.name]) for c in shared])
     rows = []
     for c in columns:
         old = new = None
         if c.name in common:
             # Rows on one side only are no changes of values: both sides turn null.
-            old, new = (f"CASE WHEN in_before AND in_after THEN {side}_{c.position} END" for side in ("before", "after"))
+            old, new = (f"CASE WHEN in_before AND in_after THEN {label}_{c.position} END" for label in ("before", "after"))
         rows.append(_row(c, old, new, "count(in_before) - count(in_after)"))
     return _log(before.join(after, "id", "full"), rows)

@@ -183,7 +183,7 @@ def _plan(df: DataFrame, fixes: list[Fix], row_id: str | None, subset: list[str]
             value = _filled(c, medians.get(c.name))
         if _clampable(c, caps.get(c.name)):
             value = _clamped(c, value, c.name in fills, caps[c.name])
-        if c.name in fills or c.name in caps:
+        if value != c.sql:
             repaired[c.name] = value
     return _Plan(kept, repaired)
 
