@@ -479,6 +479,10 @@ def kept_rows(table: Audited) -> str:
     return f"base AS ({table.duckdb()}), kept AS (SELECT * EXCLUDE (occurrence) FROM ({numbered(table, names(table))}) n WHERE occurrence = 1)"
 
 
+# Whole-number columns with missing values; the others have no finding and keep their type.
+FILLED_INTEGERS = ("nation_key",)
+
+
 def repaired(table: Audited) -> tuple[str, list[tuple[str, str, str]]]:
     """CTEs up to ``joined`` (kept rows with fences and medians) and (column, old, new) expressions."""
     medians_sql = ", ".join(
@@ -493,8 +497,10 @@ def repaired(table: Audited) -> tuple[str, list[tuple[str, str, str]]]:
         f"params AS (SELECT {medians_sql}, {fences_sql}), joined AS (SELECT * FROM kept, params)"
     )
     new = []
-    for c, _, kind in table.columns:
-        if kind == "numeric":
+    for c, dtype, kind in table.columns:
+        if dtype in ("int", "bigint") and c not in FILLED_INTEGERS:
+            new.append((c, c, c))
+        elif kind == "numeric":
             value = f"coalesce(CAST({c} AS DOUBLE), med_{c}, 0.0)"
             new.append((c, c, f"CASE WHEN {value} < lo_{c} THEN lo_{c} WHEN {value} > hi_{c} THEN hi_{c} ELSE {value} END"))
         elif kind == "boolean":
