@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import document_sizes, mixed_sources
+from .quality import quality_rules
+from .secrets import count_of, secret_spans, spans_text
 from .tables import staged, table
 from .token_counts import token_counts
 
@@ -18,6 +20,33 @@ VOCABULARIES = "/opt/tokenizers"
 TOKEN_LIMIT = 512
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        count_of("base_spans", 0).alias("n_assign"),
+        count_of("base_spans", 1).alias("n_access"),
+        count_of("base_spans", 2).alias("n_hex"),
+        F.sha2(spans_text("base_spans"), 256).alias("base_sha256"),
+        spans_text("all_spans").alias("spans"),
+    )
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "n_removed_words",
+    )
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counted = token_counts(docs, vocabulary, budget=TOKEN_LIMIT)
@@ -38,6 +67,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_secrets": op1_secrets,
+        "op3_quality": op3_quality,
         "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
     }
