@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scratch import scratch_path
@@ -25,3 +30,27 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+_shipped: set[str] = set()
+#: The driver serves the archive from here as long as it lives; no data is ever put here.
+_archives = tempfile.TemporaryDirectory(prefix="tablewarden-code-")
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """The frame, after this package has been sent to the Python workers, once per application.
+
+    Workers import the package by name and need not have it installed; Spark hands the archive out.
+    """
+    context: SparkContext = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(_archives.name, f"{context.applicationId}.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    source = os.path.join(folder, name)
+                    archive.write(source, os.path.relpath(source, os.path.dirname(package)))
+        context.addPyFile(path)
+        _shipped.add(context.applicationId)
+    return df

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import free_name
+from .tables import free_name, shipped
 from .texts import Slice, run_hashes, slices
 
 #: Words whose counts a worker keeps; it starts afresh when there are more.
@@ -270,4 +270,4 @@ def token_counts(
             out = [*batch.columns, pa.array(totals, pa.int64())] + ([pa.array(fits, pa.int64())] if budget is not None else [])
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return shipped(df).mapInArrow(run, schema)
