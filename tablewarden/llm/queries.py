@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import decontaminated
 from .mixing import document_sizes, mixed_sources
+from .near_duplicates import near_duplicates
 from .quality import quality_rules
 from .secrets import count_of, secret_spans, spans_text
 from .tables import staged, table
@@ -32,6 +34,19 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return decontaminated(docs, benchmark).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "spans",
+    )
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return judged.select(
@@ -47,6 +62,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counted = token_counts(docs, vocabulary, budget=TOKEN_LIMIT)
@@ -68,7 +87,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
+        "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
+        "op5_near_duplicates": op5_near_duplicates,
         "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
     }

@@ -32,10 +32,6 @@ def _powers() -> np.ndarray:
 
 _POW = _powers()
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: The same value for A-Z as for a-z, none for blanks.
-_LETTER = _BYTE.copy()
-_LETTER[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
-_LETTER[list(BLANKS)] = 0
 _STEPS = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -90,13 +86,30 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[list(BLANKS)] = True
+def _letters(solid: np.ndarray) -> np.ndarray:
+    """Hash values of bytes: the same for A-Z as for a-z, none for those between words."""
+    values = _BYTE.copy()
+    values[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+    values[~solid] = 0
+    return values
 
 
-def words(part: Slice) -> Words:
-    """Runs of non-blank bytes; the hash takes A-Z as a-z."""
-    solid = ~_BLANK[part.data]
+def _kinds() -> dict[str, np.ndarray]:
+    """Bytes of words: all but blanks, or only digits, letters and what is not ASCII."""
+    solid = np.ones(256, dtype=bool)
+    solid[list(BLANKS)] = False
+    alphanumeric = np.zeros(256, dtype=bool)
+    alphanumeric[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+    return {"solid": solid, "alphanumeric": alphanumeric}
+
+
+_KINDS = _kinds()
+_VALUES = {name: _letters(kind) for name, kind in _KINDS.items()}
+
+
+def words(part: Slice, kind: str = "solid") -> Words:
+    """Runs of bytes of a kind; the hash takes A-Z as a-z."""
+    solid = _KINDS[kind][part.data]
     n = len(solid)
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
@@ -106,7 +119,7 @@ def words(part: Slice) -> Words:
     end[edges - 1] = solid[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     bounds = np.searchsorted(starts, part.offsets)
-    return Words(starts, ends, run_hashes(part.data, starts, ends, _LETTER), bounds)
+    return Words(starts, ends, run_hashes(part.data, starts, ends, _VALUES[kind]), bounds)
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
