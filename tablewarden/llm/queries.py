@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminated
+from .language_model import language_model_scores
 from .mixing import document_sizes, mixed_sources
 from .near_duplicates import near_duplicates
 from .quality import quality_rules
@@ -84,6 +85,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(sizes).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
@@ -92,4 +97,5 @@ def queries() -> dict[str, Query]:
         "op5_near_duplicates": op5_near_duplicates,
         "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
+        "op10_language_model": op10_language_model,
     }
