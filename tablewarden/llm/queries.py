@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import decontaminated
+from .html_text import page_texts
+from .language_id import Fit, fitted, languages, training_rows
 from .language_model import language_model_scores
 from .mixing import document_sizes, mixed_sources
 from .near_duplicates import near_duplicates
+from .paragraphs import repeated_paragraphs
 from .quality import quality_rules
 from .secrets import count_of, secret_spans, spans_text
 from .tables import staged, table
@@ -63,10 +66,22 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages", "page_id", "url", "html")).withColumn("n_lines", F.size(F.split("text", "\n")).cast("long"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str, fit: Fit = Fit()) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = fitted(*training_rows(docs.where(fold != 1), fit), fit)
+    scored = languages(docs.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "text"), model)
+    return scored.drop("text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.json") -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counted = token_counts(docs, vocabulary, budget=TOKEN_LIMIT)
@@ -85,6 +100,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(sizes).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -94,8 +113,11 @@ def queries() -> dict[str, Query]:
         "op1_secrets": op1_secrets,
         "op2_decontamination": op2_decontamination,
         "op3_quality": op3_quality,
+        "op4_html_text": op4_html_text,
         "op5_near_duplicates": op5_near_duplicates,
+        "op6_language_id": op6_language_id,
         "op7_token_counts": op7_token_counts,
         "op8_mixing": op8_mixing,
+        "op9_paragraphs": op9_paragraphs,
         "op10_language_model": op10_language_model,
     }
