@@ -12,6 +12,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import tablewarden as tw  # noqa: E402
 from registry.queries import queries  # noqa: E402
-from registry.views import DOCUMENTS, EVENTS, LINEITEM, ORDERS, Audited  # noqa: E402
+from registry.views import DOCUMENTS, EVENTS, LINEITEM, ORDERS, PAGES, Audited  # noqa: E402
 
 HEADLINE = (
     "null_counts_events",
@@ -68,6 +69,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablewarden-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -78,7 +80,9 @@ def main() -> None:
     runs["audit_orders"] = audited(ORDERS)
     runs["audit_documents"] = audited(DOCUMENTS)
     runs["audit_messy_events"] = audited(EVENTS)
+    runs["audit_pages"] = audited(PAGES)
     runs["repair_messy_events"] = repaired(EVENTS)
+    runs["change_log_messy_events"] = lambda spark, sf_dir: finish(tw.repair(EVENTS.spark(spark, sf_dir), EVENTS.row_id).change_log)
     seconds = {}
     for name, run in runs.items():
         best = float("inf")

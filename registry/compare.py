@@ -9,6 +9,7 @@ import argparse
 import glob
 import math
 import os
+import tempfile
 import time
 
 import duckdb
@@ -74,6 +75,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tablewarden-compare-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

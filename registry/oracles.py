@@ -8,6 +8,7 @@ from .views import (
     DOCUMENTS,
     EMBEDDINGS,
     EVENTS,
+    KEYS,
     LABELS,
     LINEITEM,
     ORDERS,
@@ -316,20 +317,49 @@ def profile_texts(table: Audited) -> str:
 
 
 def top_values(table: Audited, only: list[str] | None = None) -> str:
-    """Long texts order by the digest of the whole text among equal counts."""
+    """Equal counts order by the plain value."""
     parts = []
-    for c, dtype, _ in table.columns:
+    for c, _, _ in table.columns:
         if only is not None and c not in only:
             continue
-        key = f"CASE WHEN strlen({c}) <= 64 THEN {c} ELSE concat('sha256:', sha256({c})) END" if dtype == "string" else c
         parts.append(
             f"SELECT '{c}' AS \"column\", CAST(row_number() OVER (ORDER BY n DESC, k) AS INTEGER) AS rank, value, n AS \"count\" "
-            f"FROM (SELECT {key} AS k, CAST(any_value({c}) AS VARCHAR) AS value, count(*) AS n FROM base "
+            f"FROM (SELECT {c} AS k, CAST(any_value({c}) AS VARCHAR) AS value, count(*) AS n FROM base "
             f"WHERE {c} IS NOT NULL GROUP BY {c}) g"
         )
     return with_base(table, f"SELECT * FROM ({union(parts)}) t WHERE rank <= 5")
 
 
+def audit_values(table: Audited) -> str:
+    """Ranges, moments and most frequent values of every column."""
+    parts = []
+    for i, (c, _, kind) in enumerate(table.columns):
+        numbers = ["CAST(NULL AS DOUBLE)"] * 4
+        texts = ["CAST(NULL AS VARCHAR)"] * 2
+        if kind == "numeric":
+            x = f"CAST({c} AS DOUBLE)"
+            numbers = [f"min({x})", f"max({x})", f"round(avg({x}), 4)", f"round(stddev_samp({x}), 4)"]
+        else:
+            texts = [shown(f"min({c})", kind), shown(f"max({c})", kind)]
+        best = (
+            f"SELECT {shown(c, kind)} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS place "
+            f"FROM base WHERE {c} IS NOT NULL GROUP BY {c}"
+        )
+        parts.append(
+            f"SELECT {i} AS position, '{c}' AS \"column\", {numbers[0]} AS min_number, {numbers[1]} AS max_number, "
+            f"{texts[0]} AS min_text, {texts[1]} AS max_text, {numbers[2]} AS mean_value, {numbers[3]} AS std_value, "
+            f"coalesce((SELECT string_agg(concat(value, '=', n), '|' ORDER BY place) FROM ({best}) b WHERE place <= 5), '') AS top_values FROM base"
+        )
+    return with_base(table, union(parts))
+
+
+def shown(value: str, kind: str) -> str:
+    """A value as Spark prints it; timestamps without the zeros at the end of the fraction."""
+    if kind != "temporal":
+        return f"CAST({value} AS VARCHAR)"
+    return f"regexp_replace(regexp_replace(strftime({value}, '%Y-%m-%d %H:%M:%S.%f'), '0+$', ''), '\\.$', '')"
+
+
 def iqr_fences(table: Audited, multiplier: float = 1.5) -> str:
     return with_base(table, fences(table, multiplier))
 
@@ -471,19 +501,16 @@ def missing_blocks(table: Audited, block: int) -> str:
     )
 
 
-def normalised(table: Audited, shown: list[str]) -> str:
-    return with_base(table, f"SELECT {', '.join(shown)} FROM base")
-
-
-def kept_rows(table: Audited) -> str:
-    return f"base AS ({table.duckdb()}), kept AS (SELECT * EXCLUDE (occurrence) FROM ({numbered(table, names(table))}) n WHERE occurrence = 1)"
+def kept_rows(table: Audited, keys: list[str] | None = None) -> str:
+    found = numbered(table, keys or names(table))
+    return f"base AS ({table.duckdb()}), kept AS (SELECT * EXCLUDE (occurrence) FROM ({found}) n WHERE occurrence = 1)"
 
 
 # Whole-number columns with missing values; the others have no finding and keep their type.
 FILLED_INTEGERS = ("nation_key",)
 
 
-def repaired(table: Audited) -> tuple[str, list[tuple[str, str, str]]]:
+def repaired(table: Audited, keys: list[str] | None = None) -> tuple[str, list[tuple[str, str, str]]]:
     """CTEs up to ``joined`` (kept rows with fences and medians) and (column, old, new) expressions."""
     medians_sql = ", ".join(
         f"(SELECT CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE) FROM kept) AS med_{c}" for c in table.numeric()
@@ -493,7 +520,7 @@ def repaired(table: Audited) -> tuple[str, list[tuple[str, str, str]]]:
         for c in table.numeric()
     )
     ctes = (
-        f"WITH {kept_rows(table)}, fences AS ({fences(table)}), "
+        f"WITH {kept_rows(table, keys)}, fences AS ({fences(table)}), "
         f"params AS (SELECT {medians_sql}, {fences_sql}), joined AS (SELECT * FROM kept, params)"
     )
     new = []
@@ -512,14 +539,14 @@ def repaired(table: Audited) -> tuple[str, list[tuple[str, str, str]]]:
     return ctes, new
 
 
-def clean_all(table: Audited) -> str:
+def clean_all(table: Audited, keys: list[str] | None = None) -> str:
     """Columns without a finding keep their values: they lie inside their fences and hold no nulls."""
-    ctes, new = repaired(table)
+    ctes, new = repaired(table, keys)
     return f"{ctes} SELECT {table.row_id}, {', '.join(f'{n} AS {c}' for c, _, n in new)} FROM joined"
 
 
-def change_log(table: Audited) -> str:
-    ctes, new = repaired(table)
+def change_log(table: Audited, keys: list[str] | None = None) -> str:
+    ctes, new = repaired(table, keys)
     parts = [
         f"SELECT {i} AS position, '{c}' AS \"column\", "
         f"count(*) FILTER (WHERE {old} IS NULL AND {n} IS NOT NULL) AS filled, "
@@ -533,13 +560,13 @@ def change_log(table: Audited) -> str:
 
 
 def fill(table: Audited, c: str, value: str) -> str:
-    return with_base(table, f"SELECT {table.row_id}, coalesce({c}, {value}) AS {c} FROM base")
+    return with_base(table, f"SELECT * REPLACE (coalesce({c}, {value}) AS {c}) FROM base")
 
 
 def clamp(table: Audited, c: str) -> str:
     return (
-        f"WITH base AS ({table.duckdb()}), fences AS ({fences(table)}) SELECT b.{table.row_id}, "
-        f"CASE WHEN b.{c} < f.lower_fence THEN f.lower_fence WHEN b.{c} > f.upper_fence THEN f.upper_fence ELSE b.{c} END AS {c} "
+        f"WITH base AS ({table.duckdb()}), fences AS ({fences(table)}) SELECT b.* REPLACE ("
+        f"CASE WHEN b.{c} < f.lower_fence THEN f.lower_fence WHEN b.{c} > f.upper_fence THEN f.upper_fence ELSE b.{c} END AS {c}) "
         f"FROM base b, (SELECT * FROM fences WHERE \"column\" = '{c}') f"
     )
 
@@ -549,8 +576,8 @@ def oracle_sql() -> dict[str, str]:
         # Sources, sinks and preparation
         "csv_round_trip": with_base(CUSTOMERS, "SELECT * FROM base"),
         "csv_inferred_types": "SELECT * FROM orders",
-        "normalise_nulls": normalised(EVENTS, ["row_id", "value"]),
-        "row_index": "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index, o_orderkey, o_orderdate FROM orders",
+        "normalise_nulls": with_base(EVENTS, "SELECT * FROM base"),
+        "row_index": "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index, * FROM orders",
         # Profile
         "null_counts": null_counts(CUSTOMERS),
         "null_counts_events": null_counts(EVENTS),
@@ -566,7 +593,9 @@ def oracle_sql() -> dict[str, str]:
         "profile_strings_documents": profile_texts(DOCUMENTS),
         "profile_temporal": profile_texts(EVENTS),
         "top_values": top_values(CUSTOMERS),
-        "top_values_lineitem": top_values(LINEITEM, ["l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_suppkey"]),
+        "top_values_lineitem": top_values(LINEITEM),
+        "top_values_events": top_values(EVENTS),
+        "top_values_pages": top_values(PAGES),
         "top_values_documents": top_values(DOCUMENTS),
         "top_values_conversations": top_values(CONVERSATIONS),
         "histogram": histogram(EVENTS),
@@ -598,9 +627,9 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_rows_embeddings": duplicate_rows(EMBEDDINGS, ["embedding"]),
         "dup_subset_invalid": duplicate_rows(DOCUMENTS, ["text", "lang"]),
         "duplicate_rows_pages": duplicate_rows(PAGES, ["html"]),
-        "duplicate_flag": duplicate_flags(CUSTOMERS, ["cust_id", "balance"]),
-        "drop_duplicates": drop_duplicates(EVENTS, ["row_id", "user_id", "value", "amount_text"]),
-        "drop_duplicates_subset": drop_duplicates(DOCUMENTS, ["doc_id", "lang", "source", "n_chars"], ["text"]),
+        "duplicate_flag": duplicate_flags(CUSTOMERS, names(CUSTOMERS)),
+        "drop_duplicates": drop_duplicates(EVENTS, ["row_id", *names(EVENTS)]),
+        "drop_duplicates_subset": drop_duplicates(DOCUMENTS, ["doc_id", *names(DOCUMENTS)], ["text"]),
         # Anomalies
         "anomaly_null_columns": anomalies(CUSTOMERS, "null_column"),
         "anomaly_zero_columns": anomalies(CUSTOMERS, "zero_column"),
@@ -612,6 +641,11 @@ def oracle_sql() -> dict[str, str]:
         "enriched_profile_events": enriched(EVENTS),
         "enriched_profile_lineitem": enriched(LINEITEM),
         "enriched_profile_documents": enriched(DOCUMENTS),
+        "enriched_profile_pages": enriched(PAGES),
+        "audit_values": audit_values(CUSTOMERS),
+        "audit_values_events": audit_values(EVENTS),
+        "audit_values_documents": audit_values(DOCUMENTS),
+        "audit_values_pages": audit_values(PAGES),
         "column_scores": scores(CUSTOMERS),
         "column_scores_events": scores(EVENTS),
         "column_scores_orders": scores(ORDERS),
@@ -632,16 +666,25 @@ def oracle_sql() -> dict[str, str]:
         "change_log": change_log(CUSTOMERS),
         "change_log_events": change_log(EVENTS),
         "change_log_joined": change_log(EVENTS),
+        "clean_all_subset": clean_all(EVENTS, ["user_id", "event_type"]),
+        "change_log_subset": change_log(EVENTS, ["user_id", "event_type"]),
+        "duplicates_after_repair": "SELECT CAST(0 * count(*) AS BIGINT) AS duplicate_count FROM events",
+        "fill_large_integers": fill(KEYS, "big_key", "(SELECT CAST(median(CAST(big_key AS DOUBLE)) AS BIGINT) FROM base)"),
+        "fill_decimal": with_base(
+            KEYS,
+            "SELECT * REPLACE (coalesce(CAST(price AS DECIMAL(18, 3)), (SELECT CAST(median(CAST(price AS DOUBLE)) AS DECIMAL(18, 3)) FROM base)) AS price) FROM base",
+        ),
+        "generated_ids": "SELECT * FROM orders",
         "fill_median": fill(EVENTS, "value", "(SELECT median(value) FROM base)"),
         "fill_all_null": fill(CUSTOMERS, "null_col", "0.0"),
         "fill_boolean": fill(EVENTS, "is_large", "FALSE"),
         "fill_string": fill(EVENTS, "event_type", "'Unknown'"),
-        "fill_temporal_skip": with_base(EVENTS, "SELECT row_id, ts FROM base"),
+        "fill_temporal_skip": with_base(EVENTS, "SELECT * FROM base"),
         "clamp_outliers": clamp(EVENTS, "value"),
         "clamp_outliers_documents": (
-            f"WITH base AS ({DOCUMENTS.duckdb()}), fences AS ({fences(DOCUMENTS)}) SELECT b.doc_id, "
+            f"WITH base AS ({DOCUMENTS.duckdb()}), fences AS ({fences(DOCUMENTS)}) SELECT b.* REPLACE ("
             "CAST(CASE WHEN n_chars < ceil(lower_fence) THEN ceil(lower_fence) WHEN n_chars > floor(upper_fence) "
-            "THEN floor(upper_fence) ELSE n_chars END AS BIGINT) AS n_chars FROM base b, "
+            "THEN floor(upper_fence) ELSE n_chars END AS BIGINT) AS n_chars) FROM base b, "
             "(SELECT * FROM fences WHERE \"column\" = 'n_chars') f"
         ),
     }

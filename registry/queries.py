@@ -17,6 +17,7 @@ from .views import (
     DOCUMENTS,
     EMBEDDINGS,
     EVENTS,
+    KEYS,
     LABELS,
     LINEITEM,
     ORDERS,
@@ -78,12 +79,29 @@ def text_profile(df: DataFrame, row_id: str | None) -> DataFrame:
     )
 
 
-def top(*columns: str) -> Callable[[DataFrame, str | None], DataFrame]:
-    def build(df: DataFrame, row_id: str | None) -> DataFrame:
-        chosen = df.select(*columns) if columns else df
-        return tw.top_values(chosen, None if columns else row_id).select("column", "rank", "value", "count")
+def top() -> Callable[[DataFrame, str | None], DataFrame]:
+    return lambda df, rid: tw.top_values(df, rid).select("column", "rank", "value", "count")
 
-    return build
+
+def hub_values(df: DataFrame, row_id: str | None) -> DataFrame:
+    """What an audit knows about the values of each column, the most frequent ones included."""
+    best = F.transform("top_values", lambda v: F.concat_ws("=", v["value"], v["count"].cast("string")))
+    return tw.audit(df, row_id).profile.select(
+        "position",
+        "column",
+        "min_number",
+        "max_number",
+        "min_text",
+        "max_text",
+        F.round("mean_value", 4).alias("mean_value"),
+        F.round("std_value", 4).alias("std_value"),
+        F.array_join(best, "|").alias("top_values"),
+    )
+
+
+def doubles(df: DataFrame, *names: str) -> DataFrame:
+    """The type of a filled whole-number column depends on its median; its values do not."""
+    return df.withColumns({c: F.col(c).cast("double") for c in names if c in df.columns})
 
 
 def anomaly(kind: str) -> Callable[[DataFrame, str | None], DataFrame]:
@@ -124,16 +142,30 @@ def suggested(hub: DataFrame) -> DataFrame:
 
 
 def fixed(column: str, action: str = FILL_MISSING) -> Callable[[DataFrame, str | None], DataFrame]:
-    """One fix on one column; fences come from the table itself."""
+    """One fix on one column, all others pass through; fences come from the table itself."""
 
     def build(df: DataFrame, row_id: str | None) -> DataFrame:
-        fence = tw.outlier_counts(df, row_id, [column]).first()
-        fix = tw.Fix(column, action, fence["lower_fence"], fence["upper_fence"])
-        return tw.apply_fixes(df, [fix], row_id).select(row_id, column)
+        fix = tw.Fix(column, action)
+        if action == CAP_OUTLIERS:
+            fence = tw.outlier_counts(df, row_id, [column]).first()
+            fix = tw.Fix(column, action, fence["lower_fence"], fence["upper_fence"])
+        return tw.apply_fixes(df, [fix], row_id)
 
     return build
 
 
+def generated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids are added, used, and gone again in the file."""
+    keyed, name = tw.with_row_id(ORDERS.spark(spark, sf_dir))
+    unique = keyed.join(tw.duplicate_rows(keyed, name), name, "left_anti")
+    path = scratch_path(spark, "csv")
+    tw.write_csv(unique, path)
+    return tw.read_csv(spark, path, schema=ORDERS.spark(spark, sf_dir).schema)
+
+
+BY_USER_AND_TYPE = tw.Settings(duplicate_subset=("user_id", "event_type"))
+
+
 def joined_log(df: DataFrame, row_id: str | None) -> DataFrame:
     return tw.change_log(df, tw.repair(df, row_id).cleaned, row_id)
 
@@ -143,10 +175,10 @@ def queries() -> dict[str, Query]:
         # Sources, sinks and preparation
         "csv_round_trip": csv_round_trip,
         "csv_inferred_types": csv_inferred_types,
-        "normalise_nulls": over(EVENTS, lambda df, rid: tw.normalise_nulls(df).select(rid, "value")),
+        "normalise_nulls": over(EVENTS, lambda df, rid: tw.normalise_nulls(df)),
         "row_index": over(
             ORDERS,
-            lambda df, rid: tw.row_index(df.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]),
+            lambda df, rid: tw.row_index(df, ["o_orderdate", "o_orderkey"]),
         ),
         # Profile
         "null_counts": over(CUSTOMERS, tw.null_counts),
@@ -163,9 +195,9 @@ def queries() -> dict[str, Query]:
         "profile_strings_documents": over(DOCUMENTS, text_profile),
         "profile_temporal": over(EVENTS, text_profile),
         "top_values": over(CUSTOMERS, top()),
-        "top_values_lineitem": over(
-            LINEITEM, top("l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_suppkey")
-        ),
+        "top_values_lineitem": over(LINEITEM, top()),
+        "top_values_events": over(EVENTS, top()),
+        "top_values_pages": over(PAGES, top()),
         "top_values_documents": over(DOCUMENTS, top()),
         "top_values_conversations": over(CONVERSATIONS, top()),
         "histogram": over(EVENTS, tw.histogram),
@@ -206,14 +238,14 @@ def queries() -> dict[str, Query]:
         "duplicate_rows_pages": over(PAGES, lambda df, rid: tw.duplicate_rows(df, rid, ["html"])),
         "duplicate_flag": over(
             CUSTOMERS,
-            lambda df, rid: tw.duplicate_flags(df, rid).select("row_id", "cust_id", "balance", "is_duplicate"),
+            lambda df, rid: tw.duplicate_flags(df, rid),
         ),
         "drop_duplicates": over(
-            EVENTS, lambda df, rid: tw.drop_duplicates(df, rid).select("row_id", "user_id", "value", "amount_text")
+            EVENTS, lambda df, rid: tw.drop_duplicates(df, rid)
         ),
         "drop_duplicates_subset": over(
             DOCUMENTS,
-            lambda df, rid: tw.drop_duplicates(df, rid, ["text"]).select("doc_id", "lang", "source", "n_chars"),
+            lambda df, rid: tw.drop_duplicates(df, rid, ["text"]),
         ),
         # Anomalies
         "anomaly_null_columns": over(CUSTOMERS, anomaly("null_column")),
@@ -226,6 +258,11 @@ def queries() -> dict[str, Query]:
         "enriched_profile_events": on_hub(EVENTS, known),
         "enriched_profile_lineitem": on_hub(LINEITEM, known),
         "enriched_profile_documents": on_hub(DOCUMENTS, known),
+        "enriched_profile_pages": on_hub(PAGES, known),
+        "audit_values": over(CUSTOMERS, hub_values),
+        "audit_values_events": over(EVENTS, hub_values),
+        "audit_values_documents": over(DOCUMENTS, hub_values),
+        "audit_values_pages": over(PAGES, hub_values),
         "column_scores": on_hub(CUSTOMERS, tw.column_scores),
         "column_scores_events": on_hub(EVENTS, tw.column_scores),
         "column_scores_orders": on_hub(ORDERS, tw.column_scores),
@@ -243,12 +280,20 @@ def queries() -> dict[str, Query]:
         # Repair
         "suggestions": on_hub(CUSTOMERS, suggested),
         "suggestions_events": on_hub(EVENTS, suggested),
-        "clean_all": over(CUSTOMERS, lambda df, rid: tw.repair(df, rid).cleaned),
+        "clean_all": over(CUSTOMERS, lambda df, rid: doubles(tw.repair(df, rid).cleaned, "nation_key")),
+        "clean_all_subset": over(EVENTS, lambda df, rid: tw.repair(df, rid, BY_USER_AND_TYPE).cleaned),
+        "change_log_subset": over(EVENTS, lambda df, rid: tw.repair(df, rid, BY_USER_AND_TYPE).change_log),
+        "duplicates_after_repair": over(
+            EVENTS, lambda df, rid: tw.duplicate_count(df.join(tw.repair(df, rid, BY_USER_AND_TYPE).cleaned, rid, "left_semi"), rid, BY_USER_AND_TYPE.subset)
+        ),
         "clean_all_events": over(EVENTS, lambda df, rid: tw.repair(df, rid).cleaned),
         "change_log": over(CUSTOMERS, lambda df, rid: tw.repair(df, rid).change_log),
         "change_log_events": over(EVENTS, lambda df, rid: tw.repair(df, rid).change_log),
         "change_log_joined": over(EVENTS, joined_log),
         "fill_median": over(EVENTS, fixed("value")),
+        "fill_large_integers": over(KEYS, fixed("big_key")),
+        "fill_decimal": over(KEYS, lambda df, rid: fixed("price")(df, rid).withColumn("price", F.col("price").cast("decimal(18,3)"))),
+        "generated_ids": generated_ids,
         "fill_all_null": over(CUSTOMERS, fixed("null_col")),
         "fill_boolean": over(EVENTS, fixed("is_large")),
         "fill_string": over(EVENTS, fixed("event_type")),

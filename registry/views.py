@@ -234,6 +234,19 @@ EMBEDDINGS = Audited(
     ("embeddings",),
 )
 
+# Orders with keys that no double holds, some of them missing, and prices as decimals.
+KEYS = Audited(
+    """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
+       CASE WHEN o_orderkey % 7 <> 0 THEN 9007199254740993 + 2 * o_orderkey END AS big_key,
+       CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_totalprice AS DECIMAL(15, 2)) END AS price
+FROM {orders}
+""",
+    "o_orderkey",
+    (*ORDERS.columns, ("big_key", "bigint", "numeric"), ("price", "decimal(15,2)", "numeric")),
+    ("orders",),
+)
+
 # Orders without a customer: there are none, but both tables are read in full to find that out.
 ORPHANED_ORDERS = Audited(
     "SELECT o.* FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = o.o_custkey)",

@@ -16,7 +16,7 @@ from .operators.scoring import column_scores, dataset_score, score_bands, with_g
 from .plans.audit import Audit, audit, enriched_profile
 from .plans.repair import Repair, repair
 from .settings import DEFAULTS, Grades, Settings, Weights
-from .sources import read_csv, read_parquet, write_csv
+from .sources import read_csv, read_parquet, remove_scratch, staged_parquet, write_csv
 
 __all__ = [
     "DEFAULTS",
@@ -56,6 +56,8 @@ __all__ = [
     "overview",
     "profile",
     "read_csv",
+    "remove_scratch",
+    "staged_parquet",
     "read_parquet",
     "repair",
     "row_index",

@@ -6,8 +6,9 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import AuditColumn, audited_columns
+from ..functions.columns import NUMERIC, OTHER, AuditColumn, audited_columns
 from ..functions.sqltext import array, quote, struct, text
 from .duplicates import comparable
 from .rows import normalise_nulls
@@ -38,6 +39,39 @@ def _row(c: AuditColumn, before: str | None, after: str | None, rows_dropped: st
     )
 
 
+def _on_common_ground(before: AuditColumn, after: AuditColumn, old: str, new: str) -> tuple[str, str]:
+    """The two values in one type that holds both exactly: as they are, as decimals, or as texts."""
+    if before.data_type == after.data_type or before.type_class == after.type_class == OTHER:
+        return old, new
+    if before.type_class == after.type_class == NUMERIC:
+        scale = max(_digits(before)[1], _digits(after)[1])
+        whole = max(_digits(before)[0], _digits(after)[0])
+        if whole + scale <= 38:
+            return f"CAST({old} AS DECIMAL({whole + scale}, {scale}))", f"CAST({new} AS DECIMAL({whole + scale}, {scale}))"
+        # A double against a whole number or decimal: equal only if both directions agree.
+        exact, real = (old, new) if _digits(after)[0] > 38 else (new, old)
+        kind = (before if exact == old else after).dtype
+        same = f"(CAST({exact} AS DOUBLE) = {real} AND try_cast({real} AS {kind}) = {exact})"
+        shown = f"CASE WHEN {{0}} IS NOT NULL THEN CASE WHEN coalesce({same}, false) THEN 0 ELSE {{1}} END END"
+        return shown.format(old, 1), shown.format(new, 2)
+    return tuple(f"CASE WHEN {v} IS NOT NULL THEN {_shown(c, v)} END" for c, v in ((before, old), (after, new)))
+
+
+def _shown(c: AuditColumn, value: str) -> str:
+    # Long texts and bytes are digests already.
+    return f"to_json(named_struct('v', {value}))" if c.type_class == OTHER else f"CAST({value} AS STRING)"
+
+
+def _digits(c: AuditColumn) -> tuple[int, int]:
+    """Digits before and behind the point; more than any decimal holds for binary fractions."""
+    kind = c.data_type
+    if isinstance(kind, T.DecimalType):
+        return kind.precision - kind.scale, kind.scale
+    if isinstance(kind, T.IntegralType):
+        return 19, 0
+    return 1000, 0
+
+
 def _log(df: DataFrame, rows: list[str]) -> DataFrame:
     """One aggregate for all columns: what lies under it, a join or a grouping, must not run twice."""
     if not rows:
@@ -76,12 +110,15 @@ def change_log(original: DataFrame, cleaned: DataFrame, row_id: str) -> DataFram
         return df.selectExpr(f"{quote(row_id)} AS id", f"true AS in_{label}", *values)
 
     before = side(original, "before", shared)
-    after = side(cleaned, "after", [replace(c, data_type=types[c.name]) for c in shared])
+    now = [replace(c, data_type=types[c.name]) for c in shared]
+    after = side(cleaned, "after", now)
+    new_types = {c.name: c for c in now}
     rows = []
     for c in columns:
         old = new = None
         if c.name in common:
             # Rows on one side only are no changes of values: both sides turn null.
             old, new = (f"CASE WHEN in_before AND in_after THEN {label}_{c.position} END" for label in ("before", "after"))
+            old, new = _on_common_ground(c, new_types[c.name], old, new)
         rows.append(_row(c, old, new, "count(in_before) - count(in_after)"))
     return _log(before.join(after, "id", "full"), rows)

@@ -97,22 +97,6 @@ def duplicate_flags(df: DataFrame, row_id: str, subset: Sequence[str] | None = N
     return df.join(firsts, row_id, "left").selectExpr(*[quote(c) for c in df.columns], label)
 
 
-def kept_values(
-    df: DataFrame, wanted: list[AuditColumn], row_id: str | None = None, subset: Sequence[str] | None = None
-) -> DataFrame:
-    """Some columns of the rows that ``drop_duplicates`` keeps, as a multiset.
-
-    For whole rows the compact keys are grouped, so long texts do not travel for columns not wanted.
-    """
-    df = normalise_nulls(df)
-    columns = key_columns(df, row_id, subset)
-    if len(columns) < len(audited_columns(df, row_id)):
-        return drop_duplicates(df, row_id, subset).select(*[c.value for c in wanted])
-    keyed = df.selectExpr(*_keys(columns)).distinct()
-    positions = {c.name: c.position for c in columns}
-    return keyed.selectExpr(*[f"key_{positions[c.name]} AS {c.sql}" for c in wanted])
-
-
 def drop_duplicates(df: DataFrame, row_id: str | None = None, subset: Sequence[str] | None = None) -> DataFrame:
     """The table with one row per group, the first by row id.
 

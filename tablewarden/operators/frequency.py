@@ -22,6 +22,8 @@ COLUMNS_PER_PASS = 40
 # so it can not be mistaken for a short value.
 SHORT_BYTES = 64
 _DIGEST_PREFIX = "sha256:"
+# Most copies of one text that meet in a task while the texts of the winners are fetched.
+_SALTS = 64
 
 _RANKED = "STRUCT<rank: INT, value: STRING, count: BIGINT>"
 _VALUE_LIST = "ARRAY<STRUCT<value: STRING, count: BIGINT>>"
@@ -36,6 +38,14 @@ def compact_key(value: str) -> str:
     )
 
 
+def _ordered_key(value: str) -> str:
+    """A compact key that sorts like the value up to the characters it keeps of long ones."""
+    return (
+        f"CASE WHEN octet_length({value}) <= {SHORT_BYTES} THEN CAST({value} AS STRING) "
+        f"WHEN {value} IS NOT NULL THEN concat(left({value}, {SHORT_BYTES}), '{_DIGEST_PREFIX}', sha2({value}, 256)) END"
+    )
+
+
 def is_text(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.CharType, T.VarcharType))
 
@@ -50,13 +60,13 @@ def _key(c: AuditColumn) -> tuple[str, str] | None:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return "double", f"CAST({c.sql} AS DOUBLE)"
     if is_text(kind):
-        return "string", compact_key(c.sql)
+        return "string", _ordered_key(c.sql)
     if isinstance(kind, T.BinaryType):
         return "digest", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2({c.sql}, 256) END"
-    if c.type_class == OTHER:
-        return "digest", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2(to_json(named_struct('v', {c.sql})), 256) END"
-    # Dates, timestamps, intervals and decimals group as they are: two instants around a daylight
-    # saving change print alike, and printing every value would cost more than counting it.
+    if isinstance(kind, T.VariantType):
+        return "digest", f"CASE WHEN {c.sql} IS NOT NULL THEN sha2(to_json({c.sql}), 256) END"
+    # Dates, timestamps, intervals, decimals and nested values group as they are, just as they do when
+    # rows are compared: two instants may print alike, and 0.0 equals -0.0 at any depth.
     return c.dtype, c.sql
 
 
@@ -110,16 +120,22 @@ def _keys_counted(df: DataFrame, columns: list[AuditColumn], counted: list[DataF
 
 def _top(df: DataFrame, group: list[tuple[AuditColumn, str]], counted: DataFrame, n: int) -> DataFrame:
     """(position, column, rank, value, count) of the n most frequent values per column."""
-    best = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("key"))
-    # The rank filter runs before the shuffle too, so a task sends at most n rows per column.
-    winners = counted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    texts = [c for c, _ in group if is_text(c.data_type)]
+    order = F.expr(f"CASE WHEN octet_length(key) > {SHORT_BYTES} THEN left(key, {SHORT_BYTES}) ELSE key END") if texts else F.col("key")
+    best = Window.partitionBy("position").orderBy(F.desc("count"), order)
+    # The rank filter runs before the shuffle too. Only long texts can tie: those with equal counts and
+    # the same beginning all stay until their whole texts decide.
+    winners = counted.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= n)
     names = " ".join(f"WHEN {c.position} THEN {text(c.name)}" for c, _ in group)
     prints = " ".join(f"WHEN {c.position} THEN {_printed(c)}" for c, _ in group)
     winners = winners.selectExpr(
         "position", f"CASE position {names} END AS column", "rank", "key", f"CASE position {prints} END AS value", "count"
     )
-    texts = [c for c, _ in group if is_text(c.data_type)]
-    return _with_long_texts(df, texts, winners) if texts else winners.drop("key")
+    if not texts:
+        return winners.drop("key")
+    whole = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("value"))
+    ranked = _with_long_texts(df, texts, winners).withColumn("rank", F.row_number().over(whole))
+    return ranked.where(F.col("rank") <= n)
 
 
 def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
@@ -138,9 +154,10 @@ def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
 
 
 def top_values(df: DataFrame, row_id: str | None = None, n: int = TOP) -> DataFrame:
-    """The n most frequent non-null values per column; equal counts order by value.
+    """The n most frequent non-null values per column; equal counts order by value, whatever its length.
 
-    Long texts are ranked by digest; their text is fetched afterwards for the few winners only.
+    Long texts are counted by digest. Their texts are fetched only for the winners and for those that
+    tie with the last one in count and beginning.
     """
     df = normalise_nulls(df)
     columns = [c for c in audited_columns(df, row_id) if c.type_class != OTHER]
@@ -176,20 +193,22 @@ def value_summary(df: DataFrame, row_id: str | None = None) -> DataFrame:
 def _with_long_texts(df: DataFrame, texts: list[AuditColumn], winners: DataFrame) -> DataFrame:
     """Winners with digests replaced by the texts they stand for.
 
-    The winners are at most n rows per column, so they are broadcast. If none is a digest, the
-    adaptive plan sees the empty side first and never reads the table again.
+    If none is a digest, the adaptive plan sees the empty side first and never reads the table again.
+    Copies of a text are reduced to one per salt before they meet, as a winner may fill every task.
     """
     wanted = winners.where(F.octet_length("key") > SHORT_BYTES).select("position", "key")
     long = {c.position: f"CASE WHEN octet_length({c.sql}) > {SHORT_BYTES} THEN {c.sql} END" for c in texts}
     found = (
         _unpivoted(df, long, "long_text")
-        .selectExpr("position", f"{compact_key('long_text')} AS key", "long_text")
-        .join(F.broadcast(wanted), ["position", "key"], "left_semi")
-        .groupBy("position", "key")
+        .selectExpr("position", f"{_ordered_key('long_text')} AS key", "long_text")
+        .join(wanted, ["position", "key"], "left_semi")
         # All texts of a digest are equal, so the set holds one; unlike first() on texts it needs no sort.
+        .groupBy("position", "key", F.expr(f"spark_partition_id() % {_SALTS} AS salt"))
+        .agg(F.expr("element_at(collect_set(long_text), 1) AS long_text"))
+        .groupBy("position", "key")
         .agg(F.expr("element_at(collect_set(long_text), 1) AS long_text"))
     )
-    # Few rows, but of texts of any length: Spark picks the join by their real size.
+    # Mostly few rows, but of texts of any length: Spark picks the join by their real size.
     return winners.join(found, ["position", "key"], "left").selectExpr(
         "position", "column", "rank", "coalesce(long_text, value) AS value", "count"
     )

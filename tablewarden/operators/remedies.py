@@ -14,7 +14,7 @@ from ..functions.columns import BOOLEAN, NUMERIC, STRING, TEMPORAL, AuditColumn,
 from ..functions.sqltext import array, double, quote, struct, text
 from ..sources.scratch import checkpointed
 from .changes import changes_within
-from .duplicates import drop_duplicates, kept_values
+from .duplicates import drop_duplicates
 from .quantiles import medians_by_column
 from .rows import normalise_nulls
 
@@ -108,11 +108,35 @@ def _first_per_column(fixes: list[Fix], action: str) -> dict[str, Fix]:
     return chosen
 
 
+def _holding(c: AuditColumn, median: float) -> T.DataType:
+    """The narrowest type like the column's that holds its values and the median exactly.
+
+    A median of whole or decimal values is the mean of two of them, so one more digit is enough.
+    """
+    kind = c.data_type
+    if isinstance(kind, T.IntegralType):
+        return kind if float(median).is_integer() else T.DecimalType(20, 1)
+    if isinstance(kind, T.DecimalType) and kind.precision < 38:
+        exact = Decimal(repr(float(median)))
+        if exact != exact.quantize(Decimal(1).scaleb(-kind.scale), context=Context(prec=400)):
+            return T.DecimalType(kind.precision + 1, kind.scale + 1)
+    return kind
+
+
+def _number(value: float, kind: T.DataType) -> str:
+    """A literal of a numeric type."""
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        unit = Decimal(1).scaleb(-getattr(kind, "scale", 0))
+        exact = Decimal(repr(float(value))).quantize(unit, context=Context(prec=400))
+        return f"try_cast('{exact:f}' AS {kind.simpleString()})"
+    return f"CAST({double(value)} AS {kind.simpleString()})"
+
+
 def _filled(c: AuditColumn, median: float | None) -> str:
-    """The column with its nulls filled by the rule of its type class."""
+    """The column with its nulls filled by the rule of its type class; values that are there stay exactly."""
     if c.type_class == NUMERIC:
-        kind = "FLOAT" if isinstance(c.data_type, T.FloatType) else "DOUBLE"
-        return f"coalesce(CAST({c.sql} AS {kind}), CAST({double(median or 0.0)} AS {kind}))"
+        kind = _holding(c, median or 0.0)
+        return f"coalesce(CAST({c.sql} AS {kind.simpleString()}), {_number(median or 0.0, kind)})"
     if c.type_class == BOOLEAN:
         return f"coalesce({c.sql}, false)"
     if c.type_class == STRING:
@@ -121,22 +145,23 @@ def _filled(c: AuditColumn, median: float | None) -> str:
     return c.sql
 
 
-def _clamped(c: AuditColumn, value: str, filled: bool, fix: Fix) -> str:
-    """The value moved inside the fences. Nulls stay null.
+def _clamped(value: str, kind: T.DataType, fix: Fix) -> str:
+    """The value of a numeric type moved inside the fences. Nulls and the type stay.
 
-    Whole and decimal columns keep their type: the fences move inward to the next value of the type.
+    For whole and decimal numbers the fences move inward to the next value of the type.
     """
-    lower, upper = double(fix.lower_fence), double(fix.upper_fence)
-    if isinstance(c.data_type, (T.IntegralType, T.DecimalType)) and not filled:
-        exact, unit = Context(prec=400), Decimal(1).scaleb(-getattr(c.data_type, "scale", 0))
+    if isinstance(kind, (T.IntegralType, T.DecimalType)):
+        exact, unit = Context(prec=400), Decimal(1).scaleb(-getattr(kind, "scale", 0))
         # A fence outside the range of the type is null here and moves nothing.
         lower, upper = (
-            f"try_cast('{Decimal(fence).quantize(unit, rounding=side, context=exact):f}' AS {c.dtype})"
+            f"try_cast('{Decimal(fence).quantize(unit, rounding=side, context=exact):f}' AS {kind.simpleString()})"
             for fence, side in ((fix.lower_fence, ROUND_CEILING), (fix.upper_fence, ROUND_FLOOR))
         )
-    else:
-        value = f"CAST({value} AS DOUBLE)"
-    return f"CASE WHEN {value} < {lower} THEN {lower} WHEN {value} > {upper} THEN {upper} ELSE {value} END"
+        return f"CASE WHEN {value} < {lower} THEN {lower} WHEN {value} > {upper} THEN {upper} ELSE {value} END"
+    lower, upper = double(fix.lower_fence), double(fix.upper_fence)
+    wide = f"CAST({value} AS DOUBLE)"
+    moved = f"CASE WHEN {wide} < {lower} THEN {lower} WHEN {wide} > {upper} THEN {upper} ELSE {wide} END"
+    return f"CAST({moved} AS {kind.simpleString()})"
 
 
 def _clampable(c: AuditColumn, fix: Fix | None) -> bool:
@@ -168,21 +193,20 @@ def _plan(df: DataFrame, fixes: list[Fix], row_id: str | None, subset: list[str]
     fills = _first_per_column(fixes, FILL_MISSING)
     caps = _first_per_column(fixes, CAP_OUTLIERS)
     drop = any(f.action_type == DROP_DUPLICATES for f in fixes)
-    kept = drop_duplicates(df, row_id, subset) if drop else df
+    # Medians, the repaired table and the log all read the kept rows: they are grouped and written once.
+    kept = checkpointed(drop_duplicates(df, row_id, subset)) if drop else df
     averaged = [c for c in columns if c.name in fills and c.type_class == NUMERIC]
     medians: dict[str, float] = {}
     if averaged:
-        # Medians belong to the kept rows. Their selection reads the rows several times, so only the
-        # few columns it needs are written once instead of removing the duplicates in every pass.
-        values = checkpointed(kept_values(df, averaged, row_id, subset)) if drop else df
-        medians = medians_by_column(values, averaged)
+        medians = medians_by_column(kept, averaged)
     repaired: dict[str, str] = {}
     for c in columns:
         value = c.sql
         if c.name in fills:
             value = _filled(c, medians.get(c.name))
         if _clampable(c, caps.get(c.name)):
-            value = _clamped(c, value, c.name in fills, caps[c.name])
+            kind = _holding(c, medians.get(c.name) or 0.0) if c.name in fills else c.data_type
+            value = _clamped(value, kind, caps[c.name])
         if value != c.sql:
             repaired[c.name] = value
     return _Plan(kept, repaired)

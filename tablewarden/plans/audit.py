@@ -1,8 +1,9 @@
 """Audit of a table: from the table to findings, scores, issues and suggested fixes.
 
-The table is read by a constant number of queries: one whose independent stages (plain figures, value
-frequencies, duplicate groups) run side by side, a few narrowing passes over the numeric columns for
-the fences, and the outlier counts. What follows works on one row per column.
+The table is read by one query whose independent stages (plain figures, value frequencies, duplicate
+groups) run side by side, a few narrowing passes over the numeric columns for the fences, and the outlier
+counts. Wide tables are read in batches of columns, and once more where long texts are among the most
+frequent values. What follows works on one row per column.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from ..operators.reports import column_table, dataset_summary, issues, overview
 from ..operators.rows import normalise_nulls
 from ..operators.scoring import column_scores, dataset_score, score_bands, with_grade
 from ..settings import DEFAULTS, Settings
-
+from ..sources.scratch import checkpointed
 
 # Columns of the enriched profile.
 ENRICHED = (
@@ -55,7 +56,11 @@ ENRICHED = (
 
 
 def _findings(df: DataFrame, row_id: str | None, settings: Settings, with_top_values: bool) -> DataFrame:
-    """Everything the audit knows, one row per column, as a local table in column order."""
+    """Everything the audit knows, one row per column, in column order.
+
+    What may hold texts of any length stays with Spark, in a checkpoint of one row per column; only
+    positions, counts and numeric ranges come to the driver.
+    """
     df = normalise_nulls(df)
     columns = audited_columns(df, row_id)
     if with_top_values:
@@ -72,13 +77,18 @@ def _findings(df: DataFrame, row_id: str | None, settings: Settings, with_top_va
     found = found.join(F.broadcast(duplicates), "position").selectExpr(
         "*", MISSING_PERCENTAGE, f"CAST(coalesce({MISMATCH_COUNT}, 0) AS BIGINT) AS mismatch_count"
     )
-    known = sorted(found.toArrow().to_pylist(), key=lambda r: r["position"])
-    ranges = {r["column"]: (r["total_rows"] - r["missing_count"], r["min_number"], r["max_number"]) for r in known}
+    # Sorted in one task: a row per column.
+    found = checkpointed(found.coalesce(1).sortWithinPartitions("position"))
+    names = {c.position: c.name for c in columns}
+    known = found.select("position", "total_rows", "missing_count", "min_number", "max_number").collect()
+    ranges = {
+        names[r["position"]]: (r["total_rows"] - r["missing_count"], r["min_number"], r["max_number"]) for r in known
+    }
     fences = fences_by_column(df, columns, settings.iqr_multiplier, ranges)
-    outliers = {r["position"]: r.asDict() for r in count_outside(df, columns, fences).collect()}
-    schema = T.StructType(found.schema.fields + OUTLIER_FIELDS)
-    rows = [tuple({**r, **outliers[r["position"]]}[name] for name in schema.names) for r in known]
-    return local_rows(df, rows, schema)
+    counted = count_outside(df, columns, fences).collect()
+    schema = T.StructType([T.StructField("position", T.IntegerType()), *OUTLIER_FIELDS])
+    outliers = local_rows(df, [tuple(r[name] for name in schema.names) for r in counted], schema)
+    return found.join(F.broadcast(outliers), "position")
 
 
 def enriched_profile(
@@ -93,7 +103,7 @@ def enriched_profile(
 
 @dataclass(frozen=True)
 class Audit:
-    """Results of an audit. Per-column results are local tables; row-level ones are lazy plans."""
+    """Results of an audit. Per-column results read a row per column; row-level ones are lazy plans."""
 
     table: DataFrame
     row_id: str | None

@@ -13,7 +13,7 @@ from .audit import enriched_profile
 
 @dataclass(frozen=True)
 class Repair:
-    """``cleaned`` and ``change_log`` are lazy plans; ``suggestions`` is a local table."""
+    """``cleaned`` and ``change_log`` are lazy plans over the kept rows, which are written once."""
 
     cleaned: DataFrame
     change_log: DataFrame
@@ -21,7 +21,7 @@ class Repair:
 
 
 def repair(df: DataFrame, row_id: str | None = None, settings: Settings = DEFAULTS) -> Repair:
-    """Apply every suggested fix."""
+    """Apply every suggested fix; repeated rows are those of the settings' duplicate subset."""
     enriched = enriched_profile(df, row_id, settings, with_top_values=False)
-    cleaned, log = apply_fixes_with_log(df, suggestions_of(enriched), row_id)
+    cleaned, log = apply_fixes_with_log(df, suggestions_of(enriched), row_id, settings.subset)
     return Repair(cleaned, log, suggest_fixes(enriched))

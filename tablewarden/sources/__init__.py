@@ -1,6 +1,6 @@
 """Readers, writers and shared scratch folders."""
 
-from .files import read_csv, read_parquet, write_csv
-from .scratch import checkpointed, scratch_folder
+from .files import read_csv, read_parquet, staged_parquet, write_csv
+from .scratch import checkpointed, remove_scratch, scratch_folder
 
-__all__ = ["checkpointed", "read_csv", "read_parquet", "scratch_folder", "write_csv"]
+__all__ = ["checkpointed", "read_csv", "read_parquet", "remove_scratch", "scratch_folder", "staged_parquet", "write_csv"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.ids import drop_generated_ids
+from .scratch import scratch_path
 
 # Quoting and encoding of exchanged CSV files.
 _CSV_FORMAT = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
@@ -23,19 +24,30 @@ def read_csv(
     """CSV table with a header; types are inferred (numbers, booleans, dates, timestamps).
 
     Inference reads the files once more, so pass ``schema`` for large inputs. ``multi_line`` allows
-    line breaks inside quotes and makes each file one task.
+    line breaks inside quotes and makes each file one task. A line with too many or too few fields, or
+    with a value that does not fit its column, fails the read: nothing turns into nulls unseen.
     """
     reader = spark.read.options(**_CSV_FORMAT).option("multiLine", multi_line).option("nullValue", _ABSENT)
+    reader = reader.option("mode", "FAILFAST")
     if schema is not None:
-        # A value that does not fit the given type must not turn into a silent null.
-        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+        return reader.schema(schema).csv(path)
     reader = reader.option("inferSchema", True)
     if sampling_ratio is not None:
-        # Rows outside the sample may not fit the inferred types; they must not turn into nulls.
-        reader = reader.option("samplingRatio", sampling_ratio).option("mode", "FAILFAST")
+        reader = reader.option("samplingRatio", sampling_ratio)
     return reader.csv(path)
 
 
+def staged_parquet(df: DataFrame) -> DataFrame:
+    """The table written once to the scratch folder as Parquet and read back.
+
+    For sources that cannot skip columns, like CSV: an audit reads its input several times, and every
+    pass over text files parses all of them.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_parquet(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else path
     return spark.read.parquet(*paths)

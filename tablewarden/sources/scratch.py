@@ -1,27 +1,26 @@
 """Durable intermediate results.
 
 Everything goes to the folder the cluster names in ``spark.checkpoint.dir``, so lost executors never
-take an intermediate result with them. Only a local session without that setting gets a folder of its own.
+take an intermediate result with them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import ScratchFolderError
 
+_made: dict[str, list[str]] = {}
+
 
 def scratch_folder(spark: SparkSession) -> str:
-    """Root of the shared scratch folder; set on the session when it was missing."""
+    """Root of the shared scratch folder; it must have been set on the session."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
-            raise ScratchFolderError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tablewarden-")
+        raise ScratchFolderError("set spark.checkpoint.dir to a folder that all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -29,7 +28,21 @@ def scratch_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the scratch folder."""
-    return f"{scratch_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete the copies that this application wrote to the scratch folder.
+
+    Frames that still read them fail afterwards. Checkpoints are not among them; Spark deletes those
+    once their frames are gone if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    context = spark.sparkContext
+    for path in _made.pop(context.applicationId, []):
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
