@@ -237,7 +237,7 @@ def issues(table: Audited) -> str:
 def summary(table: Audited) -> str:
     return (
         f"{hub(table)}, {SCORED}, {ISSUES} SELECT score AS overall_score, {GRADE} AS category, {GRADE_COLOUR} AS color_hex, "
-        "(SELECT string_agg(concat(\"column\", ': ', metric, ' ', severity), '; ' ORDER BY rank) FROM ranked) AS issues FROM total"
+        "(SELECT string_agg(concat_ws(' / ', \"column\", metric, severity, score_impact, description), '; ' ORDER BY rank) FROM ranked) AS issues FROM total"
     )
 
 
@@ -628,6 +628,7 @@ def oracle_sql() -> dict[str, str]:
         "dup_subset_invalid": duplicate_rows(DOCUMENTS, ["text", "lang"]),
         "duplicate_rows_pages": duplicate_rows(PAGES, ["html"]),
         "duplicate_flag": duplicate_flags(CUSTOMERS, names(CUSTOMERS)),
+        "duplicate_flag_unknown_names": with_base(CUSTOMERS, "SELECT *, 'Normal Record' AS is_duplicate FROM base"),
         "drop_duplicates": drop_duplicates(EVENTS, ["row_id", *names(EVENTS)]),
         "drop_duplicates_subset": drop_duplicates(DOCUMENTS, ["doc_id", *names(DOCUMENTS)], ["text"]),
         # Anomalies

@@ -133,7 +133,8 @@ def graded(hub: DataFrame) -> DataFrame:
 
 
 def summary(hub: DataFrame) -> DataFrame:
-    line = F.transform("issues", lambda i: F.concat(i["column"], F.lit(": "), i["metric"], F.lit(" "), i["severity"]))
+    parts = ("column", "metric", "severity", "score_impact", "description")
+    line = F.transform("issues", lambda i: F.concat_ws(" / ", *[i[p].cast("string") for p in parts]))
     return tw.dataset_summary(hub).withColumn("issues", F.array_join(line, "; "))
 
 
@@ -240,6 +241,7 @@ def queries() -> dict[str, Query]:
             CUSTOMERS,
             lambda df, rid: tw.duplicate_flags(df, rid),
         ),
+        "duplicate_flag_unknown_names": over(CUSTOMERS, lambda df, rid: tw.duplicate_flags(df, rid, ["absent"])),
         "drop_duplicates": over(
             EVENTS, lambda df, rid: tw.drop_duplicates(df, rid)
         ),
