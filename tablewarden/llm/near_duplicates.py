@@ -9,9 +9,11 @@
 
 A band's bucket is never paired off as a whole. In a round every member is compared with one member
 drawn per bucket; members whose component differs from that of others in their bucket go on to the
-next round with another draw, and what is left after the last draw is compared exhaustively, across
-components only. Buckets of copies thus cost one pair per member, and no link that bands and estimate
-let through is lost.
+next round with another draw. What is left after the last draw is compared exhaustively, across
+components only: small buckets as pairs, large ones in blocks of bounded size, the members outside the
+bucket's main component against all. A block compares its sets in memory and passes on only as many
+links as it takes to join the components it saw. Buckets of copies thus cost one pair per member, and
+no link that the bands let through is lost.
 
 Recall: a pair at similarity 0.75 misses all bands with probability (1 - 0.75^4)^32 < 1e-5, and the
 estimate's margin is five standard deviations.
@@ -50,7 +52,9 @@ class Near:
     rows: int = 4
     bits: int = 4
     margin: float = 0.2
-    draws: int = 2
+    draws: int = 1
+    small_bucket: int = 48
+    block: int = 512
     seed: int = 7
 
     @property
@@ -130,6 +134,47 @@ def _sets(near: Near):
     return run
 
 
+def _joining(near: Near):
+    """Of one block: links between its left and right members that join components not yet joined in it."""
+
+    def run(block: pa.Table) -> pa.Table:
+        nodes, parts = block["node"].to_numpy(), block["component"].to_numpy()
+        is_left = block["left"].to_numpy(zero_copy_only=False)
+        sets = block["shingles"].combine_chunks()
+        sets = sets.combine_chunks() if isinstance(sets, pa.ChunkedArray) else sets
+        bounds, values = np.asarray(sets.offsets), sets.values.to_numpy()
+        sizes = np.diff(bounds)
+        right = np.flatnonzero(~is_left)
+        held = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in right]) if len(right) else np.zeros(0, np.int64)
+        owner = np.repeat(right, sizes[right])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        parent = {int(p): int(p) for p in parts}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links = []
+        for i in np.flatnonzero(is_left):
+            own = values[bounds[i] : bounds[i + 1]]
+            low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            runs = high - low
+            at = np.repeat(low - (np.cumsum(runs) - runs), runs) + np.arange(runs.sum())
+            shared = np.bincount(owner[at], minlength=len(nodes))
+            for j in np.flatnonzero((shared > 0) & (100 * shared >= near.similarity * (sizes + sizes[i] - shared))):
+                one, other = root(int(parts[i])), root(int(parts[j]))
+                if one != other:
+                    parent[one] = other
+                    links.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def signatures(docs: DataFrame, near: Near) -> DataFrame:
     """Of rows (id, text): ``doc_id``, ``words_id``, ``n_shingles``, ``signature``, ``bands``."""
     kind = docs.schema[0].dataType.simpleString()
@@ -179,10 +224,38 @@ class _Search:
         return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
     def crossing(self, buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Pairs in a bucket whose components still differ."""
-        members = staged(self.labelled(buckets, labels), "members")
-        mixed_up = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        open_ = members.join(mixed_up.where("least != most").select("bucket"), "bucket")
+        """Links in buckets whose components still differ."""
+        parts = self.labelled(buckets, labels).groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+        whole = parts.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main")
+        )
+        whole = whole.where("parts > 1").select("bucket", "size", F.col("main.n").alias("main_size"), F.col("main.component").alias("main"))
+        open_ = staged(self.labelled(buckets, labels).join(whole, "bucket"), "members")
+        large = open_.where(F.col("size") > self.near.small_bucket)
+        pairs = staged(self.close(self.across(open_.where(F.col("size") <= self.near.small_bucket))), "pairs")
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+        sets = self.shingle_sets(nodes)
+        return staged(self.similar(pairs, sets).union(self.in_blocks(large, sets)).distinct(), "confirmed")
+
+    def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links that join components of large buckets: members outside the main component against all, block by block."""
+        size = self.near.block
+        outside, all_ = (F.ceil(F.col(n) / size).cast("int") for n in ("outside", "size"))
+        members = members.withColumn("outside", F.col("size") - F.col("main_size"))
+        place = F.xxhash64("node", F.lit(-1))
+        left = members.where("component != main").select(
+            "bucket", "node", "component", F.lit(True).alias("left"),
+            F.pmod(place, outside).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("y"),
+        )
+        right = members.select(
+            "bucket", "node", "component", F.lit(False).alias("left"),
+            F.explode(F.sequence(F.lit(0), outside - 1)).alias("x"), F.pmod(place, all_).cast("int").alias("y"),
+        )
+        held = left.union(right).join(sets, "node").select("bucket", "x", "y", "node", "component", "left", "shingles")
+        return shipped(held).groupBy("bucket", "x", "y").applyInArrow(_joining(self.near), "a bigint, b bigint")
+
+    def across(self, open_: DataFrame) -> DataFrame:
+        """Pairs of small buckets whose components differ."""
         signed = open_.join(self.classes.select("node", "signature"), "node")
         left, right = signed.alias("l"), signed.alias("r")
         close = estimate(F.col("l.signature"), F.col("r.signature"), self.near) >= self.near.similarity / 100 - self.near.margin
@@ -203,16 +276,22 @@ class _Search:
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs that are similar on the full sets of their texts."""
         pairs = staged(pairs, "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = self.shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        return staged(self.similar(pairs, sets).distinct(), "confirmed")
+
+    def shingle_sets(self, nodes: DataFrame) -> DataFrame:
+        """``node`` and ``shingles`` of some classes, from one more pass over the texts."""
         wanted = staged(nodes.join(self.classes, "node").select("node", "doc_id", "words_id"), "wanted")
         texts = self.docs.join(wanted.select(F.col("doc_id").alias("id_")), F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
         sets = shipped(texts.select("text")).mapInArrow(_sets(self.near), "words_id binary, shingles array<bigint>")
         sets = sets.join(wanted.select("node", "words_id"), "words_id").select("node", "shingles")
-        sets = staged(sets, "sets")
+        return staged(sets, "sets")
+
+    def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
         shared = F.size(F.array_intersect("left", "right"))
         all_ = F.size("left") + F.size("right") - shared
-        return staged(both.where(100 * shared >= self.near.similarity * all_).select("a", "b").distinct(), "confirmed")
+        return both.where(100 * shared >= self.near.similarity * all_).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,8 +304,10 @@ def near_duplicates(df: DataFrame, near: Near = Near(), key: str = "doc_id", tex
     buckets = search.buckets()
     links, labels = None, None
     for draw in range(near.draws + 1):
-        pairs = search.drawn(buckets, labels, draw) if draw < near.draws else search.crossing(buckets, labels)
-        found = search.confirmed(search.close(pairs))
+        if draw < near.draws:
+            found = search.confirmed(search.close(search.drawn(buckets, labels, draw)))
+        else:
+            found = search.crossing(buckets, labels)
         links = found if links is None else links.union(found)
         labels = components(links)
     named = rows.where("n_shingles > 0").groupBy("words_id").agg(F.min("doc_id").alias("least_id"))
