@@ -1,8 +1,8 @@
 """Language-model scores by a weighted backoff automaton.
 
-Learning. Words are counted over all training texts. Words that make up at least ``share`` of all
-tokens, at most 1 / share of them, get numbers. Runs of two and three numbered words that are at least
-``share`` of the training tokens (and occur twice) are found in two passes: whatever reaches the share
+Learning. Words are counted over all training texts. Words that make up more than ``share`` of all
+tokens, fewer than 1 / share of them, get numbers. Runs of two and three numbered words that are at least
+``run_share`` of the training tokens (and occur twice) are found in two passes: whatever reaches the share
 in the whole corpus reaches it in some unit of the corpus, so each unit reports its own candidates, and
 the candidates are then counted exactly, in blocks of fixed size. The model's size is thus bounded by
 the share, not by the corpus; its statistics are those of all texts.
@@ -43,13 +43,14 @@ WORD_BITS = 20
 @dataclass(frozen=True)
 class Settings:
     share: float = 1.0 / (1 << WORD_BITS)
+    run_share: float = 1.0 / (1 << 18)
     discount: float = 0.5
     add: float = 0.1
     folds: int = 10
     #: Words a worker counts before it passes its counts on, tokens of a unit, and candidates of a block.
-    kept_words: int = 400_000
+    kept_words: int = 300_000
     unit_tokens: int = 4_000_000
-    block: int = 2_000_000
+    block: int = 1_000_000
 
 
 def held_out(key: Column, folds: int) -> Column:
@@ -176,7 +177,7 @@ def candidates(docs: DataFrame, shared, settings: Settings) -> DataFrame:
         for sequence, bounds in _units(batches, shared, settings.unit_tokens):
             for size in SIZES:
                 codes, counts = np.unique(runs(sequence, bounds, size), return_counts=True)
-                enough = (codes >= 0) & (counts >= settings.share * len(sequence))
+                enough = (codes >= 0) & (counts >= settings.run_share * len(sequence))
                 yield _codes(size, codes[enough], counts[enough])
 
     found = shipped(docs).mapInArrow(run, "size int, code bigint, c bigint")
@@ -187,8 +188,7 @@ def run_counts(docs: DataFrame, shared, settings: Settings, least: float) -> dic
     """Codes, sorted, and exact counts of the runs of each size that occur ``least`` times."""
     listed = staged(candidates(docs, shared, settings), "candidates")
     kept = {size: ([], []) for size in SIZES}
-    blocks = _blocks(listed, settings.block)
-    for block in blocks:
+    for block in _blocks(listed, settings.block):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -203,32 +203,28 @@ def run_counts(docs: DataFrame, shared, settings: Settings, least: float) -> dic
                 yield _codes(size, sent.value[size][counts > 0], counts[counts > 0])
 
         counted = shipped(docs).mapInArrow(run, "size int, code bigint, c bigint").groupBy("size", "code").agg(F.sum("c").alias("c"))
-        # At most 1 / share of each size reach the share.
-        for row in counted.where(F.col("c") >= least).toPandas().itertuples(index=False):
-            kept[row.size][0].append(row.code)
-            kept[row.size][1].append(row.c)
+        # At most 1 / run_share of each size reach the share.
+        enough = counted.where(F.col("c") >= least).toArrow()
+        for size in SIZES:
+            own = enough["size"].to_numpy() == size
+            kept[size][0].append(enough["code"].to_numpy()[own])
+            kept[size][1].append(enough["c"].to_numpy()[own])
         sent.unpersist()
     out = {}
     for size, (codes, counts) in kept.items():
-        codes, counts = np.array(codes, dtype=np.int64), np.array(counts, dtype=np.int64)
+        codes, counts = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (codes, counts))
         order = np.argsort(codes)
         out[size] = (codes[order], counts[order])
     return out
 
 
 def _blocks(listed: DataFrame, most: int) -> Iterator[dict[int, np.ndarray]]:
-    held = []
-    for row in listed.toLocalIterator():
-        held.append((row["size"], row["code"]))
-        if len(held) == most:
-            yield _sorted_codes(held)
-            held = []
-    if held:
-        yield _sorted_codes(held)
-
-
-def _sorted_codes(held: list[tuple[int, int]]) -> dict[int, np.ndarray]:
-    return {size: np.array(sorted(code for s, code in held if s == size), dtype=np.int64) for size in SIZES}
+    """Candidates of each size, sorted, in blocks of about ``most`` chosen by a hash."""
+    blocks = -(-listed.count() // most)
+    for block in range(blocks):
+        found = listed.where(F.pmod(F.xxhash64("size", "code"), F.lit(blocks)) == block).toArrow()
+        sizes, codes = found["size"].to_numpy(), found["code"].to_numpy()
+        yield {size: np.sort(codes[sizes == size]).astype(np.int64) for size in SIZES}
 
 
 @dataclass
@@ -380,7 +376,7 @@ def language_model_scores(df: DataFrame, settings: Settings = Settings(), key: s
     frequent = counts.where(is_frequent).toPandas()
     ends = counts.where(F.col("word") == END).first()
     shared = spark.sparkContext.broadcast(numbered(frequent["word"].tolist()))
-    kept = run_counts(docs, shared, settings, max(2.0, settings.share * total))
+    kept = run_counts(docs, shared, settings, max(2.0, settings.run_share * total))
     numbers = [ends["c"] if ends else 0, *frequent["c"].tolist()]
     model = spark.sparkContext.broadcast(automaton(numbers, total, vocabulary, kept, settings))
     scored = _scored(docs, shared, model)

@@ -32,7 +32,7 @@ class Plain:
         self.kept = {}
         for size in (2, 3):
             counts = Counter(tuple(t[i : i + size]) for t in texts for i in range(len(t) - size + 1))
-            least = max(2.0, settings.share * self.n)
+            least = max(2.0, settings.run_share * self.n)
             self.kept[size] = {g: n for g, n in counts.items() if n >= least and numbered.issuperset(g)}
         self.after = {}
         for held in self.kept.values():
@@ -84,7 +84,7 @@ def test_given_table(spark):
     assert sum(r[6] for r in unseen) > sum(r[5] for r in unseen)
 
 
-@pytest.mark.parametrize("settings", [Settings(share=0.004, block=7, unit_tokens=50, kept_words=5), Settings(share=0.02)])
+@pytest.mark.parametrize("settings", [Settings(share=0.004, run_share=0.002, block=7, unit_tokens=50, kept_words=5), Settings(share=0.02)])
 def test_small_shares_units_and_blocks(spark, settings):
     docs = list(enumerate(random_texts(150, 9)))
     docs += [(7, "again a b c a b c a b c"), (None, "a b c"), (None, None), (11, ""), (11, "Ü É e")]
