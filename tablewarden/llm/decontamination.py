@@ -133,16 +133,21 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str | None]]]:
         yield block
 
 
-def _pass(df: DataFrame, place: int, block: list[tuple[str, str | None]]) -> DataFrame:
-    """Adds the hits of one block to ``hits_`` (spans) and ``items_``."""
+def _pass(df: DataFrame, place: int, block: list[tuple[str, str | None]], last: bool) -> DataFrame:
+    """Adds the hits of one block to ``hits_`` (spans) and ``items_``; the last pass measures the texts instead."""
     shared = df.sparkSession.sparkContext.broadcast(phrases(block))
-    schema = df.schema
-    hits, items = schema.names.index("hits_"), schema.names.index("items_")
+    added = {"n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "spans": SPANS}
+    kept = df.drop("hits_", "items_") if last else df
+    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in added.items()] if last else []
+    schema = kept.select("*", *nulls).schema
+    given = df.columns
+    hits, items = given.index("hits_"), given.index("items_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sought: Phrases = shared.value
         for batch in batches:
             spans, names = batch.column(hits).to_pylist(), batch.column(items).to_pylist()
+            words_in, words_hit = [], []
             for part in slices(batch.column(place), SHARD_BYTES):
                 found = words(part, "alphanumeric")
                 start, phrase = occurrences(found, sought)
@@ -150,42 +155,28 @@ def _pass(df: DataFrame, place: int, block: list[tuple[str, str | None]]) -> Dat
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + sought.lengths[phrase], -1)
                 hit = np.cumsum(edge[:-1]) > 0
+                counted = np.concatenate([[0], np.cumsum(hit)])[found.bounds]
                 text = np.searchsorted(found.bounds, start, side="right") - 1
                 pairs = np.unique(np.stack([text, phrase], axis=1), axis=0) if len(text) else np.zeros((0, 2), np.int64)
-                for i in np.unique(text):
+                totals = np.diff(counted).tolist()
+                for i in np.flatnonzero([bool(s) for s in spans[part.first : part.last]]).tolist():
+                    # Words hit by earlier blocks count too.
+                    own = _merged([*spans[part.first + i], *_spans(part, found, hit, i)])
+                    totals[i] = _words_inside(part, found, i, own)
+                for i in np.unique(text).tolist():
                     own = pairs[pairs[:, 0] == i, 1]
                     held = {sought.items[k] for p in own for k in sought.item[np.searchsorted(sought.phrase, p) : np.searchsorted(sought.phrase, p, "right")]}
-                    row = part.first + int(i)
+                    row = part.first + i
                     names[row] = sorted({*names[row], *held})
-                    spans[row] = [*spans[row], *_spans(part, found, hit, int(i))]
-            out = list(batch.columns)
-            out[hits] = pa.array(spans, out[hits].type)
-            out[items] = pa.array(names, out[items].type)
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
-
-    return shipped(df).mapInArrow(run, schema)
-
-
-def _measured(df: DataFrame, place: int) -> DataFrame:
-    """Words, hit words and merged spans of each text."""
-    added = {"n_words": "bigint", "n_hit": "bigint", "item_ids": "array<string>", "spans": SPANS}
-    schema = df.drop("hits_", "items_").select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in added.items()]).schema
-    hits, items = df.schema.names.index("hits_"), df.schema.names.index("items_")
-    kept = [i for i in range(len(df.schema)) if i not in (hits, items)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = [_merged(s) for s in batch.column(hits).to_pylist()]
-            counts, hit = [], []
-            for part in slices(batch.column(place)):
-                found = words(part, "alphanumeric")
-                counts += np.diff(found.bounds).tolist()
-                for i in range(part.last - part.first):
-                    own = spans[part.first + i]
-                    hit.append(_words_inside(part, found, i, own) if own else 0)
-            longs = pa.int64()
-            new = [pa.array(counts, longs), pa.array(hit, longs), batch.column(items), pa.array(spans, batch.column(hits).type)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *new], names=schema.names)
+                    spans[row] = _merged([*spans[row], *_spans(part, found, hit, i)])
+                words_in += np.diff(found.bounds).tolist()
+                words_hit += totals
+            columns = {name: batch.column(i) for i, name in enumerate(given)}
+            columns |= {"hits_": pa.array(spans, batch.column(hits).type), "items_": pa.array(names, batch.column(items).type)}
+            if last:
+                columns |= {"spans": columns["hits_"], "item_ids": columns["items_"]}
+                columns |= {"n_words": pa.array(words_in, pa.int64()), "n_hit": pa.array(words_hit, pa.int64())}
+            yield pa.RecordBatch.from_arrays([columns[name] for name in schema.names], names=schema.names)
 
     return shipped(df).mapInArrow(run, schema)
 
@@ -217,6 +208,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     place = kept.columns.index(text)
     out = kept.withColumn("hits_", F.array().cast(SPANS)).withColumn("items_", F.array().cast("array<string>"))
     listed = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
-    for block in _blocks(listed):
-        out = _pass(out, place, block)
-    return _measured(out, place).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    block: list[tuple[str, str | None]] = []
+    for following in _blocks(listed):
+        if block:
+            out = _pass(out, place, block, last=False)
+        block = following
+    return _pass(out, place, block, last=True).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 #: Text bytes worked at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
 
+_HASHED_BYTES = 1 << 15
+
 #: Bytes that end a word: space and tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -123,18 +125,18 @@ def words(part: Slice, kind: str = "solid") -> Words:
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
-    """Polynomial of random byte values per run, in blocks of about a slice.
+    """Polynomial of random byte values per run, in blocks that stay in a processor's cache.
 
     Bytes between two runs belong to the run before them and must have the value 0.
     """
     out = np.empty(len(starts), dtype=np.uint64)
     lo = 0
     while lo < len(starts):
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + SLICE_BYTES)))
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _HASHED_BYTES)))
         base, stop = int(starts[lo]), int(ends[hi - 1])
-        begin = starts[lo:hi] - base
-        gaps = np.diff(np.append(begin, stop - base))
-        place = (np.arange(stop - base) - np.repeat(begin, gaps)) & (_POWERS - 1)
+        begin = (starts[lo:hi] - base).astype(np.int32)
+        gaps = np.diff(begin, append=np.int32(stop - base))
+        place = (np.arange(stop - base, dtype=np.int32) - np.repeat(begin, gaps)) & np.int32(_POWERS - 1)
         out[lo:hi] = np.add.reduceat(values[data[base:stop]] * _POW[place], begin)
         lo = hi
     return mixed(out)
