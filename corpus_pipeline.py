@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablewarden.llm.decontamination import decontaminated
 from tablewarden.llm.mixing import document_sizes, place_of, thresholds, word_count
 from tablewarden.llm.near_duplicates import near_duplicates
-from tablewarden.llm.quality import quality_rules
+from tablewarden.llm.quality import kept_rows, quality_rules
 from tablewarden.llm.secrets import redacted, secret_spans
 from tablewarden.llm.tables import staged, table
 
@@ -27,7 +27,7 @@ def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that are too frequent on their host."""
-    return _with_text(quality_rules(docs).where("kept"), docs.columns, "clean_text")
+    return _with_text(kept_rows(quality_rules(docs)), docs.columns, "clean_text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

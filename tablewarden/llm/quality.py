@@ -118,6 +118,15 @@ def frequent_lines(df: DataFrame, limits: Limits, host: str, text: str) -> DataF
     )
 
 
+def kept_rows(judged: DataFrame) -> DataFrame:
+    """The rows of ``quality_rules`` that are kept.
+
+    A filter on ``kept`` would be moved below the measures and repeat all their expressions, over and
+    over; it does not move below a column of row numbers.
+    """
+    return judged.withColumn("row_", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("row_") >= 0)).drop("row_")
+
+
 def quality_rules(df: DataFrame, limits: Limits = Limits(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows with their measures, ``base_failed``, ``kept`` and ``clean_text`` (the text without lines above the limit)."""
     body = F.coalesce(F.col(text), F.lit(""))
