@@ -131,7 +131,8 @@ def training_rows(df: DataFrame, fit: Fit) -> tuple[list[str], list[str]]:
     counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     # About twice as many as needed, so that few languages come short by chance.
     share = F.least(F.lit(1.0), 2.0 * fit.per_class / F.col("rows"))
-    near = usable.join(counts, "lang").where(F.col("place") < share * float(1 << 63))
+    # A row per language: the model holds weights for each of them anyway. Texts are not shuffled by language.
+    near = usable.join(F.broadcast(counts), "lang").where(F.col("place") < share * float(1 << 63))
     rows = sorted(near.select("place", "lang", "text").toLocalIterator(), key=lambda r: (r["place"], r["text"]))
     kept: dict[str, list[str]] = {}
     for row in rows:
