@@ -69,7 +69,7 @@ def test_duplicates(table):
 def test_repair(table):
     fixed = tw.repair(table, "rid")
     types = dict(fixed.cleaned.dtypes)
-    assert (types["tiny"], types["single"], types["dec"], types["flag"]) == ("double", "float", "double", "boolean")
+    assert (types["tiny"], types["single"], types["dec"], types["flag"]) == ("tinyint", "float", "decimal(12,3)", "boolean")
     assert types["day"] == "date" and types["mapping"] == "map<string,bigint>"
     log = by_column(fixed.change_log)
     filled = {c for c, r in log.items() if r["filled"]}
