@@ -1,53 +1,64 @@
-"""Language-model scores by a weighted backoff automaton.
+"""Language-model scores by a weighted backoff automaton that lives in tables.
 
-Learning. Words are counted over all training texts. Words that make up more than ``share`` of all
-tokens, fewer than 1 / share of them, get numbers. Runs of two and three numbered words that are at least
-``run_share`` of the training tokens (and occur twice) are found in two passes: whatever reaches the share
-in the whole corpus reaches it in some unit of the corpus, so each unit reports its own candidates, and
-the candidates are then counted exactly, in blocks of fixed size. The model's size is thus bounded by
-the share, not by the corpus; its statistics are those of all texts.
+Learning. Words and all runs of two and three words are counted over all training texts. A run is learned
+if it occurs ``LEAST`` times, the same number for every corpus. Runs travel as numpy buffers: each unit
+of texts sends to every bucket of contexts one message with its distinct runs and their counts, and a
+bucket adds them up. The number of buckets follows the tokens, so that a bucket has a fixed size.
 
 Model. P(w) = (c + 0.1) / (N + 0.1 (V + 1)); longer runs are discounted by a constant, and the mass left
-in a context goes to the shorter one. Contexts are states, runs are arcs with log-probabilities, and
-each state has a failure arc with its backoff weight to its longest shorter context. A text is scored
-in one walk from left to right that carries the state.
+in a context goes to the shorter one. Contexts are states, runs are arcs with log-probabilities, and each
+state has a failure arc with its backoff weight to its longest shorter context. In a walk from left to
+right each state is entered once and either left by an arc or by its failure arc, so the logarithm of a
+text's probability is a sum with one term per occurrence of a word and of a learned run:
 
-Words without a number reset the walk to the empty context. Their own probabilities come from a join
-with the word counts, which is the only large one; no such word makes up more than ``share`` of it.
+    word       log P(w) + back(w)
+    a b        log P(b | a) - log P(b) - back(a) + back(a b)
+    a b c      log P(c | a b) - log P(c | b) - back(a b)
 
-Defined cases: A-Z are a-z; a null text is empty and has the end token only; rows whose id is null are
-neither learned from nor held out; rows that repeat are counted and scored each; an empty table gives
-no rows, and without training texts all tokens are unknown.
+where back is 0 for what is no context. These terms are the table ``code``, ``base``, ``extra``,
+``known``, made by joins. Texts send their distinct codes to the buckets of the table and sums per text
+come back; only counts pass the driver.
+
+The words' part of the table is sent to several buckets, each for its own units, as a common word stands in
+nearly all texts.
+
+Defined cases: A-Z are a-z; 64-bit hashes stand for words and runs; a null text is empty and has the end
+token only; rows whose id is null are neither learned from nor held out; rows that repeat are counted and
+scored each; an empty table gives no rows, and without training texts all tokens are unknown.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import shipped, staged
-from .texts import Slice, Words, slices, words
+from .texts import mixed, slices, words
 
-#: The end token; no word can be a line break.
-END = "\n"
-#: Numbers of words take so many bits, three of them one 64-bit number.
-WORD_BITS = 20
+#: Hash of the end token.
+END = np.uint64(0x5A17E3C94D2B8F61)
+#: Occurrences of a learned run.
+LEAST = 2
+#: Buckets of the words' table per bucket of runs.
+WORD_BUCKETS = 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    share: float = 1.0 / (1 << WORD_BITS)
-    run_share: float = 1.0 / (1 << 18)
+    """Words above ``share`` of all tokens, in runs of at least ``run_share`` of the training tokens, are learned; 0: all."""
+
+    share: float = 0.0
+    run_share: float = 0.0
     discount: float = 0.5
     add: float = 0.1
     folds: int = 10
-    #: Words a worker counts before it passes its counts on, tokens of a unit, and candidates of a block.
+    #: Words a worker counts before it passes its counts on, tokens of a unit, and tokens of a bucket.
     kept_words: int = 300_000
     unit_tokens: int = 4_000_000
     block: int = 1_000_000
@@ -58,308 +69,349 @@ def held_out(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds == 0
 
 
-def word_counts(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``word``, ``c`` (in training texts), ``n`` (in all). ``docs``: (key, train, text)."""
+@dataclass
+class Unit:
+    """Word hashes of some texts, each closed by the end token; and where the texts begin."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+    sequence: np.ndarray
+    bounds: np.ndarray
 
-        def out() -> pa.RecordBatch:
-            found = list(counts[0].keys() | counts[1].keys())
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(found, pa.binary()).cast(pa.string()),
-                    pa.array([counts[1][w] for w in found], pa.int64()),
-                    pa.array([counts[0][w] + counts[1][w] for w in found], pa.int64()),
-                ],
-                names=["word", "c", "n"],
-            )
-            for c in counts:
-                c.clear()
-            return batch
+    def starts(self, size: int) -> np.ndarray:
+        """Where runs of ``size`` words begin that lie inside a text."""
+        at = np.arange(max(0, len(self.sequence) - size + 1))
+        return at[at + size <= np.repeat(self.bounds[1:], np.diff(self.bounds))[: len(at)]]
 
-        for batch in batches:
-            for train, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                counts[bool(train)].update((text.as_py() or "").encode().lower().split())
-                counts[bool(train)][END.encode()] += 1
-                if len(counts[0]) + len(counts[1]) > settings.kept_words:
-                    yield out()
-        yield out()
 
-    partial = shipped(docs).mapInArrow(run, "word string, c bigint, n bigint")
-    return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+def _sequences(column: pa.Array) -> Iterator[tuple[int, int, Unit]]:
+    """First and last text, and their words."""
+    for part in slices(column):
+        found = words(part)
+        bounds = found.bounds + np.arange(len(found.bounds))
+        out = np.full(bounds[-1], END, dtype=np.uint64)
+        out[np.arange(len(found.hashes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(found.bounds))] = found.hashes
+        yield part.first, part.last, Unit(out, bounds)
 
 
-@dataclass
-class Numbered:
-    """Numbers of the frequent words by their hashes; the end token has number 0."""
+def _joined(held: list[Unit]) -> Unit:
+    at = np.cumsum([0, *(len(u.sequence) for u in held)])
+    bounds = [u.bounds[:-1] + first for u, first in zip(held, at[:-1], strict=True)]
+    return Unit(np.concatenate([u.sequence for u in held]), np.concatenate([*bounds, at[-1:]]))
 
-    hashes: np.ndarray
-    numbers: np.ndarray
 
-    def of(self, found: Words) -> np.ndarray:
-        """-1 for other words."""
-        if not len(self.hashes):
-            return np.full(len(found.hashes), -1, dtype=np.int64)
-        nearest = np.minimum(np.searchsorted(self.hashes, found.hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[nearest] == found.hashes, self.numbers[nearest], -1)
+_STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
-    def sequence(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all texts' words, each text closed by the end token; and where the texts begin."""
-        bounds = found.bounds + np.arange(len(found.bounds))
-        out = np.zeros(bounds[-1], dtype=np.int64)
-        out[np.arange(len(found.hashes)) + np.repeat(np.arange(len(bounds) - 1), np.diff(found.bounds))] = self.of(found)
-        return out, bounds
 
+def codes(*hashes: np.ndarray) -> np.ndarray:
+    """Of runs, given the hashes of their first words, their second ones and so on."""
+    out = np.full(len(hashes[0]), len(hashes), dtype=np.uint64)
+    for hash_, step in zip(hashes, _STEPS, strict=False):
+        out = mixed(out + hash_ * step)
+    return out
 
-def numbered(frequent: list[str]) -> Numbered:
-    """``frequent`` in the order of their numbers, from 1."""
-    texts = pa.array(frequent, pa.string())
-    hashes = [words(part).hashes for part in slices(texts)]
-    hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    return Numbered(hashes[order], order + 1)
 
+def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    """Grows with the code."""
+    return ((code >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-def runs(sequence: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
-    """Codes of the runs of ``size`` numbered words inside a text; -1 where there is none. Aligned to the first word."""
-    n = len(sequence) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.int64)
-    code, whole = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
-    text_end = np.repeat(bounds[1:], np.diff(bounds))
-    for k in range(size):
-        code = (code << WORD_BITS) | np.maximum(sequence[k : n + k], 0)
-        whole &= sequence[k : n + k] >= 0
-    return np.where(whole & (np.arange(n) + size <= text_end[:n]), code, -1)
 
+def bucket_of(code: Column, buckets: int) -> Column:
+    return F.shiftrightunsigned(F.shiftrightunsigned(code, 32) * F.lit(buckets).cast("long"), 32).cast("int")
 
-def _training(part: Slice, batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([bool(t) for t in batch.column(1)[part.first : part.last].to_pylist()], dtype=bool)
 
+def _changes(*sorted_: np.ndarray) -> np.ndarray:
+    """Places where any of the arrays has another value than before."""
+    first = np.ones(len(sorted_[0]), dtype=bool)
+    first[1:] = np.any([a[1:] != a[:-1] for a in sorted_], axis=0)
+    return np.flatnonzero(first)
 
-def _units(batches: Iterator[pa.RecordBatch], shared, tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sequences of training texts, joined to units of about so many tokens."""
-    held, size = [], 0
 
-    def joined():
-        starts = np.cumsum([0, *(len(s) for s, _ in held)])
-        bounds = np.concatenate([b[:-1] + at for (_, b), at in zip(held, starts[:-1], strict=True)] + [starts[-1:]])
-        return np.concatenate([s for s, _ in held]), bounds
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
-    for batch in batches:
-        for part in slices(batch.column(2)):
-            sequence, bounds = shared.value.sequence(words(part))
-            train = _training(part, batch)
-            lengths = np.diff(bounds)
-            held.append((sequence[np.repeat(train, lengths)], np.concatenate([[0], np.cumsum(lengths[train])])))
-            size += len(held[-1][0])
-            if size >= tokens:
-                yield joined()
-                held, size = [], 0
-    if size:
-        yield joined()
 
+def word_counts(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``word`` (its hash), ``c`` (in training texts), ``n`` (in all). ``docs``: (row, train, text, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-SIZES = (2, 3)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["word", "c", "n"])
 
+        for batch in batches:
+            train = np.array(batch.column(1).to_pylist(), dtype=bool)
+            for first, last, unit in _sequences(batch.column(2)):
+                learned = np.repeat(train[first:last], np.diff(unit.bounds)).astype(np.int64)
+                every = np.concatenate([held[0], unit.sequence])
+                c, n = np.concatenate([held[1], learned]), np.concatenate([held[2], np.ones(len(learned), np.int64)])
+                order = np.argsort(every)
+                at = _changes(every[order])
+                held = [every[order][at], _sums(c[order], at), _sums(n[order], at)]
+                if len(held[0]) > settings.kept_words:
+                    yield out()
+                    held = [x[:0] for x in held]
+        yield out()
 
-def _codes(size: int, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(codes), size, np.int32)), pa.array(codes), pa.array(counts.astype(np.int64))], names=["size", "code", "c"]
-    )
+    partial = shipped(docs).mapInArrow(run, "word bigint, c bigint, n bigint")
+    return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def candidates(docs: DataFrame, shared, settings: Settings) -> DataFrame:
-    """``size``, ``code`` of runs that reach the share in some unit."""
+def _training_units(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[Unit]:
+    held, size = [], 0
+    for batch in batches:
+        train = np.array(batch.column(1).to_pylist(), dtype=bool)
+        for first, last, unit in _sequences(batch.column(2)):
+            lengths, own = np.diff(unit.bounds), train[first:last]
+            held.append(Unit(unit.sequence[np.repeat(own, lengths)], np.concatenate([[0], np.cumsum(lengths[own])])))
+            size += len(held[-1].sequence)
+            if size >= tokens:
+                yield _joined(held)
+                held, size = [], 0
+    if size:
+        yield _joined(held)
+
+
+_MESSAGE = {"a": np.uint64, "b": np.uint64, "n": np.uint32, "head": np.uint32, "last": np.uint64, "m": np.uint32}
+
+
+def _messages(buckets: int, tokens: int):
+    """Per unit and bucket: distinct pairs (``a``, ``b``, count ``n``), and triples as their pair's place, ``last`` word, count ``m``."""
+
+    def of(unit: Unit) -> pa.RecordBatch | None:
+        at = unit.starts(2)
+        if not len(at):
+            return None
+        code = codes(unit.sequence[at], unit.sequence[at + 1])
+        order = np.argsort(code)
+        first = _changes(code[order])
+        place = np.empty(len(at), dtype=np.uint32)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(at)))
+        begin = at[order[first]]
+        held = {"a": unit.sequence[begin], "b": unit.sequence[begin + 1], "n": np.diff(first, append=len(at))}
+        cut = np.searchsorted(_bucket(code[order[first]], buckets), np.arange(buckets + 1))
+        of_three = np.searchsorted(at, unit.starts(3))
+        head, last = place[of_three], unit.sequence[at[of_three] + 2]
+        order = np.lexsort((last, head))
+        head, last = head[order], last[order]
+        first = _changes(head, last)
+        held |= {"head": head[first], "last": last[first], "m": np.diff(first, append=len(head))}
+        cuts = {"abn": cut, "hlm": np.searchsorted(head[first], cut)}
+        filled = np.flatnonzero(np.diff(cut))
+        columns = []
+        for name, kind in _MESSAGE.items():
+            edges = cuts["abn" if name in "abn" else "hlm"]
+            # Places of pairs count from the first pair of the message.
+            parts = [held[name][edges[k] : edges[k + 1]] - (cut[k] if name == "head" else 0) for k in filled]
+            columns.append(pa.array([x.astype(kind).tobytes() for x in parts], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *columns], names=["bucket", *_MESSAGE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sequence, bounds in _units(batches, shared, settings.unit_tokens):
-            for size in SIZES:
-                codes, counts = np.unique(runs(sequence, bounds, size), return_counts=True)
-                enough = (codes >= 0) & (counts >= settings.run_share * len(sequence))
-                yield _codes(size, codes[enough], counts[enough])
-
-    found = shipped(docs).mapInArrow(run, "size int, code bigint, c bigint")
-    return found.groupBy("size", "code").agg(F.sum("c").alias("c")).select("size", "code")
-
-
-def run_counts(docs: DataFrame, shared, settings: Settings, least: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Codes, sorted, and exact counts of the runs of each size that occur ``least`` times."""
-    listed = staged(candidates(docs, shared, settings), "candidates")
-    kept = {size: ([], []) for size in SIZES}
-    for block in _blocks(listed, settings.block):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            totals = {size: np.zeros(len(sent.value[size]), dtype=np.int64) for size in SIZES}
-            for sequence, bounds in _units(batches, shared, settings.unit_tokens // 4):
-                for size in SIZES:
-                    known, codes = sent.value[size], runs(sequence, bounds, size)
-                    if len(known):
-                        nearest = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                        totals[size] += np.bincount(nearest[known[nearest] == codes], minlength=len(known))
-            for size, counts in totals.items():
-                yield _codes(size, sent.value[size][counts > 0], counts[counts > 0])
-
-        counted = shipped(docs).mapInArrow(run, "size int, code bigint, c bigint").groupBy("size", "code").agg(F.sum("c").alias("c"))
-        # At most 1 / run_share of each size reach the share.
-        enough = counted.where(F.col("c") >= least).toArrow()
-        for size in SIZES:
-            own = enough["size"].to_numpy() == size
-            kept[size][0].append(enough["code"].to_numpy()[own])
-            kept[size][1].append(enough["c"].to_numpy()[own])
-        sent.unpersist()
-    out = {}
-    for size, (codes, counts) in kept.items():
-        codes, counts = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (codes, counts))
-        order = np.argsort(codes)
-        out[size] = (codes[order], counts[order])
-    return out
+        for unit in _training_units(batches, tokens):
+            if (out := of(unit)) is not None:
+                yield out
+
+    return run
+
+
+def _buffers(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+
+
+def _merged(least: float):
+    """Learned runs of a bucket: of pairs ``head`` and ``tail`` are words, of triples their two pairs; ``of`` counts the first pair."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held = {name: _buffers(table, name, kind) for name, kind in _MESSAGE.items()}
+        before = np.cumsum([0, *(len(x) for x in held["a"])])
+        head = np.concatenate([x + first for x, first in zip(held["head"], before[:-1], strict=True)])
+        a, b, n, last, m = (np.concatenate(held[name]) for name in ("a", "b", "n", "last", "m"))
+        code = codes(a, b)
+        order = np.argsort(code)
+        first = _changes(code[order])
+        place = np.empty(len(code), dtype=np.int64)
+        place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(code)))
+        a, b, code, pairs = a[order[first]], b[order[first]], code[order[first]], _sums(n[order].astype(np.int64), first)
+        head = place[head]
+        order = np.lexsort((last, head))
+        head, last = head[order], last[order]
+        first = _changes(head, last)
+        triples = _sums(m[order].astype(np.int64), first)
+        head, last = head[first], last[first]
+        two, three = pairs >= least, triples >= least
+        head, last = head[three], last[three]
+        columns = {
+            "size": np.repeat(np.array([2, 3], np.int32), [two.sum(), three.sum()]),
+            "code": np.concatenate([code[two], codes(a[head], b[head], last)]).view(np.int64),
+            "head": np.concatenate([a[two], code[head]]).view(np.int64),
+            "tail": np.concatenate([b[two], codes(b[head], last)]).view(np.int64),
+            "c": np.concatenate([pairs[two], triples[three]]),
+            "of": np.concatenate([np.zeros(two.sum(), np.int64), pairs[head]]),
+        }
+        return pa.table(columns)
+
+    return run
+
+
+def learned_runs(docs: DataFrame, settings: Settings, buckets: int, least: float) -> DataFrame:
+    """``size``, ``code``, ``head``, ``tail``, ``c``, ``of`` of all runs that occur ``least`` times."""
+    sent = "bucket int, " + ", ".join(f"{name} binary" for name in _MESSAGE)
+    messages = shipped(docs.select("row", "train", "text")).mapInArrow(_messages(buckets, settings.unit_tokens // 2), sent)
+    return messages.groupBy("bucket").applyInArrow(_merged(least), "size int, code bigint, head bigint, tail bigint, c bigint, of bigint")
+
+
+def _left(p: Column, shorter: Column) -> Column:
+    """Backoff weight: log10 of the mass left by the continuations of a context over what they have in the shorter one."""
+    floor = F.lit(1e-300)
+    return F.log10(F.greatest(1 - F.sum(p), floor) / F.greatest(1 - F.sum(shorter), floor))
+
+
+def terms(counts: DataFrame, runs: DataFrame, total: int, every: int, vocabulary: int, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Of words ``code``, ``base``, ``extra``, ``known``, and of runs ``code``, ``extra``."""
+    end = int(END.view(np.int64))
+    numbered = counts.where((F.col("n") > settings.share * every) | (F.col("word") == end)) if settings.share else counts
+    single = (F.col("c") + settings.add) / F.lit(total + settings.add * (vocabulary + 1))
+    heads, tails = numbered.select(F.col("word").alias("head"), F.col("c").alias("of_head")), numbered.select(F.col("word").alias("tail"), single.alias("shorter"))
+    pairs = runs.where("size = 2").select("code", "head", "tail", "c").join(heads, "head").join(tails, "tail")
+    pairs = staged(pairs.select("code", "head", ((F.col("c") - settings.discount) / F.col("of_head")).alias("p"), "shorter"), "pairs")
+    of_word = staged(pairs.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back")), "word-backoff")
+    triples = runs.where("size = 3").select("code", "head", "tail", ((F.col("c") - settings.discount) / F.col("of")).alias("p"))
+    if settings.share:
+        triples = triples.join(pairs.select(F.col("code").alias("head")), "head", "left_semi")
+    triples = triples.join(pairs.select(F.col("code").alias("tail"), F.col("p").alias("shorter")), "tail")
+    triples = staged(triples.select("code", "head", "p", "shorter"), "triples")
+    of_pair = staged(triples.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back")), "pair-backoff")
+    own = F.log10("p") - F.log10("shorter") - F.col("back")
+    of_pairs = pairs.join(of_word, "head").select("code", own.alias("own")).join(of_pair.withColumnRenamed("head", "code"), "code", "left")
+    of_runs = of_pairs.select("code", (F.col("own") + F.coalesce("back", F.lit(0.0))).alias("extra"))
+    of_runs = of_runs.union(triples.join(of_pair, "head").select("code", own.alias("extra")))
+    of_words = counts.join(of_word.withColumnRenamed("head", "word"), "word", "left").select(
+        F.col("word").alias("code"), F.log10(single).alias("base"), F.coalesce("back", F.lit(0.0)).alias("extra"), (F.col("c") > 0).cast("int").alias("known")
+    )
+    return staged(of_words, "word-terms"), staged(of_runs, "run-terms")
 
 
-def _blocks(listed: DataFrame, most: int) -> Iterator[dict[int, np.ndarray]]:
-    """Candidates of each size, sorted, in blocks of about ``most`` chosen by a hash."""
-    blocks = -(-listed.count() // most)
-    for block in range(blocks):
-        found = listed.where(F.pmod(F.xxhash64("size", "code"), F.lit(blocks)) == block).toArrow()
-        sizes, codes = found["size"].to_numpy(), found["code"].to_numpy()
-        yield {size: np.sort(codes[sizes == size]).astype(np.int64) for size in SIZES}
+@dataclass(frozen=True)
+class Buckets:
+    """Of runs; of words by their hash, and copies of each."""
 
+    runs: int
+    words: int
+    copies: int
 
-@dataclass
-class Automaton:
-    """Arcs by ``state << WORD_BITS | word``; state 0 is the empty context and has arcs for all numbered words."""
-
-    known: list[bool]
-    single: list[float]
-    after: list[int]
-    arcs: dict[int, int] = field(default_factory=dict)
-    weight: list[float] = field(default_factory=list)
-    target: list[int] = field(default_factory=list)
-    back: list[float] = field(default_factory=list)
-    fail: list[int] = field(default_factory=list)
-
-    def walk(self, numbers: list[int]) -> float:
-        """log10 probability of a text without the probabilities of its words without a number."""
-        arcs, back, fail, total, state = self.arcs, self.back, self.fail, 0.0, 0
-        for word in numbers:
-            if word < 0:
-                while state:
-                    total += back[state]
-                    state = fail[state]
+    def of_table(self, of_words: DataFrame, of_runs: DataFrame) -> DataFrame:
+        copy = F.explode(F.sequence(F.lit(0), F.lit(self.copies - 1)))
+        placed = of_words.select("*", copy.alias("copy")).select(
+            (self.runs + bucket_of(F.col("code"), self.words) * self.copies + F.col("copy")).cast("int").alias("bucket"), "code", "base", "extra", "known"
+        )
+        nothing = (F.lit(0.0).alias("base"), F.col("extra"), F.lit(0).alias("known"))
+        return placed.union(of_runs.select(bucket_of(F.col("code"), self.runs).alias("bucket"), "code", *nothing))
+
+
+_QUESTION = {"codes": np.uint64, "texts": np.uint32, "places": np.uint32, "times": np.uint32}
+
+
+def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
+    """Per unit and bucket: distinct ``codes``, in how many ``texts`` each is, their ``places`` in the unit and the ``times`` in each.
+
+    ``unit`` is the first row's number. One message per unit has its ``heads``.
+    """
+
+    def asked(unit: Unit, size: int, copy: int) -> Iterator[tuple[int, list[bytes]]]:
+        at = unit.starts(size)
+        code = unit.sequence[at] if size == 1 else codes(*[unit.sequence[at + k] for k in range(size)])
+        text = np.repeat(np.arange(len(unit.bounds) - 1, dtype=np.uint32), np.diff(unit.bounds))[at]
+        order = np.argsort(code, kind="stable")
+        code, text = code[order], text[order]
+        first = _changes(code, text)
+        times, code, text = np.diff(first, append=len(code)), code[first], text[first]
+        first = _changes(code)
+        of = buckets.runs if size > 1 else buckets.words
+        cut = np.searchsorted(_bucket(code[first], of), np.arange(of + 1))
+        edges, texts = np.append(first, len(code)), np.diff(first, append=len(code))
+        for k in range(of):
+            lo, hi = cut[k], cut[k + 1]
+            if lo < hi or size == 1 and not k:
+                own = slice(edges[lo], edges[hi])
+                parts = (code[first[lo:hi]], texts[lo:hi], text[own], times[own])
+                yield k if size > 1 else buckets.runs + k * buckets.copies + copy, [
+                    x.astype(kind).tobytes() for x, kind in zip(parts, _QUESTION.values(), strict=True)
+                ]
+
+    def of(held: list[Unit], rows: list[np.ndarray], heads: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        unit, first = _joined(held), int(rows[0][0])
+        for size in (1, 2, 3):
+            found = list(asked(unit, size, first % buckets.copies))
+            if not found:
                 continue
-            while True:
-                if not state:
-                    total += self.single[word]
-                    state = self.after[word]
-                    break
-                arc = arcs.get(state << WORD_BITS | word)
-                if arc is not None:
-                    total += self.weight[arc]
-                    state = self.target[arc]
-                    break
-                total += back[state]
-                state = fail[state]
-        return total
-
-
-def automaton(counts: list[int], total: int, vocabulary: int, kept: dict[int, tuple[np.ndarray, np.ndarray]], settings: Settings) -> Automaton:
-    """``counts`` of the numbered words (the end token first); ``total`` and ``vocabulary`` of all training tokens."""
-    mask = (1 << WORD_BITS) - 1
-    scale = total + settings.add * (vocabulary + 1)
-    single = (np.array(counts, dtype=float) + settings.add) / scale
-    pairs, pair_counts = kept[2]
-    triples, triple_counts = kept[3]
-    firsts, seconds = pairs >> WORD_BITS, pairs & mask
-    pair_p = (pair_counts - settings.discount) / np.array(counts, dtype=float)[firsts] if len(pairs) else np.zeros(0)
-    heads, lasts = triples >> WORD_BITS, triples & mask
-    # A run that reaches the share has parts that reach it.
-    head_at = np.searchsorted(pairs, heads)
-    tail_at = np.searchsorted(pairs, triples & ((1 << 2 * WORD_BITS) - 1))
-    triple_p = (triple_counts - settings.discount) / pair_counts[head_at] if len(triples) else np.zeros(0)
-    out = Automaton([c > 0 for c in counts], np.log10(single).tolist(), [0] * len(counts), back=[0.0], fail=[0])
-
-    def states(contexts: np.ndarray, p: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, list[float]]:
-        distinct, place = np.unique(contexts, return_inverse=True)
-        left = 1 - np.bincount(place, p, len(distinct))
-        below = 1 - np.bincount(place, shorter, len(distinct))
-        return distinct, np.log10(np.maximum(left, 1e-300) / np.maximum(below, 1e-300)).tolist()
-
-    ones, back = states(firsts, pair_p, single[seconds] if len(pairs) else np.zeros(0))
-    of_word = {int(w): 1 + i for i, w in enumerate(ones)}
-    out.back += back
-    out.fail += [0] * len(ones)
-    twos, back = states(heads, triple_p, pair_p[tail_at] if len(triples) else np.zeros(0))
-    of_pair = {int(c): 1 + len(ones) + i for i, c in enumerate(twos)}
-    out.back += back
-    out.fail += [of_word.get(int(c) & mask, 0) for c in twos]
-    out.after = [of_word.get(w, 0) for w in range(len(counts))]
-    logs = np.log10(np.concatenate([pair_p, triple_p])).tolist()
-    for code, p in zip(pairs.tolist(), logs, strict=False):
-        word = code & mask
-        out.arcs[of_word[code >> WORD_BITS] << WORD_BITS | word] = len(out.weight)
-        out.weight.append(p)
-        out.target.append(of_pair.get(code, of_word.get(word, 0)))
-    for code, p in zip(triples.tolist(), logs[len(pairs) :], strict=True):
-        word, tail = code & mask, code & ((1 << 2 * WORD_BITS) - 1)
-        out.arcs[of_pair[code >> WORD_BITS] << WORD_BITS | word] = len(out.weight)
-        out.weight.append(p)
-        out.target.append(of_pair.get(tail, of_word.get(word, 0)))
-    return out
-
-
-def _scored(docs: DataFrame, shared, model) -> DataFrame:
-    """Per text a row with what the walk gives (``head``), and a row for each word without a number."""
-    added = {"n_tokens": "bigint", "known": "bigint", "single": "double", "walked": "double"}
-    head = F.struct("doc_id", "held_out", *[F.lit(None).cast(kind).alias(name) for name, kind in added.items()])
-    schema = docs.select("row", F.lit("").alias("word"), F.lit(0).alias("times"), F.when(F.col("row") >= 0, head).alias("head")).schema
+            number, contents = zip(*found, strict=True)
+            columns = [pa.array([c[i] for c in contents], pa.binary()) for i in range(len(_QUESTION))]
+            if size == 1:
+                values = pa.concat_arrays(heads)
+                lists = pa.ListArray.from_arrays(pa.array([0] + [len(values)] * len(found), pa.int32()), values)
+                lists = lists.cast(heads_type)
+            else:
+                lists = pa.nulls(len(found), heads_type)
+            names = ["bucket", "unit", *_QUESTION, "heads"]
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([first] * len(found), pa.int64()), *columns, lists], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker: Automaton = model.value
-        single, known = np.array(walker.single), np.array(walker.known)
-        longs, doubles = pa.int64(), pa.float64()
+        held, rows, heads, size = [], [], [], 0
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for part in slices(batch.column(2)):
-                found = words(part)
-                sequence, bounds = shared.value.sequence(found)
-                rows, texts, times, measures = [], [], [], []
-                for i in range(part.last - part.first):
-                    own = sequence[bounds[i] : bounds[i + 1]]
-                    numbers, key = own[own >= 0], keys[part.first + i]
-                    measures.append((len(own), int(known[numbers].sum()), float(single[numbers].sum()), walker.walk(own.tolist())))
-                    places = np.flatnonzero(own < 0) + found.bounds[i]
-                    _, first, counts = np.unique(found.hashes[places], return_index=True, return_counts=True)
-                    for k, n in zip(places[first].tolist(), counts.tolist(), strict=True):
-                        rows.append(key)
-                        texts.append(part.data[found.starts[k] : found.ends[k]].tobytes().lower())
-                        times.append(n)
-                yield _rows(rows, texts, times, pa.nulls(len(rows), head_type(batch)))
-                own = slice(part.first, part.last)
-                fields = [pa.array(m, kind) for m, kind in zip(zip(*measures, strict=True), (longs, longs, doubles, doubles), strict=True)]
-                heads = pa.StructArray.from_arrays([batch.column(3)[own], batch.column(4)[own], *fields], names=HEAD)
-                # No word is like these, so they meet nothing and spread evenly.
-                yield _rows(keys[own], [f"{END}{key}".encode() for key in keys[own]], [0] * len(heads), heads)
-
-    def head_type(batch: pa.RecordBatch) -> pa.DataType:
-        kinds = [batch.column(3).type, batch.column(4).type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.struct(list(zip(HEAD, kinds, strict=True)))
-
-    return shipped(docs).mapInArrow(run, schema)
-
-
-HEAD = ("doc_id", "held_out", "n_tokens", "known", "single", "walked")
-
-
-def _rows(rows: list, texts: list, times: list, heads: pa.Array) -> pa.RecordBatch:
-    word = pa.array(texts, pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), word, pa.array(times, pa.int32()), heads], names=["row", "word", "times", "head"])
+            numbers = batch.column(0).to_numpy()
+            for first, last, unit in _sequences(batch.column(2)):
+                held.append(unit)
+                rows.append(numbers[first:last])
+                own = slice(first, last)
+                fields = [batch.column(3)[own], batch.column(4)[own], pa.array(np.diff(unit.bounds), pa.int64())]
+                heads.append(pa.StructArray.from_arrays(fields, names=["doc_id", "held_out", "n_tokens"]))
+                size += len(unit.sequence)
+                if size >= tokens:
+                    yield from of(held, rows, heads)
+                    held, rows, heads, size = [], [], [], 0
+        if held:
+            yield from of(held, rows, heads)
+
+    return run
+
+
+_ANSWER = {"places": np.uint32, "base": np.float64, "extra": np.float64, "known": np.int64}
+
+
+def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """Sums per unit and text over the codes of a bucket."""
+    code = table["code"].to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    code = code[order]
+    values = {name: table[name].to_numpy()[order].astype(float) for name in ("base", "extra", "known")}
+    out = {name: [] for name in _ANSWER}
+    for own, texts, places, times in zip(*[_buffers(asked, name, kind) for name, kind in _QUESTION.items()], strict=True):
+        at = np.minimum(np.searchsorted(code, own), max(len(code) - 1, 0))
+        there = code[at] == own if len(code) else np.zeros(len(own), dtype=bool)
+        held = np.repeat(there, texts)
+        at, places, times = np.repeat(at, texts)[held], places[held], times[held]
+        distinct, place = np.unique(places, return_inverse=True)
+        out["places"].append(distinct.astype(np.uint32).tobytes())
+        for name, of in values.items():
+            sums = np.bincount(place, of[at] * times, len(distinct)) if len(at) else np.zeros(0)
+            out[name].append(sums.round().astype(np.int64).tobytes() if name == "known" else sums.tobytes())
+    columns = [pa.array(out[name], pa.binary()) for name in _ANSWER]
+    return pa.Table.from_arrays([asked["unit"], *columns, asked["heads"]], names=["unit", *_ANSWER, "heads"])
+
+
+def _added(answers: pa.Table) -> pa.Table:
+    """Of one unit: the texts' heads with their sums."""
+    heads = pa.concat_arrays([x.values for x in answers["heads"] if x.is_valid and len(x.values)])
+    sums = {name: np.zeros(len(heads)) for name in ("base", "extra", "known")}
+    places = _buffers(answers, "places", np.uint32)
+    for name, out in sums.items():
+        for at, own in zip(places, _buffers(answers, name, _ANSWER[name]), strict=True):
+            out[at] += own
+    columns = [heads.field(i) for i in range(3)] + [pa.array(sums["base"]), pa.array(sums["extra"]), pa.array(sums["known"].astype(np.int64))]
+    return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "base", "extra", "known"])
 
 
 def language_model_scores(df: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    spark = df.sparkSession
     out_of = held_out(F.col(key), settings.folds)
     docs = df.select(
         F.monotonically_increasing_id().alias("row"),
@@ -369,35 +421,30 @@ def language_model_scores(df: DataFrame, settings: Settings = Settings(), key: s
         F.coalesce(out_of, F.lit(False)).alias("held_out"),
     )
     counts = staged(word_counts(docs, settings), "word-counts")
-    total, every, vocabulary = counts.agg(F.sum("c"), F.sum("n"), F.count(F.when(F.col("c") > 0, 1))).first()
+    total, every, vocabulary, distinct = counts.agg(F.sum("c"), F.sum("n"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.lit(1))).first()
     total, every = total or 0, every or 0
-    is_frequent = (F.col("n") > settings.share * every) & (F.col("word") != END)
-    # Fewer than 1 / share rows.
-    frequent = counts.where(is_frequent).toPandas()
-    ends = counts.where(F.col("word") == END).first()
-    shared = spark.sparkContext.broadcast(numbered(frequent["word"].tolist()))
-    kept = run_counts(docs, shared, settings, max(2.0, settings.run_share * total))
-    numbers = [ends["c"] if ends else 0, *frequent["c"].tolist()]
-    model = spark.sparkContext.broadcast(automaton(numbers, total, vocabulary, kept, settings))
-    scored = _scored(docs, shared, model)
-    rare = counts.where(~is_frequent).select("word", "c")
-    c = F.coalesce("c", F.lit(0))
-    single = F.log10((c + settings.add) / F.lit(total + settings.add * (vocabulary + 1)))
-    rows = (
-        scored.join(rare, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.max("head").alias("head"),
-            F.sum(F.col("times") * single).alias("rare"),
-            F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
-        )
-    )
+    blocks = every // settings.block + 1
+    of_words = distinct // settings.block + 1
+    buckets = Buckets(blocks, of_words, max(1, blocks // WORD_BUCKETS // of_words))
+    runs = staged(learned_runs(docs, settings, blocks, max(LEAST, settings.run_share * total)), "runs")
+    table = buckets.of_table(*terms(counts, runs, total, every, vocabulary, settings))
+
+    head = F.struct("doc_id", "held_out", F.lit(0).cast("bigint").alias("n_tokens"))
+    # A condition keeps Spark from declaring the lists as never null.
+    heads = F.when(F.col("row") >= 0, F.array(F.when(F.col("row") >= 0, head)))
+    binary = lambda names: [F.lit(None).cast("binary").alias(name) for name in names]
+    asking = docs.select(F.lit(0).alias("bucket"), F.col("row").alias("unit"), *binary(_QUESTION), heads.alias("heads")).schema
+    answering = docs.select(F.col("row").alias("unit"), *binary(_ANSWER), heads.alias("heads")).schema
+    adding = docs.select("doc_id", "held_out", *[F.lit(0).cast(kind).alias(name) for name, kind in (("n_tokens", "bigint"), ("base", "double"), ("extra", "double"), ("known", "bigint"))]).schema
+    asked = shipped(docs).mapInArrow(_questions(buckets, settings.unit_tokens // 4, to_arrow_type(asking["heads"].dataType)), asking)
+    answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answers, answering)
+    rows = answers.groupBy("unit").applyInArrow(_added, adding)
     return rows.select(
-        "head.doc_id",
-        "head.held_out",
-        F.col("head.n_tokens").alias("n_tokens"),
-        (F.col("head.known") + F.col("known")).alias("n_known"),
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        F.col("known").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head.single") + F.col("rare")).alias("base_score"),
-        (F.col("head.walked") + F.col("rare")).alias("score"),
+        F.col("base").alias("base_score"),
+        (F.col("base") + F.col("extra")).alias("score"),
     )

@@ -98,3 +98,17 @@ def test_empty_hard_and_extra(spark):
     assert language_model_scores(empty_frame(spark)).count() == 0
     rows = language_model_scores(hard_frame(spark, extra=True)).collect()
     check(rows, [(r["doc_id"], r["text"]) for r in hard_frame(spark).collect()])
+
+
+def test_rare_runs_are_learned_in_a_large_corpus(spark):
+    # Two sightings among 600,000 tokens, less than 2^-18 of them.
+    filler = [" ".join(f"f{(i * 7 + k) % 50}" for k in range(3000)) for i in range(200)]
+    docs = [*enumerate(filler), *((1000 + i, "rare phrase here") for i in range(40))]
+    learned = [k for k, t in docs if k >= 1000 and zlib.crc32(str(k).encode()) % 10 != 0]
+    docs = [(k, t) for k, t in docs if k < 1000 or k in learned[:2]]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in language_model_scores(df).collect()}
+    assert all(rows[k]["score"] > rows[k]["base_score"] + 5 for k in learned[:2])
+    # Sizes of units and buckets change nothing.
+    small = {r["doc_id"]: r for r in language_model_scores(df.repartition(3), Settings(block=20_000, unit_tokens=40_000)).collect()}
+    assert all(small[k]["score"] == pytest.approx(rows[k]["score"], rel=1e-9) for k in rows)
