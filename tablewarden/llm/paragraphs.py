@@ -1,11 +1,17 @@
-"""Substring deduplication by paragraphs.
+"""Substring deduplication by paragraphs and by passages.
 
-Texts are cut into their lines; lines with enough words are paragraphs. Paragraphs with the same words
+Paragraphs. Texts are cut into their lines; lines with enough words are paragraphs. Paragraphs with the same words
 are one class, classes get MinHash bands (three minima a band, sixteen bands, so a pair at similarity
 0.75 is missed with probability (1 - 0.75^3)^16 < 2e-4), colliding classes are joined and verified by
 exact Jaccard similarity of their five-word shingles, and removals are clustered by components: the
 first paragraph of a component stays, by document id and place.
 
+Passages. Every window of fifty words that stands in two documents is found, wherever lines end. Of each
+26 neighbouring runs of 25 words, those of one such window, the smallest hash is its mark: equal windows
+have equal marks. Documents with a mark that another document has send their windows with such marks,
+and equal windows in several documents are put together to spans. In the first document with a window it
+stays, by document id and place. Spans that a reported paragraph covers are left out.
+
 Defined cases: null and empty texts have no paragraphs; a passage that repeats only inside one document
 is not reported; rows that repeat a document's id count as that document; null ids come first; an empty
 table gives no rows.
@@ -15,15 +21,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .near_duplicates import Near, near_duplicates
-from .tables import shipped
+from .tables import shipped, staged
+from .texts import mixed, slices, words
 
 #: Paragraphs with fewer words are left alone.
 LEAST_WORDS = 40
+#: Words of a passage and of the runs that mark it; so many runs neighbour each other in a passage.
+PASSAGE, RUN = 50, 25
+RUNS = PASSAGE - RUN + 1
 PARAGRAPH_NEAR = Near(bands=16, rows=3, margin=0.3)
 
 
@@ -54,22 +65,130 @@ def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text", least_wor
     return shipped(docs).mapInArrow(run, schema)
 
 
+def _windows(values: np.ndarray, size: int, join) -> np.ndarray:
+    """``join`` over ``size`` neighbouring values, for each place that has so many; parts are doubled."""
+    out, have, part, length, rest = None, 0, values, 1, size
+    while rest:
+        if rest & 1:
+            n = max(0, len(values) - have - length + 1)
+            out, have = (part if out is None else join(out[:n], part[have : have + n])), have + length
+        rest >>= 1
+        if rest:
+            n = max(0, len(part) - length)
+            part, length = join(part[:n], part[length : length + n]), length * 2
+    return out
+
+
+def _hashed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
+
+
+def _marks(hashes: np.ndarray) -> np.ndarray:
+    """The mark of every window of a passage's length."""
+    return _windows(_windows(hashes, RUN, _hashed), RUNS, np.minimum)
+
+
+def document_marks(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``mark``. ``docs``: (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                found = words(part)
+                marks = _marks(found.hashes)
+                held = [np.unique(marks[lo : max(lo, hi - PASSAGE + 1)]) for lo, hi in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
+                of = np.repeat(np.arange(part.first, part.last), [len(x) for x in held])
+                ids = batch.column(0).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(held).view(np.int64))], names=["doc_id", "mark"])
+
+    return shipped(docs).mapInArrow(run, docs.select("doc_id", F.lit(0).cast("bigint").alias("mark")).schema)
+
+
+_PLACE = ("hash", "row", "word", "line", "start", "end")
+
+
+def marked_windows(docs: DataFrame) -> DataFrame:
+    """Windows whose mark is wanted: ``doc_id``, ``hash``, and ``row``, ``word``, ``line``, ``start``, ``end`` (in code points). ``docs``: (row, doc_id, wanted, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, wanted = batch.column(0).to_numpy(), batch.column(2)
+            for part in slices(batch.column(3)):
+                found = words(part)
+                marks, hashes = _marks(found.hashes), _windows(found.hashes, PASSAGE, _hashed)
+                points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
+                breaks = np.concatenate([[0], np.cumsum(part.data == ord("\n"))])
+                texts, places = [], []
+                for i in range(part.last - part.first):
+                    lo, hi = found.bounds[i], max(found.bounds[i], found.bounds[i + 1] - PASSAGE + 1)
+                    own = wanted[part.first + i].values.to_numpy().view(np.uint64)
+                    places.append(lo + np.flatnonzero(np.isin(marks[lo:hi], own)))
+                    texts.append(np.full(len(places[-1]), i))
+                text, at = np.concatenate(texts), np.concatenate(places).astype(np.int64)
+                begin, first = part.offsets[text], found.starts[at]
+                last = found.ends[at + PASSAGE - 1] if len(at) else at
+                longs = [
+                    hashes[at].view(np.int64), rows[part.first + text.astype(np.int64)], at - found.bounds[text.astype(np.int64)],
+                    breaks[first] - breaks[begin], points[first] - points[begin], points[last] - points[begin],
+                ]
+                ids = batch.column(1).take(pa.array(part.first + text, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in longs]], names=["doc_id", *_PLACE])
+
+    return shipped(docs).mapInArrow(run, docs.select("doc_id", *[F.lit(0).cast("bigint").alias(name) for name in _PLACE]).schema)
+
+
+def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Spans whose windows stand in several documents; columns as of ``repeated_paragraphs``."""
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    marks = staged(document_marks(docs), "marks")
+    of = F.struct("doc_id")
+    several = marks.groupBy("mark").agg(F.min(of).alias("least"), F.max(of).alias("most")).where("NOT least.doc_id <=> most.doc_id")
+    wanted = marks.join(staged(several.select("mark"), "shared-marks"), "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("wanted"))
+    wanted = staged(wanted.withColumnRenamed("doc_id", "of"), "wanted-marks")
+    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
+    windows = staged(marked_windows(held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "wanted", "text")), "windows")
+    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "word", "row", "line")).alias("first"), F.max(of).alias("most"))
+    firsts = staged(firsts.where("NOT first.doc_id <=> most.doc_id").select("hash", "first"), "first-windows")
+    found = windows.join(firsts, "hash").withColumn("first_doc_id", F.col("first.doc_id"))
+    in_row = Window.partitionBy("row").orderBy("word")
+    goes_on = (F.lag("word").over(in_row) == F.col("word") - 1) & F.lag("first_doc_id").over(in_row).eqNullSafe(F.col("first_doc_id"))
+    found = found.withColumn("new", F.when(goes_on, 0).otherwise(1))
+    spans = found.withColumn("span", F.sum("new").over(in_row)).groupBy("row", "span").agg(
+        F.min(F.struct("word", "doc_id", "line", "start", "first_doc_id", F.col("first.line").alias("first_line"))).alias("at"), F.max("end").alias("end")
+    )
+    return spans.select(
+        "at.doc_id",
+        "at.line",
+        "at.start",
+        "end",
+        "at.first_doc_id",
+        "at.first_line",
+        (~F.col("at.doc_id").eqNullSafe(F.col("at.first_doc_id"))).alias("removed"),
+    )
+
+
 def repeated_paragraphs(
     df: DataFrame, near: Near = PARAGRAPH_NEAR, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS
 ) -> DataFrame:
-    """Paragraphs that stand in several documents: ``doc_id``, ``line``, ``start``, ``end``, ``first_doc_id``, ``first_line``, ``removed``."""
+    """Paragraphs and passages that stand in several documents: ``doc_id``, ``line``, ``start``, ``end``, ``first_doc_id``, ``first_line``, ``removed``."""
     found = near_duplicates(paragraphs(df, key, text, least_words), near, "id")
     groups = found.groupBy("component_id").agg(
         F.min("doc_id.doc_id").alias("least"), F.max("doc_id.doc_id").alias("most"), F.count(F.lit(1)).alias("n"),
         F.max(F.col("doc_id.doc_id").isNull().cast("int")).alias("null_id"),
     )
     several = groups.where("n > 1 AND (least != most OR (null_id = 1 AND least IS NOT NULL))").select(F.col("component_id").alias("of"))
-    return found.join(several, F.col("component_id") == F.col("of"), "left_semi").select(
-        "doc_id.doc_id",
-        "doc_id.line",
-        "doc_id.start",
-        "doc_id.end",
-        F.col("component_id.doc_id").alias("first_doc_id"),
-        F.col("component_id.line").alias("first_line"),
-        (~F.col("kept")).alias("removed"),
+    similar = staged(
+        found.join(several, F.col("component_id") == F.col("of"), "left_semi").select(
+            "doc_id.doc_id",
+            "doc_id.line",
+            "doc_id.start",
+            "doc_id.end",
+            F.col("component_id.doc_id").alias("first_doc_id"),
+            F.col("component_id.line").alias("first_line"),
+            (~F.col("kept")).alias("removed"),
+        ),
+        "similar-paragraphs",
     )
+    one, all_ = repeated_passages(df, key, text).alias("s"), similar.alias("p")
+    covered = F.expr("s.doc_id <=> p.doc_id AND p.start <= s.start AND s.end <= p.end AND (p.removed OR NOT s.removed)")
+    return similar.unionByName(one.join(all_, covered, "left_anti"))
