@@ -4,8 +4,8 @@ Lines are normalised and hashed; per host the distinct documents that hold a lin
 documents with the same text are one. A line above the limit is taken out wherever it stands, and a
 document that loses too much is rejected, as are documents that fail the plain rules.
 
-The limit is a share of the host's documents, so a host has at most (lines per document) / share such
-lines: what is joined back to the documents is a short list per host, whatever the size of the corpus.
+The limit is a number of documents, the same for every host. Lines above it are joined back to the
+distinct texts by host, hash and salt, and each text gets the list of its own.
 
 Defined cases: a null text is an empty one (no words, fails); a null host is a host of its own; lines
 without a word are neither counted nor removed; repeated rows are judged alike; an empty table gives
@@ -25,20 +25,22 @@ from .tables import staged
 BLANKS = " \t\n\x0b\x0c\r"
 #: Fixed value: symbols that are counted.
 SYMBOLS = "#*$%&|<>"
+#: Parts that a frequent line's texts are dealt to.
+SALTS = 16
 
 
 @dataclass(frozen=True)
 class Limits:
     """A text needs ``min_words`` words, at most ``repeated_share`` of them in repeated windows of three.
 
-    A line is above the limit in more than ``line_documents`` documents of its host and more than
-    ``line_share`` of them. A document is depleted when it keeps less than ``left_share`` of its words.
+    A line is above the limit in more than ``line_documents`` documents of its host and, if it is set,
+    more than ``line_share`` of them. A document is depleted when it keeps less than ``left_share`` of its words.
     """
 
     min_words: int = 50
     repeated_share: float = 0.5
     line_documents: int = 10
-    line_share: float = 0.1
+    line_share: float = 0.0
     left_share: float = 0.5
 
 
@@ -100,22 +102,23 @@ def repeated_words(df: DataFrame, words: str, n_words: str, result: str) -> Data
 
 
 def frequent_lines(df: DataFrame, limits: Limits, host: str, text: str) -> DataFrame:
-    """``host_`` and ``lines_``, the hashes of its lines above the limit. Hosts without any are missing."""
+    """``host_``, ``text_``, ``size_`` of texts with lines above the limit, and ``lines_``, the hashes of these."""
     hashes = F.array_distinct(F.filter(F.transform(F.split(text, "\n"), line_hash), lambda h: h.isNotNull()))
-    texts = (
-        df.select(F.col(host).alias("host_"), F.xxhash64(text).alias("text_"), F.length(text).alias("size_"), hashes.alias("lines_"))
-        .dropDuplicates(["host_", "text_", "size_"])
-        # The null line counts the host's documents.
-        .select("host_", F.explode(F.array_append("lines_", F.lit(None).cast("long"))).alias("line_"))
-    )
-    counts = texts.groupBy("host_", "line_").agg(F.count(F.lit(1)).alias("n_"))
-    many = staged(counts.where(F.col("line_").isNull() | (F.col("n_") > limits.line_documents)), "line-counts")
-    hosts = many.where(F.col("line_").isNull()).select(F.col("host_").alias("of_"), F.col("n_").alias("documents_"))
-    above = many.where(F.col("line_").isNotNull()).join(hosts, F.col("host_").eqNullSafe(F.col("of_")))
-    return staged(
-        above.where(F.col("n_") > limits.line_share * F.col("documents_")).groupBy("host_").agg(F.collect_set("line_").alias("lines_")),
-        "frequent-lines",
-    )
+    texts = df.select(F.col(host).alias("host_"), *_text_key(text), hashes.alias("lines_")).dropDuplicates(["host_", "text_", "size_"])
+    texts = staged(texts, "line-texts")
+    lines = texts.select("host_", "text_", "size_", F.explode("lines_").alias("line_"))
+    many = lines.groupBy("host_", "line_").agg(F.count(F.lit(1)).alias("n_")).where(F.col("n_") > limits.line_documents)
+    if limits.line_share:
+        hosts = texts.groupBy(F.col("host_").alias("of_")).agg(F.count(F.lit(1)).alias("documents_"))
+        many = many.join(hosts, F.col("host_").eqNullSafe(F.col("of_"))).where(F.col("n_") > limits.line_share * F.col("documents_"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    above = staged(many.select(F.col("host_").alias("of_"), F.col("line_").alias("above_")), "frequent-lines").withColumn("part_", salts)
+    same = F.col("host_").eqNullSafe(F.col("of_")) & (F.col("line_") == F.col("above_")) & (F.pmod("text_", F.lit(SALTS)) == F.col("part_"))
+    return staged(lines.join(above, same).groupBy("host_", "text_", "size_").agg(F.collect_list("line_").alias("lines_")), "lines-of-texts")
+
+
+def _text_key(text: str) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias("text_"), F.length(text).alias("size_")
 
 
 def kept_rows(judged: DataFrame) -> DataFrame:
@@ -141,16 +144,27 @@ def quality_rules(df: DataFrame, limits: Limits = Limits(), text: str = "text",
         .withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
     )
     measured = repeated_words(measured, "words_", "n_words", "n_repeat_words").drop("words_")
+    # Numbers go into the join with a text's lines, so that the text itself does not unless it is asked for.
+    measured = (
+        measured.withColumn("all_lines_", F.transform(F.split("body_", "\n"), line_hash))
+        .withColumn("line_words_", F.transform(F.split("body_", "\n"), lambda line: F.regexp_count(line, F.lit(r"[^ \t-\r]+"))))
+        .withColumn("own_text_", F.xxhash64("body_"))
+        .withColumn("own_size_", F.length("body_"))
+    )
     failed = (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") > limits.repeated_share * F.col("n_words"))
-    joined = measured.join(found, F.col(host).eqNullSafe(F.col("host_")), "left")
+    joined = measured.join(
+        found,
+        F.col(host).eqNullSafe(F.col("host_")) & (F.col("own_text_") == F.col("text_")) & (F.col("own_size_") == F.col("size_")),
+        "left",
+    )
     is_above = lambda line: F.array_contains("lines_", F.coalesce(line_hash(line), F.lit(0)))
-    above = F.array_join(F.filter(F.split("body_", "\n"), is_above), "\n")
     rest = F.array_join(F.filter(F.split("body_", "\n"), lambda line: ~is_above(line)), "\n")
-    removed = F.when(F.col("lines_").isNull(), 0).otherwise(F.regexp_count(above, F.lit(r"[^ \t-\r]+")))
+    counted = F.zip_with("all_lines_", "line_words_", lambda h, n: F.when(F.array_contains("lines_", h), n).otherwise(0))
+    removed = F.when(F.col("lines_").isNull(), 0).otherwise(F.aggregate(counted, F.lit(0), lambda a, n: a + n))
     return (
         joined.withColumn("base_failed", failed)
         .withColumn("n_removed_words", removed.cast("long"))
         .withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed_words") >= limits.left_share * F.col("n_words")))
         .withColumn("clean_text", F.when(F.col("n_removed_words") == 0, F.col("body_")).otherwise(rest))
-        .drop("body_", "host_", "lines_")
+        .drop("body_", "host_", "lines_", "text_", "size_", "own_text_", "own_size_", "all_lines_", "line_words_")
     )

@@ -80,3 +80,17 @@ def test_clean_text(spark):
 def test_empty_and_extra_columns(spark):
     assert quality_rules(empty_frame(spark)).count() == 0
     assert quality_rules(hard_frame(spark, extra=True).drop("body_", "words_")).count() == hard_frame(spark).count()
+
+
+def test_lines_on_a_large_host(spark):
+    # Fifteen of 400 documents: more than ten, less than a tenth.
+    # Digits are all the same in lines.
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, ("Accept all cookies\n" if i < 15 else "") + f"body of {name(i)} {' '.join(f'{name(i)}x{name(k)}' for k in range(60))}", "hot") for i in range(400)]
+    rows += [(1000 + i, "Accept all cookies\nbody of another host", "cold") for i in range(10)] + [(0, rows[0][1], "hot")] * 30
+    out = quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        own = r["source"] == "hot" and r["doc_id"] < 15
+        assert r["n_removed_words"] == (3 if own else 0)
+        assert r["clean_text"] == (r["text"].split("\n")[-1] if own else r["text"])
