@@ -3,8 +3,10 @@
 Candidates are runs of token characters at least a window long. Within a run a window moves by one
 character at a time; the sum of c * log2(c) over its character counts is carried along and changed
 for the entering and the leaving character only, which gives the Shannon entropy of every window.
-Windows at or above the threshold of the run's character class are joined to spans. Runs on the
-allow-list, and spans inside a pattern match, are left out.
+Windows at or above the threshold of the run's character class are joined to spans. Every run has a
+class, and every threshold can be reached by a window of it. Runs on the allow-list, and spans inside a
+pattern match, are left out. A placeholder word allows a run only if no window's length beside it is free
+of such words.
 
 Positions count code points. Everything is built from SQL functions. Where matches lie is found by
 putting a mark around each and summing the lengths between marks; the marks are control characters
@@ -33,21 +35,28 @@ MARK, INNER, OTHER = "\x01", "\x02", "\x03"
 BLOCK = 256
 
 
+#: Characters of a window, and words of tokens that are none.
+WINDOW = 20
+PLACEHOLDER = "(?:example|sample|placeholder|changeme|xxxx|dummy|abcdefgh|0123456789|qwerty)"
+
+
 @dataclass(frozen=True)
 class EntropyRules:
     """A class is a pattern that a whole run matches and the bits a window of it needs; the first that fits holds."""
 
-    window: int = 20
+    window: int = WINDOW
     run: str = "[A-Za-z0-9+/_=-]"
     classes: tuple[tuple[str, float], ...] = (
-        ("^[0-9]+$", 9.0),
+        ("^[0-9]+$", 2.5),
         ("^[0-9a-fA-F]+$", 3.0),
         ("^(?=.*[0-9])(?=.*[a-zA-Z]).*$", 3.7),
+        ("^(?=.*[a-z])(?=.*[A-Z]).*$", 3.6),
+        ("^.*[a-zA-Z].*$", 3.5),
+        ("^.*$", 2.5),
     )
     allow: tuple[str, ...] = (
-        "(?i)example|sample|placeholder|changeme|xxxx|dummy",
+        f"(?i)^(?=.*{PLACEHOLDER})(?!(?:.*{PLACEHOLDER})?(?:(?!{PLACEHOLDER}).){{{WINDOW}}})",
         "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-        "(?i)abcdefgh|0123456789|qwerty",
         "^(/?[a-z]+)+/?$",
     )
 

@@ -91,3 +91,25 @@ def test_redaction(spark, text):
         for a, _, _, b in reversed(base(text)):
             want = want[:a] + "[secret]" + want[b:]
     assert row["text"] == want
+
+
+@pytest.mark.parametrize(
+    "run, found",
+    [
+        ("83019475620184736592", True),  # only digits
+        ("000000000000000000001", False),
+        ("qZvTbKmLcXrGpWnHdYsJfAeU", True),  # letters in mixed case
+        ("Einungtzheitgeungverlich", False),
+        ("KQZVTBXMLCWRGPNHDYSJ_FAEU", True),  # one case and symbols
+        ("zq-vt/bk_ml=cx+rgpwnhdysj", True),
+        ("some/path/to/the/documents", False),
+        ("sample_key=zQ8vT2kLm9XcR4pWn7Bd5HjYaE3uG6sF1oN0iM8t", True),  # a placeholder beside a token
+        ("zQ8vT2kLm9XcR4pWn7Bd5HjYaE3uG6sF1oN0iM8t-example", True),
+        ("example1234567890abcdefXYZ", False),
+        ("550e8400-e29b-41d4-a716-446655440000", False),
+    ],
+)
+def test_every_class_of_runs(spark, run, found):
+    row = redacted(secret_spans(spark.createDataFrame([(f"see {run} here",)], "text string"))).first()
+    assert ("[secret]" in row["text"]) == found
+    assert [(s["start"], s["end"]) for s in row["all_spans"]] == entropy_spans(f"see {run} here")
