@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroid_clusters import centroid_clusters
 from .decontamination import decontaminated
 from .html_text import page_texts
 from .language_id import Fit, fitted, languages, training_rows
 from .language_model import language_model_scores
+from .licences import license_scans
 from .mixing import document_sizes, mixed_sources
 from .near_duplicates import near_duplicates
 from .paragraphs import repeated_paragraphs
 from .quality import quality_rules
 from .secrets import count_of, secret_spans, spans_text
+from .spelling import spelling_variants
 from .tables import staged, table
 from .token_counts import token_counts
 
@@ -108,6 +111,18 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secrets": op1_secrets,
@@ -120,4 +135,7 @@ def queries() -> dict[str, Query]:
         "op8_mixing": op8_mixing,
         "op9_paragraphs": op9_paragraphs,
         "op10_language_model": op10_language_model,
+        "op11_centroids": op11_centroids,
+        "op12_licenses": op12_licenses,
+        "op13_spelling": op13_spelling,
     }
