@@ -576,6 +576,9 @@ def oracle_sql() -> dict[str, str]:
         # Sources, sinks and preparation
         "csv_round_trip": with_base(CUSTOMERS, "SELECT * FROM base"),
         "csv_inferred_types": "SELECT * FROM orders",
+        "csv_round_trip_documents": "SELECT * FROM documents",
+        "csv_round_trip_conversations": "SELECT * FROM conversations",
+        "csv_round_trip_events": "SELECT * FROM events",
         "normalise_nulls": with_base(EVENTS, "SELECT * FROM base"),
         "row_index": "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index, * FROM orders",
         # Profile

@@ -77,7 +77,7 @@ def test_csv_keeps_odd_texts(spark, tmp_path):
 def test_csv_line_breaks_in_quotes(spark, tmp_path):
     path = tmp_path / "lines.csv"
     path.write_text('a,b\n1,"two\nlines"\n2,one\n')
-    assert rows(read_csv(spark, str(path), multi_line=True)) == [(1, "two\nlines"), (2, "one")]
+    assert rows(read_csv(spark, str(path))) == [(1, "two\nlines"), (2, "one")]
 
 
 def test_values_that_do_not_fit_a_given_type_fail(spark, tmp_path):
