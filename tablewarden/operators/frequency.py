@@ -22,6 +22,9 @@ COLUMNS_PER_PASS = 40
 # so it can not be mistaken for a short value.
 SHORT_BYTES = 64
 _DIGEST_PREFIX = "sha256:"
+_DIGEST_LENGTH = len(_DIGEST_PREFIX) + 64
+# Characters by which texts are told apart that begin alike, step by step; every step is one more read of these.
+_DESCENT = (256,)
 # Most copies of one text that meet in a task while the texts of the winners are fetched.
 _SALTS = 64
 
@@ -121,16 +124,15 @@ def _keys_counted(df: DataFrame, columns: list[AuditColumn], counted: list[DataF
 def _top(df: DataFrame, group: list[tuple[AuditColumn, str]], counted: DataFrame, n: int) -> DataFrame:
     """(position, column, rank, value, count) of the n most frequent values per column."""
     texts = [c for c, _ in group if is_text(c.data_type)]
-    order = F.expr(f"CASE WHEN octet_length(key) > {SHORT_BYTES} THEN left(key, {SHORT_BYTES}) ELSE key END") if texts else F.col("key")
-    best = Window.partitionBy("position").orderBy(F.desc("count"), order)
-    # The rank filter runs before the shuffle too. Only long texts can tie: those with equal counts and
-    # the same beginning all stay until their whole texts decide.
-    winners = counted.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= n)
+    if texts:
+        best = _best_texts(df, texts, counted, n)
+    else:
+        order = Window.partitionBy("position").orderBy(F.desc("count"), "key")
+        best = counted.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= n)
     names = " ".join(f"WHEN {c.position} THEN {text(c.name)}" for c, _ in group)
     prints = " ".join(f"WHEN {c.position} THEN {_printed(c)}" for c, _ in group)
-    winners = winners.selectExpr(
-        "position", f"CASE position {names} END AS column", "rank", "key", f"CASE position {prints} END AS value", "count"
-    )
+    rank = "rank" if not texts else "0 AS rank"
+    winners = best.selectExpr("position", f"CASE position {names} END AS column", rank, "key", f"CASE position {prints} END AS value", "count")
     if not texts:
         return winners.drop("key")
     whole = Window.partitionBy("position").orderBy(F.desc("count"), F.asc("value"))
@@ -138,6 +140,62 @@ def _top(df: DataFrame, group: list[tuple[AuditColumn, str]], counted: DataFrame
     return ranked.where(F.col("rank") <= n)
 
 
+def _first_groups(groups: DataFrame, n: int) -> DataFrame:
+    """Groups of texts with one count and beginning, down to the one that holds the last of ``left`` places.
+
+    ``whole`` groups fit as they are; the last may hold more texts than places, ``left`` then says how many
+    it has. The rank filter runs before the shuffle too, so a task sends n small rows per column at most.
+    """
+    order = Window.partitionBy("position").orderBy(F.desc("count"), "begin", "long")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = groups.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return (
+        first.withColumn("upto", F.sum("same").over(upto))
+        .where("upto - same < left")
+        .selectExpr("position", "count", "begin", "long", "left - upto + same AS left", "upto <= left AS whole")
+    )
+
+
+def _best_texts(df: DataFrame, texts: list[AuditColumn], counted: DataFrame, n: int) -> DataFrame:
+    """(position, key, count) of the n best texts per column, and of those that tie with the last one for long.
+
+    Texts are ranked by count and by their beginning, as groups of equal ones. Where the last group has more
+    texts than places, its texts are told apart by the next characters, for these texts only; then by more.
+    Only keys and beginnings travel. If no group is too large, the adaptive plan finds the small side
+    empty and does not read the table again.
+    """
+    on = ["position", "count", "begin", "long"]
+    keys = counted.selectExpr(
+        "position",
+        "key",
+        "count",
+        # The defaults never apply; like that of positions they keep the shuffle of the counts shared.
+        f"coalesce(CASE WHEN octet_length(key) > {SHORT_BYTES} THEN left(key, length(key) - {_DIGEST_LENGTH}) ELSE key END, '') AS begin",
+        f"coalesce(octet_length(key) > {SHORT_BYTES}, false) AS long",
+        f"{n}L AS left",
+    )
+    found, length = [], SHORT_BYTES
+    for more in (*_DESCENT, None):
+        # At most n rows per column.
+        first = _first_groups(keys.groupBy(*on, "left").agg(F.count(F.lit(1)).alias("same")), n)
+        if more is None:
+            found.append(keys.join(F.broadcast(first), on, "left_semi").select("position", "key", "count"))
+            return union_all(found)
+        found.append(keys.join(F.broadcast(first.where("whole")), on, "left_semi").select("position", "key", "count"))
+        tied = first.where("NOT whole").selectExpr("position", "begin AS known", "count AS wanted", "left")
+        long = {c.position: f"CASE WHEN octet_length({c.sql}) > {SHORT_BYTES} THEN {c.sql} END" for c in texts}
+        rows = _unpivoted(df, long, "long_text").selectExpr("*", f"left(long_text, {length}) AS known")
+        length += more
+        keys = (
+            rows.join(F.broadcast(tied), ["position", "known"])
+            .selectExpr("position", f"{_ordered_key('long_text')} AS key", f"left(long_text, {length}) AS begin", "wanted", "left")
+            .groupBy("position", "key", "begin", "wanted", "left")
+            .agg(F.count(F.lit(1)).alias("count"))
+            .where("count = wanted")
+            .selectExpr("position", "key", "count", "begin", "true AS long", "left")
+        )
+
+
 def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
     """Exact number of distinct non-null values per column; map columns report null."""
     df = normalise_nulls(df)
@@ -156,8 +214,8 @@ def distinct_counts(df: DataFrame, row_id: str | None = None) -> DataFrame:
 def top_values(df: DataFrame, row_id: str | None = None, n: int = TOP) -> DataFrame:
     """The n most frequent non-null values per column; equal counts order by value, whatever its length.
 
-    Long texts are counted by digest. Their texts are fetched only for the winners and for those that
-    tie with the last one in count and beginning.
+    Long texts are counted by digest. Their texts are fetched only for the winners, and for texts that tie
+    with the last one in count and in its first 320 characters.
     """
     df = normalise_nulls(df)
     columns = [c for c in audited_columns(df, row_id) if c.type_class != OTHER]

@@ -161,3 +161,41 @@ def test_wide_table(spark):
 
 def test_table_without_columns(spark):
     assert rows(tw.enriched_profile(spark.range(3).select())) == []
+
+
+def shuffled_bytes(spark) -> int:
+    """Bytes that all stages of the session have written to shuffles so far."""
+    store, total = spark.sparkContext._jsc.sc().statusStore(), 0
+    stages = store.stageList(spark.sparkContext._jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    for i in range(stages.size()):
+        total += stages.apply(i).shuffleWriteBytes()
+    return total
+
+
+def test_texts_that_begin_alike_do_not_travel(spark):
+    """Only beginnings are sent of texts that tie in count and in their first 200 characters."""
+    body = "repeat(sha2(CAST(id AS STRING), 512), 100)"
+    pages = spark.range(0, 10_000, 1, 8).selectExpr(f"repeat('same start', 20) || {body} AS html").checkpoint()
+    before = shuffled_bytes(spark)
+    found = tw.top_values(pages).orderBy("rank").collect()
+    sent = shuffled_bytes(spark) - before
+    assert [r["value"] for r in found] == [r[0] for r in pages.orderBy("html").limit(5).collect()]
+    size = 200 + 12_800
+    assert sent < 1000 * size
+
+
+@pytest.mark.parametrize("same", [10, 63, 64, 65, 319, 320, 321, 5000])
+def test_top_values_of_texts_that_begin_alike(spark, same):
+    """Ties that end before, at and after the characters of every step; some texts stand twice."""
+    texts = [("é" * same) + f"{(i * 37) % 101:03d}" + "x" * (i % 90) for i in range(100)]
+    texts += [texts[3], texts[50], "é" * same, "é" * 64, "b", "b"]
+    df = spark.createDataFrame([(i, t, t[::-1]) for i, t in enumerate(texts)], "rid int, t string, u string")
+    found = by_rank = {}
+    for r in tw.top_values(df, "rid", 7).collect():
+        by_rank.setdefault(r["column"], {})[r["rank"]] = (r["value"], r["count"])
+    for place, name in ((1, "t"), (2, "u")):
+        count = {}
+        for row in df.collect():
+            count[row[place]] = count.get(row[place], 0) + 1
+        want = sorted(count.items(), key=lambda kv: (-kv[1], kv[0]))[:7]
+        assert [found[name][k] for k in range(1, 8)] == want
