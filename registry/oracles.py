@@ -8,6 +8,7 @@ from .views import (
     DOCUMENTS,
     EMBEDDINGS,
     EVENTS,
+    EXACT_KEYS,
     KEYS,
     LABELS,
     LINEITEM,
@@ -376,6 +377,42 @@ def medians(table: Audited) -> str:
     )
 
 
+def middle_two(c: str, result: str) -> str:
+    """A scalar of the two middle values ``a`` and ``b`` of a column."""
+    ranked = f"SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM base WHERE {c} IS NOT NULL"
+    return f"(SELECT {result} FROM (SELECT min(v) AS a, max(v) AS b FROM ({ranked}) x WHERE r IN ((n - 1) // 2, n // 2)) y)"
+
+
+def value_at(c: str, quantile: float) -> str:
+    """The value of a column at a nearest rank, in its own type."""
+    ranked = f"SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS r, count(*) OVER () AS n FROM base WHERE {c} IS NOT NULL"
+    return f"(SELECT v FROM ({ranked}) x WHERE r = CAST(floor((n - 1) * {quantile} + 0.5) AS BIGINT))"
+
+
+def quantile_values(table: Audited, names: tuple[str, ...], quantiles: tuple[float, ...]) -> str:
+    parts = [
+        f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS quantile, CAST({value_at(c, q)} AS VARCHAR) AS value" for c in names for q in quantiles
+    ]
+    return with_base(table, union(parts))
+
+
+def large_fences(table: Audited, c: str) -> str:
+    """Fences of a bigint column in whole numbers, each rounded to a double once."""
+    q25, q75 = (f"CAST({value_at(c, q)} AS HUGEINT)" for q in (0.25, 0.75))
+    lower, upper = "CAST(2 * q25 - 3 * (q75 - q25) AS DOUBLE) / 2", "CAST(2 * q75 + 3 * (q75 - q25) AS DOUBLE) / 2"
+    return with_base(
+        table,
+        f"SELECT '{c}' AS \"column\", CAST(q25 AS DOUBLE) AS q25, CAST(q75 AS DOUBLE) AS q75, {lower} AS lower_fence, {upper} AS upper_fence "
+        f"FROM (SELECT {q25} AS q25, {q75} AS q75) q",
+    )
+
+
+def large_medians(table: Audited) -> str:
+    exact = middle_two("big_key", "CAST(CAST(a AS HUGEINT) + b AS DOUBLE) / 2")
+    plain = [f"SELECT '{c}' AS \"column\", CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE) AS median FROM base" for c in ("price", "o_custkey")]
+    return with_base(table, union([f"SELECT 'big_key' AS \"column\", {exact} AS median", *plain]))
+
+
 def outlier_counts(table: Audited, multiplier: float = 1.5) -> str:
     return (
         f'{hub(table, multiplier=multiplier)} SELECT position, "column", outlier_count, lower_fence, upper_fence FROM hub'
@@ -614,6 +651,9 @@ def oracle_sql() -> dict[str, str]:
         "iqr_fences_lineitem": iqr_fences(LINEITEM),
         "iqr_fences_part": iqr_fences(PART),
         "medians": medians(LINEITEM),
+        "medians_large_keys": large_medians(KEYS),
+        "iqr_fences_large_keys": large_fences(KEYS, "big_key"),
+        "quantile_values_large_keys": quantile_values(KEYS, EXACT_KEYS, (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)),
         "outlier_counts": outlier_counts(EVENTS),
         "outlier_counts_labels": outlier_counts(LABELS),
         "outlier_counts_lineitem": outlier_counts(LINEITEM),
@@ -673,7 +713,7 @@ def oracle_sql() -> dict[str, str]:
         "clean_all_subset": clean_all(EVENTS, ["user_id", "event_type"]),
         "change_log_subset": change_log(EVENTS, ["user_id", "event_type"]),
         "duplicates_after_repair": "SELECT CAST(0 * count(*) AS BIGINT) AS duplicate_count FROM events",
-        "fill_large_integers": fill(KEYS, "big_key", "(SELECT CAST(median(CAST(big_key AS DOUBLE)) AS BIGINT) FROM base)"),
+        "fill_large_integers": fill(KEYS, "big_key", middle_two("big_key", "CAST((CAST(a AS HUGEINT) + b) // 2 AS BIGINT)")),
         "fill_decimal": with_base(
             KEYS,
             "SELECT * REPLACE (coalesce(CAST(price AS DECIMAL(18, 3)), (SELECT CAST(median(CAST(price AS DOUBLE)) AS DECIMAL(18, 3)) FROM base)) AS price) FROM base",

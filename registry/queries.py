@@ -17,6 +17,7 @@ from .views import (
     DOCUMENTS,
     EMBEDDINGS,
     EVENTS,
+    EXACT_KEYS,
     KEYS,
     LABELS,
     LINEITEM,
@@ -229,6 +230,9 @@ def queries() -> dict[str, Query]:
         "iqr_fences_lineitem": over(LINEITEM, tw.iqr_fences),
         "iqr_fences_part": over(PART, tw.iqr_fences),
         "medians": over(LINEITEM, lambda df, rid: tw.medians(df, rid).select("column", "median")),
+        "medians_large_keys": over(KEYS, lambda df, rid: tw.medians(df.select(rid, "big_key", "price", "o_custkey"), rid).select("column", "median")),
+        "iqr_fences_large_keys": over(KEYS, lambda df, rid: tw.iqr_fences(df.select(rid, "big_key"), rid).drop("position")),
+        "quantile_values_large_keys": over(KEYS, lambda df, rid: tw.quantile_values(df.select(rid, *EXACT_KEYS), rid, (0.0, 0.25, 0.5, 0.75, 0.99, 1.0)).select("column", "quantile", "value")),
         "outlier_counts": over(EVENTS, tw.outlier_counts),
         "outlier_counts_labels": over(LABELS, tw.outlier_counts),
         "outlier_counts_lineitem": over(LINEITEM, tw.outlier_counts),

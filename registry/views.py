@@ -234,18 +234,20 @@ EMBEDDINGS = Audited(
     ("embeddings",),
 )
 
-# Orders with keys that no double holds, some of them missing, and prices as decimals.
+# Orders with keys that no double holds, some of them missing, and prices as decimals, short and long.
 KEYS = Audited(
     """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority,
        CASE WHEN o_orderkey % 7 <> 0 THEN 9007199254740993 + 2 * o_orderkey END AS big_key,
-       CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_totalprice AS DECIMAL(15, 2)) END AS price
+       CASE WHEN o_custkey % 5 <> 0 THEN CAST(o_totalprice AS DECIMAL(15, 2)) END AS price,
+       CAST(concat('1234567890123456789012', CAST(1000000 + o_orderkey * 7919 % 999983 AS STRING), '.25') AS DECIMAL(38, 3)) AS long_price
 FROM {orders}
 """,
     "o_orderkey",
-    (*ORDERS.columns, ("big_key", "bigint", "numeric"), ("price", "decimal(15,2)", "numeric")),
+    (*ORDERS.columns, ("big_key", "bigint", "numeric"), ("price", "decimal(15,2)", "numeric"), ("long_price", "decimal(38,3)", "numeric")),
     ("orders",),
 )
+EXACT_KEYS = ("o_custkey", "big_key", "price", "long_price")
 
 # Orders without a customer: there are none, but both tables are read in full to find that out.
 ORPHANED_ORDERS = Audited(

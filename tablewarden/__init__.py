@@ -8,7 +8,7 @@ from .operators.frequency import distinct_counts, top_values
 from .operators.missing import missing_blocks, missing_matrix
 from .operators.outliers import outlier_counts, outlier_rows
 from .operators.profile import null_counts, profile
-from .operators.quantiles import iqr_fences, medians
+from .operators.quantiles import iqr_fences, medians, quantile_values
 from .operators.remedies import Fix, apply_fixes, apply_fixes_with_log, suggest_fixes
 from .operators.reports import column_table, dataset_summary, issues, overview
 from .operators.rows import normalise_nulls, row_index, with_row_id
@@ -55,6 +55,7 @@ __all__ = [
     "outlier_rows",
     "overview",
     "profile",
+    "quantile_values",
     "read_csv",
     "remove_scratch",
     "staged_parquet",

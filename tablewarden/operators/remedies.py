@@ -108,31 +108,35 @@ def _first_per_column(fixes: list[Fix], action: str) -> dict[str, Fix]:
     return chosen
 
 
-def _holding(c: AuditColumn, median: float) -> T.DataType:
+def _exactly(value: float | Decimal) -> Decimal:
+    return value if isinstance(value, Decimal) else Decimal(repr(float(value)))
+
+
+def _holding(c: AuditColumn, median: float | Decimal) -> T.DataType:
     """The narrowest type like the column's that holds its values and the median exactly.
 
     A median of whole or decimal values is the mean of two of them, so one more digit is enough.
     """
     kind = c.data_type
     if isinstance(kind, T.IntegralType):
-        return kind if float(median).is_integer() else T.DecimalType(20, 1)
+        return kind if _exactly(median) == _exactly(median).to_integral_value() else T.DecimalType(20, 1)
     if isinstance(kind, T.DecimalType) and kind.precision < 38:
-        exact = Decimal(repr(float(median)))
+        exact = _exactly(median)
         if exact != exact.quantize(Decimal(1).scaleb(-kind.scale), context=Context(prec=400)):
             return T.DecimalType(kind.precision + 1, kind.scale + 1)
     return kind
 
 
-def _number(value: float, kind: T.DataType) -> str:
+def _number(value: float | Decimal, kind: T.DataType) -> str:
     """A literal of a numeric type."""
     if isinstance(kind, (T.IntegralType, T.DecimalType)):
         unit = Decimal(1).scaleb(-getattr(kind, "scale", 0))
-        exact = Decimal(repr(float(value))).quantize(unit, context=Context(prec=400))
+        exact = _exactly(value).quantize(unit, context=Context(prec=400))
         return f"try_cast('{exact:f}' AS {kind.simpleString()})"
-    return f"CAST({double(value)} AS {kind.simpleString()})"
+    return f"CAST({double(float(value))} AS {kind.simpleString()})"
 
 
-def _filled(c: AuditColumn, median: float | None) -> str:
+def _filled(c: AuditColumn, median: float | Decimal | None) -> str:
     """The column with its nulls filled by the rule of its type class; values that are there stay exactly."""
     if c.type_class == NUMERIC:
         kind = _holding(c, median or 0.0)
@@ -196,7 +200,7 @@ def _plan(df: DataFrame, fixes: list[Fix], row_id: str | None, subset: list[str]
     # Medians, the repaired table and the log all read the kept rows: they are grouped and written once.
     kept = checkpointed(drop_duplicates(df, row_id, subset)) if drop else df
     averaged = [c for c in columns if c.name in fills and c.type_class == NUMERIC]
-    medians: dict[str, float] = {}
+    medians: dict[str, float | Decimal] = {}
     if averaged:
         medians = medians_by_column(kept, averaged)
     repaired: dict[str, str] = {}

@@ -1,6 +1,7 @@
 """Rank selection against sorted values, with many passes forced on small data."""
 
 import random
+from decimal import Decimal, localcontext
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 
 from tablewarden.functions.columns import audited_columns
 from tablewarden.operators import quantiles
-from tablewarden.operators.quantiles import fences_by_column, medians_by_column, nearest_rank, values_at_ranks
+from tablewarden.operators.quantiles import fences_by_column, medians_by_column, nearest_rank, quantile_values, values_at_ranks
+from tablewarden.operators.remedies import Fix, apply_fixes
 
 
 @pytest.fixture
@@ -81,3 +83,47 @@ def test_hot_value(spark):
     values = sorted([5e5 if i % 3 == 0 else float(i) for i in range(300_000)])
     wanted = [0, 74_999, 149_999, 150_000, 225_000, 299_999]
     assert values_at_ranks(df, audited_columns(df), lambda _: wanted)["v"] == [values[k] for k in wanted]
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+@pytest.mark.parametrize(
+    "kind, make",
+    [
+        ("bigint", lambda r: r.choice([9007199254740993 + 2 * r.randrange(40), -(2**63) + r.randrange(3), 2**63 - 1 - r.randrange(5), r.randrange(100)])),
+        ("bigint", lambda r: 9007199254740993 + 2 * r.randrange(5)),
+        ("decimal(38,0)", lambda r: r.choice([-1, 1]) * (10**38 - 1 - r.randrange(10 ** r.randrange(1, 30)))),
+        ("decimal(38,10)", lambda r: Decimal(10**37 + r.randrange(10 ** r.randrange(1, 25))).scaleb(-10)),
+        ("decimal(20,3)", lambda r: Decimal(r.choice([-1, 1]) * r.randrange(10**19, 10**19 + 5000)).scaleb(-3)),
+        ("decimal(38,38)", lambda r: Decimal(r.randrange(10**37, 10**37 + 10**15)).scaleb(-38)),
+    ],
+)
+def test_ranks_in_the_own_type(spark, monkeypatch, kind, make, narrow):
+    """All digits count, with copies, at every rank."""
+    if narrow:
+        monkeypatch.setattr(quantiles, "FINISH_ROWS", 2)
+        monkeypatch.setattr(quantiles, "BUCKETS", 4 if kind == "bigint" else 64)
+    r = random.Random(len(kind))
+    values = [make(r) for _ in range(60)]
+    values += values[:7] * 3
+    df = spark.createDataFrame([(Decimal(v) if kind != "bigint" else v,) for v in values] + [(None,)], f"v {kind}")
+    columns = audited_columns(df)
+    wanted = list(range(0, len(values), 9)) + [len(values) - 1]
+    found = values_at_ranks(df, columns, lambda n: wanted)["v"]
+    assert [Decimal(f) for f in found] == [Decimal(sorted(values)[k]) for k in wanted]
+    with localcontext(prec=100):
+        middle = sorted(Decimal(v) for v in values)[(len(values) - 1) // 2], sorted(Decimal(v) for v in values)[len(values) // 2]
+        assert medians_by_column(df, columns)["v"] == sum(middle) / 2
+    texts = [t["value"] for t in quantile_values(df, quantiles=(0.0, 0.5, 1.0)).collect()]
+    n = len(values)
+    scale = columns[0].data_type.scale if kind != "bigint" else 0
+    assert texts == [f"{Decimal(sorted(values)[k]):.{scale}f}" for k in (0, nearest_rank(n, 0.5), n - 1)]
+
+
+def test_a_fill_keeps_every_digit(spark):
+    rows = [(i, v) for i, v in enumerate([9007199254740993, 9007199254740995, 9007199254740997, 9007199254740999, 9007199254741001, None])]
+    df = spark.createDataFrame(rows, "rid int, v bigint")
+    filled = apply_fixes(df, [Fix("v", "FILL_MISSING")], "rid")
+    assert filled.dtypes == df.dtypes and filled.where("rid = 5").first()["v"] == 9007199254740997
+    halves = df.union(spark.sql("SELECT 6, 9007199254740998L"))
+    filled = apply_fixes(halves, [Fix("v", "FILL_MISSING")], "rid")
+    assert filled.where("rid = 5").first()["v"] == Decimal("9007199254740997.5")
