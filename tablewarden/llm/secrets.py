@@ -1,13 +1,18 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
 Candidates are runs of token characters at least a window long. Within a run a window moves by one
-character at a time; the sum of c * log2(c) over its character counts is carried along and changed
-for the entering and the leaving character only, which gives the Shannon entropy of every window.
+character at a time; its character counts, and the sum of c * log2(c) over them, are carried along and
+changed for the entering and the leaving character only, which gives the Shannon entropy of every window.
 Windows at or above the threshold of the run's character class are joined to spans. Every run has a
 class, and every threshold can be reached by a window of it. Runs on the allow-list, and spans inside a
 pattern match, are left out. A placeholder word allows a run only if no window's length beside it is free
 of such words.
 
+The allow-list judges runs with separators by the pieces between them: names and paths (letters in one
+case, or with a capital first, and short numbers) are no secrets, whatever their entropy. Nor are numbers
+that begin with a date or count upwards. No pattern repeats a group, so runs of any length are matched
+without recursion.
+
 Positions count code points. Everything is built from SQL functions. Where matches lie is found by
 putting a mark around each and summing the lengths between marks; the marks are control characters
 that no pattern matches, and texts that hold them get others first.
@@ -18,6 +23,7 @@ repeat; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -45,19 +51,24 @@ class EntropyRules:
     """A class is a pattern that a whole run matches and the bits a window of it needs; the first that fits holds."""
 
     window: int = WINDOW
+    #: ASCII characters only.
     run: str = "[A-Za-z0-9+/_=-]"
     classes: tuple[tuple[str, float], ...] = (
         ("^[0-9]+$", 2.5),
         ("^[0-9a-fA-F]+$", 3.0),
         ("^(?=.*[0-9])(?=.*[a-zA-Z]).*$", 3.7),
-        ("^(?=.*[a-z])(?=.*[A-Z]).*$", 3.6),
+        ("^(?=.*[a-z])(?=.*[A-Z]).*$", 3.8),
         ("^.*[a-zA-Z].*$", 3.5),
         ("^.*$", 2.5),
     )
     allow: tuple[str, ...] = (
         f"(?i)^(?=.*{PLACEHOLDER})(?!(?:.*{PLACEHOLDER})?(?:(?!{PLACEHOLDER}).){{{WINDOW}}})",
         "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-        "^(/?[a-z]+)+/?$",
+        "^(?!.*//)[a-z/]+$",
+        # Pieces between separators: no change of case but after a first capital, no letter beside a digit, none long.
+        "^(?=.*[_/-])(?!.*(?:[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z]{20}|[0-9]{9}|[_/-]{3}))[A-Za-z0-9_/-]+$",
+        "^[0-9]*(?:012345|123456|234567|345678|456789)[0-9]*$",
+        "^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[0-9]*$",
     )
 
 
@@ -97,42 +108,71 @@ def matches(df: DataFrame, text: str, pattern: str, result: str) -> DataFrame:
     )
 
 
+#: The counts of a window are a text with one letter per ASCII character, this one for none.
+_NONE = 64
+_CHARACTERS = 128
+
+
 def window_spans(run: Column, threshold: Column, window: int) -> Column:
-    """Spans (from, to) of a run's windows whose entropy reaches the threshold; ``run`` is an array of characters.
+    """Spans (from, to) of a run's windows whose entropy reaches the threshold; ``run`` is an array of ASCII characters.
 
-    For counts c in a window of w characters the entropy is log2(w) - sum(c log2 c) / w.
+    For counts c in a window of w characters the entropy is log2(w) - sum(c log2 c) / w. The state holds
+    the counts of the window's characters and the sum. ``last`` is the span that may still grow.
     """
-    term = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
-    steps = F.transform(run, lambda c, i: F.struct(i.alias("at"), c.alias("enter")))
+    if window >= _CHARACTERS - _NONE:
+        raise ValueError(f"a window has less than {_CHARACTERS - _NONE} characters")
+    term = [c * math.log2(c) if c > 1 else 0.0 for c in range(window + 2)]
+    # What the sum gains by one more of a character that stands there c times.
+    gain = F.array(*[F.lit(term[c + 1] - term[c]) for c in range(window + 1)])
+    codes = F.transform(run, F.ascii)
+    steps = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), window), codes), lambda enter, leave: F.struct(enter.alias("enter"), leave.alias("leave")))
+    steps = F.filter(F.transform(steps, lambda s, i: F.struct(i.alias("at"), s["enter"].alias("enter"), s["leave"].alias("leave"))), lambda s: s["enter"].isNotNull())
 
     def move(state: Column, step: Column) -> Column:
-        at, enter = step["at"], step["enter"]
-        begin = F.greatest(at - window, F.lit(0))
-        # The window before this step, and the character that leaves it once it is full.
-        held = F.slice(run, begin + 1, at - begin)
-        count = F.size(held) - F.size(F.array_remove(held, enter))
-        leaves = at >= window
-        leaving = F.get(run, begin)
-        left = F.size(held) - F.size(F.array_remove(held, leaving)) + F.when(leaving == enter, 1).otherwise(0)
-        total = (
-            state["total"]
-            + term(count + 1)
-            - term(count)
-            + F.when(leaves, term(left - 1) - term(left)).otherwise(F.lit(0.0))
-        )
-        end = (at + 1).cast("long")
+        counts, enter, leave = state["counts"], step["enter"], step["leave"]
+        count = lambda code: F.ascii(F.substr(counts, code + 1, F.lit(1))) - _NONE
+        put = lambda held, code, n: F.overlay(held, F.char(n + _NONE), code + 1, F.lit(1))
+        gone = F.when(leave >= 0, F.get(gain, count(leave) - 1)).otherwise(F.lit(0.0))
+        # A character that leaves as an equal one enters changes nothing.
+        total = F.when(enter == leave, state["total"]).otherwise(state["total"] + F.get(gain, count(enter)) - gone)
+        left = F.when(leave >= 0, put(counts, leave, count(leave) - 1)).otherwise(counts)
+        end = (step["at"] + 1).cast("long")
         start = end - window
-        is_high = (start >= 0) & (F.log2(F.lit(float(window))) - total / window >= threshold - 1e-9)
-        spans = state["spans"]
-        joins = (F.size(spans) > 0) & (F.element_at(spans, -1)["to"] >= start)
-        one = lambda a: F.array(F.struct(a.alias("from"), end.alias("to")))
-        grown = F.when(
-            joins, F.concat(F.slice(spans, F.lit(1), F.size(spans) - 1), one(F.element_at(spans, -1)["from"]))
-        ).otherwise(F.concat(spans, one(start)))
-        return F.struct(total.alias("total"), F.when(is_high, grown).otherwise(spans).alias("spans"))
+        is_high = (start >= 0) & (total <= (F.lit(math.log2(window)) - threshold + 1e-9) * window)
+        joins = state["last"]["to"] >= start
+        begun = F.when(joins, state["last"]["from"]).otherwise(start)
+        return F.struct(
+            total.alias("total"),
+            F.when(enter == leave, counts).otherwise(put(left, enter, count(enter) + 1)).alias("counts"),
+            F.when(is_high, F.struct(begun.alias("from"), end.alias("to"))).otherwise(state["last"]).alias("last"),
+            F.when(joins | (state["last"]["to"] < 0), state["spans"]).when(is_high, F.array_append(state["spans"], state["last"])).otherwise(state["spans"]).alias("spans"),
+        )
+
+    span = "struct<from:bigint,to:bigint>"
+    empty = F.struct(
+        F.lit(0.0).alias("total"),
+        F.lit(chr(_NONE) * _CHARACTERS).alias("counts"),
+        F.struct(F.lit(-1).cast("bigint").alias("from"), F.lit(-1).cast("bigint").alias("to")).cast(span).alias("last"),
+        F.array().cast(f"array<{span}>").alias("spans"),
+    )
+    return F.aggregate(steps, empty, move, lambda s: F.when(s["last"]["to"] >= 0, F.array_append(s["spans"], s["last"])).otherwise(s["spans"]))
+
+
+def outside_of(spans: str, others: str) -> Column:
+    """The spans that lie in none of the others, by one walk over both in the order of their starts."""
+    tagged = lambda name, mark: F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(mark).alias("mark"), s["kind"].alias("kind"), s["end"].alias("end")))
+    walk = F.array_sort(F.concat(tagged(others, 0), tagged(spans, 1)))
+    kind = "array<struct<start:bigint,kind:int,end:bigint>>"
+
+    def step(state: Column, s: Column) -> Column:
+        free = (s["mark"] == 1) & (s["end"] > state["reach"])
+        own = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
+        return F.struct(
+            F.when(s["mark"] == 0, F.greatest(state["reach"], s["end"])).otherwise(state["reach"]).alias("reach"),
+            F.when(free, F.array_append(state["kept"], own)).otherwise(state["kept"]).alias("kept"),
+        )
 
-    empty = F.struct(F.lit(0.0).alias("total"), F.array().cast("array<struct<from:bigint,to:bigint>>").alias("spans"))
-    return F.aggregate(steps, empty, move, lambda state: state["spans"])
+    return F.aggregate(walk, F.struct(F.lit(-1).cast("bigint").alias("reach"), F.array().cast(kind).alias("kept")), step, lambda state: state["kept"])
 
 
 def secret_spans(df: DataFrame, rules: EntropyRules = EntropyRules(), text: str = "text") -> DataFrame:
@@ -173,8 +213,7 @@ def secret_spans(df: DataFrame, rules: EntropyRules = EntropyRules(), text: str
         lambda s: F.struct((r["start"] + s["from"]).alias("start"), F.lit(len(PATTERNS)).alias("kind"), (r["start"] + s["to"]).alias("end")),
     )
     out = out.withColumn("judged_", judged).withColumn("high_", F.flatten(F.transform("judged_", high)))
-    inside = lambda s: F.exists("base_spans", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    added = F.filter("high_", lambda s: ~inside(s))
+    added = outside_of("high_", "base_spans")
     return out.withColumn("all_spans", F.array_sort(F.concat("base_spans", added))).drop("body_", "runs_", "judged_", "high_")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -113,3 +114,73 @@ def test_every_class_of_runs(spark, run, found):
     row = redacted(secret_spans(spark.createDataFrame([(f"see {run} here",)], "text string"))).first()
     assert ("[secret]" in row["text"]) == found
     assert [(s["start"], s["end"]) for s in row["all_spans"]] == entropy_spans(f"see {run} here")
+
+
+MILLION = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["/a", "a", "ab-", "Ab_", "7", "12345678901", "example", "sample-Key9/", "=", "A", "f0", "550e8400-e29b-", "aB3x", "AKIA0", "password="],
+)
+def test_very_long_runs(spark, unit):
+    """No pattern recurses on the length of a run."""
+    text = (unit * (MILLION // len(unit) + 1))[:MILLION]
+    row = secret_spans(spark.createDataFrame([(text,)], "text string")).selectExpr("size(all_spans) AS n", "size(base_spans) AS base").first()
+    assert row["base"] == len(base(text)) and row["n"] >= row["base"]
+
+
+def test_a_long_run_is_measured_whole(spark):
+    r = random.Random(1)
+    plain, token = "a/" * 100_000, "".join(r.choice("zQ8vT2kLm9XcR4pWn7Bd5HjY") for _ in range(40))
+    text = f"{plain}{token}{plain}{token}"
+    row = secret_spans(spark.createDataFrame([(text,)], "text string")).first()
+    assert [(s["start"], s["end"]) for s in row["all_spans"]] == entropy_spans(text)
+    assert len(row["all_spans"]) == 2
+
+
+PLAIN_RUNS = [
+    "state-of-the-art-technology",
+    "some_long_function_name_here",
+    "Getting-Started/Installing-On-Linux",
+    "20231105123456789012",
+    "/usr/local/share/documentation/index",
+    "MAX_NUMBER_OF_OPEN_CONNECTIONS",
+    "chapter-12/section-04/paragraph-7",
+    "release-2024-11-05-final-version",
+    "00000000000000000000",
+    "0123456789012345678901",
+    "https//www/example/com/some-page_with_words",
+    "--------------------------------",
+    "Mutter-und-Vater-und-Kinder",
+    "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzz",
+]
+
+
+def test_names_paths_and_numbers_are_no_secrets(spark):
+    rows = spark.createDataFrame([(f"see {run} here",) for run in PLAIN_RUNS], "text string")
+    assert {r["text"] for r in secret_spans(rows).where("size(all_spans) > 0").collect()} == set()
+
+
+@pytest.mark.parametrize(
+    "alphabet, least",
+    [
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 0.99),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.99),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 0.99),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.95),
+        ("0123456789", 0.95),
+    ],
+)
+def test_random_tokens_are_found(spark, alphabet, least):
+    r = random.Random(len(alphabet))
+    rows = [(f"the key {''.join(r.choice(alphabet) for _ in range(r.randint(24, 40)))} is here",) for _ in range(400)]
+    found = secret_spans(spark.createDataFrame(rows, "text string")).where("size(all_spans) > 0").count()
+    assert found >= least * len(rows)
+
+
+def test_spans_in_pattern_matches_are_left_out(spark):
+    token = "zQ8vT2kLm9XcR4pWn7Bd5HjY"
+    text = f"token={token} {token} password={token}.{token} {token}"
+    row = secret_spans(spark.createDataFrame([(text,)], "text string")).first()
+    assert expected(text)[-1] == ",".join(f"{['assign', 'access', 'hex', 'entropy'][s['kind']]}:{s['start']}:{s['end']}" for s in row["all_spans"])
