@@ -33,16 +33,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def remove_scratch(spark: SparkSession) -> None:
-    """Delete the copies that this application wrote to the scratch folder.
+def scratch_copies(spark: SparkSession) -> list[str]:
+    """Paths of the copies that this application has in the scratch folder, oldest first."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete the copies that this application wrote to the scratch folder, all or the named ones.
 
     Frames that still read them fail afterwards. Checkpoints are not among them; Spark deletes those
     once their frames are gone if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = spark.sparkContext
-    for path in _made.pop(context.applicationId, []):
+    made = _made.get(context.applicationId, [])
+    for path in [p for p in made if paths is None or p in paths]:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        made.remove(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
