@@ -27,6 +27,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Parts that a frequent line's texts are dealt to.
 SALTS = 16
+#: Parts that the rows of one text are dealt to.
+COPIES = 4
 
 
 @dataclass(frozen=True)
@@ -152,9 +154,16 @@ def quality_rules(df: DataFrame, limits: Limits = Limits(), text: str = "text",
         .withColumn("own_size_", F.length("body_"))
     )
     failed = (F.col("n_words") < limits.min_words) | (F.col("n_repeat_words") > limits.repeated_share * F.col("n_words"))
+    # Copies of one text are dealt to salts. The join is a sorted one at every size of the corpus: a list that
+    # is broadcast while it is small would hide what a large one costs.
+    measured = measured.withColumn("own_part_", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)))
+    dealt = found.withColumn("part_", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).hint("merge")
     joined = measured.join(
-        found,
-        F.col(host).eqNullSafe(F.col("host_")) & (F.col("own_text_") == F.col("text_")) & (F.col("own_size_") == F.col("size_")),
+        dealt,
+        F.col(host).eqNullSafe(F.col("host_"))
+        & (F.col("own_text_") == F.col("text_"))
+        & (F.col("own_size_") == F.col("size_"))
+        & (F.col("own_part_") == F.col("part_")),
         "left",
     )
     is_above = lambda line: F.array_contains("lines_", F.coalesce(line_hash(line), F.lit(0)))
@@ -166,5 +175,5 @@ def quality_rules(df: DataFrame, limits: Limits = Limits(), text: str = "text",
         .withColumn("n_removed_words", removed.cast("long"))
         .withColumn("kept", ~failed & (F.col("n_words") - F.col("n_removed_words") >= limits.left_share * F.col("n_words")))
         .withColumn("clean_text", F.when(F.col("n_removed_words") == 0, F.col("body_")).otherwise(rest))
-        .drop("body_", "host_", "lines_", "text_", "size_", "own_text_", "own_size_", "all_lines_", "line_words_")
+        .drop("body_", "host_", "lines_", "text_", "size_", "part_", "own_text_", "own_size_", "own_part_", "all_lines_", "line_words_")
     )
