@@ -80,3 +80,27 @@ def test_hard_and_empty_rows(spark):
             assert out.columns[:5] == COLUMNS, name
             df = spark.createDataFrame(out.collect(), out.schema)
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
+
+
+CLASHING = (
+    "spans contaminated kept clean_text all_spans base_spans size copies edge target whole lines_ host_ text_ size_ part_ body_ n_words n_hit item_ids "
+    "words_ place key near_key_ mix_source source_size gone again row_ joined_ hits_ items_ user_column_7"
+).split()
+
+
+def test_columns_of_any_name_stay(spark):
+    """Every further column comes out of every stage with its values."""
+    df = hard_frame(spark)
+    long = spark.createDataFrame([(900 + i, f"password=abcdefgh {' '.join(f'w{i}x{k}' for k in range(70))}", "en", "s1", 1) for i in range(3)], df.schema)
+    df = df.unionByName(long)
+    for name in CLASHING:
+        df = df.selectExpr("*", f"concat('{name} of ', doc_id) AS {name}")
+    for name, stage in cp.STAGES:
+        out = stage(spark, df, SMALL)
+        assert out.columns[: len(df.columns)] == df.columns, name
+        rows = out.collect()
+        assert len(rows) >= 3, name
+        for r in rows:
+            assert all(r[c] == (None if r["doc_id"] is None else f"{c} of {r['doc_id']}") for c in CLASHING), name
+        df = spark.createDataFrame([tuple(r)[: len(df.columns)] for r in rows], df.schema)
+    assert {"copies_", "size__", "target_", "source_size_"} <= set(out.columns)
