@@ -282,7 +282,9 @@ class _Search:
     def shingle_sets(self, nodes: DataFrame) -> DataFrame:
         """``node`` and ``shingles`` of some classes, from one more pass over the texts."""
         wanted = staged(nodes.join(self.classes, "node").select("node", "doc_id", "words_id"), "wanted")
-        texts = self.docs.join(wanted.select(F.col("doc_id").alias("id_")), F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+        # Sorted at every size of the corpus, as the wanted ids have no bound that would allow a broadcast.
+        ids = wanted.select(F.col("doc_id").alias("id_")).hint("merge")
+        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
         sets = shipped(texts.select("text")).mapInArrow(_sets(self.near), "words_id binary, shingles array<bigint>")
         sets = sets.join(wanted.select("node", "words_id"), "words_id").select("node", "shingles")
         return staged(sets, "sets")
