@@ -6,13 +6,15 @@ landmark text holds are counted. Kernels with the landmarks give Nystrom feature
 regression per language tells it from the rest. Texts are scored in batches: a presence matrix times
 the landmarks' presence matrix gives the kernels, and these times the weights the scores.
 
-Fitting takes at most ``per_class`` labelled texts of a language, of at most ``longest`` characters,
-chosen by a hash; that bounds what reaches the driver whatever the size of the corpus. Every text is
-scored whole.
+Fitting takes at most ``per_class`` labelled texts of a language, chosen by a hash, and of a text longer
+than ``longest`` characters a window of that length at a place the hash names; with at most
+``most_languages`` labels (more are an error) that bounds what reaches the driver whatever the size of
+the corpus. Every text is scored whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text when
 nothing was learned; rows without a label are scored but not learned from; rows with a null id are
-neither learned from nor held out; equal scores go to the first language by name; repeated rows repeat.
+neither learned from nor held out; equal scores go to the first language by name; repeated rows repeat;
+an empty table gives no rows; columns ``lang_pred`` and ``score`` of the input are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ LETTER = re.compile(r"[^\W\d_]")
 class Fit:
     per_class: int = 240
     longest: int = 6_000
+    most_languages: int = 1_000
     landmarks: int = 24
     longest_gram: int = 3
     ridge: float = 0.1
@@ -125,15 +128,21 @@ def fitted(texts: list[str], labels: list[str], fit: Fit = Fit()) -> Model | Non
 
 
 def training_rows(df: DataFrame, fit: Fit) -> tuple[list[str], list[str]]:
-    """At most ``per_class`` texts per language of rows (id, text, lang), those with the least hashes."""
-    usable = df.where(F.col("lang").isNotNull() & F.length("text").between(1, fit.longest))
-    usable = usable.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    # About twice as many as needed, so that few languages come short by chance.
-    share = F.least(F.lit(1.0), 2.0 * fit.per_class / F.col("rows"))
-    # A row per language: the model holds weights for each of them anyway. Texts are not shuffled by language.
-    near = usable.join(F.broadcast(counts), "lang").where(F.col("place") < share * float(1 << 63))
-    rows = sorted(near.select("place", "lang", "text").toLocalIterator(), key=lambda r: (r["place"], r["text"]))
+    """At most ``per_class`` texts per language of rows (doc_id, text, lang), those with the least hashes."""
+    usable = df.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("place"))
+    usable = usable.where("lang IS NOT NULL AND text != ''")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).limit(fit.most_languages + 1).collect()
+    if len(counts) > fit.most_languages:
+        raise ValueError(f"column lang has more than {fit.most_languages} labels")
+    if not counts:
+        return [], []
+    # About twice as many as needed, so that few languages come short by chance. Texts are not shuffled by language.
+    limits = [(r["lang"], min(1.0, 2.0 * fit.per_class / r["rows"]) * float(1 << 63)) for r in counts]
+    limits = df.sparkSession.createDataFrame(limits, "lang string, limit double")
+    near = usable.join(F.broadcast(limits), "lang").where(F.col("place") < F.col("limit"))
+    start = F.col("place") % F.greatest(F.length("text") - fit.longest + 1, F.lit(1)) + 1
+    near = near.select("place", "lang", F.substr("text", start.cast("int"), F.lit(fit.longest)).alias("text"))
+    rows = sorted(near.toLocalIterator(), key=lambda r: (r["place"], r["text"]))
     kept: dict[str, list[str]] = {}
     for row in rows:
         kept.setdefault(row["lang"], []).append(row["text"])

@@ -24,8 +24,8 @@ from .token_counts import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: Folder of the public vocabulary files; a parameter of the queries that read one.
-VOCABULARIES = "/opt/tokenizers"
+#: Vocabulary that token counts use unless they are given the path of another.
+VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
@@ -85,7 +85,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str, fit: Fit = Fit()) -> DataF
     return scored.drop("text")
 
 
-def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = f"{VOCABULARIES}/byte_bpe_50k.json") -> DataFrame:
+def op7_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     counted = token_counts(docs, vocabulary, budget=TOKEN_LIMIT)
     return counted.select(

@@ -7,8 +7,10 @@ can stand side by side if encoding their joined bytes gives them back, which is
 merges from the newest on. Totals, the longest prefix within a budget and the count at any cut are
 read from these counts; nothing is encoded again.
 
-Pieces come from the vocabulary file's own splitting rule; a special token's string is one token.
-Null is the empty text and has 0 tokens. Every input row gives one output row; repeated rows repeat.
+Pieces come from the splitting rule of byte-level BPE; a file with another rule, a normalizer or another
+model is refused. A special token's string is one token.
+Null is the empty text and has 0 tokens. Every input row gives one output row; repeated rows repeat; an
+empty table gives no rows; an added column whose name is taken gets underscores.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .texts import Slice, run_hashes, slices
 
 #: Words whose counts a worker keeps; it starts afresh when there are more.
 KEPT_WORDS = 300_000
+#: Pairs of tokens whose neighbourhood a worker keeps, likewise.
+KEPT_PAIRS = 1_000_000
 #: Longer words are counted without being kept.
 KEPT_CHARACTERS = 48
 #: Characters from which the counts inside a piece are kept while a cut in it is sought.
@@ -37,7 +41,8 @@ LONG_PIECE = 64
 
 #: Fixed value: the splitting rule of byte-level BPE with ``use_regex``.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
+#: Fixed value: what a file with this rule says of its splitting, as far as it decides counts.
+SPLITTING = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,6 +57,7 @@ class Vocabulary:
 
     def __init__(self, text: str):
         spec = json.loads(text)
+        self._refuse_others(spec)
         letters = byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         ids = spec["model"]["vocab"]
@@ -72,6 +78,15 @@ class Vocabulary:
         self.pieces = regex.compile(PIECES)
         self._beside: dict[int, bool] = {}
 
+    @staticmethod
+    def _refuse_others(spec: dict) -> None:
+        rule, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        if {name: rule.get(name) for name in SPLITTING} != SPLITTING or spec.get("normalizer"):
+            raise ValueError(f"vocabulary file splits or changes texts in a way that is not supported: {rule}, {spec.get('normalizer')}")
+        marks = [model.get(name) for name in ("continuing_subword_prefix", "end_of_word_suffix", "dropout", "ignore_merges")]
+        if model.get("type") != "BPE" or any(marks):
+            raise ValueError("vocabulary file is not one of plain byte-level BPE")
+
     def _stay_apart(self, left: int, right: int) -> bool:
         """Undo the newest merge on either side of the seam; a merge across the seam that came before it is a no.
 
@@ -94,6 +109,8 @@ class Vocabulary:
         """Token count of each prefix of a piece; entry 0 is the empty prefix."""
         last, counts = [-1] + [None] * len(piece), [0] * (len(piece) + 1)
         pairs = self._beside
+        if len(pairs) > KEPT_PAIRS:
+            pairs.clear()
         for at, (length, token) in self.endings.iter(piece.decode("latin-1")):
             end, begin = at + 1, at + 1 - length
             if last[end] is not None:
@@ -247,7 +264,9 @@ def token_counts(
     ``vocabulary_file`` is read on the driver and sent to the workers; its size doesn't depend on the data.
     """
     with open(vocabulary_file, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+        content = f.read()
+    Vocabulary._refuse_others(json.loads(content))
+    shared = df.sparkSession.sparkContext.broadcast(content)
     count_name = free_name(df, count_name)
     fit_name = free_name(df, "fit_chars")
     added = [F.lit(0).cast("long").alias(count_name)] + ([F.lit(0).cast("long").alias(fit_name)] if budget is not None else [])

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tablewarden.llm.language_id import Fit, fitted, languages
+from tablewarden.llm.language_id import Fit, fitted, languages, training_rows
 from tablewarden.llm.queries import op6_language_id
 
 from .hard import empty_frame, hard_frame, on_disk
@@ -59,3 +60,35 @@ def test_hard_rows(spark, tmp_path):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0), texts[r["doc_id"]]
     assert {r["lang_pred"] for r in languages(hard_frame(spark, extra=True), None).collect()} == {"und"}
     assert op6_language_id(spark, on_disk(empty_frame(spark), tmp_path / "none")).count() == 0
+
+
+def test_languages_with_long_texts_only_are_learned(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang IS NOT NULL AND text != ''")
+    one = docs.selectExpr("min(lang) AS lang").first()["lang"]
+    long = docs.withColumn("text", F.expr(f"CASE WHEN lang = '{one}' THEN repeat(concat(text, ' '), 1 + cast(7000 / length(text) AS int)) ELSE text END"))
+    texts, labels = training_rows(long, Fit())
+    assert set(labels) == {r["lang"] for r in docs.select("lang").distinct().collect()}
+    assert max(map(len, texts)) == Fit.longest
+    model = fitted(texts, labels)
+    own = languages(long.where(F.col("lang") == one), model).collect()
+    assert np.mean([r["lang_pred"] == one for r in own]) > 0.97
+
+
+def test_windows_and_number_of_labels(spark):
+    rows = [(i, "".join(chr(97 + (i + k) % 26) for k in range(i % 40)), f"l{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    texts, labels = training_rows(df, Fit(longest=12))
+    given = {lang: {t for _, t, own in rows if own == lang} for lang in ("l0", "l1", "l2")}
+    for text, lang in zip(texts, labels, strict=True):
+        assert 0 < len(text) <= 12 and any(text in whole and len(text) == min(12, len(whole)) for whole in given[lang])
+    assert training_rows(df, Fit(longest=12)) == (texts, labels)
+    with pytest.raises(ValueError, match="labels"):
+        training_rows(df, Fit(most_languages=2))
+    assert training_rows(df.limit(0), Fit()) == ([], [])
+
+
+def test_clashing_columns(spark):
+    df = hard_frame(spark, extra=True).withColumns({"lang_pred": F.lit("x"), "score": F.lit("y"), "place": F.lit("z")})
+    rows = languages(df, fitted(["abc abc", "xyz xyz"], ["a", "b"])).collect()
+    assert {r["place"] for r in rows} == {"z"} and {r["lang_pred"] for r in rows} <= {"a", "b", "und"}
+    assert training_rows(df.withColumns({"rows": F.lit(1), "limit": F.lit(2)}), Fit())[0]

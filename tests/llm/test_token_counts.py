@@ -2,17 +2,18 @@
 
 import random
 
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tablewarden.llm.queries import VOCABULARIES, op7_token_counts
+from tablewarden.llm.queries import VOCABULARY, op7_token_counts
 from tablewarden.llm.texts import slices
 from tablewarden.llm.token_counts import Counts, Prefixes, Vocabulary, token_counts
 
 from .hard import HARD_TEXTS, empty_frame, hard_frame, on_disk
 
-FILE = f"{VOCABULARIES}/byte_bpe_50k.json"
+FILE = public_tokenizers.path(VOCABULARY)
 PARTS = [" ", "  ", "\n", "\t", "a", "e", "th", "ing", "'", "'s", "'ll", "1", "22", "é", "ß", "日本", "😀", " ", "\x1c", "\x85", "​", "!", "--",
          "<|endoftext|>", "<|endof", "A", "aaaaaaaa", "́", "½", "Ⅷ", "　", "\0", "\r\n", "zqx"]
 
@@ -64,3 +65,22 @@ def test_hard_rows(spark, tmp_path, library):
     assert token_counts(empty_frame(spark), FILE).count() == 0
     clash = token_counts(hard_frame(spark, extra=True), FILE)
     assert clash.columns[-1] == "n_tokens_" and sorted(r["n_tokens_"] for r in clash.collect()) == want
+
+
+def test_other_splitting_rules_are_refused(spark):
+    other = public_tokenizers.path("word_bpe_49k.json")
+    with pytest.raises(ValueError, match="not supported"):
+        token_counts(hard_frame(spark), other)
+
+
+def test_kept_pairs_are_bounded(monkeypatch, library):
+    monkeypatch.setattr("tablewarden.llm.token_counts.KEPT_PAIRS", 20)
+    with open(FILE, encoding="utf-8") as f:
+        counts = Counts(Vocabulary(f.read()))
+    most = 0
+    for text in made(7, 300):
+        before = set(counts.vocabulary._beside)
+        assert counts.total(text) == library(text)
+        most = max(most, len(set(counts.vocabulary._beside) - before))
+        # What was kept before a piece, and the pairs of the pieces of this text.
+        assert len(counts.vocabulary._beside) <= 20 + 2 * most
