@@ -8,13 +8,18 @@ first paragraph of a component stays, by document id and place.
 
 Passages. Every window of fifty words that stands in two documents is found, wherever lines end. Of each
 26 neighbouring runs of 25 words, those of one such window, the smallest hash is its mark: equal windows
-have equal marks. Documents with a mark that another document has send their windows with such marks,
-and equal windows in several documents are put together to spans. In the first document with a window it
-stays, by document id and place. Spans that a reported paragraph covers are left out.
+have equal marks. Rows with the same text are one class, of which one row is worked. Classes with a mark
+that another document has send their windows with such marks, equal windows in several documents are put
+together to spans, and every row of a class gets its spans. In the first document with a window it stays,
+by document id and place. Spans that a reported paragraph covers are left out.
+
+What is listed for a class (its marks) is never more than its text holds. Joins on a hash that very many
+texts share are split by Spark's adaptive skew join.
 
 Defined cases: null and empty texts have no paragraphs; a passage that repeats only inside one document
-is not reported; rows that repeat a document's id count as that document; null ids come first; an empty
-table gives no rows.
+is not reported; rows that repeat a document's id count as that document, and each row gets its spans; null
+ids come first and count as one document; columns other than key and text are not read, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -88,82 +93,93 @@ def _marks(hashes: np.ndarray) -> np.ndarray:
     return _windows(_windows(hashes, RUN, _hashed), RUNS, np.minimum)
 
 
-def document_marks(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``mark``. ``docs``: (doc_id, text)."""
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The first row of each class in the batch; column 0 is the class."""
+    _, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+    return batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
+
+
+def text_marks(texts: DataFrame) -> DataFrame:
+    """``class``, ``mark``. ``texts``: (class, text); rows of a class have the same text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_once, batches):
             for part in slices(batch.column(1)):
                 found = words(part)
                 marks = _marks(found.hashes)
                 held = [np.unique(marks[lo : max(lo, hi - PASSAGE + 1)]) for lo, hi in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
                 of = np.repeat(np.arange(part.first, part.last), [len(x) for x in held])
                 ids = batch.column(0).take(pa.array(of, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(held).view(np.int64))], names=["doc_id", "mark"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(held).view(np.int64))], names=["class", "mark"])
 
-    return shipped(docs).mapInArrow(run, docs.select("doc_id", F.lit(0).cast("bigint").alias("mark")).schema)
+    return shipped(texts).mapInArrow(run, texts.select("class", F.lit(0).cast("bigint").alias("mark")).schema)
 
 
-_PLACE = ("hash", "row", "word", "line", "start", "end")
+_PLACE = ("hash", "word", "line", "start", "end")
 
 
-def marked_windows(docs: DataFrame) -> DataFrame:
-    """Windows whose mark is wanted: ``doc_id``, ``hash``, and ``row``, ``word``, ``line``, ``start``, ``end`` (in code points). ``docs``: (row, doc_id, wanted, text)."""
+def marked_windows(texts: DataFrame) -> DataFrame:
+    """Windows whose mark is wanted: ``class``, ``hash``, and ``word``, ``line``, ``start``, ``end`` (in code points). ``texts``: (class, wanted, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, wanted = batch.column(0).to_numpy(), batch.column(2)
-            for part in slices(batch.column(3)):
+        for batch in map(_once, batches):
+            wanted = batch.column(1)
+            for part in slices(batch.column(2)):
                 found = words(part)
                 marks, hashes = _marks(found.hashes), _windows(found.hashes, PASSAGE, _hashed)
-                points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80)])
-                breaks = np.concatenate([[0], np.cumsum(part.data == ord("\n"))])
-                texts, places = [], []
+                texts_of, places = [], []
                 for i in range(part.last - part.first):
                     lo, hi = found.bounds[i], max(found.bounds[i], found.bounds[i + 1] - PASSAGE + 1)
                     own = wanted[part.first + i].values.to_numpy().view(np.uint64)
                     places.append(lo + np.flatnonzero(np.isin(marks[lo:hi], own)))
-                    texts.append(np.full(len(places[-1]), i))
-                text, at = np.concatenate(texts), np.concatenate(places).astype(np.int64)
+                    texts_of.append(np.full(len(places[-1]), i))
+                text, at = np.concatenate(texts_of).astype(np.int64), np.concatenate(places).astype(np.int64)
+                points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80, dtype=np.int32)])
+                breaks = np.concatenate([[0], np.cumsum(part.data == ord("\n"), dtype=np.int32)])
                 begin, first = part.offsets[text], found.starts[at]
                 last = found.ends[at + PASSAGE - 1] if len(at) else at
-                longs = [
-                    hashes[at].view(np.int64), rows[part.first + text.astype(np.int64)], at - found.bounds[text.astype(np.int64)],
-                    breaks[first] - breaks[begin], points[first] - points[begin], points[last] - points[begin],
-                ]
-                ids = batch.column(1).take(pa.array(part.first + text, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in longs]], names=["doc_id", *_PLACE])
+                longs = [hashes[at].view(np.int64), at - found.bounds[text], breaks[first] - breaks[begin], points[first] - points[begin], points[last] - points[begin]]
+                ids = batch.column(0).take(pa.array(part.first + text))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x.astype(np.int64)) for x in longs]], names=["class", *_PLACE])
 
-    return shipped(docs).mapInArrow(run, docs.select("doc_id", *[F.lit(0).cast("bigint").alias(name) for name in _PLACE]).schema)
+    return shipped(texts).mapInArrow(run, texts.select("class", *[F.lit(0).cast("bigint").alias(name) for name in _PLACE]).schema)
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans whose windows stand in several documents; columns as of ``repeated_paragraphs``."""
-    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    marks = staged(document_marks(docs), "marks")
+    docs = df.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("class"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.where(F.length("text") >= 2 * PASSAGE - 1)
+    members = staged(docs.select("class", "doc_id"), "text-members")
     of = F.struct("doc_id")
-    several = marks.groupBy("mark").agg(F.min(of).alias("least"), F.max(of).alias("most")).where("NOT least.doc_id <=> most.doc_id")
-    wanted = marks.join(staged(several.select("mark"), "shared-marks"), "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("wanted"))
-    wanted = staged(wanted.withColumnRenamed("doc_id", "of"), "wanted-marks")
-    held = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")))
-    windows = staged(marked_windows(held.select(F.monotonically_increasing_id().alias("row"), "doc_id", "wanted", "text")), "windows")
-    firsts = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "word", "row", "line")).alias("first"), F.max(of).alias("most"))
-    firsts = staged(firsts.where("NOT first.doc_id <=> most.doc_id").select("hash", "first"), "first-windows")
-    found = windows.join(firsts, "hash").withColumn("first_doc_id", F.col("first.doc_id"))
-    in_row = Window.partitionBy("row").orderBy("word")
-    goes_on = (F.lag("word").over(in_row) == F.col("word") - 1) & F.lag("first_doc_id").over(in_row).eqNullSafe(F.col("first_doc_id"))
+    classes = staged(members.groupBy("class").agg(F.min(of).alias("least"), F.max(of).alias("most")), "text-classes")
+    marks = staged(text_marks(docs.select("class", "text")), "marks")
+    held = marks.join(classes, "class").groupBy("mark").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    shared = staged(held.where("NOT least <=> most").select("mark"), "shared-marks")
+    wanted = marks.join(shared, "mark").groupBy("class").agg(F.collect_set("mark").alias("wanted"))
+    wanted = staged(wanted.join(classes, "class").select("class", "least", "most", "wanted"), "wanted-marks")
+    own = wanted.select(F.col("class").alias("of"), F.col("least.doc_id").alias("of_doc_id"), "wanted")
+    # By id and class: copies of one text meet nowhere.
+    worked = docs.join(own, (F.col("class") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_doc_id")))
+    windows = marked_windows(worked.select("class", "wanted", "text"))
+    windows = staged(windows.join(wanted.select("class", "least", "most"), "class"), "windows")
+    firsts = windows.groupBy("hash").agg(F.min(F.struct("least", "word", "class", "line")).alias("first"), F.max("most").alias("most"))
+    firsts = staged(firsts.where("NOT first.least <=> most").select("hash", "first"), "first-windows")
+    found = windows.drop("least", "most").join(firsts, "hash").withColumn("first_doc_id", F.col("first.least.doc_id"))
+    # A class that was worked twice has each window twice; these go on as well.
+    in_text = Window.partitionBy("class").orderBy("word")
+    goes_on = (F.lag("word").over(in_text) >= F.col("word") - 1) & F.lag("first_doc_id").over(in_text).eqNullSafe(F.col("first_doc_id"))
     found = found.withColumn("new", F.when(goes_on, 0).otherwise(1))
-    spans = found.withColumn("span", F.sum("new").over(in_row)).groupBy("row", "span").agg(
-        F.min(F.struct("word", "doc_id", "line", "start", "first_doc_id", F.col("first.line").alias("first_line"))).alias("at"), F.max("end").alias("end")
+    spans = found.withColumn("span", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("class", "span").agg(
+        F.min(F.struct("word", "line", "start", "first_doc_id", F.col("first.line").alias("first_line"))).alias("at"), F.max("end").alias("end")
     )
-    return spans.select(
-        "at.doc_id",
+    return members.join(spans, "class").select(
+        "doc_id",
         "at.line",
         "at.start",
         "end",
         "at.first_doc_id",
         "at.first_line",
-        (~F.col("at.doc_id").eqNullSafe(F.col("at.first_doc_id"))).alias("removed"),
+        (~F.col("doc_id").eqNullSafe(F.col("at.first_doc_id"))).alias("removed"),
     )
 
 

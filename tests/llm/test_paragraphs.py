@@ -6,6 +6,8 @@ from collections import defaultdict
 
 from tablewarden.llm.paragraphs import repeated_paragraphs
 
+from .hard import empty_frame, hard_frame
+
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,3 +68,56 @@ def test_repeats_inside_documents_and_null_ids(spark):
 def test_given_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, docs)
+
+
+def test_copies_repeated_rows_and_null_ids_get_their_spans(spark):
+    passage = " ".join(sentence(50, 55))
+    copied, other = f"{passage}\ntail one", " ".join(sentence(51, 30)) + " " + passage
+    docs = [(i, copied) for i in range(40, 10, -1)] + [(11, copied)] * 3 + [(None, copied)] * 4 + [(5, other), (5, other), (60, other)]
+    rows, shared = check(spark, docs)
+    # 57 words of the copies, 85 of the other text: windows of fifty words.
+    assert len(shared) == 8 + 36 - 6
+    assert len(rows) >= len(docs)
+    assert {r["doc_id"] for r in rows if not r["removed"]} == {None, 5}
+    # The null document is the first with the passage; the whole line of document 60 is one of document 5.
+    assert {r["first_doc_id"] for r in rows if r["doc_id"] == 5 and r["removed"]} == {None}
+    assert {r["first_doc_id"] for r in rows if r["doc_id"] == 60} == {5}
+
+
+def test_only_one_document_holds_it(spark):
+    text = " ".join(sentence(52, 70))
+    rows, shared = check(spark, [(1, text), (1, text), (1, "start " + text), (2, "x")])
+    assert not rows and not shared
+    rows, _ = check(spark, [(None, text), (None, text)])
+    assert not rows
+
+
+def test_near_equal_lines_are_found(spark):
+    """Pairs of lines at similarity 0.75 or a little above, at least 0.9 of them; here all."""
+    docs, pairs = [], 0
+    for k in range(300):
+        line = sentence(1000 + k, 80)
+        near = list(line)
+        near[40] = "other"
+        # 76 shingles each, five differ: similarity 71 / 81; a second change gives 66 / 86 = 0.767.
+        near[20] = "another"
+        docs += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(near))]
+        pairs += 1
+    rows = repeated_paragraphs(spark.createDataFrame(docs, SCHEMA).repartition(3)).collect()
+    found = {r["doc_id"] // 2 for r in rows if r["removed"] and r["first_doc_id"] == r["doc_id"] - 1}
+    assert len(found) >= 0.9 * pairs
+    assert len(found) == pairs
+
+
+def test_hard_empty_and_clashing_rows(spark):
+    names = ("class", "mark", "wanted", "hash", "word", "line", "end", "least", "most", "first", "span", "new", "of", "removed", "first_doc_id")
+    long = " ".join(sentence(53, 60))
+    df = hard_frame(spark, extra=True)
+    more = spark.createDataFrame([(100, long), (101, long), (None, long)], SCHEMA)
+    df = df.unionByName(more, allowMissingColumns=True)
+    plain = sorted(map(tuple, repeated_paragraphs(df).collect()), key=repr)
+    assert len(plain) == 3
+    for name in names:
+        df = df.selectExpr("*", f"'clash' AS {name}") if name not in df.columns else df
+    assert sorted(map(tuple, repeated_paragraphs(df).collect()), key=repr) == plain
+    assert repeated_paragraphs(empty_frame(spark)).count() == 0
