@@ -6,9 +6,15 @@ reader doesn't see and lays out the rest: blocks on lines of their own with an e
 paragraphs, list items with bullets or numbers and indents, tables with aligned columns, preformatted
 text as it stands, and white space elsewhere as one blank.
 
+Elements may be nested to any depth; builder and renderer keep stacks of their own. What ``visibility``
+hides comes back in children that it shows. A cell over several rows keeps its column free in the rows
+below, up to the end of its group of rows. Style sheets are not read, only ``style`` attributes: a class
+that a sheet hides stays visible.
+
 Defined cases: null or empty markup renders as the empty text; broken markup renders as far as it can
-be read, and never fails; nesting beyond ``DEEPEST`` levels is flattened; rows are rendered one by one,
-so repeated rows repeat.
+be read, and never fails; a quote that is never closed is a character of its tag, which ends at the next
+``>``; rows are rendered one by one, so repeated rows repeat; an empty table gives no rows; a column that
+has the result's name is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -16,7 +22,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +33,11 @@ from pyspark.sql import functions as F
 
 from .tables import shipped
 
-DEEPEST = 100
+#: Fixed values of HTML: the most columns and rows that a cell may span.
+MOST_COLUMNS, MOST_ROWS = 1_000, 65_534
+#: Layout only, no text is lost: the deepest indent, the widest column that others align with, and the nested
+#: tables that are laid out in columns. Without these, blanks alone could outgrow memory.
+MOST_INDENT, MOST_WIDTH, MOST_TABLES = 200, 200, 20
 
 # Fixed values of HTML: kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,13 +65,16 @@ CLOSES = {
 }
 P_SCOPE = frozenset(["td", "th", "caption", "button", "table", "html", "body"])
 END_SCOPE = frozenset(["table", "td", "th", "caption", "html"])
+# End tags that also close elements outside the cell they stand in.
+ACROSS = frozenset(["table", "tr", "tbody", "thead", "tfoot", "body", "html"])
 
 TOKEN = re.compile(
-    r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    r"<!--(?P<comment>.*?)(?:--!?>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*+\"[^\"]*\"|=\s*+'[^']*'|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -74,18 +90,44 @@ class Node:
         return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(self.attrs)}
 
 
+class Open:
+    """The open elements, and at which depths those of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = defaultdict(list)
+
+    def last(self, tags: frozenset[str]) -> int:
+        """Depth of the innermost element of these tags, 0 if there is none."""
+        return max((self.depths[tag][-1] for tag in tags if self.depths[tag]), default=0)
+
+    def push(self, node: Node) -> None:
+        self.depths[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Closes the element at this depth and all inside it."""
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().tag].pop()
+
+    def close_up_to(self, tags: frozenset[str], scope: frozenset[str]) -> None:
+        """Closes the outermost element of ``tags`` inside the innermost one of ``scope``."""
+        limit = self.last(scope)
+        inside = []
+        for tag in tags:
+            depths = self.depths[tag]
+            k = bisect_right(depths, limit)
+            inside += depths[k : k + 1]
+        if inside:
+            self.cut(min(inside))
+
+
 def tree(markup: str) -> Node:
     """Children are nodes and texts."""
     root = Node("html")
-    stack = [root]
-
-    def close_up_to(tags: frozenset[str], scope: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in scope:
-                return
-            if stack[depth].tag in tags:
-                del stack[depth:]
-
+    opened = Open(root)
+    stack, one = opened.stack, frozenset
+    ends: dict[str, re.Pattern] = {}
     at, size = 0, len(markup)
     while at < size:
         found = TOKEN.search(markup, at)
@@ -99,36 +141,33 @@ def tree(markup: str) -> Node:
             continue
         tag = found["tag"].lower()
         if found["close"]:
-            if tag == "br" or (tag == "p" and not any(n.tag == "p" for n in stack)):
+            depth = opened.last(one([tag]))
+            if tag == "br" or (tag == "p" and not depth):
                 stack[-1].children.append(Node(tag))
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in END_SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            elif depth and (tag in ACROSS or opened.last(END_SCOPE) <= depth):
+                opened.cut(depth)
             continue
         if tag == "html":
             continue
         if tag in CLOSES:
-            close_up_to(*CLOSES[tag])
+            opened.close_up_to(*CLOSES[tag])
         if tag in BLOCK and tag not in ("body", "option", "optgroup"):
-            if any(n.tag == "head" for n in stack[1:]):
-                close_up_to(frozenset(["head"]), frozenset(["html"]))
-            close_up_to(frozenset(["p"]), P_SCOPE)
+            if opened.depths["head"]:
+                opened.close_up_to(one(["head"]), one(["html"]))
+            opened.close_up_to(one(["p"]), P_SCOPE)
         node = Node(tag, found["attrs"])
         stack[-1].children.append(node)
         if tag in VOID or (found["attrs"].endswith("/") and tag in ("svg", "math", "path")):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(markup, at)
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I)
+            end = ends[tag].search(markup, at)
             inner = markup[at : end.start() if end else size]
             node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             at = end.end() if end else size
             continue
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        opened.push(node)
     return root
 
 
@@ -147,6 +186,12 @@ def seen(node: Node) -> bool:
     return not UNSEEN_STYLE.search(attributes.get("style", ""))
 
 
+def muted(node: Node, outside: bool) -> bool:
+    """Whether ``visibility`` hides what stands directly in the element; it is inherited."""
+    found = VISIBILITY.findall(node.attributes().get("style", "")) if node.attrs else []
+    return found[-1].lower() != "visible" if found else outside
+
+
 def width(text: str) -> int:
     """Columns of a text: wide characters take two, combining ones none."""
     if text.isascii():
@@ -162,11 +207,15 @@ class Page:
         self.line: list[str] = []
         self.gap = 0
         self.blank = True
-        self.prefix = ""
+        self.indent = 0
         self.mark = ""
+        self.muted = False
+        self.tables = 0
 
     def put(self, text: str) -> None:
         """Inline text; white space is one blank."""
+        if self.muted:
+            return
         pieces = BLANKS.split(text)
         for i, piece in enumerate(pieces):
             if i and not self.blank:
@@ -186,7 +235,7 @@ class Page:
         if self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        self.lines.append(((self.mark or self.prefix) + text).rstrip(" "))
+        self.lines.append((" " * (self.indent - len(self.mark)) + self.mark + text).rstrip(" "))
         self.mark = ""
 
     def space(self, lines: int) -> None:
@@ -194,71 +243,100 @@ class Page:
         self.gap = max(self.gap, lines)
 
 
+#: A step of the renderer: yields the steps inside it, and gets what they return.
+Step = Generator["Step", object, object]
+
+
+def _run(step: Step) -> object:
+    """Runs a step and those inside it on a stack of its own, so that depth has no limit."""
+    steps, value = [step], None
+    while steps:
+        try:
+            inner = steps[-1].send(value)
+        except StopIteration as done:
+            steps.pop()
+            value = done.value
+        else:
+            steps.append(inner)
+            value = None
+    return value
+
+
 def rendered(markup: str | None) -> str:
     if not markup:
         return ""
     page = Page()
-    _children(tree(markup), page, 0)
+    _run(_children(tree(markup), page, 0))
     page.end_line()
     return "\n".join(page.lines)
 
 
-def _children(node: Node, page: Page, depth: int) -> None:
+def _children(node: Node, page: Page, depth: int) -> Step:
+    outside = page.muted
+    page.muted = muted(node, outside)
     for child in node.children:
         if isinstance(child, str):
             page.put(child)
         elif seen(child):
-            _element(child, page, depth)
+            yield _element(child, page, depth)
+    page.muted = outside
 
 
-def _element(node: Node, page: Page, depth: int) -> None:
+def _element(node: Node, page: Page, depth: int) -> Step:
     tag = node.tag
+    silent = muted(node, page.muted)
     if tag == "br":
         if page.line:
             page.end_line()
-        else:
+        elif not silent:
             page.gap = max(page.gap, 1)
-        return
-    if tag == "img":
-        page.put(node.attributes().get("alt", ""))
-        return
-    if tag == "hr":
+    elif tag == "img":
+        if not silent:
+            page.put(node.attributes().get("alt", ""))
+    elif tag == "hr":
         page.space(0)
-        page.raw("---")
-        return
-    if tag == "pre":
+        if not silent:
+            page.raw("---")
+    elif tag == "pre":
         page.space(1)
-        for line in _plain(node).strip("\n").split("\n"):
+        parts: list[str] = []
+        yield _plain(node, parts, page.muted)
+        for line in "".join(parts).strip("\n").split("\n"):
             page.raw(line)
         page.space(1)
-        return
-    if tag == "table":
+    elif tag == "table":
         page.space(1)
-        for line in _table(node):
-            page.raw(line)
+        if page.tables < MOST_TABLES:
+            for line in (yield _table(node, page)):
+                page.raw(line)
+        else:
+            yield _children(node, page, depth)
         page.space(1)
-        return
-    if tag in ("ul", "ol", "menu", "dir"):
-        _list(node, page, depth)
-        return
-    if tag in BLOCK:
+    elif tag in ("ul", "ol", "menu", "dir"):
+        yield _list(node, page, depth)
+    elif tag in BLOCK:
         gap = 1 if tag in SPACED else 0
         page.space(gap)
-        kept = page.prefix
+        kept = page.indent
         if tag in ("blockquote", "dd"):
-            page.prefix += "  "
-        _children(node, page, depth)
+            page.indent = min(kept + 2, MOST_INDENT)
+        yield _children(node, page, depth)
         page.space(gap)
-        page.prefix = kept
-        return
-    _children(node, page, depth)
-    if tag in ("td", "th"):
-        page.put(" ")
-
-
-def _list(node: Node, page: Page, depth: int) -> None:
+        page.indent = kept
+    elif tag in ("tr", "caption"):
+        page.end_line()
+        yield _children(node, page, depth)
+        page.end_line()
+    else:
+        yield _children(node, page, depth)
+        if tag in ("td", "th"):
+            page.put(" ")
+
+
+def _list(node: Node, page: Page, depth: int) -> Step:
     page.space(0 if depth else 1)
-    kept, number = page.prefix, 1
+    kept, number, outside = page.indent, 1, page.muted
+    page.muted = muted(node, outside)
     if node.tag == "ol":
         start = node.attributes().get("start", "1").strip()
         number = int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
@@ -269,87 +347,120 @@ def _list(node: Node, page: Page, depth: int) -> None:
             page.end_line()
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            page.mark, page.prefix = kept + mark, kept + " " * len(mark)
-            _children(child, page, depth + 1)
+            page.mark, page.indent = "" if muted(child, page.muted) else mark, max(len(mark), min(kept + len(mark), MOST_INDENT))
+            yield _children(child, page, depth + 1)
             page.end_line()
-            page.mark, page.prefix = "", kept
+            page.mark, page.indent = "", kept
         elif seen(child):
-            _element(child, page, depth)
+            yield _element(child, page, depth)
+    page.muted = outside
     page.space(0 if depth else 1)
 
 
-def _plain(node: Node) -> str:
-    return "".join(
-        child if isinstance(child, str) else "\n" if child.tag == "br" else _plain(child) if seen(child) else "" for child in node.children
-    )
+def _plain(node: Node, parts: list[str], outside: bool) -> Step:
+    silent = muted(node, outside)
+    for child in node.children:
+        if isinstance(child, str):
+            parts.append("" if silent else child)
+        elif child.tag == "br":
+            parts.append("\n")
+        elif seen(child):
+            yield _plain(child, parts, silent)
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, str) or not seen(child):
+def _rows(node: Node, outside: bool) -> Iterator[tuple[Node, int, bool]]:
+    """Rows and captions of a table, the group of each, and whether what is around it is hidden."""
+    silent = muted(node, outside)
+    for group, part in enumerate(node.children):
+        if isinstance(part, str) or not seen(part):
             continue
-        if child.tag in ("tr", "caption"):
-            yield child
-        elif child.tag in ("thead", "tbody", "tfoot"):
-            yield from _rows(child)
-        elif child.tag in ("td", "th"):
-            row = Node("tr")
-            row.children.append(child)
-            yield row
-        elif child.tag not in ("colgroup", "col"):
-            other = Node("caption")
-            other.children.append(child)
-            yield other
-
-
-def _cell(node: Node) -> list[str]:
+        grouped = part.tag in ("thead", "tbody", "tfoot")
+        within = muted(part, silent) if grouped else silent
+        for child in part.children if grouped else [part]:
+            if isinstance(child, str) or not seen(child) or child.tag in ("colgroup", "col"):
+                continue
+            if child.tag in ("tr", "caption"):
+                yield child, group if grouped else -1, within
+                continue
+            alone = Node("tr" if child.tag in ("td", "th") else "caption")
+            alone.children.append(child)
+            yield alone, group if grouped else -1, within
+
+
+def _cell(node: Node, outside: bool, tables: int) -> Step:
     page = Page()
-    _children(node, page, 0)
+    page.muted, page.tables = outside, tables
+    yield _children(node, page, 0)
     page.end_line()
     return page.lines or [""]
 
 
-def _table(node: Node) -> list[str]:
-    """Columns start at the same place in every row; a cell over several columns takes their room."""
-    loose = [c for c in node.children if isinstance(c, str) and c.strip()]
-    out = [BLANKS.sub(" ", c).strip() for c in loose]
-    grid: list[list[tuple[list[str], int]] | list[str]] = []
-    for row in _rows(node):
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attributes().get(name, "1").strip() if node.attrs else "1"
+    if not re.fullmatch(r"[0-9]{1,9}", value):
+        return 1
+    # No rows named means all that are left of the group.
+    return min(int(value), most) or (most if name == "rowspan" else 1)
+
+
+def _table(node: Node, page: Page) -> Step:
+    """Columns start at the same place in every row; cells over several columns or rows take their room."""
+    outside, tables = page.muted, page.tables + 1
+    out = [] if muted(node, outside) else [BLANKS.sub(" ", c).strip() for c in node.children if isinstance(c, str) and c.strip()]
+    # Captions are lists of lines, rows lists of (lines, first column, columns).
+    grid: list[list[tuple[list[str], int, int]] | list[str]] = []
+    held: list[tuple[int, int, int]] = []  # columns that cells of rows above hold: first, end, rows left
+    last_group = None
+    for row, group, around in _rows(node, outside):
         if row.tag == "caption":
-            grid.append(_cell(row))
+            grid.append((yield _cell(row, around, tables)))
             continue
-        cells = []
+        if group != last_group:
+            held, last_group = [], group
+        silent, column, taken, below = muted(row, around), 0, 0, []
+        cells: list[tuple[list[str], int, int]] = []
         for child in row.children:
             if isinstance(child, str):
-                if child.strip():
-                    cells.append(([BLANKS.sub(" ", child).strip()], 1))
+                if silent or not child.strip():
+                    continue
+                lines, columns, rows = [BLANKS.sub(" ", child).strip()], 1, 1
             elif seen(child):
-                span = child.attributes().get("colspan", "1").strip()
-                cells.append((_cell(child), min(int(span), 100) if re.fullmatch(r"[1-9][0-9]{0,8}", span) else 1))
+                lines = yield _cell(child, silent, tables)
+                columns, rows = _span(child, "colspan", MOST_COLUMNS), _span(child, "rowspan", MOST_ROWS)
+            else:
+                continue
+            while taken < len(held) and held[taken][0] <= column:
+                column = max(column, held[taken][1])
+                taken += 1
+            cells.append((lines, column, columns))
+            if rows > 1:
+                below.append((column, column + columns, rows))
+            column += columns
+        held = sorted((first, end, rows - 1) for first, end, rows in held + below if rows > 1)
         grid.append(cells)
     widths: dict[int, int] = {}
     for cells in grid:
-        column = 0
         for cell in cells:
-            if isinstance(cell, str):
-                break
-            lines, span = cell
-            if span == 1:
-                widths[column] = max(widths.get(column, 0), max(map(width, lines)))
-            column += span
+            if not isinstance(cell, str):
+                lines, column, columns = cell
+                own = max(map(width, lines)) if columns == 1 else 0
+                widths[column] = max(widths.get(column, 0), min(own, MOST_WIDTH))
+    # Columns in which no cell begins have no room.
+    starts = sorted(widths)
+    edges = list(accumulate((widths[c] + 2 for c in starts), initial=0))
     for cells in grid:
         if not cells or isinstance(cells[0], str):
             out += [line for line in cells if line]
             continue
-        height = max(len(lines) for lines, _ in cells)
-        for k in range(height):
-            text, column, edge = "", 0, 0
-            for lines, span in cells:
-                text += " " * max(0, edge - width(text)) + (lines[k] if k < len(lines) else "")
-                edge += sum(widths.get(c, 0) + 2 for c in range(column, column + span))
-                column += span
-            if text.strip():
-                out.append(text.rstrip(" "))
+        for k in range(max(len(lines) for lines, _, _ in cells)):
+            text, wide = [], 0
+            for lines, column, _ in cells:
+                if k < len(lines) and lines[k]:
+                    room = max(2 if text else 0, edges[bisect_left(starts, column)] - wide)
+                    text += [" " * room, lines[k]]
+                    wide += room + width(lines[k])
+            if text:
+                out.append("".join(text).rstrip(" "))
     return out
 
 
