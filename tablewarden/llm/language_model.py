@@ -7,20 +7,19 @@ bucket adds them up. The number of buckets follows the tokens, so that a bucket
 
 Model. P(w) = (c + 0.1) / (N + 0.1 (V + 1)); longer runs are discounted by a constant, and the mass left
 in a context goes to the shorter one. Contexts are states, runs are arcs with log-probabilities, and each
-state has a failure arc with its backoff weight to its longest shorter context. In a walk from left to
-right each state is entered once and either left by an arc or by its failure arc, so the logarithm of a
-text's probability is a sum with one term per occurrence of a word and of a learned run:
+state has a failure arc with its backoff weight to its longest shorter context. The table of the automaton
+has a row per word and learned run, keyed by ``code``: ``value``, the log-probability of its arc, and
+``back``, the weight of the failure arc of the state it names (null where nothing follows it).
 
-    word       log P(w) + back(w)
-    a b        log P(b | a) - log P(b) - back(a) + back(a b)
-    a b c      log P(c | a b) - log P(c | b) - back(a b)
-
-where back is 0 for what is no context. These terms are the table ``code``, ``base``, ``extra``,
-``known``, made by joins. Texts send their distinct codes to the buckets of the table and sums per text
-come back; only counts pass the driver.
+Scoring. A unit of texts asks the buckets of the table for the distinct codes that it holds. The answers
+and the unit's words meet again, and the unit builds the part of the automaton that its texts can reach:
+the states, the arcs out of each and the failure arcs. Every text is then traversed once from left to
+right. The walk carries one state; it takes the arc of the next word where the state has one, and follows
+failure arcs, adding their weights, until a state has one. The empty context has an arc for each word.
+Only counts pass the driver.
 
 The words' part of the table is sent to several buckets, each for its own units, as a common word stands in
-nearly all texts.
+nearly all texts. A unit's own words travel by themselves, to buckets that hold about one unit each.
 
 Defined cases: A-Z are a-z; 64-bit hashes stand for words and runs; a null text is empty and has the end
 token only; rows whose id is null are neither learned from nor held out; rows that repeat are counted and
@@ -38,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.scratch import remove_scratch
 from .tables import shipped, staged
 from .texts import mixed, slices, words
 
@@ -265,94 +265,88 @@ def _left(p: Column, shorter: Column) -> Column:
     return F.log10(F.greatest(1 - F.sum(p), floor) / F.greatest(1 - F.sum(shorter), floor))
 
 
-def terms(counts: DataFrame, runs: DataFrame, total: int, every: int, vocabulary: int, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    """Of words ``code``, ``base``, ``extra``, ``known``, and of runs ``code``, ``extra``."""
+def automaton(counts: DataFrame, runs: DataFrame, total: int, every: int, vocabulary: int, settings: Settings, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Words and learned runs, each ``code``, ``value`` of the arc, ``back`` of the state (null: it is none); words also ``known``.
+
+    Paths of the tables on the way are added to ``made``.
+    """
     end = int(END.view(np.int64))
     numbered = counts.where((F.col("n") > settings.share * every) | (F.col("word") == end)) if settings.share else counts
     single = (F.col("c") + settings.add) / F.lit(total + settings.add * (vocabulary + 1))
     heads, tails = numbered.select(F.col("word").alias("head"), F.col("c").alias("of_head")), numbered.select(F.col("word").alias("tail"), single.alias("shorter"))
     pairs = runs.where("size = 2").select("code", "head", "tail", "c").join(heads, "head").join(tails, "tail")
-    pairs = staged(pairs.select("code", "head", ((F.col("c") - settings.discount) / F.col("of_head")).alias("p"), "shorter"), "pairs")
-    of_word = staged(pairs.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back")), "word-backoff")
+    pairs = staged(pairs.select("code", "head", ((F.col("c") - settings.discount) / F.col("of_head")).alias("p"), "shorter"), "pairs", made)
+    of_word = pairs.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back"))
     triples = runs.where("size = 3").select("code", "head", "tail", ((F.col("c") - settings.discount) / F.col("of")).alias("p"))
     if settings.share:
         triples = triples.join(pairs.select(F.col("code").alias("head")), "head", "left_semi")
     triples = triples.join(pairs.select(F.col("code").alias("tail"), F.col("p").alias("shorter")), "tail")
-    triples = staged(triples.select("code", "head", "p", "shorter"), "triples")
-    of_pair = staged(triples.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back")), "pair-backoff")
-    own = F.log10("p") - F.log10("shorter") - F.col("back")
-    of_pairs = pairs.join(of_word, "head").select("code", own.alias("own")).join(of_pair.withColumnRenamed("head", "code"), "code", "left")
-    of_runs = of_pairs.select("code", (F.col("own") + F.coalesce("back", F.lit(0.0))).alias("extra"))
-    of_runs = of_runs.union(triples.join(of_pair, "head").select("code", own.alias("extra")))
+    triples = staged(triples.select("code", "head", "p", "shorter"), "triples", made)
+    of_pair = triples.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back"))
+    of_runs = pairs.join(of_pair.withColumnRenamed("head", "code"), "code", "left").select("code", F.log10("p").alias("value"), "back")
+    of_runs = of_runs.union(triples.select("code", F.log10("p").alias("value"), F.lit(None).cast("double").alias("back")))
     of_words = counts.join(of_word.withColumnRenamed("head", "word"), "word", "left").select(
-        F.col("word").alias("code"), F.log10(single).alias("base"), F.coalesce("back", F.lit(0.0)).alias("extra"), (F.col("c") > 0).cast("int").alias("known")
+        F.col("word").alias("code"), F.log10(single).alias("value"), "back", (F.col("c") > 0).cast("int").alias("known")
     )
-    return staged(of_words, "word-terms"), staged(of_runs, "run-terms")
+    return staged(of_words, "words"), staged(of_runs, "arcs")
 
 
 @dataclass(frozen=True)
 class Buckets:
-    """Of runs; of words by their hash, and copies of each."""
+    """Of runs; of words by their hash, and copies of each. Buckets of whole units follow, as many as of runs."""
 
     runs: int
     words: int
     copies: int
 
+    @property
+    def of_units(self) -> int:
+        return self.runs + self.words * self.copies
+
     def of_table(self, of_words: DataFrame, of_runs: DataFrame) -> DataFrame:
         copy = F.explode(F.sequence(F.lit(0), F.lit(self.copies - 1)))
         placed = of_words.select("*", copy.alias("copy")).select(
-            (self.runs + bucket_of(F.col("code"), self.words) * self.copies + F.col("copy")).cast("int").alias("bucket"), "code", "base", "extra", "known"
+            (self.runs + bucket_of(F.col("code"), self.words) * self.copies + F.col("copy")).cast("int").alias("bucket"), "code", "value", "back", "known"
         )
-        nothing = (F.lit(0.0).alias("base"), F.col("extra"), F.lit(0).alias("known"))
-        return placed.union(of_runs.select(bucket_of(F.col("code"), self.runs).alias("bucket"), "code", *nothing))
+        return placed.union(of_runs.select(bucket_of(F.col("code"), self.runs).alias("bucket"), "code", "value", "back", F.lit(0).alias("known")))
 
 
-_QUESTION = {"codes": np.uint64, "texts": np.uint32, "places": np.uint32, "times": np.uint32}
+#: What a unit sends: to a bucket of the table its distinct codes, and once its distinct words, its texts as places among them and their heads.
+_QUESTION = {"codes": np.uint64, "words": np.uint64, "texts": np.uint32}
+
+
+def _distinct(unit: Unit, size: int) -> np.ndarray:
+    at = unit.starts(size)
+    return np.unique(codes(*[unit.sequence[at + k] for k in range(size)]))
 
 
 def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
-    """Per unit and bucket: distinct ``codes``, in how many ``texts`` each is, their ``places`` in the unit and the ``times`` in each.
+    """Per unit and bucket: ``unit``, the number of its first row, and the columns of ``_QUESTION``."""
 
-    ``unit`` is the first row's number. One message per unit has its ``heads``.
-    """
+    def asked(codes_: np.ndarray, of: int) -> Iterator[tuple[int, bytes]]:
+        cut = np.searchsorted(_bucket(codes_, of), np.arange(of + 1))
+        for k in np.flatnonzero(np.diff(cut)):
+            yield int(k), codes_[cut[k] : cut[k + 1]].tobytes()
 
-    def asked(unit: Unit, size: int, copy: int) -> Iterator[tuple[int, list[bytes]]]:
-        at = unit.starts(size)
-        code = unit.sequence[at] if size == 1 else codes(*[unit.sequence[at + k] for k in range(size)])
-        text = np.repeat(np.arange(len(unit.bounds) - 1, dtype=np.uint32), np.diff(unit.bounds))[at]
-        order = np.argsort(code, kind="stable")
-        code, text = code[order], text[order]
-        first = _changes(code, text)
-        times, code, text = np.diff(first, append=len(code)), code[first], text[first]
-        first = _changes(code)
-        of = buckets.runs if size > 1 else buckets.words
-        cut = np.searchsorted(_bucket(code[first], of), np.arange(of + 1))
-        edges, texts = np.append(first, len(code)), np.diff(first, append=len(code))
-        for k in range(of):
-            lo, hi = cut[k], cut[k + 1]
-            if lo < hi or size == 1 and not k:
-                own = slice(edges[lo], edges[hi])
-                parts = (code[first[lo:hi]], texts[lo:hi], text[own], times[own])
-                yield k if size > 1 else buckets.runs + k * buckets.copies + copy, [
-                    x.astype(kind).tobytes() for x, kind in zip(parts, _QUESTION.values(), strict=True)
-                ]
-
-    def of(held: list[Unit], rows: list[np.ndarray], heads: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+    def of(held: list[Unit], rows: list[np.ndarray], heads: list[pa.Array]) -> pa.RecordBatch:
         unit, first = _joined(held), int(rows[0][0])
-        for size in (1, 2, 3):
-            found = list(asked(unit, size, first % buckets.copies))
-            if not found:
-                continue
-            number, contents = zip(*found, strict=True)
-            columns = [pa.array([c[i] for c in contents], pa.binary()) for i in range(len(_QUESTION))]
-            if size == 1:
-                values = pa.concat_arrays(heads)
-                lists = pa.ListArray.from_arrays(pa.array([0] + [len(values)] * len(found), pa.int32()), values)
-                lists = lists.cast(heads_type)
-            else:
-                lists = pa.nulls(len(found), heads_type)
-            names = ["bucket", "unit", *_QUESTION, "heads"]
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array([first] * len(found), pa.int64()), *columns, lists], names=names)
+        distinct, places = np.unique(unit.sequence, return_inverse=True)
+        copy = first % buckets.copies
+        found = list(asked(np.union1d(_distinct(unit, 2), _distinct(unit, 3)), buckets.runs))
+        found += [(buckets.runs + k * buckets.copies + copy, own) for k, own in asked(distinct, buckets.words)]
+        number = [k for k, _ in found] + [buckets.of_units + int(mixed(np.array([first], np.uint64))[0] % np.uint64(buckets.runs))]
+        without = [None] * len(found)
+        values = pa.concat_arrays(heads)
+        lists = pa.ListArray.from_arrays(pa.array([0] * (len(found) + 1) + [len(values)], pa.int32()), values).cast(heads_type)
+        columns = {
+            "bucket": pa.array(number, pa.int32()),
+            "unit": pa.array([first] * len(number), pa.int64()),
+            "codes": pa.array([*(own for _, own in found), None], pa.binary()),
+            "words": pa.array([*without, distinct.tobytes()], pa.binary()),
+            "texts": pa.array([*without, places.astype(np.uint32).tobytes()], pa.binary()),
+            "heads": lists,
+        }
+        return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, heads, size = [], [], [], 0
@@ -366,48 +360,121 @@ def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
                 heads.append(pa.StructArray.from_arrays(fields, names=["doc_id", "held_out", "n_tokens"]))
                 size += len(unit.sequence)
                 if size >= tokens:
-                    yield from of(held, rows, heads)
+                    yield of(held, rows, heads)
                     held, rows, heads, size = [], [], [], 0
         if held:
-            yield from of(held, rows, heads)
+            yield of(held, rows, heads)
 
     return run
 
 
-_ANSWER = {"places": np.uint32, "base": np.float64, "extra": np.float64, "known": np.int64}
+#: Of the codes that a bucket knows. What a unit sent for itself passes unchanged.
+_ANSWER = {"codes": np.uint64, "value": np.float64, "back": np.float64, "known": np.uint8}
 
 
 def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """Sums per unit and text over the codes of a bucket."""
+    """The rows of the automaton's table that each unit asked a bucket for."""
     code = table["code"].to_numpy().view(np.uint64)
     order = np.argsort(code)
     code = code[order]
-    values = {name: table[name].to_numpy()[order].astype(float) for name in ("base", "extra", "known")}
+    of = {name: table[name].to_numpy()[order].astype(_ANSWER[name]) for name in ("value", "back", "known")}
     out = {name: [] for name in _ANSWER}
-    for own, texts, places, times in zip(*[_buffers(asked, name, kind) for name, kind in _QUESTION.items()], strict=True):
-        at = np.minimum(np.searchsorted(code, own), max(len(code) - 1, 0))
-        there = code[at] == own if len(code) else np.zeros(len(own), dtype=bool)
-        held = np.repeat(there, texts)
-        at, places, times = np.repeat(at, texts)[held], places[held], times[held]
-        distinct, place = np.unique(places, return_inverse=True)
-        out["places"].append(distinct.astype(np.uint32).tobytes())
-        for name, of in values.items():
-            sums = np.bincount(place, of[at] * times, len(distinct)) if len(at) else np.zeros(0)
-            out[name].append(sums.round().astype(np.int64).tobytes() if name == "known" else sums.tobytes())
-    columns = [pa.array(out[name], pa.binary()) for name in _ANSWER]
-    return pa.Table.from_arrays([asked["unit"], *columns, asked["heads"]], names=["unit", *_ANSWER, "heads"])
-
-
-def _added(answers: pa.Table) -> pa.Table:
-    """Of one unit: the texts' heads with their sums."""
-    heads = pa.concat_arrays([x.values for x in answers["heads"] if x.is_valid and len(x.values)])
-    sums = {name: np.zeros(len(heads)) for name in ("base", "extra", "known")}
-    places = _buffers(answers, "places", np.uint32)
-    for name, out in sums.items():
-        for at, own in zip(places, _buffers(answers, name, _ANSWER[name]), strict=True):
-            out[at] += own
-    columns = [heads.field(i) for i in range(3)] + [pa.array(sums["base"]), pa.array(sums["extra"]), pa.array(sums["known"].astype(np.int64))]
-    return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "base", "extra", "known"])
+    for own in asked["codes"].to_pylist():
+        own = np.frombuffer(own or b"", np.uint64)
+        at = np.searchsorted(code, own)
+        there = np.flatnonzero(code[np.minimum(at, len(code) - 1)] == own) if len(code) else np.zeros(0, np.int64)
+        out["codes"].append(own[there].tobytes())
+        for name, values in of.items():
+            out[name].append(values[at[there]].tobytes())
+    columns = [pa.array(held, pa.binary()) for held in out.values()]
+    return pa.Table.from_arrays([asked["unit"], *columns, asked["words"], asked["texts"], asked["heads"]], names=["unit", *_ANSWER, "words", "texts", "heads"])
+
+
+class Automaton:
+    """Part of the automaton that some texts can reach.
+
+    State 0 is the empty context; then come the words that are contexts, and the pairs. ``arcs`` has under
+    state * words + word the log-probability of the word and the state after it; ``first`` and ``after``
+    are the arcs of state 0; ``failure`` and ``weight`` are the failure arcs.
+    """
+
+    def __init__(self, words_: np.ndarray, unit: Unit, places: np.ndarray, known: dict[str, np.ndarray]):
+        order = np.argsort(known["codes"])
+        code, value, back = (known[name][order] for name in ("codes", "value", "back"))
+
+        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows of the wanted codes, and which of them there are."""
+            at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            return at, code[at] == wanted
+
+        at, _ = find(words_)
+        self.size = size = len(words_)
+        self.value, self.known = value[at], known["known"][order][at]
+        state = np.where(np.isnan(back[at]), 0, 1 + np.arange(size))
+        self.first, self.after = self.value.tolist(), state.tolist()
+        failure, weight = [np.zeros(size + 1, np.int64)], [np.concatenate([[0.0], np.nan_to_num(back[at])])]
+
+        begin = unit.starts(2)
+        pairs = np.unique(places[begin] * size + places[begin + 1])
+        head, tail = np.divmod(pairs, size)
+        at, there = find(codes(words_[head], words_[tail]))
+        pairs, head, tail, at = pairs[there], head[there], tail[there], at[there]
+        context = ~np.isnan(back[at])
+        of_pair = np.where(context, size + np.cumsum(context), state[tail])
+        failure.append(state[tail[context]])
+        weight.append(back[at[context]])
+        keys, values, targets = [(1 + head) * size + tail], [value[at]], [of_pair]
+
+        begin = unit.starts(3)
+        left, right = (np.searchsorted(pairs, places[begin + k] * size + places[begin + k + 1]) for k in (0, 1))
+        if len(pairs):
+            left, right = np.minimum(left, len(pairs) - 1), np.minimum(right, len(pairs) - 1)
+            both = (pairs[left] == places[begin] * size + places[begin + 1]) & context[left]
+            both &= pairs[right] == places[begin + 1] * size + places[begin + 2]
+            triples, one = np.unique(of_pair[left[both]] * size + places[begin[both] + 2], return_index=True)
+            begin, right = begin[both][one], right[both][one]
+            at, there = find(codes(*[words_[places[begin + k]] for k in range(3)]))
+            keys.append(triples[there])
+            values.append(value[at[there]])
+            targets.append(of_pair[right[there]])
+        out = zip(np.concatenate(values).tolist(), np.concatenate(targets).tolist(), strict=True)
+        self.arcs = dict(zip(np.concatenate(keys).tolist(), out, strict=True))
+        self.failure, self.weight = np.concatenate(failure).tolist(), np.concatenate(weight).tolist()
+
+    def walk(self, text: list[int]) -> float:
+        """Sum of the log-probabilities of a text: one traversal that carries a state."""
+        arcs, failure, weight, first, after, size = self.arcs, self.failure, self.weight, self.first, self.after, self.size
+        state, score = 0, 0.0
+        for word in text:
+            while state:
+                arc = arcs.get(state * size + word)
+                if arc is not None:
+                    score += arc[0]
+                    state = arc[1]
+                    break
+                score += weight[state]
+                state = failure[state]
+            else:
+                score += first[word]
+                state = after[word]
+        return score
+
+
+def _walked(answers: pa.Table) -> pa.Table:
+    """Of one unit: the texts' heads with known words, base score and score."""
+    own = next(i for i, x in enumerate(answers["texts"].to_pylist()) if x is not None)
+    heads = answers["heads"][own].values
+    words_ = np.frombuffer(answers["words"][own].as_py(), np.uint64)
+    places = np.frombuffer(answers["texts"][own].as_py(), np.uint32).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(heads.field(2).to_numpy())])
+    known = {name: np.concatenate([np.frombuffer(x or b"", kind) for x in answers[name].to_pylist()]) for name, kind in _ANSWER.items()}
+    automaton_ = Automaton(words_, Unit(words_[places], bounds), places, known)
+    # The end token closes each text, so none is empty.
+    base = _sums(automaton_.value[places], bounds[:-1])
+    n_known = _sums(automaton_.known[places].astype(np.int64), bounds[:-1])
+    scores = [automaton_.walk(places[lo:hi].tolist()) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    columns = [heads.field(i) for i in range(3)] + [pa.array(n_known), pa.array(base), pa.array(scores, pa.float64())]
+    return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def language_model_scores(df: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -420,31 +487,27 @@ def language_model_scores(df: DataFrame, settings: Settings = Settings(), key: s
         F.col(key).alias("doc_id"),
         F.coalesce(out_of, F.lit(False)).alias("held_out"),
     )
-    counts = staged(word_counts(docs, settings), "word-counts")
+    made: list[str] = []
+    counts = staged(word_counts(docs, settings), "word-counts", made)
     total, every, vocabulary, distinct = counts.agg(F.sum("c"), F.sum("n"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.lit(1))).first()
     total, every = total or 0, every or 0
     blocks = every // settings.block + 1
     of_words = distinct // settings.block + 1
     buckets = Buckets(blocks, of_words, max(1, blocks // WORD_BUCKETS // of_words))
-    runs = staged(learned_runs(docs, settings, blocks, max(LEAST, settings.run_share * total)), "runs")
-    table = buckets.of_table(*terms(counts, runs, total, every, vocabulary, settings))
+    runs = staged(learned_runs(docs, settings, blocks, max(LEAST, settings.run_share * total)), "runs", made)
+    table = automaton(counts, runs, total, every, vocabulary, settings, made)
+    # What only led to the table goes before texts are scored.
+    remove_scratch(df.sparkSession, made)
 
     head = F.struct("doc_id", "held_out", F.lit(0).cast("bigint").alias("n_tokens"))
     # A condition keeps Spark from declaring the lists as never null.
     heads = F.when(F.col("row") >= 0, F.array(F.when(F.col("row") >= 0, head)))
     binary = lambda names: [F.lit(None).cast("binary").alias(name) for name in names]
     asking = docs.select(F.lit(0).alias("bucket"), F.col("row").alias("unit"), *binary(_QUESTION), heads.alias("heads")).schema
-    answering = docs.select(F.col("row").alias("unit"), *binary(_ANSWER), heads.alias("heads")).schema
-    adding = docs.select("doc_id", "held_out", *[F.lit(0).cast(kind).alias(name) for name, kind in (("n_tokens", "bigint"), ("base", "double"), ("extra", "double"), ("known", "bigint"))]).schema
+    answering = docs.select(F.col("row").alias("unit"), *binary([*_ANSWER, "words", "texts"]), heads.alias("heads")).schema
+    numbers = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
+    scored = docs.select("doc_id", "held_out", *[F.lit(0).cast(kind).alias(name) for name, kind in numbers.items()]).schema
     asked = shipped(docs).mapInArrow(_questions(buckets, settings.unit_tokens // 4, to_arrow_type(asking["heads"].dataType)), asking)
-    answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answers, answering)
-    rows = answers.groupBy("unit").applyInArrow(_added, adding)
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        F.col("known").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"),
-        (F.col("base") + F.col("extra")).alias("score"),
-    )
+    answers = asked.groupBy("bucket").cogroup(buckets.of_table(*table).groupBy("bucket")).applyInArrow(_answers, answering)
+    rows = answers.groupBy("unit").applyInArrow(_walked, scored)
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

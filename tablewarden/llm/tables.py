@@ -17,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the shared scratch folder and read back: no lineage, and a size that Spark knows."""
+def staged(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
+    """The rows written once to the shared scratch folder and read back: no lineage, and a size that Spark knows.
+
+    The path is added to ``made``, for those who delete the copy before the application ends.
+    """
     path = scratch_path(df.sparkSession, label)
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
