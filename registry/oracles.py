@@ -608,6 +608,17 @@ def clamp(table: Audited, c: str) -> str:
     )
 
 
+CHANGED_VERSIONS = """
+SELECT position, "column", filled, modified, nullified, modified + nullified AS mutations, CAST(0 AS BIGINT) AS rows_dropped FROM (
+  SELECT 0 AS position, 'o_custkey' AS "column", CAST(0 AS BIGINT) AS filled, CAST(0 AS BIGINT) AS modified, CAST(0 AS BIGINT) AS nullified
+  UNION ALL SELECT 1, 'o_orderstatus', 0, 0, 0
+  UNION ALL SELECT 2, 'o_totalprice', 0, count(*) FILTER (WHERE o_orderkey % 1009 = 3),
+                   count(*) FILTER (WHERE o_orderkey % 2003 = 5 AND o_orderkey % 1009 <> 3) FROM orders
+  UNION ALL SELECT 3, 'o_orderdate', 0, 0, 0
+  UNION ALL SELECT 4, 'o_orderpriority', 0, count(*) FILTER (WHERE o_orderkey % 4001 = 7), 0 FROM orders) v
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         # Sources, sinks and preparation
@@ -710,6 +721,12 @@ def oracle_sql() -> dict[str, str]:
         "change_log": change_log(CUSTOMERS),
         "change_log_events": change_log(EVENTS),
         "change_log_joined": change_log(EVENTS),
+        "change_log_versions": CHANGED_VERSIONS,
+        "file_row_ids": "SELECT row_number() OVER () - 1 AS row_id, l_orderkey, l_linenumber FROM lineitem",
+        "distinct_estimates": with_base(
+            LINEITEM,
+            union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, TRUE AS near FROM base" for c, *_ in LINEITEM.columns]),
+        ),
         "clean_all_subset": clean_all(EVENTS, ["user_id", "event_type"]),
         "change_log_subset": change_log(EVENTS, ["user_id", "event_type"]),
         "duplicates_after_repair": "SELECT CAST(0 * count(*) AS BIGINT) AS duplicate_count FROM events",

@@ -184,6 +184,27 @@ def joined_log(df: DataFrame, row_id: str | None) -> DataFrame:
     return tw.change_log(df, tw.repair(df, row_id).cleaned, row_id)
 
 
+def versions_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of a table with a few changes in two columns."""
+    before = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = "CASE WHEN o_orderkey % 1009 = 3 THEN o_totalprice + 1 WHEN o_orderkey % 2003 = 5 THEN NULL ELSE o_totalprice END AS o_totalprice"
+    priority = "CASE WHEN o_orderkey % 4001 = 7 THEN concat(o_orderpriority, '!') ELSE o_orderpriority END AS o_orderpriority"
+    after = before.selectExpr("o_orderkey", "o_custkey", "o_orderstatus", price, "o_orderdate", priority)
+    return tw.change_log(before, after, "o_orderkey")
+
+
+def file_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, row_id = tw.read_parquet_with_row_id(spark, f"{sf_dir}/lineitem.parquet")
+    return df.select(F.col(row_id).alias("row_id"), "l_orderkey", "l_linenumber")
+
+
+def estimates_near_counts(df: DataFrame, row_id: str | None) -> DataFrame:
+    """Exact counts, and whether estimates lie within four standard errors of them."""
+    found = tw.distinct_estimates(tw.distinct_sketches(df, row_id)).join(tw.distinct_counts(df, row_id).select("position", "unique_count"), "position")
+    near = F.abs(F.col("unique_estimate") - F.col("unique_count")) <= 1 + 4 * F.col("standard_error") * F.col("unique_count")
+    return found.select("column", "unique_count", near.alias("near"))
+
+
 def queries() -> dict[str, Query]:
     return {
         # Sources, sinks and preparation
@@ -311,6 +332,9 @@ def queries() -> dict[str, Query]:
         "change_log": over(CUSTOMERS, lambda df, rid: tw.repair(df, rid).change_log),
         "change_log_events": over(EVENTS, lambda df, rid: tw.repair(df, rid).change_log),
         "change_log_joined": over(EVENTS, joined_log),
+        "change_log_versions": versions_log,
+        "file_row_ids": file_row_ids,
+        "distinct_estimates": over(LINEITEM, estimates_near_counts),
         "fill_median": over(EVENTS, fixed("value")),
         "fill_large_integers": over(KEYS, fixed("big_key")),
         "fill_decimal": over(KEYS, lambda df, rid: fixed("price")(df, rid).withColumn("price", F.col("price").cast("decimal(18,3)"))),

@@ -4,6 +4,7 @@ from .operators.anomalies import anomalies
 from .operators.changes import change_log
 from .operators.distribution import histogram, histogram_bands, outlier_bands
 from .operators.duplicates import drop_duplicates, duplicate_count, duplicate_flags, duplicate_rows
+from .operators.estimates import distinct_estimates, distinct_sketches, merged_sketches
 from .operators.frequency import distinct_counts, top_values
 from .operators.missing import missing_blocks, missing_matrix
 from .operators.outliers import outlier_counts, outlier_rows
@@ -16,7 +17,7 @@ from .operators.scoring import column_scores, dataset_score, score_bands, with_g
 from .plans.audit import Audit, audit, enriched_profile
 from .plans.repair import Repair, repair
 from .settings import DEFAULTS, Grades, Settings, Weights
-from .sources import read_csv, read_parquet, remove_scratch, staged_parquet, write_csv
+from .sources import read_csv, read_parquet, read_parquet_with_row_id, remove_scratch, staged_parquet, write_csv
 
 __all__ = [
     "DEFAULTS",
@@ -36,6 +37,8 @@ __all__ = [
     "dataset_score",
     "dataset_summary",
     "distinct_counts",
+    "distinct_estimates",
+    "distinct_sketches",
     "drop_duplicates",
     "duplicate_count",
     "duplicate_flags",
@@ -46,6 +49,7 @@ __all__ = [
     "iqr_fences",
     "issues",
     "medians",
+    "merged_sketches",
     "missing_blocks",
     "missing_matrix",
     "normalise_nulls",
@@ -60,6 +64,7 @@ __all__ = [
     "remove_scratch",
     "staged_parquet",
     "read_parquet",
+    "read_parquet_with_row_id",
     "repair",
     "row_index",
     "score_bands",
