@@ -1,8 +1,10 @@
 """Text rules against DuckDB and Python, and CSV files."""
 
+import itertools
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -15,14 +17,15 @@ from tests.conftest import rows
 NUMBERS = [
     "1", "-1", "+1", "1.", ".5", "-.5", "1.5e3", "1E-2", "1e", "e5", ".", "", " ", " 12 ", "\t12\n", "1_000", "1__0",
     "_1", "1_", "1d", "1f", "0x10", "inf", "-Infinity", "nan", "NaN", "infinit", "1,000", "12 3", "--1", "$5", "abc",
-    "N", "i", "1.2.3", "1e5.5", "00012", "9" * 400, "1" * 20000, "1_1" * 3000, "Ⅷ", "١٢",
+    "N", "i", "1.2.3", "+-1", "-+1", "++1", "+-inf", " +-.5e-3 ", "+-", "+- 1", "1e5.5", "00012", "9" * 400, "1" * 20000, "1_1" * 3000, "Ⅷ", "١٢",
 ]
 DATES = [
     "2023-01-15", "2023/06/12", "15/02/2023", "NOT_A_DATE", "2023-1-5", "2023 1 5", "2023\\1\\5", "2023-02-29",
     "2024-02-29", "2023-13-01", "2023-00-10", "2023-01-32", "2023-01/15", "20230115", "2023-01", "2023", "10:00:00",
     "2023-01-15 10:20", "2023-01-15 10:20:30", "2023-01-15T10:20:30.123", "2023-01-15 10:20:30Z",
     "2023-01-15 10:20:30+02", "2023-01-15 10:20:30 UTC", "2023-01-15 25:00:00", "2023-01-15 abc", " 2023-01-15 ",
-    "epoch", "infinity", "-infinity", "EPOCH", "44-03-15", "0044-03-15", "12345-01-01", "", "x", "1-1-1",
+    "epoch", "infinity", "-infinity", "EPOCH", "44-03-15", "2024-02-29 (BC)", "2025-02-29 (BC)", "2024-01-01(BC)",
+    "2024-01-01 (bc)", "0000-01-01 (BC)", "-2024-01-01 (BC)", "2101-02-29 (BC)", "2001-02-29 (bC)", "-0004-02-29", "0044-03-15", "12345-01-01", "", "x", "1-1-1",
 ]
 
 
@@ -40,6 +43,35 @@ def test_readable_texts(spark, texts, rule, sql):
     assert [t for i, t in enumerate(texts) if got[i] != want[i]] == []
 
 
+def enumerated(parts, most):
+    return ["".join(x) for n in range(1, most + 1) for x in itertools.product(parts, repeat=n)]
+
+
+@pytest.mark.parametrize(
+    ("texts", "rule", "sql"),
+    [
+        (enumerated("+-.1e _", 6) + enumerated(["+", "-", " ", "inf", "infinity", "nan", "1", "\t"], 4), reads_as_number, "TRY_CAST(t AS DOUBLE) IS NOT NULL"),
+        (
+            [
+                f"2023-01-05{begin}{end}"
+                for begin in ("", " 10:00:00", " 24", " 24:00", " 10:00", " 10:00:00.1", " 10:00:00+10", " 10:00:00+10:00", "T10:0", "  ", " (BC)")
+                for end in ["", *enumerated([" ", "T", "10", "1", "24", "00", "0", ":", ".", "Z", "+", "-", " (BC)", "UTC"], 3)]
+            ],
+            reads_as_date,
+            "TRY_CAST(t AS DATE) IS NOT NULL OR TRY_CAST(t AS TIMESTAMP) IS NOT NULL",
+        ),
+    ],
+    ids=["numbers", "dates"],
+)
+def test_every_text_of_a_small_alphabet(spark, texts, rule, sql):
+    listed = pa.table({"t": texts})
+    want = duckdb.execute(f"SELECT {sql} AS r FROM listed").fetchnumpy()["r"]
+    got = spark.createDataFrame(listed).select("t", F.expr(rule("t"))).collect()
+    judged = dict(zip(texts, want, strict=True))
+    assert [t for t, r in got if bool(r) != bool(judged[t])] == []
+    assert 100 < sum(map(bool, judged.values())) < len(judged)
+
+
 def test_addresses(spark):
     good = ["a@b.co", "first.last+tag@sub.example.org", "A_%-1@x-y.museum"]
     bad = ["bad@", "a@b", "a b@c.de", "@b.co", "a@b.c", "a@b.co\n", "ä@b.co", "a@b.co ", "a@@b.co", ""]
