@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove_scratch
 from .components import components
 from .tables import shipped, staged
 from .texts import mixed, shingles, slices, words
@@ -200,15 +201,18 @@ def estimate(left: Column, right: Column, near: Near) -> Column:
 class _Search:
     """The steps for one table of classes."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, near: Near):
-        self.docs, self.classes, self.near = docs, classes, near
+    def __init__(self, docs: DataFrame, classes: DataFrame, near: Near, made: list[str]):
+        self.docs, self.classes, self.near, self.made = docs, classes, near, made
         self.sets = None
 
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        return staged(df, label, self.made)
+
     def buckets(self) -> DataFrame:
         """``bucket``, ``node``: bands that two classes or more agree in."""
         banded = self.classes.select("node", F.explode("bands").alias("bucket"))
         shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-        return staged(banded.join(shared, "bucket").select("bucket", "node"), "buckets")
+        return self.staged(banded.join(shared, "bucket").select("bucket", "node"), "buckets")
 
     def drawn(self, buckets: DataFrame, labels: DataFrame | None, draw: int) -> DataFrame:
         """Pairs of a member and the one drawn from its bucket, across components."""
@@ -230,12 +234,12 @@ class _Search:
             F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main")
         )
         whole = whole.where("parts > 1").select("bucket", "size", F.col("main.n").alias("main_size"), F.col("main.component").alias("main"))
-        open_ = staged(self.labelled(buckets, labels).join(whole, "bucket"), "members")
+        open_ = self.staged(self.labelled(buckets, labels).join(whole, "bucket"), "members")
         large = open_.where(F.col("size") > self.near.small_bucket)
-        pairs = staged(self.close(self.across(open_.where(F.col("size") <= self.near.small_bucket))), "pairs")
+        pairs = self.staged(self.close(self.across(open_.where(F.col("size") <= self.near.small_bucket))), "pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
         sets = self.shingle_sets(nodes)
-        return staged(self.similar(pairs, sets).union(self.in_blocks(large, sets)).distinct(), "confirmed")
+        return self.staged(self.similar(pairs, sets).union(self.in_blocks(large, sets)).distinct(), "confirmed")
 
     def in_blocks(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """Links that join components of large buckets: members outside the main component against all, block by block."""
@@ -275,19 +279,19 @@ class _Search:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Pairs that are similar on the full sets of their texts."""
-        pairs = staged(pairs, "pairs")
+        pairs = self.staged(pairs, "pairs")
         sets = self.shingle_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        return staged(self.similar(pairs, sets).distinct(), "confirmed")
+        return self.staged(self.similar(pairs, sets).distinct(), "confirmed")
 
     def shingle_sets(self, nodes: DataFrame) -> DataFrame:
         """``node`` and ``shingles`` of some classes, from one more pass over the texts."""
-        wanted = staged(nodes.join(self.classes, "node").select("node", "doc_id", "words_id"), "wanted")
+        wanted = self.staged(nodes.join(self.classes, "node").select("node", "doc_id", "words_id"), "wanted")
         # Sorted at every size of the corpus, as the wanted ids have no bound that would allow a broadcast.
         ids = wanted.select(F.col("doc_id").alias("id_")).hint("merge")
         texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
         sets = shipped(texts.select("text")).mapInArrow(_sets(self.near), "words_id binary, shingles array<bigint>")
         sets = sets.join(wanted.select("node", "words_id"), "words_id").select("node", "shingles")
-        return staged(sets, "sets")
+        return self.staged(sets, "sets")
 
     def similar(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
@@ -296,13 +300,19 @@ class _Search:
         return both.where(100 * shared >= self.near.similarity * all_).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (the row has the smallest id of its component)."""
+def near_duplicates(
+    df: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text", made: list[str] | None = None
+) -> DataFrame:
+    """Per row ``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` (the row has the smallest id of its component).
+
+    Paths of the tables that the rows are read from are added to ``made``; those of steps before are deleted.
+    """
     docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(signatures(docs, near), "signatures")
+    rows = staged(signatures(docs, near), "signatures", made)
     classes = rows.where("n_shingles > 0").dropDuplicates(["words_id"]).select("doc_id", "words_id", "signature", "bands")
-    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    search = _Search(docs, classes, near)
+    steps: list[str] = []
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", steps)
+    search = _Search(docs, classes, near, steps)
     buckets = search.buckets()
     links, labels = None, None
     for draw in range(near.draws + 1):
@@ -311,10 +321,11 @@ def near_duplicates(df: DataFrame, near: Near = Near(), key: str = "doc_id", tex
         else:
             found = search.crossing(buckets, labels)
         links = found if links is None else links.union(found)
-        labels = components(links)
+        labels = components(links, steps)
     named = rows.where("n_shingles > 0").groupBy("words_id").agg(F.min("doc_id").alias("least_id"))
     placed = named.join(classes.select("words_id", "node"), "words_id").join(labels, "node", "left")
-    placed = staged(placed.select("words_id", "least_id", F.coalesce("component", "node").alias("component")), "placed")
+    placed = staged(placed.select("words_id", "least_id", F.coalesce("component", "node").alias("component")), "placed", made)
+    remove_scratch(df.sparkSession, steps)
     groups = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = placed.join(groups, "component").select("words_id", "component_id")
     out = rows.join(of_class, "words_id", "left")

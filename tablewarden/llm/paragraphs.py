@@ -9,9 +9,10 @@ first paragraph of a component stays, by document id and place.
 Passages. Every window of fifty words that stands in two documents is found, wherever lines end. Of each
 26 neighbouring runs of 25 words, those of one such window, the smallest hash is its mark: equal windows
 have equal marks. Rows with the same text are one class, of which one row is worked. Classes with a mark
-that another document has send their windows with such marks, equal windows in several documents are put
-together to spans, and every row of a class gets its spans. In the first document with a window it stays,
-by document id and place. Spans that a reported paragraph covers are left out.
+that another class has send their windows with such marks, classes of several documents all windows; equal
+windows in several documents are put together to spans, and every row of a class gets its spans. In the
+first document with a window it stays, by document id and place. Spans that a reported paragraph covers are
+left out. What a step no longer needs is deleted, its shuffle files too.
 
 What is listed for a class (its marks) is never more than its text holds. Joins on a hash that very many
 texts share are split by Spark's adaptive skew join.
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import remove_scratch
 from .near_duplicates import Near, near_duplicates
 from .tables import shipped, staged
 from .texts import mixed, slices, words
@@ -40,6 +42,8 @@ LEAST_WORDS = 40
 #: Words of a passage and of the runs that mark it; so many runs neighbour each other in a passage.
 PASSAGE, RUN = 50, 25
 RUNS = PASSAGE - RUN + 1
+#: A line's number has fewer bits than these; with the rank of a document before them it is one number.
+LINE_BITS = 31
 PARAGRAPH_NEAR = Near(bands=16, rows=3, margin=0.3)
 
 
@@ -119,67 +123,97 @@ _PLACE = ("hash", "word", "line", "start", "end")
 
 
 def marked_windows(texts: DataFrame) -> DataFrame:
-    """Windows whose mark is wanted: ``class``, ``hash``, and ``word``, ``line``, ``start``, ``end`` (in code points). ``texts``: (class, wanted, text)."""
+    """Windows with a wanted mark, all where ``wanted`` is null: the columns before ``wanted``, ``hash``, and ``word``, ``line``, ``start``, ``end`` (in code points).
+
+    ``texts``: (node, ..., wanted, text); rows of a node have the same text.
+    """
+    kept = texts.columns[:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in map(_once, batches):
-            wanted = batch.column(1)
-            for part in slices(batch.column(2)):
+            wanted, text_column = batch.column(len(kept)), batch.column(len(kept) + 1)
+            for part in slices(text_column):
                 found = words(part)
                 marks, hashes = _marks(found.hashes), _windows(found.hashes, PASSAGE, _hashed)
                 texts_of, places = [], []
                 for i in range(part.last - part.first):
                     lo, hi = found.bounds[i], max(found.bounds[i], found.bounds[i + 1] - PASSAGE + 1)
-                    own = wanted[part.first + i].values.to_numpy().view(np.uint64)
-                    places.append(lo + np.flatnonzero(np.isin(marks[lo:hi], own)))
+                    own = wanted[part.first + i].values
+                    places.append(np.arange(lo, hi) if own is None else lo + np.flatnonzero(np.isin(marks[lo:hi], own.to_numpy().view(np.uint64))))
                     texts_of.append(np.full(len(places[-1]), i))
                 text, at = np.concatenate(texts_of).astype(np.int64), np.concatenate(places).astype(np.int64)
                 points = np.concatenate([[0], np.cumsum((part.data & 0xC0) != 0x80, dtype=np.int32)])
                 breaks = np.concatenate([[0], np.cumsum(part.data == ord("\n"), dtype=np.int32)])
                 begin, first = part.offsets[text], found.starts[at]
                 last = found.ends[at + PASSAGE - 1] if len(at) else at
-                longs = [hashes[at].view(np.int64), at - found.bounds[text], breaks[first] - breaks[begin], points[first] - points[begin], points[last] - points[begin]]
-                ids = batch.column(0).take(pa.array(part.first + text))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x.astype(np.int64)) for x in longs]], names=["class", *_PLACE])
+                ints = [at - found.bounds[text], breaks[first] - breaks[begin], points[first] - points[begin], points[last] - points[begin]]
+                of = [batch.column(i).take(pa.array(part.first + text)) for i in range(len(kept))]
+                own = [pa.array(hashes[at].view(np.int64)), *[pa.array(x.astype(np.int32)) for x in ints]]
+                yield pa.RecordBatch.from_arrays([*of, *own], names=[*kept, *_PLACE])
+
+    numbers = [F.lit(0).cast("bigint" if name == "hash" else "int").alias(name) for name in _PLACE]
+    return shipped(texts).mapInArrow(run, texts.select(*kept, *numbers).schema)
 
-    return shipped(texts).mapInArrow(run, texts.select("class", *[F.lit(0).cast("bigint").alias(name) for name in _PLACE]).schema)
+
+def _ranked(ids: DataFrame, made: list[str]) -> DataFrame:
+    """The rows with their ``rank``, 0, 1, ... by the first column; only counts of partitions pass the driver."""
+    held = staged(ids.orderBy(ids.columns[0]).withColumn("at", F.monotonically_increasing_id()), "ordered", made)
+    part = F.shiftright("at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in held.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    offsets = held.sparkSession.createDataFrame([(p, first) for (p, _), first in zip(sizes, before[:-1], strict=True)], "part bigint, before bigint")
+    return held.join(F.broadcast(offsets), part == F.col("part")).select(*ids.columns, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
 
 
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans whose windows stand in several documents; columns as of ``repeated_paragraphs``."""
+    spark, made = df.sparkSession, []
     docs = df.select(F.unhex(F.md5(F.col(text).cast("binary"))).alias("class"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     docs = docs.where(F.length("text") >= 2 * PASSAGE - 1)
     members = staged(docs.select("class", "doc_id"), "text-members")
     of = F.struct("doc_id")
-    classes = staged(members.groupBy("class").agg(F.min(of).alias("least"), F.max(of).alias("most")), "text-classes")
-    marks = staged(text_marks(docs.select("class", "text")), "marks")
-    held = marks.join(classes, "class").groupBy("mark").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    shared = staged(held.where("NOT least <=> most").select("mark"), "shared-marks")
-    wanted = marks.join(shared, "mark").groupBy("class").agg(F.collect_set("mark").alias("wanted"))
-    wanted = staged(wanted.join(classes, "class").select("class", "least", "most", "wanted"), "wanted-marks")
-    own = wanted.select(F.col("class").alias("of"), F.col("least.doc_id").alias("of_doc_id"), "wanted")
+    classes = staged(members.groupBy("class").agg(F.min(of).alias("least"), F.max(of).alias("most")), "text-classes", made)
+    ids = staged(_ranked(classes.select(F.col("least.doc_id").alias("first_doc_id")).distinct(), made), "first-ids")
+    # ``rank`` stands for the class's first document, ``several`` says that it has more than one.
+    classes = classes.join(ids, F.col("least.doc_id").eqNullSafe(F.col("first_doc_id"))).select(
+        "class", F.monotonically_increasing_id().alias("node"), "rank", (~F.col("least").eqNullSafe(F.col("most"))).alias("several"), "first_doc_id"
+    )
+    classes = staged(classes, "numbered-classes")
+    short = F.xxhash64("class")
+    marks = staged(text_marks(docs.select(short.alias("class"), "text")), "marks", made)
+    shared = marks.groupBy("mark").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least != most").select("mark")
+    wanted = marks.join(staged(shared, "shared-marks", made), "mark").groupBy("class").agg(F.collect_set("mark").alias("wanted"))
+    # All windows of a text that several documents have are repeated.
+    own = classes.join(wanted.withColumnRenamed("class", "short"), short == F.col("short"), "left").where("several OR wanted IS NOT NULL")
+    own = own.select(F.col("class").alias("of"), "first_doc_id", "node", "rank", "several", F.when(~F.col("several"), F.col("wanted")).alias("wanted"))
+    before, made = made, []
+    own = staged(own, "wanted-marks", made)
+    remove_scratch(spark, before)
     # By id and class: copies of one text meet nowhere.
-    worked = docs.join(own, (F.col("class") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_doc_id")))
-    windows = marked_windows(worked.select("class", "wanted", "text"))
-    windows = staged(windows.join(wanted.select("class", "least", "most"), "class"), "windows")
-    firsts = windows.groupBy("hash").agg(F.min(F.struct("least", "word", "class", "line")).alias("first"), F.max("most").alias("most"))
-    firsts = staged(firsts.where("NOT first.least <=> most").select("hash", "first"), "first-windows")
-    found = windows.drop("least", "most").join(firsts, "hash").withColumn("first_doc_id", F.col("first.least.doc_id"))
+    worked = docs.join(own, (F.col("class") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
+    windows = staged(marked_windows(worked.select("node", "rank", "several", "wanted", "text")), "windows", made)
+    # ``at`` is the first document with a window and the first line that it has there; both are numbers, so that no rows are sorted.
+    at = F.shiftleft("rank", LINE_BITS) + F.col("line")
+    firsts = windows.groupBy("hash").agg(F.min(at).alias("at"), F.max("rank").alias("last"), F.max("several").alias("several"))
+    firsts = firsts.where(F.col("several") | (F.shiftright("at", LINE_BITS) != F.col("last"))).select("hash", "at")
+    found = windows.select("node", *_PLACE).join(staged(firsts, "first-windows", made), "hash")
     # A class that was worked twice has each window twice; these go on as well.
-    in_text = Window.partitionBy("class").orderBy("word")
-    goes_on = (F.lag("word").over(in_text) >= F.col("word") - 1) & F.lag("first_doc_id").over(in_text).eqNullSafe(F.col("first_doc_id"))
+    in_text = Window.partitionBy("node").orderBy("word")
+    first = F.shiftright("at", LINE_BITS)
+    goes_on = (F.lag("word").over(in_text) >= F.col("word") - 1) & (F.lag(first).over(in_text) == first)
     found = found.withColumn("new", F.when(goes_on, 0).otherwise(1))
-    spans = found.withColumn("span", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("class", "span").agg(
-        F.min(F.struct("word", "line", "start", "first_doc_id", F.col("first.line").alias("first_line"))).alias("at"), F.max("end").alias("end")
+    spans = found.withColumn("span", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("node", "span").agg(
+        F.min(F.struct("word", "line", "start", "at")).alias("first"), F.max("end").alias("end")
     )
+    spans = staged(spans.select("node", "first.line", "first.start", "end", "first.at"), "spans")
+    remove_scratch(spark, made)
+    spans = spans.withColumn("rank", first).join(ids, "rank").join(classes.select("node", "class"), "node")
     return members.join(spans, "class").select(
         "doc_id",
-        "at.line",
-        "at.start",
-        "end",
-        "at.first_doc_id",
-        "at.first_line",
-        (~F.col("doc_id").eqNullSafe(F.col("at.first_doc_id"))).alias("removed"),
+        *[F.col(name).cast("bigint").alias(name) for name in ("line", "start", "end")],
+        "first_doc_id",
+        F.col("at").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).alias("first_line"),
+        (~F.col("doc_id").eqNullSafe(F.col("first_doc_id"))).alias("removed"),
     )
 
 
@@ -187,7 +221,8 @@ def repeated_paragraphs(
     df: DataFrame, near: Near = PARAGRAPH_NEAR, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS
 ) -> DataFrame:
     """Paragraphs and passages that stand in several documents: ``doc_id``, ``line``, ``start``, ``end``, ``first_doc_id``, ``first_line``, ``removed``."""
-    found = near_duplicates(paragraphs(df, key, text, least_words), near, "id")
+    made: list[str] = []
+    found = near_duplicates(paragraphs(df, key, text, least_words), near, "id", made=made)
     groups = found.groupBy("component_id").agg(
         F.min("doc_id.doc_id").alias("least"), F.max("doc_id.doc_id").alias("most"), F.count(F.lit(1)).alias("n"),
         F.max(F.col("doc_id.doc_id").isNull().cast("int")).alias("null_id"),
@@ -205,6 +240,7 @@ def repeated_paragraphs(
         ),
         "similar-paragraphs",
     )
+    remove_scratch(df.sparkSession, made)
     one, all_ = repeated_passages(df, key, text).alias("s"), similar.alias("p")
     covered = F.expr("s.doc_id <=> p.doc_id AND p.start <= s.start AND s.end <= p.end AND (p.removed OR NOT s.removed)")
     return similar.unionByName(one.join(all_, covered, "left_anti"))

@@ -17,16 +17,27 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+#: With this setting Spark deletes the shuffle files of a query when it ends; else they stay until the driver collects garbage.
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str, made: list[str] | None = None) -> DataFrame:
     """The rows written once to the shared scratch folder and read back: no lineage, and a size that Spark knows.
 
-    The path is added to ``made``, for those who delete the copy before the application ends.
+    The path is added to ``made``, for those who delete the copy before the application ends. The shuffle
+    files behind the rows go as soon as these are written.
     """
-    path = scratch_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FILE_CLEANUP, "false")
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -2,9 +2,14 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tablewarden.llm.paragraphs import repeated_paragraphs
+from tablewarden.llm.tables import staged
+from tablewarden.sources.scratch import scratch_copies
 
 from .hard import empty_frame, hard_frame
 
@@ -121,3 +126,33 @@ def test_hard_empty_and_clashing_rows(spark):
         df = df.selectExpr("*", f"'clash' AS {name}") if name not in df.columns else df
     assert sorted(map(tuple, repeated_paragraphs(df).collect()), key=repr) == plain
     assert repeated_paragraphs(empty_frame(spark)).count() == 0
+
+
+def test_what_is_not_needed_any_more_is_deleted(spark):
+    def shuffled():
+        return set(re.findall(r"shuffle_\d+_\d+_\d+\.data", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    before = shuffled()
+    counted = staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counted")
+    until = time.time() + 20
+    while (left := shuffled() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert counted.count() == 7
+
+    copies = set(scratch_copies(spark))
+    passage = " ".join(sentence(60, 60))
+    rows = repeated_paragraphs(spark.createDataFrame([(1, passage), (2, "more " + passage), (3, "x")], SCHEMA))
+    held = {re.sub(r"-[0-9a-f]{32}$", "", path.rsplit("/", 1)[1]) for path in set(scratch_copies(spark)) - copies}
+    assert held == {"similar-paragraphs", "text-members", "first-ids", "numbered-classes", "spans"}
+    assert {r["doc_id"] for r in rows.collect() if r["removed"]} == {2}
+
+
+def test_first_line_of_an_id_with_two_texts(spark):
+    passage = " ".join(sentence(61, 55))
+    # Both texts of document 1 hold the passage; document 2 has it too, and a null id comes first.
+    docs = [(1, "a\nb\n" + passage), (1, " ".join(sentence(62, 20)) + "\n" + passage), (2, " ".join(sentence(63, 9)) + " " + passage)]
+    rows, _ = check(spark, docs)
+    assert {(r["doc_id"], r["first_doc_id"]) for r in rows} == {(1, 1), (2, 1)}
+    rows, _ = check(spark, [*docs, (None, "z " + passage)])
+    assert {r["first_doc_id"] for r in rows if r["removed"]} == {None}
