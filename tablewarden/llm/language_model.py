@@ -3,20 +3,24 @@
 Learning. Words and all runs of two and three words are counted over all training texts. A run is learned
 if it occurs ``LEAST`` times, the same number for every corpus. Runs travel as numpy buffers: each unit
 of texts sends to every bucket of contexts one message with its distinct runs and their counts, and a
-bucket adds them up. The number of buckets follows the tokens, so that a bucket has a fixed size.
+bucket adds them up. The number of buckets follows the tokens, so that a bucket has a fixed size. A run of
+three words belongs to the bucket of its first two. The buckets are filled in a few passes over the texts,
+each for a range of them, as the messages of all would take several times the disk of the texts.
 
 Model. P(w) = (c + 0.1) / (N + 0.1 (V + 1)); longer runs are discounted by a constant, and the mass left
 in a context goes to the shorter one. Contexts are states, runs are arcs with log-probabilities, and each
 state has a failure arc with its backoff weight to its longest shorter context. The table of the automaton
-has a row per word and learned run, keyed by ``code``: ``value``, the log-probability of its arc, and
-``back``, the weight of the failure arc of the state it names (null where nothing follows it).
+holds words and learned runs, keyed by ``code``: ``value``, the log-probability of an arc, and
+``back``, the weight of the failure arc of the state it names (NaN where nothing follows it). It has a row
+of numpy buffers per bucket. A bucket asks others only for what it lacks: the counts of its words, and the
+probabilities of the last two words of its runs of three.
 
 Scoring. A unit of texts asks the buckets of the table for the distinct codes that it holds. The answers
 and the unit's words meet again, and the unit builds the part of the automaton that its texts can reach:
 the states, the arcs out of each and the failure arcs. Every text is then traversed once from left to
 right. The walk carries one state; it takes the arc of the next word where the state has one, and follows
 failure arcs, adding their weights, until a state has one. The empty context has an arc for each word.
-Only counts pass the driver.
+Only counts pass the driver. Rows are scored in passes too, each over a part of them whose scores are written.
 
 The words' part of the table is sent to several buckets, each for its own units, as a common word stands in
 nearly all texts. A unit's own words travel by themselves, to buckets that hold about one unit each.
@@ -30,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +52,9 @@ END = np.uint64(0x5A17E3C94D2B8F61)
 LEAST = 2
 #: Buckets of the words' table per bucket of runs.
 WORD_BUCKETS = 16
+#: Passes that count runs and passes that score rows, at most; a pass has ``PASS_BUCKETS`` buckets of runs at least.
+COUNT_PASSES, SCORE_PASSES = 3, 8
+PASS_BUCKETS = 4
 
 
 @dataclass(frozen=True)
@@ -69,6 +77,11 @@ def held_out(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds == 0
 
 
+def part_of(key: Column, text: Column, parts: int) -> Column:
+    """The pass that scores a row, from 0; the same in every reading of the rows."""
+    return F.pmod(F.xxhash64(key.cast("string"), text), F.lit(parts))
+
+
 @dataclass
 class Unit:
     """Word hashes of some texts, each closed by the end token; and where the texts begin."""
@@ -125,6 +138,21 @@ def _changes(*sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted values among the sorted ones, and which of them there are."""
+    if not len(sorted_):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_, wanted), len(sorted_) - 1)
+    return at, sorted_[at] == wanted
+
+
+def _dealt(codes_: np.ndarray, of: int) -> Iterator[tuple[int, bytes]]:
+    """Buckets of sorted codes, and the codes of each."""
+    cut = np.searchsorted(_bucket(codes_, of), np.arange(of + 1))
+    for k in np.flatnonzero(np.diff(cut)):
+        yield int(k), codes_[cut[k] : cut[k + 1]].tobytes()
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
@@ -174,23 +202,30 @@ def _training_units(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[
 _MESSAGE = {"a": np.uint64, "b": np.uint64, "n": np.uint32, "head": np.uint32, "last": np.uint64, "m": np.uint32}
 
 
-def _messages(buckets: int, tokens: int):
-    """Per unit and bucket: distinct pairs (``a``, ``b``, count ``n``), and triples as their pair's place, ``last`` word, count ``m``."""
+def _messages(buckets: int, low: int, high: int, tokens: int):
+    """Per unit and bucket from ``low`` to below ``high``: distinct pairs (``a``, ``b``, count ``n``), and triples as their pair's place, ``last`` word, count ``m``."""
 
     def of(unit: Unit) -> pa.RecordBatch | None:
         at = unit.starts(2)
+        code = codes(unit.sequence[at], unit.sequence[at + 1])
+        if high - low < buckets:
+            bucket = _bucket(code, buckets)
+            own = (bucket >= low) & (bucket < high)
+            at, code = at[own], code[own]
         if not len(at):
             return None
-        code = codes(unit.sequence[at], unit.sequence[at + 1])
         order = np.argsort(code)
         first = _changes(code[order])
         place = np.empty(len(at), dtype=np.uint32)
         place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(at)))
         begin = at[order[first]]
         held = {"a": unit.sequence[begin], "b": unit.sequence[begin + 1], "n": np.diff(first, append=len(at))}
-        cut = np.searchsorted(_bucket(code[order[first]], buckets), np.arange(buckets + 1))
-        of_three = np.searchsorted(at, unit.starts(3))
-        head, last = place[of_three], unit.sequence[at[of_three] + 2]
+        cut = np.searchsorted(_bucket(code[order[first]], buckets), np.arange(low, high + 1))
+        inside = np.zeros(len(unit.sequence), dtype=bool)
+        inside[at] = True
+        three = unit.starts(3)
+        three = three[inside[three]]
+        head, last = place[np.searchsorted(at, three)], unit.sequence[three + 2]
         order = np.lexsort((last, head))
         head, last = head[order], last[order]
         first = _changes(head, last)
@@ -203,7 +238,7 @@ def _messages(buckets: int, tokens: int):
             # Places of pairs count from the first pair of the message.
             parts = [held[name][edges[k] : edges[k + 1]] - (cut[k] if name == "head" else 0) for k in filled]
             columns.append(pa.array([x.astype(kind).tobytes() for x in parts], pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), *columns], names=["bucket", *_MESSAGE])
+        return pa.RecordBatch.from_arrays([pa.array((low + filled).astype(np.int32)), *columns], names=["bucket", *_MESSAGE])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _training_units(batches, tokens):
@@ -214,12 +249,29 @@ def _messages(buckets: int, tokens: int):
 
 
 def _buffers(table: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in table[name].to_pylist()]
+    return [np.frombuffer(x or b"", kind) for x in table[name].to_pylist()]
 
 
-def _merged(least: float):
-    """Learned runs of a bucket: of pairs ``head`` and ``tail`` are words, of triples their two pairs; ``of`` counts the first pair."""
+def _all(table: pa.Table, kinds: dict) -> dict[str, np.ndarray]:
+    """Each column's buffers, one after the other."""
+    return {name: np.concatenate([np.zeros(0, kind), *_buffers(table, name, kind)]) for name, kind in kinds.items()}
+
+
+def _row(bucket: int, kinds: dict, held: dict[str, np.ndarray]) -> pa.Table:
+    """One row of the bucket's buffers."""
+    columns = {name: pa.array([held[name].astype(kind).tobytes()], pa.binary()) for name, kind in kinds.items()}
+    return pa.table({"bucket": pa.array([bucket], pa.int32())} | columns)
 
+
+def _columns(kinds: dict, *before: str) -> str:
+    return ", ".join([*(f"{name} int" for name in (*before, "bucket")), *(f"{name} binary" for name in kinds)])
+
+
+#: Learned runs of a bucket: pairs in the order of their codes, and triples, by pair, as the pair's place and ``last`` word; with their counts.
+_RUNS = {"a": np.uint64, "b": np.uint64, "c": np.int64, "head": np.uint32, "last": np.uint64, "m": np.int64}
+
+
+def _merged(least: float):
     def run(table: pa.Table) -> pa.Table:
         held = {name: _buffers(table, name, kind) for name, kind in _MESSAGE.items()}
         before = np.cumsum([0, *(len(x) for x in held["a"])])
@@ -230,65 +282,219 @@ def _merged(least: float):
         first = _changes(code[order])
         place = np.empty(len(code), dtype=np.int64)
         place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(code)))
-        a, b, code, pairs = a[order[first]], b[order[first]], code[order[first]], _sums(n[order].astype(np.int64), first)
+        a, b, pairs = a[order[first]], b[order[first]], _sums(n[order].astype(np.int64), first)
         head = place[head]
         order = np.lexsort((last, head))
         head, last = head[order], last[order]
         first = _changes(head, last)
         triples = _sums(m[order].astype(np.int64), first)
         head, last = head[first], last[first]
+        # The first two words of a learned triple are a learned pair.
         two, three = pairs >= least, triples >= least
-        head, last = head[three], last[three]
-        columns = {
-            "size": np.repeat(np.array([2, 3], np.int32), [two.sum(), three.sum()]),
-            "code": np.concatenate([code[two], codes(a[head], b[head], last)]).view(np.int64),
-            "head": np.concatenate([a[two], code[head]]).view(np.int64),
-            "tail": np.concatenate([b[two], codes(b[head], last)]).view(np.int64),
-            "c": np.concatenate([pairs[two], triples[three]]),
-            "of": np.concatenate([np.zeros(two.sum(), np.int64), pairs[head]]),
-        }
-        return pa.table(columns)
+        out = {"a": a[two], "b": b[two], "c": pairs[two], "head": (np.cumsum(two) - 1)[head[three]], "last": last[three], "m": triples[three]}
+        return _row(table["bucket"][0].as_py(), _RUNS, out)
 
     return run
 
 
-def learned_runs(docs: DataFrame, settings: Settings, buckets: int, least: float) -> DataFrame:
-    """``size``, ``code``, ``head``, ``tail``, ``c``, ``of`` of all runs that occur ``least`` times."""
-    sent = "bucket int, " + ", ".join(f"{name} binary" for name in _MESSAGE)
-    messages = shipped(docs.select("row", "train", "text")).mapInArrow(_messages(buckets, settings.unit_tokens // 2), sent)
-    return messages.groupBy("bucket").applyInArrow(_merged(least), "size int, code bigint, head bigint, tail bigint, c bigint, of bigint")
+def learned_runs(docs: DataFrame, settings: Settings, buckets: int, least: float, low: int, high: int) -> DataFrame:
+    """All runs that occur ``least`` times of the buckets from ``low`` to below ``high``, a row per bucket."""
+    texts = docs.where("train").select("row", "train", "text")
+    messages = shipped(texts).mapInArrow(_messages(buckets, low, high, settings.unit_tokens // 2), _columns(_MESSAGE))
+    return messages.groupBy("bucket").applyInArrow(_merged(least), _columns(_RUNS))
+
+
+#: Learned runs whose words are numbered, with the counts of the first (``of``) and the second word (``tail``) of a pair.
+_COUNTED = _RUNS | {"of": np.int64, "tail": np.int64}
+
 
+def _word_questions(words_: int):
+    """Per bucket of runs and of words: the distinct words of the runs."""
 
-def _left(p: Column, shorter: Column) -> Column:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, *own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                every = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in own]))
+                found = list(_dealt(every[_changes(every)], words_))
+                columns = [pa.array([k for k, _ in found], pa.int32()), pa.array([bucket] * len(found), pa.int32()), pa.array([x for _, x in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "bucket", "codes"])
+
+    return run
+
+
+def _word_answers(asked: pa.Table, counts: pa.Table) -> pa.Table:
+    word, c = counts["word"].to_numpy().view(np.uint64), counts["c"].to_numpy()
+    order = np.argsort(word)
+    word, c = word[order], c[order]
+    out = {"codes": [], "c": []}
+    for own in _buffers(asked, "codes", np.uint64):
+        at, there = _find(word, own)
+        out["codes"].append(own[there].tobytes())
+        out["c"].append(c[at[there]].astype(np.int64).tobytes())
+    return pa.table({"bucket": asked["bucket"]} | {name: pa.array(x, pa.binary()) for name, x in out.items()})
+
+
+def _with_counts(runs: pa.Table, answers: pa.Table) -> pa.Table:
+    own, known = _all(runs, _RUNS), _all(answers, {"codes": np.uint64, "c": np.int64})
+    order = np.argsort(known["codes"])
+    word, c = known["codes"][order], known["c"][order]
+    (of, first), (tail, second) = _find(word, own["a"]), _find(word, own["b"])
+    two = first & second
+    three = two[own["head"]]
+    out = {name: own[name][two] for name in ("a", "b", "c")} | {name: own[name][three] for name in ("last", "m")}
+    out |= {"head": (np.cumsum(two) - 1)[own["head"][three]], "of": c[of[two]], "tail": c[tail[two]]}
+    return _row(runs["bucket"][0].as_py(), _COUNTED, out)
+
+
+def counted_runs(runs: DataFrame, counts: DataFrame, words_: int) -> DataFrame:
+    """The runs of ``counts``' words, with the counts of these. ``counts``: (place, word, c), ``place`` one of ``words_`` buckets."""
+    asked = runs.select("bucket", "a", "b").mapInArrow(_word_questions(words_), "place int, bucket int, codes binary")
+    answers = asked.groupBy("place").cogroup(counts.groupBy("place")).applyInArrow(_word_answers, "bucket int, codes binary, c binary")
+    return runs.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_with_counts, _columns(_COUNTED))
+
+
+def _left(p: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Backoff weight: log10 of the mass left by the continuations of a context over what they have in the shorter one."""
-    floor = F.lit(1e-300)
-    return F.log10(F.greatest(1 - F.sum(p), floor) / F.greatest(1 - F.sum(shorter), floor))
+    return np.log10(np.maximum(1 - p, 1e-300) / np.maximum(1 - shorter, 1e-300))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Probabilities from counts; ``mass`` is what the counts of all words and of an unknown one add up to."""
+
+    discount: float
+    add: float
+    mass: float
+
+    def single(self, c: np.ndarray) -> np.ndarray:
+        return (c + self.add) / self.mass
+
+    def longer(self, c: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return (c - self.discount) / of
+
+
+#: Continuations of words: their sums of probabilities, in the context of the word and without it.
+_FOLLOWED = {"codes": np.uint64, "p": np.float64, "shorter": np.float64}
+#: The table of the automaton.
+_TABLE = {"codes": np.uint64, "value": np.float64, "back": np.float64, "known": np.uint8}
 
 
-def automaton(counts: DataFrame, runs: DataFrame, total: int, every: int, vocabulary: int, settings: Settings, made: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Words and learned runs, each ``code``, ``value`` of the arc, ``back`` of the state (null: it is none); words also ``known``.
+def _followed(model: Model, words_: int):
+    """Per bucket of runs and of words: ``_FOLLOWED`` of the first words of the pairs."""
 
-    Paths of the tables on the way are added to ``made``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i in range(len(table)):
+                own = _all(table.slice(i, 1), {name: _COUNTED[name] for name in ("a", "c", "of", "tail")})
+                order = np.argsort(own["a"])
+                word = own["a"][order]
+                first = _changes(word)
+                sums = [_sums(x[order], first) for x in (model.longer(own["c"], own["of"]), model.single(own["tail"]))]
+                cut = np.searchsorted(_bucket(word[first], words_), np.arange(words_ + 1))
+                for k in np.flatnonzero(np.diff(cut)):
+                    held = dict(zip(_FOLLOWED, (x[cut[k] : cut[k + 1]] for x in (word[first], *sums)), strict=True))
+                    yield from _row(int(k), _FOLLOWED, held).to_batches()
+
+    return run
+
+
+def _word_states(model: Model):
+    def run(counts: pa.Table, followed: pa.Table) -> pa.Table:
+        word, c = counts["word"].to_numpy().view(np.uint64), counts["c"].to_numpy()
+        held = _all(followed, _FOLLOWED)
+        order = np.argsort(held["codes"])
+        head = held["codes"][order]
+        first = _changes(head)
+        sums = [_sums(held[name][order], first) for name in ("p", "shorter")]
+        at, there = _find(head[first], word)
+        back = np.full(len(word), np.nan)
+        back[there] = _left(*sums)[at[there]]
+        return _row(counts["place"][0].as_py(), _TABLE, {"codes": word, "value": np.log10(model.single(c)), "back": back, "known": c > 0})
+
+    return run
+
+
+def _pair_values(model: Model):
+    """Per bucket the codes of its pairs and their probabilities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i in range(len(table)):
+                own = _all(table.slice(i, 1), {name: _COUNTED[name] for name in ("a", "b", "c", "of")})
+                values = {"codes": codes(own["a"], own["b"]), "p": model.longer(own["c"], own["of"])}
+                yield from _row(table["bucket"][i].as_py(), {"codes": np.uint64, "p": np.float64}, values).to_batches()
+
+    return run
+
+
+def _tail_questions(buckets: int):
+    """Per bucket and bucket asked: the codes of the last two words of its triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for i in range(len(table)):
+                own = _all(table.slice(i, 1), {name: _COUNTED[name] for name in ("b", "head", "last")})
+                tails = np.sort(codes(own["b"][own["head"]], own["last"]))
+                found = list(_dealt(tails[_changes(tails)], buckets))
+                columns = {
+                    "asked": pa.array([k for k, _ in found], pa.int32()),
+                    "bucket": pa.array([table["bucket"][i].as_py()] * len(found), pa.int32()),
+                    "codes": pa.array([x for _, x in found], pa.binary()),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return run
+
+
+def _tail_answers(asked: pa.Table, values: pa.Table) -> pa.Table:
+    held = _all(values, {"codes": np.uint64, "p": np.float64})
+    out = {"codes": [], "p": []}
+    for own in _buffers(asked, "codes", np.uint64):
+        at, there = _find(held["codes"], own)
+        out["codes"].append(own[there].tobytes())
+        out["p"].append(held["p"][at[there]].tobytes())
+    return pa.table({"bucket": asked["bucket"]} | {name: pa.array(x, pa.binary()) for name, x in out.items()})
+
+
+def _arcs(model: Model):
+    """Arcs of a bucket's runs, and the backoff weights of its pairs."""
+
+    def run(runs: pa.Table, answers: pa.Table) -> pa.Table:
+        own, known = _all(runs, _COUNTED), _all(answers, {"codes": np.uint64, "p": np.float64})
+        order = np.argsort(known["codes"])
+        head, last = own["head"], own["last"]
+        at, there = _find(known["codes"][order], codes(own["b"][head], last))
+        head, last = head[there], last[there]
+        p, shorter = model.longer(own["m"][there], own["c"][head]), known["p"][order][at[there]]
+        first = _changes(head)
+        back = np.full(len(own["a"]) + len(head), np.nan)
+        back[head[first]] = _left(_sums(p, first), _sums(shorter, first))
+        code = np.concatenate([codes(own["a"], own["b"]), codes(own["a"][head], own["b"][head], last)])
+        value = np.log10(np.concatenate([model.longer(own["c"], own["of"]), p]))
+        return _row(runs["bucket"][0].as_py(), _TABLE, {"codes": code, "value": value, "back": back, "known": np.zeros(len(code))})
+
+    return run
+
+
+def automaton(counts: DataFrame, runs: list[DataFrame], model: Model, buckets: Buckets, made: list[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """The table's part of words, and those of the runs, given these with their words' counts; a row per bucket.
+
+    Paths of the tables are added to ``made``.
     """
-    end = int(END.view(np.int64))
-    numbered = counts.where((F.col("n") > settings.share * every) | (F.col("word") == end)) if settings.share else counts
-    single = (F.col("c") + settings.add) / F.lit(total + settings.add * (vocabulary + 1))
-    heads, tails = numbered.select(F.col("word").alias("head"), F.col("c").alias("of_head")), numbered.select(F.col("word").alias("tail"), single.alias("shorter"))
-    pairs = runs.where("size = 2").select("code", "head", "tail", "c").join(heads, "head").join(tails, "tail")
-    pairs = staged(pairs.select("code", "head", ((F.col("c") - settings.discount) / F.col("of_head")).alias("p"), "shorter"), "pairs", made)
-    of_word = pairs.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back"))
-    triples = runs.where("size = 3").select("code", "head", "tail", ((F.col("c") - settings.discount) / F.col("of")).alias("p"))
-    if settings.share:
-        triples = triples.join(pairs.select(F.col("code").alias("head")), "head", "left_semi")
-    triples = triples.join(pairs.select(F.col("code").alias("tail"), F.col("p").alias("shorter")), "tail")
-    triples = staged(triples.select("code", "head", "p", "shorter"), "triples", made)
-    of_pair = triples.groupBy("head").agg(_left(F.col("p"), F.col("shorter")).alias("back"))
-    of_runs = pairs.join(of_pair.withColumnRenamed("head", "code"), "code", "left").select("code", F.log10("p").alias("value"), "back")
-    of_runs = of_runs.union(triples.select("code", F.log10("p").alias("value"), F.lit(None).cast("double").alias("back")))
-    of_words = counts.join(of_word.withColumnRenamed("head", "word"), "word", "left").select(
-        F.col("word").alias("code"), F.log10(single).alias("value"), "back", (F.col("c") > 0).cast("int").alias("known")
-    )
-    return staged(of_words, "words"), staged(of_runs, "arcs")
+    every = reduce(DataFrame.union, runs)
+    followed = every.mapInArrow(_followed(model, buckets.words), _columns(_FOLLOWED))
+    of_words = counts.groupBy("place").cogroup(followed.groupBy("bucket")).applyInArrow(_word_states(model), _columns(_TABLE))
+    out = staged(of_words, "words", made), []
+    for part in runs:
+        values = every.mapInArrow(_pair_values(model), "bucket int, codes binary, p binary")
+        asked = part.mapInArrow(_tail_questions(buckets.runs), "asked int, bucket int, codes binary")
+        answers = asked.groupBy("asked").cogroup(values.groupBy("bucket")).applyInArrow(_tail_answers, "bucket int, codes binary, p binary")
+        of_runs = part.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_arcs(model), _columns(_TABLE))
+        out[1].append(staged(of_runs, "arcs", made))
+    return out
 
 
 @dataclass(frozen=True)
@@ -303,39 +509,47 @@ class Buckets:
     def of_units(self) -> int:
         return self.runs + self.words * self.copies
 
-    def of_table(self, of_words: DataFrame, of_runs: DataFrame) -> DataFrame:
+    def of_table(self, of_words: DataFrame, of_runs: list[DataFrame]) -> DataFrame:
         copy = F.explode(F.sequence(F.lit(0), F.lit(self.copies - 1)))
-        placed = of_words.select("*", copy.alias("copy")).select(
-            (self.runs + bucket_of(F.col("code"), self.words) * self.copies + F.col("copy")).cast("int").alias("bucket"), "code", "value", "back", "known"
-        )
-        return placed.union(of_runs.select(bucket_of(F.col("code"), self.runs).alias("bucket"), "code", "value", "back", F.lit(0).alias("known")))
+        placed = of_words.select("*", copy.alias("copy")).select((self.runs + F.col("bucket") * self.copies + F.col("copy")).cast("int").alias("bucket"), *_TABLE)
+        return reduce(DataFrame.union, of_runs, placed)
+
+    def passes(self, most: int) -> int:
+        return min(most, self.runs // PASS_BUCKETS + 1)
 
 
 #: What a unit sends: to a bucket of the table its distinct codes, and once its distinct words, its texts as places among them and their heads.
 _QUESTION = {"codes": np.uint64, "words": np.uint64, "texts": np.uint32}
 
 
-def _distinct(unit: Unit) -> np.ndarray:
-    """Codes of the runs of two and three words; sorting is much faster here than the hashing of ``np.unique``."""
-    starts = {size: unit.starts(size) for size in (2, 3)}
-    every = np.sort(np.concatenate([codes(*[unit.sequence[at + k] for k in range(size)]) for size, at in starts.items()]))
-    return every[_changes(every)]
+def _run_questions(unit: Unit, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Buckets of the distinct runs of two and three words, and the codes of each; sorting is much faster here than the hashing of ``np.unique``."""
+    at = unit.starts(2)
+    pair = np.zeros(len(unit.sequence), dtype=np.uint64)
+    pair[at] = codes(unit.sequence[at], unit.sequence[at + 1])
+    two = np.sort(pair[at])
+    two = two[_changes(two)]
+    at = unit.starts(3)
+    three = codes(*[unit.sequence[at + k] for k in range(3)])
+    order = np.argsort(three)
+    order = order[_changes(three[order])]
+    code, bucket = np.concatenate([two, three[order]]), _bucket(np.concatenate([two, pair[at[order]]]), buckets)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    code = code[order]
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in np.flatnonzero(np.diff(cut)):
+        yield int(k), code[cut[k] : cut[k + 1]].tobytes()
 
 
 def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
     """Per unit and bucket: ``unit``, the number of its first row, and the columns of ``_QUESTION``."""
 
-    def asked(codes_: np.ndarray, of: int) -> Iterator[tuple[int, bytes]]:
-        cut = np.searchsorted(_bucket(codes_, of), np.arange(of + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            yield int(k), codes_[cut[k] : cut[k + 1]].tobytes()
-
     def of(held: list[Unit], rows: list[np.ndarray], heads: list[pa.Array]) -> pa.RecordBatch:
         unit, first = _joined(held), int(rows[0][0])
         distinct, places = np.unique(unit.sequence, return_inverse=True)
         copy = first % buckets.copies
-        found = list(asked(_distinct(unit), buckets.runs))
-        found += [(buckets.runs + k * buckets.copies + copy, own) for k, own in asked(distinct, buckets.words)]
+        found = list(_run_questions(unit, buckets.runs))
+        found += [(buckets.runs + k * buckets.copies + copy, own) for k, own in _dealt(distinct, buckets.words)]
         number = [k for k, _ in found] + [buckets.of_units + int(mixed(np.array([first], np.uint64))[0] % np.uint64(buckets.runs))]
         without = [None] * len(found)
         values = pa.concat_arrays(heads)
@@ -370,26 +584,18 @@ def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
     return run
 
 
-#: Of the codes that a bucket knows. What a unit sent for itself passes unchanged.
-_ANSWER = {"codes": np.uint64, "value": np.float64, "back": np.float64, "known": np.uint8}
-
-
 def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
-    """The rows of the automaton's table that each unit asked a bucket for."""
-    code = table["code"].to_numpy().view(np.uint64)
-    order = np.argsort(code)
-    code = code[order]
-    of = {name: table[name].to_numpy()[order].astype(_ANSWER[name]) for name in ("value", "back", "known")}
-    out = {name: [] for name in _ANSWER}
-    for own in asked["codes"].to_pylist():
-        own = np.frombuffer(own or b"", np.uint64)
-        at = np.searchsorted(code, own)
-        there = np.flatnonzero(code[np.minimum(at, len(code) - 1)] == own) if len(code) else np.zeros(0, np.int64)
-        out["codes"].append(own[there].tobytes())
+    """The entries of the automaton's table that each unit asked a bucket for. What a unit sent for itself passes unchanged."""
+    of = _all(table, _TABLE)
+    order = np.argsort(of["codes"])
+    of = {name: values[order] for name, values in of.items()}
+    out = {name: [] for name in _TABLE}
+    for own in _buffers(asked, "codes", np.uint64):
+        at, there = _find(of["codes"], own)
         for name, values in of.items():
             out[name].append(values[at[there]].tobytes())
     columns = [pa.array(held, pa.binary()) for held in out.values()]
-    return pa.Table.from_arrays([asked["unit"], *columns, asked["words"], asked["texts"], asked["heads"]], names=["unit", *_ANSWER, "words", "texts", "heads"])
+    return pa.Table.from_arrays([asked["unit"], *columns, asked["words"], asked["texts"], asked["heads"]], names=["unit", *_TABLE, "words", "texts", "heads"])
 
 
 class Automaton:
@@ -470,7 +676,7 @@ def _walked(answers: pa.Table) -> pa.Table:
     words_ = np.frombuffer(answers["words"][own].as_py(), np.uint64)
     places = np.frombuffer(answers["texts"][own].as_py(), np.uint32).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(heads.field(2).to_numpy())])
-    known = {name: np.concatenate([np.frombuffer(x or b"", kind) for x in answers[name].to_pylist()]) for name, kind in _ANSWER.items()}
+    known = _all(answers, _TABLE)
     automaton_ = Automaton(words_, Unit(words_[places], bounds), places, known)
     # The end token closes each text, so none is empty.
     base = _sums(automaton_.value[places], bounds[:-1])
@@ -490,27 +696,47 @@ def language_model_scores(df: DataFrame, settings: Settings = Settings(), key: s
         F.col(key).alias("doc_id"),
         F.coalesce(out_of, F.lit(False)).alias("held_out"),
     )
+    spark = df.sparkSession
     made: list[str] = []
-    counts = staged(word_counts(docs, settings), "word-counts", made)
+    counts = staged(word_counts(docs.select("row", "train", "text"), settings), "word-counts", made)
     total, every, vocabulary, distinct = counts.agg(F.sum("c"), F.sum("n"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.lit(1))).first()
     total, every = total or 0, every or 0
     blocks = every // settings.block + 1
     of_words = distinct // settings.block + 1
     buckets = Buckets(blocks, of_words, max(1, blocks // WORD_BUCKETS // of_words))
-    runs = staged(learned_runs(docs, settings, blocks, max(LEAST, settings.run_share * total)), "runs", made)
-    table = automaton(counts, runs, total, every, vocabulary, settings, made)
+    model = Model(settings.discount, settings.add, total + settings.add * (vocabulary + 1))
+    placed = counts.select(bucket_of(F.col("word"), of_words).alias("place"), "word", "c", "n")
+    frequent = placed.where((F.col("n") > settings.share * every) | (F.col("word") == int(END.view(np.int64)))) if settings.share else placed
+    numbered = frequent.select("place", "word", "c")
+
+    least = max(LEAST, settings.run_share * total)
+    passes = buckets.passes(COUNT_PASSES)
+    runs = []
+    for k in range(passes):
+        found: list[str] = []
+        own = staged(learned_runs(docs, settings, blocks, least, blocks * k // passes, blocks * (k + 1) // passes), "runs", found)
+        runs.append(staged(counted_runs(own, numbered, of_words), "counted-runs", made))
+        remove_scratch(spark, found)
+    parts: list[str] = []
+    table = buckets.of_table(*automaton(placed.select("place", "word", "c"), runs, model, buckets, parts))
     # What only led to the table goes before texts are scored.
-    remove_scratch(df.sparkSession, made)
+    remove_scratch(spark, made)
 
     head = F.struct("doc_id", "held_out", F.lit(0).cast("bigint").alias("n_tokens"))
     # A condition keeps Spark from declaring the lists as never null.
     heads = F.when(F.col("row") >= 0, F.array(F.when(F.col("row") >= 0, head)))
     binary = lambda names: [F.lit(None).cast("binary").alias(name) for name in names]
     asking = docs.select(F.lit(0).alias("bucket"), F.col("row").alias("unit"), *binary(_QUESTION), heads.alias("heads")).schema
-    answering = docs.select(F.col("row").alias("unit"), *binary([*_ANSWER, "words", "texts"]), heads.alias("heads")).schema
+    answering = docs.select(F.col("row").alias("unit"), *binary([*_TABLE, "words", "texts"]), heads.alias("heads")).schema
     numbers = {"n_tokens": "bigint", "n_known": "bigint", "base_score": "double", "score": "double"}
     scored = docs.select("doc_id", "held_out", *[F.lit(0).cast(kind).alias(name) for name, kind in numbers.items()]).schema
-    asked = shipped(docs).mapInArrow(_questions(buckets, settings.unit_tokens // 4, to_arrow_type(asking["heads"].dataType)), asking)
-    answers = asked.groupBy("bucket").cogroup(buckets.of_table(*table).groupBy("bucket")).applyInArrow(_answers, answering)
-    rows = answers.groupBy("unit").applyInArrow(_walked, scored)
-    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    ask = _questions(buckets, settings.unit_tokens // 4, to_arrow_type(asking["heads"].dataType))
+    passes = buckets.passes(SCORE_PASSES)
+    rows = []
+    for k in range(passes):
+        own = docs.where(part_of(F.col("doc_id"), F.col("text"), passes) == k) if passes > 1 else docs
+        asked = shipped(own).mapInArrow(ask, asking)
+        answers = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(_answers, answering)
+        rows.append(staged(answers.groupBy("unit").applyInArrow(_walked, scored), "scores"))
+    remove_scratch(spark, parts)
+    return reduce(DataFrame.union, rows).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
