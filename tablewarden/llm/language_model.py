@@ -53,7 +53,7 @@ LEAST = 2
 #: Buckets of the words' table per bucket of runs.
 WORD_BUCKETS = 16
 #: Passes that count runs and passes that score rows, at most; a pass has ``PASS_BUCKETS`` buckets of runs at least.
-COUNT_PASSES, SCORE_PASSES = 3, 8
+COUNT_PASSES, SCORE_PASSES = 2, 7
 PASS_BUCKETS = 4
 
 
@@ -91,8 +91,10 @@ class Unit:
 
     def starts(self, size: int) -> np.ndarray:
         """Where runs of ``size`` words begin that lie inside a text."""
-        at = np.arange(max(0, len(self.sequence) - size + 1))
-        return at[at + size <= np.repeat(self.bounds[1:], np.diff(self.bounds))[: len(at)]]
+        inside, lengths = np.ones(len(self.sequence), dtype=bool), np.diff(self.bounds)
+        for k in range(1, size):
+            inside[self.bounds[1:][lengths >= k] - k] = False
+        return np.flatnonzero(inside)
 
 
 def _sequences(column: pa.Array) -> Iterator[tuple[int, int, Unit]]:
@@ -134,7 +136,7 @@ def bucket_of(code: Column, buckets: int) -> Column:
 def _changes(*sorted_: np.ndarray) -> np.ndarray:
     """Places where any of the arrays has another value than before."""
     first = np.ones(len(sorted_[0]), dtype=bool)
-    first[1:] = np.any([a[1:] != a[:-1] for a in sorted_], axis=0)
+    first[1:] = reduce(np.logical_or, (a[1:] != a[:-1] for a in sorted_))
     return np.flatnonzero(first)
 
 
@@ -146,6 +148,37 @@ def _find(sorted_: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, sorted_[at] == wanted
 
 
+class Places:
+    """Finds hashes among sorted ones: their first bits say where to begin, as hashes are spread evenly."""
+
+    def __init__(self, sorted_: np.ndarray):
+        bits = max(1, min(22, len(sorted_).bit_length()))
+        self.sorted, self.shift = sorted_, np.uint64(64 - bits)
+        counts = np.bincount((sorted_ >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.begin = np.concatenate([[0], np.cumsum(counts)])
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of the wanted hashes, -1 where there is none."""
+        out = np.full(len(wanted), -1, dtype=np.int64)
+        first = (wanted >> self.shift).astype(np.int64)
+        at, end = self.begin[first], self.begin[first + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], wanted[left]
+        for _ in range(16):
+            if not len(left):
+                return out
+            found = self.sorted[at]
+            here = found == wanted
+            out[left[here]] = at[here]
+            at += 1
+            more = np.flatnonzero((found < wanted) & (at < end))
+            left, at, end, wanted = left[more], at[more], end[more], wanted[more]
+        # Only where many hashes begin alike.
+        at, there = _find(self.sorted, wanted)
+        out[left[there]] = at[there]
+        return out
+
+
 def _dealt(codes_: np.ndarray, of: int) -> Iterator[tuple[int, bytes]]:
     """Buckets of sorted codes, and the codes of each."""
     cut = np.searchsorted(_bucket(codes_, of), np.arange(of + 1))
@@ -153,6 +186,17 @@ def _dealt(codes_: np.ndarray, of: int) -> Iterator[tuple[int, bytes]]:
         yield int(k), codes_[cut[k] : cut[k + 1]].tobytes()
 
 
+def _grouped(head: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """An order by ``head`` in which equal pairs stand together; much faster than a sort by both."""
+    bits = np.uint64(int(head.max(initial=1)).bit_length())
+    key = (head.astype(np.uint64) << (np.uint64(64) - bits)) | (last >> bits)
+    order = np.argsort(key)
+    key, own = key[order], last[order]
+    if np.any((key[1:] == key[:-1]) & (own[1:] != own[:-1])):
+        return np.lexsort((last, head))
+    return order
+
+
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts) if len(starts) else np.zeros(0, values.dtype)
 
@@ -160,25 +204,39 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def word_counts(docs: DataFrame, settings: Settings) -> DataFrame:
     """``word`` (its hash), ``c`` (in training texts), ``n`` (in all). ``docs``: (row, train, text, ...)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    def of(unit: Unit, train: np.ndarray) -> list[np.ndarray]:
+        every = np.sort(unit.sequence)
+        own = np.sort(unit.sequence[np.repeat(train, np.diff(unit.bounds))])
+        first, at = _changes(every), _changes(own)
+        c = np.zeros(len(first), dtype=np.int64)
+        c[np.searchsorted(every[first], own[at])] = np.diff(at, append=len(own))
+        return [every[first], c, np.diff(first, append=len(every))]
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["word", "c", "n"])
+    def added(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        word, c, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(word)
+        at = _changes(word[order])
+        return [word[order][at], _sums(c[order], at), _sums(n[order], at)]
 
+    def out(held: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in held], names=["word", "c", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             train = np.array(batch.column(1).to_pylist(), dtype=bool)
             for first, last, unit in _sequences(batch.column(2)):
-                learned = np.repeat(train[first:last], np.diff(unit.bounds)).astype(np.int64)
-                every = np.concatenate([held[0], unit.sequence])
-                c, n = np.concatenate([held[1], learned]), np.concatenate([held[2], np.ones(len(learned), np.int64)])
-                order = np.argsort(every)
-                at = _changes(every[order])
-                held = [every[order][at], _sums(c[order], at), _sums(n[order], at)]
-                if len(held[0]) > settings.kept_words:
-                    yield out()
-                    held = [x[:0] for x in held]
-        yield out()
+                held.append(of(unit, train[first:last]))
+                size += len(held[-1][0])
+                # Adding up costs a sort, so several slices are added at once.
+                if size > 4 * settings.kept_words:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                    if size > settings.kept_words:
+                        yield out(held[0])
+                        held, size = [], 0
+        if held:
+            yield out(added(held))
 
     partial = shipped(docs).mapInArrow(run, "word bigint, c bigint, n bigint")
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -215,18 +273,19 @@ def _messages(buckets: int, low: int, high: int, tokens: int):
         if not len(at):
             return None
         order = np.argsort(code)
-        first = _changes(code[order])
+        code = code[order]
+        first = _changes(code)
         place = np.empty(len(at), dtype=np.uint32)
         place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(at)))
         begin = at[order[first]]
         held = {"a": unit.sequence[begin], "b": unit.sequence[begin + 1], "n": np.diff(first, append=len(at))}
-        cut = np.searchsorted(_bucket(code[order[first]], buckets), np.arange(low, high + 1))
+        cut = np.searchsorted(_bucket(code[first], buckets), np.arange(low, high + 1))
         inside = np.zeros(len(unit.sequence), dtype=bool)
         inside[at] = True
         three = unit.starts(3)
         three = three[inside[three]]
         head, last = place[np.searchsorted(at, three)], unit.sequence[three + 2]
-        order = np.lexsort((last, head))
+        order = _grouped(head, last)
         head, last = head[order], last[order]
         first = _changes(head, last)
         held |= {"head": head[first], "last": last[first], "m": np.diff(first, append=len(head))}
@@ -283,14 +342,16 @@ def _merged(least: float):
         place = np.empty(len(code), dtype=np.int64)
         place[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(code)))
         a, b, pairs = a[order[first]], b[order[first]], _sums(n[order].astype(np.int64), first)
-        head = place[head]
-        order = np.lexsort((last, head))
+        # The first two words of a learned triple are a learned pair.
+        head, two = place[head], pairs >= least
+        able = two[head]
+        head, last, m = head[able], last[able], m[able]
+        order = _grouped(head, last)
         head, last = head[order], last[order]
         first = _changes(head, last)
         triples = _sums(m[order].astype(np.int64), first)
         head, last = head[first], last[first]
-        # The first two words of a learned triple are a learned pair.
-        two, three = pairs >= least, triples >= least
+        three = triples >= least
         out = {"a": a[two], "b": b[two], "c": pairs[two], "head": (np.cumsum(two) - 1)[head[three]], "last": last[three], "m": triples[three]}
         return _row(table["bucket"][0].as_py(), _RUNS, out)
 
@@ -379,6 +440,12 @@ _FOLLOWED = {"codes": np.uint64, "p": np.float64, "shorter": np.float64}
 _TABLE = {"codes": np.uint64, "value": np.float64, "back": np.float64, "known": np.uint8}
 
 
+def _table_row(bucket: int, *held: np.ndarray) -> pa.Table:
+    """One row of the table, its codes sorted."""
+    order = np.argsort(held[0])
+    return _row(bucket, _TABLE, {name: values[order] for name, values in zip(_TABLE, held, strict=True)})
+
+
 def _followed(model: Model, words_: int):
     """Per bucket of runs and of words: ``_FOLLOWED`` of the first words of the pairs."""
 
@@ -410,7 +477,7 @@ def _word_states(model: Model):
         at, there = _find(head[first], word)
         back = np.full(len(word), np.nan)
         back[there] = _left(*sums)[at[there]]
-        return _row(counts["place"][0].as_py(), _TABLE, {"codes": word, "value": np.log10(model.single(c)), "back": back, "known": c > 0})
+        return _table_row(counts["place"][0].as_py(), word, np.log10(model.single(c)), back, c > 0)
 
     return run
 
@@ -474,7 +541,7 @@ def _arcs(model: Model):
         back[head[first]] = _left(_sums(p, first), _sums(shorter, first))
         code = np.concatenate([codes(own["a"], own["b"]), codes(own["a"][head], own["b"][head], last)])
         value = np.log10(np.concatenate([model.longer(own["c"], own["of"]), p]))
-        return _row(runs["bucket"][0].as_py(), _TABLE, {"codes": code, "value": value, "back": back, "known": np.zeros(len(code))})
+        return _table_row(runs["bucket"][0].as_py(), code, value, back, np.zeros(len(code)))
 
     return run
 
@@ -485,12 +552,12 @@ def automaton(counts: DataFrame, runs: list[DataFrame], model: Model, buckets: B
     Paths of the tables are added to ``made``.
     """
     every = reduce(DataFrame.union, runs)
-    followed = every.mapInArrow(_followed(model, buckets.words), _columns(_FOLLOWED))
+    followed = every.select("bucket", "a", "c", "of", "tail").mapInArrow(_followed(model, buckets.words), _columns(_FOLLOWED))
     of_words = counts.groupBy("place").cogroup(followed.groupBy("bucket")).applyInArrow(_word_states(model), _columns(_TABLE))
     out = staged(of_words, "words", made), []
     for part in runs:
-        values = every.mapInArrow(_pair_values(model), "bucket int, codes binary, p binary")
-        asked = part.mapInArrow(_tail_questions(buckets.runs), "asked int, bucket int, codes binary")
+        values = every.select("bucket", "a", "b", "c", "of").mapInArrow(_pair_values(model), "bucket int, codes binary, p binary")
+        asked = part.select("bucket", "b", "head", "last").mapInArrow(_tail_questions(buckets.runs), "asked int, bucket int, codes binary")
         answers = asked.groupBy("asked").cogroup(values.groupBy("bucket")).applyInArrow(_tail_answers, "bucket int, codes binary, p binary")
         of_runs = part.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_arcs(model), _columns(_TABLE))
         out[1].append(staged(of_runs, "arcs", made))
@@ -546,7 +613,9 @@ def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
 
     def of(held: list[Unit], rows: list[np.ndarray], heads: list[pa.Array]) -> pa.RecordBatch:
         unit, first = _joined(held), int(rows[0][0])
-        distinct, places = np.unique(unit.sequence, return_inverse=True)
+        distinct = np.sort(unit.sequence)
+        distinct = distinct[_changes(distinct)]
+        places = Places(distinct).find(unit.sequence)
         copy = first % buckets.copies
         found = list(_run_questions(unit, buckets.runs))
         found += [(buckets.runs + k * buckets.copies + copy, own) for k, own in _dealt(distinct, buckets.words)]
@@ -587,8 +656,6 @@ def _questions(buckets: Buckets, tokens: int, heads_type: pa.DataType):
 def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
     """The entries of the automaton's table that each unit asked a bucket for. What a unit sent for itself passes unchanged."""
     of = _all(table, _TABLE)
-    order = np.argsort(of["codes"])
-    of = {name: values[order] for name, values in of.items()}
     out = {name: [] for name in _TABLE}
     for own in _buffers(asked, "codes", np.uint64):
         at, there = _find(of["codes"], own)
@@ -601,71 +668,65 @@ def _answers(asked: pa.Table, table: pa.Table) -> pa.Table:
 class Automaton:
     """Part of the automaton that some texts can reach.
 
-    State 0 is the empty context; then come the words that are contexts, and the pairs. ``arcs`` has under
-    state * words + word the log-probability of the word and the state after it; ``first`` and ``after``
-    are the arcs of state 0; ``failure`` and ``weight`` are the failure arcs.
+    State 0 is the empty context; then come the words, and the pairs, of which those are used that are
+    contexts. ``first`` and ``after`` are the arcs of state 0: log-probability of a word and the state after
+    it. ``failure`` and ``weight`` are the failure arcs. The arcs of other states lie along the texts: at each
+    place ``from_word`` and ``from_pair`` have the state whose arc reads the word there (-1: there is none),
+    ``by_word`` and ``by_pair`` its log-probability, and ``then`` is the state after both.
     """
 
     def __init__(self, words_: np.ndarray, unit: Unit, places: np.ndarray, known: dict[str, np.ndarray]):
         order = np.argsort(known["codes"])
-        code, value, back = (known[name][order] for name in ("codes", "value", "back"))
-
-        def find(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Rows of the wanted codes, and which of them there are."""
-            at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
-            return at, code[at] == wanted
-
-        at, _ = find(words_)
-        self.size = size = len(words_)
-        self.value, self.known = value[at], known["known"][order][at]
-        state = np.where(np.isnan(back[at]), 0, 1 + np.arange(size))
-        self.first, self.after = self.value.tolist(), state.tolist()
-        failure, weight = [np.zeros(size + 1, np.int64)], [np.concatenate([[0.0], np.nan_to_num(back[at])])]
-
+        table, value, back = Places(known["codes"][order]), known["value"][order], known["back"][order]
+        at = table.find(words_)
+        size, length = len(words_), len(places)
+        self.places = places
+        self.first, self.known = value[at], known["known"][order][at]
+        self.after = np.where(np.isnan(back[at]), 0, 1 + np.arange(size))
+        self.failure = np.zeros(1 + size + len(value), dtype=np.int64)
+        self.weight = np.concatenate([[0.0], np.nan_to_num(back[at]), np.nan_to_num(back)])
+        self.from_word, self.from_pair = np.full(length, -1), np.full(length, -1)
+        self.by_word, self.by_pair = np.zeros(length), np.zeros(length)
+        self.then = self.after[places]
+
+        sequence = unit.sequence
         begin = unit.starts(2)
-        pairs = np.sort(places[begin] * size + places[begin + 1])
-        pairs = pairs[_changes(pairs)]
-        head, tail = np.divmod(pairs, size)
-        at, there = find(codes(words_[head], words_[tail]))
-        pairs, head, tail, at = pairs[there], head[there], tail[there], at[there]
-        context = ~np.isnan(back[at])
-        of_pair = np.where(context, size + np.cumsum(context), state[tail])
-        failure.append(state[tail[context]])
-        weight.append(back[at[context]])
-        keys, values, targets = [(1 + head) * size + tail], [value[at]], [of_pair]
-
-        begin = unit.starts(3)
-        left, right = (np.searchsorted(pairs, places[begin + k] * size + places[begin + k + 1]) for k in (0, 1))
-        if len(pairs):
-            left, right = np.minimum(left, len(pairs) - 1), np.minimum(right, len(pairs) - 1)
-            both = (pairs[left] == places[begin] * size + places[begin + 1]) & context[left]
-            both &= pairs[right] == places[begin + 1] * size + places[begin + 2]
-            triples, one = np.unique(of_pair[left[both]] * size + places[begin[both] + 2], return_index=True)
-            begin, right = begin[both][one], right[both][one]
-            at, there = find(codes(*[words_[places[begin + k]] for k in range(3)]))
-            keys.append(triples[there])
-            values.append(value[at[there]])
-            targets.append(of_pair[right[there]])
-        out = zip(np.concatenate(values).tolist(), np.concatenate(targets).tolist(), strict=True)
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), out, strict=True))
-        self.failure, self.weight = np.concatenate(failure).tolist(), np.concatenate(weight).tolist()
-
-    def walk(self, text: list[int]) -> float:
-        """Sum of the log-probabilities of a text: one traversal that carries a state."""
-        arcs, failure, weight, first, after, size = self.arcs, self.failure, self.weight, self.first, self.after, self.size
-        state, score = 0, 0.0
-        for word in text:
-            while state:
-                arc = arcs.get(state * size + word)
-                if arc is not None:
-                    score += arc[0]
-                    state = arc[1]
+        of_pair = np.full(length, -1, dtype=np.int64)
+        of_pair[begin + 1] = table.find(codes(sequence[begin], sequence[begin + 1]))
+        last = np.flatnonzero(of_pair >= 0)
+        row = of_pair[last]
+        self.from_word[last], self.by_word[last] = 1 + places[last - 1], value[row]
+        context = ~np.isnan(back[row])
+        last, row = last[context], row[context]
+        self.failure[1 + size + row] = self.then[last]
+        self.then[last] = 1 + size + row
+
+        last = unit.starts(3) + 2
+        last = last[(self.from_word[last] >= 0) & (self.then[last - 1] > size)]
+        row = table.find(codes(sequence[last - 2], sequence[last - 1], sequence[last]))
+        last, row = last[row >= 0], row[row >= 0]
+        self.from_pair[last], self.by_pair[last] = self.then[last - 1], value[row]
+        self.failure, self.weight = self.failure.tolist(), self.weight.tolist()
+
+    def walk(self, first: int, end: int) -> float:
+        """Sum of the log-probabilities of the text between two places: one traversal that carries a state."""
+        own = slice(first, end)
+        along = [x[own].tolist() for x in (self.from_pair, self.by_pair, self.from_word, self.by_word, self.then)]
+        state, score, weight, failure = 0, 0.0, self.weight, self.failure
+        for from_pair, by_pair, from_word, by_word, then, of_none in zip(*along, self.first[self.places[own]].tolist(), strict=True):
+            while True:
+                if state == from_pair:
+                    score += by_pair
+                    break
+                if state == from_word:
+                    score += by_word
+                    break
+                if not state:
+                    score += of_none
                     break
                 score += weight[state]
                 state = failure[state]
-            else:
-                score += first[word]
-                state = after[word]
+            state = then
         return score
 
 
@@ -676,12 +737,11 @@ def _walked(answers: pa.Table) -> pa.Table:
     words_ = np.frombuffer(answers["words"][own].as_py(), np.uint64)
     places = np.frombuffer(answers["texts"][own].as_py(), np.uint32).astype(np.int64)
     bounds = np.concatenate([[0], np.cumsum(heads.field(2).to_numpy())])
-    known = _all(answers, _TABLE)
-    automaton_ = Automaton(words_, Unit(words_[places], bounds), places, known)
+    automaton_ = Automaton(words_, Unit(words_[places], bounds), places, _all(answers, _TABLE))
     # The end token closes each text, so none is empty.
-    base = _sums(automaton_.value[places], bounds[:-1])
+    base = _sums(automaton_.first[places], bounds[:-1])
     n_known = _sums(automaton_.known[places].astype(np.int64), bounds[:-1])
-    scores = [automaton_.walk(places[lo:hi].tolist()) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    scores = [automaton_.walk(lo, hi) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     columns = [heads.field(i) for i in range(3)] + [pa.array(n_known), pa.array(base), pa.array(scores, pa.float64())]
     return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 

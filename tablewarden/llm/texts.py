@@ -26,13 +26,15 @@ _POWERS = 1 << 16
 _BASE = np.uint64(int(_random.integers(1 << 40, 1 << 62)) | 5)
 
 
-def _powers() -> np.ndarray:
-    out = np.full(_POWERS, _BASE, dtype=np.uint64)
+def _powers(base: np.uint64 = _BASE) -> np.ndarray:
+    out = np.full(_POWERS, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
 _POW = _powers()
+#: A power of the inverse modulo 2^64 takes a power of the base back to 1.
+_BACK = _powers(np.uint64(pow(int(_BASE), -1, 1 << 64)))
 _BYTE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = _random.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -135,6 +137,11 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: n
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _HASHED_BYTES)))
         base, stop = int(starts[lo]), int(ends[hi - 1])
         begin = (starts[lo:hi] - base).astype(np.int32)
+        if stop - base <= _POWERS:
+            # Powers count from the first run of the block; each run's own begin is divided out.
+            out[lo:hi] = np.add.reduceat(values[data[base:stop]] * _POW[: stop - base], begin) * _BACK[begin]
+            lo = hi
+            continue
         gaps = np.diff(begin, append=np.int32(stop - base))
         place = (np.arange(stop - base, dtype=np.int32) - np.repeat(begin, gaps)) & np.int32(_POWERS - 1)
         out[lo:hi] = np.add.reduceat(values[data[base:stop]] * _POW[place], begin)

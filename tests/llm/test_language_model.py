@@ -6,10 +6,14 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tablewarden.llm import language_model
 from tablewarden.llm.language_model import Settings, language_model_scores
 from tablewarden.llm.queries import op10_language_model
+from tablewarden.sources.scratch import scratch_copies
 
 from .hard import empty_frame, hard_frame, random_texts
 
@@ -112,3 +116,41 @@ def test_rare_runs_are_learned_in_a_large_corpus(spark):
     # Sizes of units and buckets change nothing.
     small = {r["doc_id"]: r for r in language_model_scores(df.repartition(3), Settings(block=20_000, unit_tokens=40_000)).collect()}
     assert all(small[k]["score"] == pytest.approx(rows[k]["score"], rel=1e-9) for k in rows)
+
+
+def test_passes_share_out_the_shuffled_data(spark):
+    # Each pass sends its share of the messages, and together they are those of one pass.
+    texts = random_texts(300, 3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([True] * 300), pa.array(texts, pa.string())], names=["row", "train", "text"])
+
+    def sent(low, high):
+        return [row for out in language_model._messages(12, low, high, 10_000)([batch]) for row in out.to_pylist()]
+
+    whole, passes = sent(0, 12), [sent(k, k + 4) for k in (0, 4, 8)]
+    order = lambda rows: sorted(rows, key=lambda r: (r["bucket"], r["a"], r["last"]))
+    assert order(whole) == order([row for own in passes for row in own])
+    size = lambda rows: sum(len(x) for r in rows for x in r.values() if isinstance(x, bytes))
+    assert max(map(size, passes)) < size(whole) / 2
+    # A row, null or not, is scored in one pass; passes have about as many rows each.
+    keys = spark.createDataFrame([*enumerate(texts * 4), (None, "a b"), (None, None), (7, None)], "doc_id bigint, text string")
+    parts = keys.groupBy(language_model.part_of(keys["doc_id"], keys["text"], 4).alias("part")).count().collect()
+    assert sorted(r["part"] for r in parts) == [0, 1, 2, 3] and sum(r["count"] for r in parts) == 1203
+    assert max(r["count"] for r in parts) < 400
+
+
+def test_scoring_leaves_only_scores_behind(spark):
+    # Tables and messages of a pass are gone when it ends; none is left for the one who reads the scores.
+    before = scratch_copies(spark)
+    docs = list(enumerate(random_texts(60, 5)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rows = language_model_scores(df, Settings(block=40, unit_tokens=200))
+    left = [path for path in scratch_copies(spark) if path not in before]
+    assert len(left) == language_model.SCORE_PASSES and all("/scores-" in path for path in left)
+    check(rows.collect(), docs)
+
+
+def test_runs_that_share_the_first_bits_of_their_last_word():
+    head = np.array([1, 0, 1, 0, 1], dtype=np.int64)
+    last = np.array([5, 4, 6, 4, 5], dtype=np.uint64)
+    order = language_model._grouped(head, last)
+    assert [(int(head[i]), int(last[i])) for i in order] == [(0, 4), (0, 4), (1, 5), (1, 5), (1, 6)]
