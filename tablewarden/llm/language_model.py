@@ -20,6 +20,7 @@ and the unit's words meet again, and the unit builds the part of the automaton t
 the states, the arcs out of each and the failure arcs. Every text is then traversed once from left to
 right. The walk carries one state; it takes the arc of the next word where the state has one, and follows
 failure arcs, adding their weights, until a state has one. The empty context has an arc for each word.
+The texts of a unit walk at the same time, as numpy arrays.
 Only counts pass the driver. Rows are scored in passes too, each over a part of them whose scores are written.
 
 The words' part of the table is sent to several buckets, each for its own units, as a common word stands in
@@ -706,28 +707,25 @@ class Automaton:
         row = table.find(codes(sequence[last - 2], sequence[last - 1], sequence[last]))
         last, row = last[row >= 0], row[row >= 0]
         self.from_pair[last], self.by_pair[last] = self.then[last - 1], value[row]
-        self.failure, self.weight = self.failure.tolist(), self.weight.tolist()
-
-    def walk(self, first: int, end: int) -> float:
-        """Sum of the log-probabilities of the text between two places: one traversal that carries a state."""
-        own = slice(first, end)
-        along = [x[own].tolist() for x in (self.from_pair, self.by_pair, self.from_word, self.by_word, self.then)]
-        state, score, weight, failure = 0, 0.0, self.weight, self.failure
-        for from_pair, by_pair, from_word, by_word, then, of_none in zip(*along, self.first[self.places[own]].tolist(), strict=True):
-            while True:
-                if state == from_pair:
-                    score += by_pair
-                    break
-                if state == from_word:
-                    score += by_word
-                    break
-                if not state:
-                    score += of_none
-                    break
-                score += weight[state]
-                state = failure[state]
-            state = then
-        return score
+
+    def walk(self, bounds: np.ndarray) -> np.ndarray:
+        """Sums of the log-probabilities of the texts, each traversed once from left to right; all walk at the same time.
+
+        A word is read from the state to which the word before it led, the first one of a text from state 0.
+        Failure arcs are followed, their weights added, until a state has an arc for the word.
+        """
+        state = np.concatenate([[0], self.then[:-1]])
+        state[bounds[:-1]] = 0
+        at, score = np.arange(len(state)), np.zeros(len(state))
+        while len(at):
+            pair, word = self.from_pair[at] == state, self.from_word[at] == state
+            taken = pair | word | (state == 0)
+            other = np.where(taken, self.first[self.places[at]], self.weight[state])
+            score[at] += np.where(pair, self.by_pair[at], np.where(word, self.by_word[at], other))
+            left = np.flatnonzero(~taken)
+            at, state = at[left], self.failure[state[left]]
+        # The end token closes each text, so none is empty.
+        return _sums(score, bounds[:-1])
 
 
 def _walked(answers: pa.Table) -> pa.Table:
@@ -741,8 +739,7 @@ def _walked(answers: pa.Table) -> pa.Table:
     # The end token closes each text, so none is empty.
     base = _sums(automaton_.first[places], bounds[:-1])
     n_known = _sums(automaton_.known[places].astype(np.int64), bounds[:-1])
-    scores = [automaton_.walk(lo, hi) for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-    columns = [heads.field(i) for i in range(3)] + [pa.array(n_known), pa.array(base), pa.array(scores, pa.float64())]
+    columns = [heads.field(i) for i in range(3)] + [pa.array(n_known), pa.array(base), pa.array(automaton_.walk(bounds))]
     return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
